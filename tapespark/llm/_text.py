@@ -24,7 +24,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 #: A random value for each byte; A-Z share the values of a-z, so hashes ignore ASCII case.
-_BYTE = mix(np.arange(1, 257, dtype=U))
+_EXACT = mix(np.arange(1, 257, dtype=U))
+_BYTE = _EXACT.copy()
 _BYTE[65:91] = _BYTE[97:123]
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -79,10 +80,15 @@ def words(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     edges = off[1:][off[1:] > 0] - 1
     last[edges] = inside[edges]
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+    return start, end, hash_ranges(raw, start, end), np.searchsorted(start, off)
+
+
+def hash_ranges(raw: np.ndarray, start: np.ndarray, end: np.ndarray, exact: bool = False) -> np.ndarray:
+    """64-bit hash of each range of bytes; ASCII case counts only if ``exact``."""
+    n = len(raw)
     total = np.zeros(n + 1, U)
-    np.cumsum(_BYTE[raw] * _power("up", _BASE, n), out=total[1:])
-    value = mix((total[end] - total[start]) * _power("down", _BASE_INV, n + 1)[start] + (end - start).astype(U))
-    return start, end, value, np.searchsorted(start, off)
+    np.cumsum((_EXACT if exact else _BYTE)[raw] * _power("up", _BASE, n), out=total[1:])
+    return mix((total[end] - total[start]) * _power("down", _BASE_INV, n + 1)[start] + (end - start).astype(U))
 
 
 def shingles(value: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
