@@ -4,16 +4,38 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import near_dedup
+from . import language_id, lm_score, near_dedup, packing, sentencepieces
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score_held_out(_table(spark, sf_dir, "documents"))
+
+
+def op2_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(_table(spark, sf_dir, "documents"))
+
+
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepieces.segment_corpus(_table(spark, sf_dir, "documents"))
+
+
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), size=4, threshold=80)
 
 
-QUERIES = {"op8_near_dedup": op8_near_dedup}
+QUERIES = {
+    "op1_lm_score": op1_lm_score,
+    "op2_pack": op2_pack,
+    "op3_language_id": op3_language_id,
+    "op7_sentencepiece": op7_sentencepiece,
+    "op8_near_dedup": op8_near_dedup,
+}
 ORACLE_SQL: dict[str, str] = {}
