@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, lm_score, near_dedup, packing, sentencepieces
+from . import chat_repair, decontaminate, language_id, lm_score, near_dedup, packing, pii, secrets, sentencepieces, spotsigs
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,18 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(_table(spark, sf_dir, "documents"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.scan(_table(spark, sf_dir, "documents"))
+
+
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(_table(spark, sf_dir, "documents"))
+
+
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.scan(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.segment_corpus(_table(spark, sf_dir, "documents"))
 
@@ -31,11 +43,24 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), size=4, threshold=80)
 
 
+def op9_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.scan(_table(spark, sf_dir, "documents"))
+
+
+def op10_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_repair.scan(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_lm_score": op1_lm_score,
     "op2_pack": op2_pack,
     "op3_language_id": op3_language_id,
+    "op4_pii": op4_pii,
+    "op5_secrets": op5_secrets,
+    "op6_decontaminate": op6_decontaminate,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_near_dedup": op8_near_dedup,
+    "op9_spotsigs": op9_spotsigs,
+    "op10_chat_repair": op10_chat_repair,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op4_pii": pii.ORACLE_SQL}
