@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ._text import slices, utf8
 from .sentencepieces import DEFAULT_MODEL, SLICE_BYTES, _gather, _vocabulary, encode_rows, read_model
 
-BLOCK_TOKENS = 6_000_000
+BLOCK_TOKENS = 3_000_000
 
 
 class Room:
