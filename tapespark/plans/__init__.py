@@ -1,0 +1,4 @@
+"""Query plans over the driver's tables; importing the package registers them."""
+
+from . import tape  # noqa: F401
+from .registry import ORACLE_SQL, QUERIES  # noqa: F401
