@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from ._text import U, hash_ranges, mix, slices, utf8
 
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-VARIANTS, LONG, SLICE_BYTES = 4, 64, 16 << 20
+VARIANTS, LONG, SLICE_BYTES = 4, 64, 5 << 20
 MAX_MODEL_BYTES = 16 << 20
 _NEVER = np.int64(1) << 40
 
