@@ -25,9 +25,9 @@ from ._arrays import map_arrays, write_arrays
 from ._store import input_bytes, shared_dir
 from ._text import U, mix, slices, utf8, words
 
-SHARD_BYTES = 32 << 20
-FLUSH_TOKENS = 3_000_000
-SCORE_BYTES = 8 << 20
+SHARD_BYTES = 12 << 20
+FLUSH_TOKENS = 2_000_000
+SCORE_BYTES = 4 << 20
 END, BEGIN = mix(np.array([1, 2], U) * U(0x632BE59BD9B4E019))
 _HIGH = U(0xFFFFF << 44)
 
