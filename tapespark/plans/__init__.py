@@ -1,4 +1,4 @@
 """Query plans over the driver's tables; importing the package registers them."""
 
-from . import relational, tape  # noqa: F401
+from . import relational, tape, text  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES  # noqa: F401
