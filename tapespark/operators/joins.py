@@ -29,22 +29,20 @@ def asof_join(left: DataFrame, right: DataFrame, by: list[str], at: str, values:
 
 
 def range_join(left: DataFrame, right: DataFrame, by: list[str], at: str, right_at: str, low: int, high: int, how: str = "inner", condition: Column | None = None) -> DataFrame:
-    """Pairs with ``low <= right_at - at <= high`` on equal ``by`` keys.
+    """Pairs with ``low <= right_at - at <= high`` on equal ``by`` keys; ``how`` is inner or left.
 
-    Times are cut in buckets as wide as the range; a left row goes to the two or three buckets that its range touches, so the
-    join is an equi-join on (by, bucket) that shuffles and splits like any other. ``right`` must not share other column names.
+    Times are cut in buckets as wide as the range. A left row stays in its bucket, a right row goes to the two or three whose
+    left rows it can meet, so the join is an equi-join on (by, bucket) that shuffles and splits like any other, and a left
+    outer join needs no row ids. ``right`` must not share column names with ``left`` but the keys.
     """
     width = max(1, high - low)
     bucket = lambda c: F.floor(c / width).cast("long")
-    names = [F.col(c).alias(f"__{c}") for c in by]
-    probe = left.withColumn("__bucket", F.explode(F.sequence(bucket(F.col(at) + low), bucket(F.col(at) + high)))) if how == "inner" else left.withColumn("__id", F.monotonically_increasing_id())
-    build = right.select(*names, *(c for c in right.columns if c not in by)).withColumn("__rbucket", bucket(F.col(right_at)))
-    inside = F.col(right_at).between(F.col(at) + low, F.col(at) + high)
-    on = inside if condition is None else inside & condition
+    probe = left.withColumn("__bucket", bucket(F.col(at)))
+    build = right.select(*(F.col(c).alias(f"__{c}") for c in by), *(c for c in right.columns if c not in by))
+    build = build.withColumn("__rbucket", F.explode(F.sequence(bucket(F.col(right_at) - high), bucket(F.col(right_at) - low))))
+    on = (F.col("__bucket") == F.col("__rbucket")) & F.col(right_at).between(F.col(at) + low, F.col(at) + high)
     for c in by:
         on = on & (F.col(c) == F.col(f"__{c}"))
-    if how == "inner":
-        return probe.join(build, on & (F.col("__bucket") == F.col("__rbucket"))).drop("__bucket", "__rbucket", *(f"__{c}" for c in by))
-    matched = probe.withColumn("__bucket", F.explode(F.sequence(bucket(F.col(at) + low), bucket(F.col(at) + high)))).join(build, on & (F.col("__bucket") == F.col("__rbucket")))
-    extra = [c for c in build.columns if c != "__rbucket" and not c.startswith("__")]
-    return probe.join(matched.select("__id", *extra), "__id", "left").drop("__id")
+    if condition is not None:
+        on = on & condition
+    return probe.join(build, on, how).drop("__bucket", "__rbucket", *(f"__{c}" for c in by))
