@@ -67,3 +67,16 @@ def test_one_id_with_two_texts(spark):
     rows = [(5, "a b c d e"), (2, "A b c d e"), (5, "p q r s t"), (7, "P q r s t")]
     got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect()
     assert {r["component_id"] for r in got} == {2}
+
+
+def test_large_group_of_near_copies(spark):
+    rnd = random.Random(9)
+    base = [f"b{i}" for i in range(150)]
+    rows = [(1000 + k, " ".join(base)) for k in range(5)]
+    for k in range(150):
+        w = list(base)
+        for _ in range(rnd.randint(0, 9)):
+            w[rnd.randrange(len(w))] = f"e{rnd.randrange(60)}"
+        rows.append((k, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {tuple(r) for r in near_duplicates(df, 4, 80).collect()} == brute(rows, 4, 80)
