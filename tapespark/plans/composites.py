@@ -271,13 +271,13 @@ def c34_pair_spread(t: Tables) -> DataFrame:
 
 @query(
     "c35_growth_and_loss",
-    f"WITH {DAILY}, g AS (SELECT day, symbol, close / first_value(close) OVER w AS k, exp(sum(ln(1 + 0.003 * n)) OVER w) AS fees FROM daily WINDOW w AS (PARTITION BY symbol ORDER BY day ROWS UNBOUNDED PRECEDING)) SELECT day, symbol, round(fees, 6) AS fees, round(2 * sqrt(k) / (1 + k) - 1, 6) AS loss FROM g",
+    f"WITH {DAILY}, g AS (SELECT day, symbol, close / first_value(close) OVER w AS k, exp(sum(ln(1 + 0.003 * n)) OVER w) AS fees FROM daily WINDOW w AS (PARTITION BY symbol ORDER BY day ROWS UNBOUNDED PRECEDING)) SELECT day, symbol, round(fees, 3) AS fees, round(2 * sqrt(k) / (1 + k) - 1, 6) AS loss FROM g",
 )
 def c35_growth_and_loss(t: Tables) -> DataFrame:
     """Compounded fee growth and the loss against holding."""
     w = Window.partitionBy("symbol").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
     g = daily(t).withColumn("k", F.col("close") / F.first("close").over(w)).withColumn("fees", F.exp(F.sum(F.log(1 + 0.003 * F.col("n"))).over(w)))
-    return g.select("day", "symbol", F.round("fees", 6).alias("fees"), F.round(2 * F.sqrt("k") / (1 + F.col("k")) - 1, 6).alias("loss"))
+    return g.select("day", "symbol", F.round("fees", 3).alias("fees"), F.round(2 * F.sqrt("k") / (1 + F.col("k")) - 1, 6).alias("loss"))
 
 
 @query(

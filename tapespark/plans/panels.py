@@ -29,10 +29,10 @@ def w7_trailing_rank(t: Tables) -> DataFrame:
     return daily(t).select("day", "symbol", F.round(stats.trailing_rank("close", ["symbol"], ["day"], 20), 6).alias("pct"))
 
 
-@query("w8_trailing_median", f"WITH {DAILY} SELECT day, symbol, round(quantile_cont(close, 0.5) OVER {_W} ROWS BETWEEN 15 PRECEDING AND 1 PRECEDING), 4) AS med FROM daily")
+@query("w8_trailing_median", f"WITH {DAILY} SELECT day, symbol, round(quantile_cont(close, 0.5) OVER {_W} ROWS BETWEEN 15 PRECEDING AND 1 PRECEDING), 6) AS med FROM daily")
 def w8_trailing_median(t: Tables) -> DataFrame:
     w = Window.partitionBy("symbol").orderBy("day").rowsBetween(-15, -1)
-    return daily(t).select("day", "symbol", F.round(F.percentile("close", 0.5).over(w), 4).alias("med"))
+    return daily(t).select("day", "symbol", F.round(F.percentile("close", 0.5).over(w), 6).alias("med"))
 
 
 @query("w9_contiguous_mean", f"WITH {DAILY} SELECT day, symbol, round(CASE WHEN day - lag(day, 4) OVER {_W}) = 4 THEN avg(close) OVER {_W} ROWS 4 PRECEDING) * 365 END, 3) AS yearly FROM daily")

@@ -108,13 +108,13 @@ def w10_drawdown(t: Tables) -> DataFrame:
 @query(
     "a15_positions",
     f"""WITH {TAPE}, p AS (SELECT usr, mint, sum(CASE WHEN buy THEN tok ELSE 0 END) AS bought, sum(CASE WHEN NOT buy THEN tok ELSE 0 END) AS sold, sum(CASE WHEN buy THEN -sol ELSE sol END) AS net, count(*) AS n FROM tape GROUP BY ALL)
-SELECT usr, mint, bought, sold, n, bought > 0 AND sold >= 0.99 * bought AS closed, round(net * (1 - 0.0125) - 0.001 * n, 2) AS pnl FROM p WHERE usr <> mint""",
+SELECT usr, mint, bought, sold, n, bought > 0 AND sold >= 0.99 * bought AS closed, round(net * (1 - 0.0125) - 0.001 * n, 7) AS pnl FROM p WHERE usr <> mint""",
 )
 def a15_positions(t: Tables) -> DataFrame:
     s = lambda c, x: F.sum(F.when(c, x).otherwise(0.0))
     p = prints(t).groupBy("usr", "mint").agg(s(F.col("buy"), F.col("tok")).alias("bought"), s(~F.col("buy"), F.col("tok")).alias("sold"), F.sum(F.when(F.col("buy"), -F.col("sol")).otherwise(F.col("sol"))).alias("net"), F.count("*").alias("n"))
     closed = (F.col("bought") > 0) & (F.col("sold") >= 0.99 * F.col("bought"))
-    return p.where("usr <> mint").select("usr", "mint", "bought", "sold", "n", closed.alias("closed"), F.round(F.col("net") * (1 - 0.0125) - 0.001 * F.col("n"), 2).alias("pnl"))
+    return p.where("usr <> mint").select("usr", "mint", "bought", "sold", "n", closed.alias("closed"), F.round(F.col("net") * (1 - 0.0125) - 0.001 * F.col("n"), 7).alias("pnl"))
 
 
 _HALVES = f"""WITH {TAPE}, p AS (SELECT usr, mint, sum(CASE WHEN buy THEN -sol ELSE sol END) AS pnl, min(recv) AS first FROM tape GROUP BY ALL), h AS (SELECT *, CASE WHEN first < 852076800000000 THEN 1 ELSE 2 END AS half FROM p)"""
@@ -228,9 +228,9 @@ def _peers(t: Tables) -> DataFrame:
     return joins.range_join(picks, others, [], "recv", "q_recv", -DAY + 1, -1, condition=band)
 
 
-@query("j5_range_candidates", f"{_PEERS} SELECT seq, count(*) AS candidates, count(DISTINCT peer) AS peers, round(avg(q_sol), 4) AS mean_sol FROM peers GROUP BY seq")
+@query("j5_range_candidates", f"{_PEERS} SELECT seq, count(*) AS candidates, count(DISTINCT peer) AS peers, round(avg(q_sol), 8) AS mean_sol FROM peers GROUP BY seq")
 def j5_range_candidates(t: Tables) -> DataFrame:
-    return _peers(t).groupBy("seq").agg(F.count("*").alias("candidates"), F.count_distinct("peer").alias("peers"), F.round(F.avg("q_sol"), 4).alias("mean_sol"))
+    return _peers(t).groupBy("seq").agg(F.count("*").alias("candidates"), F.count_distinct("peer").alias("peers"), F.round(F.avg("q_sol"), 8).alias("mean_sol"))
 
 
 @query(

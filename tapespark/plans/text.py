@@ -178,11 +178,11 @@ def p26_taker_fill(t: Tables) -> DataFrame:
 
 @query(
     "p27_book_vwap",
-    "WITH l AS (SELECT l_orderkey, l_extendedprice / l_quantity AS price, l_quantity AS size, coalesce(sum(l_extendedprice) OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice / l_quantity, l_quantity, l_linenumber, l_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM lineitem), u AS (SELECT l_orderkey, greatest(least(50000 - before, price * size), 0) AS used, price FROM l) SELECT l_orderkey, round(CASE WHEN sum(used) >= 50000 - 1e-6 THEN 50000 / sum(used / price) END, 5) AS vwap FROM u GROUP BY l_orderkey",
+    "WITH l AS (SELECT l_orderkey, l_extendedprice / l_quantity AS price, l_quantity AS size, coalesce(sum(l_extendedprice) OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice / l_quantity, l_quantity, l_linenumber, l_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM lineitem), u AS (SELECT l_orderkey, greatest(least(50000 - before, price * size), 0) AS used, price FROM l) SELECT l_orderkey, round(CASE WHEN sum(used) >= 50000 - 1e-6 THEN 50000 / sum(used / price) END, 8) AS vwap FROM u GROUP BY l_orderkey",
 )
 def p27_book_vwap(t: Tables) -> DataFrame:
     level = F.struct((F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), F.col("l_quantity").alias("size"), "l_linenumber", "l_partkey")
-    return t("lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(level)).alias("levels")).select("l_orderkey", F.round(C.book_vwap(F.col("levels"), 50_000), 5).alias("vwap"))
+    return t("lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(level)).alias("levels")).select("l_orderkey", F.round(C.book_vwap(F.col("levels"), 50_000), 8).alias("vwap"))
 
 
 @query("p28_link_flags", "SELECT page_id, contains(lower(html), 't.me/') AS telegram, regexp_matches(lower(html), '(x|twitter)\\.com/') AS x, contains(lower(html), 'href=') AS website FROM pages")
