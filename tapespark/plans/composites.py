@@ -123,13 +123,13 @@ def c17_path_after_entry(t: Tables) -> DataFrame:
 
 @query(
     "c18_path_after_completion",
-    f"""WITH {TAPE}, {LAUNCHES}, a AS (SELECT launch, creator % (SELECT max(s_suppkey) FROM supplier) + 1 AS mint, completed_at FROM launches WHERE completed AND launch % 5 = 0),
+    f"""WITH {TAPE}, {LAUNCHES}, a AS (SELECT launch, creator % (SELECT max(s_suppkey) FROM supplier) + 1 AS mint, completed_at FROM launches WHERE completed),
 w AS (SELECT a.launch, p.recv - a.completed_at AS d, p.seq, {_PX} AS px FROM a JOIN tape p ON p.mint = a.mint AND p.recv BETWEEN a.completed_at AND a.completed_at + 2592000000000)
 SELECT launch, round(arg_max(px, (d, seq)) FILTER (d <= 604800000000) / arg_min(px, (d, seq)) - 1, 6) AS week, round(arg_max(px, (d, seq)) / arg_min(px, (d, seq)) - 1, 6) AS month, round(max(px) / arg_min(px, (d, seq)) - 1, 6) AS best FROM w GROUP BY launch""",
 )
 def c18_path_after_completion(t: Tables) -> DataFrame:
     n = t("supplier").agg(F.max("s_suppkey").alias("k"))
-    a = tape.launches(t("orders")).where("completed AND launch % 5 = 0").crossJoin(F.broadcast(n)).select("launch", (F.col("creator") % F.col("k") + 1).alias("mint"), "completed_at")
+    a = tape.launches(t("orders")).where("completed").crossJoin(F.broadcast(n)).select("launch", (F.col("creator") % F.col("k") + 1).alias("mint"), "completed_at")
     w = joins.range_join(a, priced(t), ["mint"], "completed_at", "recv", 0, 30 * DAY).withColumn("d", F.col("recv") - F.col("completed_at"))
     at = F.struct("d", "seq")
     first = F.min_by("px", at)
@@ -332,14 +332,14 @@ def c41_milestone_events(t: Tables) -> DataFrame:
 @query(
     "c42_lead_signal",
     f"""WITH {TICKS}, l AS (SELECT event_id, t, value / nullif(lag(value) OVER (PARTITION BY key ORDER BY t, event_id), 0) - 1 AS move FROM ticks WHERE key = (SELECT min(key) FROM ticks)), h AS (SELECT * FROM l WHERE abs(move) > 0.5)
-SELECT h.event_id, k.key, (SELECT arg_max(value, (q.t, q.event_id)) FROM ticks q WHERE q.key = k.key AND q.t <= h.t) AS follower FROM h, (SELECT DISTINCT key FROM ticks WHERE key % 5 = 0) k""",
+SELECT h.event_id, k.key, (SELECT arg_max(value, (q.t, q.event_id)) FROM ticks q WHERE q.key = k.key AND q.t <= h.t) AS follower FROM h, (SELECT DISTINCT key FROM ticks WHERE key <> (SELECT min(key) FROM ticks)) k""",
 )
 def c42_lead_signal(t: Tables) -> DataFrame:
     """Large moves of a leader with the follower's state at the same moment."""
     ticks = tape.ticks(t("events"))
     leader = ticks.agg(F.min("key").alias("key"))
     l = ticks.join(F.broadcast(leader), "key", "left_semi").withColumn("move", F.col("value") / F.nullif(F.lag("value").over(Window.partitionBy("key").orderBy("t", "event_id")), F.lit(0.0)) - 1).where("abs(move) > 0.5")
-    keys = ticks.where("key % 5 = 0").select("key").distinct()
+    keys = ticks.select("key").distinct().join(F.broadcast(leader), "key", "left_anti")
     asked = l.select("event_id", "t").crossJoin(F.broadcast(keys))
     out = joins.asof_join(asked, ticks.select("key", "t", "value", F.col("event_id").alias("o")), ["key"], "t", ["value"], order=["o"])
     return out.select("event_id", "key", F.col("value").alias("follower"))

@@ -212,14 +212,14 @@ def c37_funding_features(t: Tables) -> DataFrame:
 
 @query(
     "c39_bar_first_touch",
-    f"""WITH {TICKS}, b AS (SELECT key, t // 3600000000 AS bar, arg_min(value, (t, event_id)) AS o, max(value) AS h, min(value) AS l FROM ticks GROUP BY ALL), e AS (SELECT key, bar, o FROM b WHERE o > 50 AND bar % 5 = 0),
+    f"""WITH {TICKS}, b AS (SELECT key, t // 3600000000 AS bar, arg_min(value, (t, event_id)) AS o, max(value) AS h, min(value) AS l FROM ticks GROUP BY ALL), e AS (SELECT key, bar, o FROM b WHERE o > 50),
 x AS (SELECT e.key, e.bar, e.o, min(b.bar) FILTER (b.l <= e.o * 0.5 OR b.h >= e.o * 1.5) AS hit FROM e LEFT JOIN b ON b.key = e.key AND b.bar BETWEEN e.bar + 1 AND e.bar + 24 GROUP BY ALL)
 SELECT x.key, x.bar, CASE WHEN hit IS NULL THEN 'time' WHEN b.l <= x.o * 0.5 THEN 'stop' ELSE 'target' END AS outcome, CASE WHEN hit IS NULL THEN NULL WHEN b.l <= x.o * 0.5 THEN least(b.o, x.o * 0.5) ELSE greatest(b.o, x.o * 1.5) END AS fill FROM x LEFT JOIN b ON b.key = x.key AND b.bar = x.hit""",
 )
 def c39_bar_first_touch(t: Tables) -> DataFrame:
     """First bar that touches stop or target: the stop counts first, a gap fills at the open."""
     b = tape.ticks(t("events")).groupBy("key", F.floor(F.col("t") / 3_600_000_000).alias("bar")).agg(F.min_by("value", F.struct("t", "event_id")).alias("o"), F.max("value").alias("h"), F.min("value").alias("l"))
-    e = b.where("o > 50 AND bar % 5 = 0").select("key", "bar", "o")
+    e = b.where("o > 50").select("key", "bar", "o")
     later = b.select("key", F.col("bar").alias("b"), F.col("o").alias("bo"), "h", "l")
     j = joins.range_join(e, later, ["key"], "bar", "b", 1, 24, how="left")
     stop, hit = F.col("l") <= F.col("o") * 0.5, (F.col("l") <= F.col("o") * 0.5) | (F.col("h") >= F.col("o") * 1.5)

@@ -328,10 +328,10 @@ def a47_tick_size(t: Tables) -> DataFrame:
     return d.withColumn("step", step).groupBy("p_brand").agg(F.min(F.when(F.col("step") > 0, F.col("step"))).alias("tick"))
 
 
-@query("f1_priority_order", "SELECT o_orderkey, o_orderpriority FROM orders WHERE o_totalprice > 100000 ORDER BY CASE WHEN o_orderpriority = '3-MEDIUM' THEN 0 ELSE 1 END, o_orderpriority DESC NULLS LAST, o_orderkey LIMIT 100")
+@query("f1_priority_order", "SELECT o_orderkey, o_orderpriority FROM orders WHERE o_totalprice > 100000 ORDER BY CASE WHEN o_orderpriority = '3-MEDIUM' THEN 0 ELSE 1 END, o_orderpriority DESC NULLS LAST, o_orderkey")
 def f1_priority_order(t: Tables) -> DataFrame:
     first = F.when(F.col("o_orderpriority") == "3-MEDIUM", 0).otherwise(1)
-    return t("orders").where("o_totalprice > 100000").orderBy(first, F.col("o_orderpriority").desc_nulls_last(), "o_orderkey").select("o_orderkey", "o_orderpriority").limit(100)
+    return t("orders").where("o_totalprice > 100000").orderBy(first, F.col("o_orderpriority").desc_nulls_last(), "o_orderkey").select("o_orderkey", "o_orderpriority")
 
 
 @query("f2_busiest_windows", f"WITH {TICKS} SELECT t // 3600000000 AS slot, count(*) AS n, count(*) FILTER (event_type = 'click') AS clicks FROM ticks GROUP BY 1 ORDER BY n DESC, slot LIMIT 20")

@@ -246,7 +246,7 @@ def c4_matched_controls(t: Tables) -> DataFrame:
 
 @query(
     "c3_event_study",
-    f"""{_TRIPS_SQL}, e AS (SELECT usr, mint, opened FROM trips WHERE usr < 20),
+    f"""{_TRIPS_SQL}, e AS (SELECT usr, mint, opened FROM trips),
 w AS (SELECT e.usr, e.mint, e.opened, p.recv - e.opened AS d, p.seq, CASE WHEN p.buy THEN p.sol ELSE -p.sol END AS flow, p.vsol / p.vtok AS px FROM e JOIN tape p ON p.mint = e.mint AND p.usr <> e.usr AND p.recv BETWEEN e.opened - 2592000000000 AND e.opened + 2592000000000)
 SELECT usr, mint, opened, round(coalesce(sum(flow) FILTER (d < 0), 0), 2) AS flow_before, round(coalesce(sum(flow) FILTER (d >= 0 AND d <= 604800000000), 0), 2) AS flow_week, round(coalesce(sum(flow) FILTER (d >= 0), 0), 2) AS flow_month,
  round(arg_max(px, (d, seq)) FILTER (d <= 604800000000) / arg_max(px, (d, seq)) FILTER (d < 0) - 1, 6) AS ret_week, round(arg_max(px, (d, seq)) / arg_max(px, (d, seq)) FILTER (d < 0) - 1, 6) AS ret_month FROM w GROUP BY usr, mint, opened""",
@@ -254,7 +254,7 @@ SELECT usr, mint, opened, round(coalesce(sum(flow) FILTER (d < 0), 0), 2) AS flo
 def c3_event_study(t: Tables) -> DataFrame:
     """Others' net flow around entries and the return from the price before them at two horizons."""
     tape_rows = prints(t)
-    entries = trips.round_trips(tape_rows).where("usr < 20").select("usr", "mint", "opened")
+    entries = trips.round_trips(tape_rows).select("usr", "mint", "opened")
     flow = tape_rows.select("mint", F.col("usr").alias("who"), "recv", "seq", F.when(F.col("buy"), F.col("sol")).otherwise(-F.col("sol")).alias("flow"), (F.col("vsol") / F.col("vtok")).alias("px"))
     month, week = 30 * DAY, 7 * DAY
     w = joins.range_join(entries, flow, ["mint"], "opened", "recv", -month, month, condition=F.col("who") != F.col("usr")).withColumn("d", F.col("recv") - F.col("opened"))
@@ -354,7 +354,7 @@ def w23_wash_flags(t: Tables) -> DataFrame:
 @query(
     "w11_buyers_since_sell",
     f"""WITH {TAPE}, g AS (SELECT *, sum(CASE WHEN buy THEN 0 ELSE 1 END) OVER (PARTITION BY mint ORDER BY recv, seq ROWS UNBOUNDED PRECEDING) AS run FROM tape)
-SELECT seq, mint, (SELECT count(DISTINCT h.usr) FROM g h WHERE h.mint = g.mint AND h.run = g.run AND h.buy AND (h.recv, h.seq) <= (g.recv, g.seq)) AS streak FROM g WHERE usr < 10""",
+SELECT seq, mint, (SELECT count(DISTINCT h.usr) FROM g h WHERE h.mint = g.mint AND h.run = g.run AND h.buy AND (h.recv, h.seq) <= (g.recv, g.seq)) AS streak FROM g""",
 )
 def w11_buyers_since_sell(t: Tables) -> DataFrame:
     """Distinct buyers since the last sell: a wallet counts at its first buy of the run."""
@@ -362,7 +362,7 @@ def w11_buyers_since_sell(t: Tables) -> DataFrame:
     g = prints(t).withColumn("run", F.sum(F.when(F.col("buy"), 0).otherwise(1)).over(order))
     first = F.row_number().over(Window.partitionBy("mint", "run", "usr", "buy").orderBy("recv", "seq")) == 1
     run = Window.partitionBy("mint", "run").orderBy("recv", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    return g.withColumn("new", (first & F.col("buy")).cast("long")).withColumn("streak", F.sum("new").over(run)).where("usr < 10").select("seq", "mint", "streak")
+    return g.withColumn("new", (first & F.col("buy")).cast("long")).withColumn("streak", F.sum("new").over(run)).select("seq", "mint", "streak")
 
 
 @query(
@@ -421,12 +421,12 @@ def w14_velocity(t: Tables) -> DataFrame:
 
 @query(
     "w12_distinct_in_window",
-    f"""WITH {TAPE} SELECT a.seq, (SELECT count(DISTINCT b.usr) FROM tape b WHERE a.mint = b.mint AND b.recv > a.recv - 864000000000 AND b.recv <= a.recv) AS users FROM tape a WHERE a.usr < 10""",
+    f"""WITH {TAPE} SELECT a.seq, (SELECT count(DISTINCT b.usr) FROM tape b WHERE a.mint = b.mint AND b.recv > a.recv - 864000000000 AND b.recv <= a.recv) AS users FROM tape a""",
 )
 def w12_distinct_in_window(t: Tables) -> DataFrame:
     """Distinct users of a token in the ten days up to every print."""
     w = Window.partitionBy("mint").orderBy("recv").rangeBetween(-10 * DAY + 1, 0)
-    return prints(t).withColumn("users", F.size(F.collect_set("usr").over(w)).cast("long")).where("usr < 10").select("seq", "users")
+    return prints(t).withColumn("users", F.size(F.collect_set("usr").over(w)).cast("long")).select("seq", "users")
 
 
 @query(
@@ -452,14 +452,14 @@ def w25_largest_sell(t: Tables) -> DataFrame:
 
 @query(
     "w19_first_touch",
-    f"""WITH {TAPE}, e AS (SELECT mint, seq, recv, vsol / vtok AS px FROM tape WHERE buy AND usr < 5),
+    f"""WITH {TAPE}, e AS (SELECT mint, seq, recv, vsol / vtok AS px FROM tape WHERE buy),
 j AS (SELECT e.mint, e.seq, e.recv, min(p.recv) FILTER (p.vsol / p.vtok >= 1.5 * e.px) AS tp, min(p.recv) FILTER (p.vsol / p.vtok <= 0.7 * e.px) AS sl FROM e LEFT JOIN tape p ON p.mint = e.mint AND p.recv > e.recv AND p.recv <= e.recv + 864000000000 GROUP BY ALL)
 SELECT mint, seq, CASE WHEN tp IS NULL AND sl IS NULL THEN 'time' WHEN sl IS NULL OR tp < sl THEN 'profit' ELSE 'stop' END AS outcome, coalesce(least(tp, sl), tp, sl, recv + 864000000000) AS exit_at FROM j""",
 )
 def w19_first_touch(t: Tables) -> DataFrame:
     """First print at the target or the stop inside the hold, else time: labels of every entry. A stop at the same time counts first."""
     rows = prints(t).withColumn("px", F.col("vsol") / F.col("vtok"))
-    entries = rows.where("buy AND usr < 5").select("mint", "seq", "recv", "px")
+    entries = rows.where("buy").select("mint", "seq", "recv", "px")
     path = rows.select("mint", F.col("recv").alias("born"), F.col("px").alias("later"))
     hold = 10 * DAY
     j = joins.range_join(entries, path, ["mint"], "recv", "born", 1, hold, how="left")
@@ -495,12 +495,12 @@ def w27_crossing(t: Tables) -> DataFrame:
 
 @query(
     "w30_regime",
-    f"""WITH {LAUNCHES} SELECT launch, (SELECT count(*) FROM launches b WHERE b.born > a.born - 3600000000 AND b.born <= a.born) AS launches_1h, (SELECT count(*) FROM launches b WHERE b.completed_at > a.born - 3600000000 AND b.completed_at <= a.born) AS completions_1h FROM launches a WHERE launch % 50 = 0""",
+    f"""WITH {LAUNCHES} SELECT launch, (SELECT count(*) FROM launches b WHERE b.born > a.born - 3600000000 AND b.born <= a.born) AS launches_1h, (SELECT count(*) FROM launches b WHERE b.completed_at > a.born - 3600000000 AND b.completed_at <= a.born) AS completions_1h FROM launches a""",
 )
 def w30_regime(t: Tables) -> DataFrame:
-    """Market-wide counts in the hour up to some launches, by a bucketed range join."""
+    """Market-wide counts in the hour up to every launch, by a bucketed range join."""
     rows = tape.launches(t("orders"))
-    asked = rows.where("launch % 50 = 0").select("launch", "born")
+    asked = rows.select("launch", "born")
     line = rows.select(F.col("born").alias("x"), F.lit(1).alias("l"), F.lit(0).alias("c")).union(rows.where("completed").select(F.col("completed_at").alias("x"), F.lit(0).alias("l"), F.lit(1).alias("c")))
     j = joins.range_join(asked, line, [], "born", "x", -3600 * SECOND + 1, 0, how="left")
     return j.groupBy("launch").agg(F.coalesce(F.sum("l"), F.lit(0)).alias("launches_1h"), F.coalesce(F.sum("c"), F.lit(0)).alias("completions_1h"))
