@@ -5,11 +5,12 @@ Shape of the job (``near_duplicates``):
 1. one pass over the texts makes, per document, the size of its shingle set, a 128-bit hash of the set, ``bands`` keys of
    ``rows`` MinHash samples each, and the odd sketch: the samples folded into a parity bitmap of 512 bits;
 2. documents with equal sets form classes (a partial aggregate, so thousands of copies shrink to a row before the shuffle);
-3. class representatives that share a band key become candidates. Only pairs with the key's smallest representative are
-   made, never all pairs of a key. The XOR popcount of two odd sketches estimates the similarity, and clearly dissimilar
-   pairs go; the rest are confirmed on full sets and joined into components;
-4. keys whose members are then still in several components are compared again: every member outside the key's largest
-   component with every member, so no link between different texts is lost to the choice of the smallest;
+3. class representatives that share a band key become candidates. Only pairs with the key's hub, the representative of most
+   copies, are made, never all pairs of a key. The XOR popcount of two odd sketches estimates the similarity, and clearly
+   dissimilar pairs go; the rest are confirmed on full sets and joined into components;
+4. where members of a hub's keys are then still outside its component, members are compared with each other by their
+   differences from the hub, which are small: two sets can only be similar if their differences share enough elements, so a
+   prefix of the rarest ones must meet (``_left_over``). No link between different texts is lost to the choice of the hub;
 5. components get their smallest doc_id.
 
 With 6 rows and 40 bands a pair at similarity 0.8 shares no key with probability (1 - 0.8**6)**40 = 5e-6. The screen drops
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._store import materialize
@@ -120,16 +121,18 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: int = 80) -> Data
     schema = "doc_id long, n long, s0 long, s1 long, bands array<long>, sketch array<long>"
     feats = materialize(docs.mapInArrow(_features(size), schema), "nd-features")
     whole = feats.where("n > 0 AND doc_id IS NOT NULL")
-    reps = materialize(whole.groupBy("s0", "s1", "n").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "nd-reps")
-    keyed = reps.select("rep", "n", F.explode("bands").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("key", "low")
-    buckets = materialize(keyed.join(shared, "key"), "nd-buckets")
-    texts = docs.join(buckets.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    reps = materialize(whole.groupBy("s0", "s1", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "nd-reps")
+    keyed = reps.select("rep", "copies", F.explode("bands").alias("key"))
+    shared = keyed.groupBy("key").agg(F.max(F.struct("copies", (-F.col("rep")).alias("low"))).alias("hub"), F.count("*").alias("m")).where("m > 1").select("key", "hub", (-F.col("hub.low")).alias("b"))
+    first = keyed.join(shared, "key").where("rep <> b").groupBy(F.col("rep").alias("a"), "b").agg(F.max("hub").alias("hub"))
+    first = materialize(first, "nd-first")
+    # the ids grow with the documents: the plan is that of a large input at any size
+    wanted = first.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct().hint("merge")
+    texts = docs.join(wanted, "doc_id", "left_semi")
     sets = materialize(texts.mapInArrow(_arrays(size), "rep long, grams array<long>"), "nd-sets")
-    first = buckets.where("rep <> low").select(F.col("rep").alias("a"), F.col("low").alias("b")).distinct()
-    links = materialize(_confirmed(_screened(first, reps, threshold), sets, threshold), "nd-links")
+    links = materialize(_confirmed(_screened(first.select("a", "b"), reps, threshold), sets, threshold), "nd-links")
     roots = components(links)
-    more = materialize(_confirmed(_screened(_left_over(buckets, roots, threshold), reps, threshold), sets, threshold), "nd-links")
+    more = materialize(_confirmed(_screened(_left_over(first, roots, sets, threshold), reps, threshold), sets, threshold), "nd-links")
     if not more.isEmpty():
         links = links.union(more)
         roots = components(links)
@@ -145,15 +148,42 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: int = 80) -> Data
     return out.select("doc_id", F.col("n").alias("n_shingles"), root.alias("component_id"), F.coalesce(F.col("doc_id") == root, F.lit(True)).alias("kept"))
 
 
-def _left_over(buckets: DataFrame, roots: DataFrame, threshold: int) -> DataFrame:
-    """Pairs of a key that lie in different components and were not both in the key's largest one: candidates still to compare."""
-    placed = buckets.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+def _left_over(first: DataFrame, roots: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """Candidates (a, b) among the members of a hub that lie in different components.
+
+    Hubs that are members of a better hub first hand their members on to it, so that a large group mostly has one.
+    Let D be the symmetric difference of a member's set with the hub's. A pair x, y is linked if |Dx ^ Dy| <= c (|x| + |y|)
+    with c = (100 - threshold) / (100 + threshold). In a pair of different components one, x, is not linked with the hub itself:
+    |Dx| > c (|x| + |hub|). As |y| <= |hub| + |Dy|, the pair shares over (|Dx| - c (|x| + |hub|) + (1 - c) |Dy|) / 2 elements of
+    its differences, hence at least (|Dx| - c (|x| + |hub|)) / (1 + c) and more than (1 - c) |Dy| / 2. So in any common order the
+    first |Dx| + 1 - bound elements of x and of y meet; the order is rarest first, where edits of a member's own come first.
+    Where they meet first, at places i and j, they can share 1 + min(|Dx| - i, |Dy| - j) elements at most; where that is too
+    few, as it is for most pairs of near copies of one text, the pair is not made.
+    """
+    c = (100 - threshold) / (100 + threshold)
+    of = lambda p, r: roots.select(F.col("node").alias(p), F.col("root").alias(r))
+    parents = first.groupBy("a").agg(F.max("hub").alias("hub")).select(F.col("a").alias("b"), (-F.col("hub.low")).alias("p"))
+    parents = first.select("b").distinct().join(parents, "b", "left").select("b", F.coalesce("p", "b").alias("p"))
+    for _ in range(3):
+        parents = parents.join(parents.select(F.col("b").alias("p"), F.col("p").alias("q")), "p").select("b", F.col("q").alias("p"))
+    parents = materialize(parents, "nd-parents")
+    members = first.select("a", "b").join(parents, "b").select("a", "p").union(parents.select(F.col("b").alias("a"), "p"))
+    members = members.where("a <> p").select("a", F.col("p").alias("b")).distinct()
+    placed = members.join(of("a", "ra"), "a", "left").join(of("b", "rb"), "b", "left").select("a", "b", F.coalesce("ra", "a").alias("ra"), F.coalesce("rb", "b").alias("rb"))
     placed = materialize(placed, "nd-placed")
-    sizes = placed.groupBy("key", "root").agg(F.count("*").alias("m"))
-    main = sizes.groupBy("key").agg(F.max_by("root", F.struct("m", "root")).alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
-    members = placed.where("rep <> low").join(main, "key")
-    outside = members.where("root <> main").select("key", F.col("rep").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"))
-    members = members.select("key", F.col("rep").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), "main")
-    sized = 100 * F.least("na", "nb") >= threshold * F.greatest("na", "nb")
-    pairs = outside.join(members, "key").where(F.expr("ra <> rb AND (rb = main OR a < b)") & sized)
-    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    members = placed.join(placed.where("ra <> rb").select("b").distinct(), "b", "left_semi")
+    grams = lambda p: sets.select(F.col("rep").alias(p), F.col("grams").alias(f"g_{p}"))
+    members = members.join(grams("a"), "a").join(grams("b"), "b")
+    members = members.select("a", "b", "ra", F.size("g_a").alias("n"), F.size("g_b").alias("nb"), F.concat(F.array_except("g_a", "g_b"), F.array_except("g_b", "g_a")).alias("d"))
+    members = members.withColumn("m", F.size("d")).withColumn("over", F.col("m") - c * (F.col("n") + F.col("nb")))
+    spread = materialize(members.select("a", "b", "ra", "n", "m", "over", F.explode("d").alias("gram")), "nd-spread")
+    spread = spread.join(spread.groupBy("b", "gram").agg(F.count("*").alias("df")), ["b", "gram"])
+    spread = spread.withColumn("place", F.row_number().over(Window.partitionBy("b", "a").orderBy("df", "gram")))
+    meets = spread.where(F.col("place") <= F.col("m") - F.floor((1 - c) / 2 * F.col("m") - 1e-9))
+    outside = spread.where((F.col("over") > -1e-9) & (F.col("place") <= F.col("m") + 1 - F.greatest(F.lit(1), F.ceil(F.col("over") / (1 + c) - 1e-9))))
+    side = lambda rows, p: rows.select("b", "gram", *(F.col(k).alias(k + p) for k in ("a", "ra", "n", "m", "place")))
+    shared = (F.col("mx") + F.col("my") - c * (F.col("nx") + F.col("ny"))) / 2
+    most = 1 + F.least(F.col("mx") - F.col("placex"), F.col("my") - F.col("placey"))
+    sized = 100 * F.least("nx", "ny") >= threshold * F.greatest("nx", "ny")
+    pairs = side(outside, "x").join(side(meets, "y"), ["b", "gram"]).where((F.col("rax") != F.col("ray")) & sized & (shared <= most + 1e-9))
+    return pairs.select(F.greatest("ax", "ay").alias("a"), F.least("ax", "ay").alias("b")).distinct()
