@@ -25,6 +25,8 @@ from .lm_score import held_out
 
 BUCKETS, ORDERS, SMOOTHING = 1 << 16, 3, 0.5
 MAX_MODEL_BYTES = 64 << 20
+#: A slice of texts is small, since every byte takes some hundred bytes of arrays.
+_SLICE = 1 << 20
 UNDETERMINED = "und"
 
 
@@ -64,7 +66,7 @@ def _grams(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 def _batches(column: pa.Array) -> Iterator[tuple[int, int, list[str]]]:
     _, off = utf8(column)
-    for a, b in slices(off):
+    for a, b in slices(off, _SLICE):
         yield a, b, ["" if x is None else x for x in column.slice(a, b - a).to_pylist()]
 
 

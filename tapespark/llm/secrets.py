@@ -24,7 +24,7 @@ from ._text import slices, utf8, words
 
 KINDS = ("assign", "access", "hex", "crf")
 TRAIN_WINDOWS, WINDOW, STEPS = 1000, 32, 120
-_SLICE = 4 << 20
+_SLICE = 2 << 20
 # The rules.
 _KEY_WORDS = "password|passwd|secret|token|api_?key"
 ASSIGN = re.compile(rf"(?i:{_KEY_WORDS})[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
