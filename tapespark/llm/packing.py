@@ -17,9 +17,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._text import slices, utf8
-from .sentencepieces import DEFAULT_MODEL, SLICE_BYTES, _gather, _vocabulary, encode_rows, read_model
+from .sentencepieces import DEFAULT_MODEL, _gather, _vocabulary, encode_rows, read_model
 
 BLOCK_TOKENS = 3_000_000
+_SLICE = 6 << 20
 
 
 class Room:
@@ -133,7 +134,7 @@ def pack(docs: DataFrame, length: int = 2048, end: int = 2, pad: int = 0, model:
 
         for batch in batches:
             raw, off = utf8(batch.column(1))
-            for a, b in slices(off, SLICE_BYTES):
+            for a, b in slices(off, _SLICE):
                 ids, bounds = encode_rows(voc, raw[off[a] : off[b]], off[a : b + 1] - off[a], np.zeros(b - a, np.int64), 0.0, 0)
                 ids = np.insert(ids, bounds[1:], end)
                 held.append((ids.astype(np.int32), bounds + np.arange(b - a + 1), batch.column(0).slice(a, b - a)))

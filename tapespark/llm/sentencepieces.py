@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from ._text import U, hash_ranges, mix, slices, utf8
 
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-VARIANTS, LONG, SLICE_BYTES = 4, 64, 5 << 20
+VARIANTS, LONG, SLICE_BYTES = 4, 64, 3 << 20
 MAX_MODEL_BYTES = 16 << 20
 _NEVER = np.int64(1) << 40
 
@@ -189,7 +189,9 @@ def _segment(voc: Vocabulary, symbol: np.ndarray, begin: np.ndarray, seed: np.nd
         keep[p + 1] = False
         moved = p - np.arange(len(p))
         sym, at, chunk, first, last, rank, result = (x[keep] for x in (sym, at, chunk, first, last, rank, result))
-        k = np.unique(np.concatenate((moved, np.maximum(moved - 1, 0))))
+        touched = np.zeros(len(sym), bool)
+        touched[moved] = touched[np.maximum(moved - 1, 0)] = True
+        k = np.flatnonzero(touched)
         rank[k], result[k] = candidates(k)
     if not done_sym:
         return np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(len(count) + 1, np.int64)
