@@ -2,10 +2,11 @@
 
 A text becomes chunks, each a run of spaces with the word after it (no piece of such a model spans two). The distinct chunks
 of a batch are segmented together: every round takes each chunk's best-scored adjacent pair, leftmost first, and merges it,
-which is the order in which an agenda gives merges out. A candidate merge is skipped for good if the keyed hash of (seed,
-variant, chunk, its first, middle and last character) falls under the dropout rate. Documents are dealt to ``VARIANTS``
-variants by a keyed hash of their key, so the same word is segmented in several ways over a corpus, and repeats in a batch
-still cost nothing. Characters without a piece, and the model's own space mark, become byte pieces: decoding is lossless.
+which is the order in which an agenda gives merges out. A candidate merge is skipped for good if the keyed hash of (seed, row,
+place of the chunk in its text, chunk, its first, middle and last character) falls under the dropout rate, so every occurrence
+of a word has draws of its own. An occurrence none of whose merges without dropout is skipped has that same segmentation, as
+dropout only takes candidates away; the others are segmented one by one. Characters without a piece, and the model's own space
+mark, become byte pieces: decoding is lossless.
 
 Chunks of more than ``LONG`` characters use a heap, so a long run without spaces stays n log n.
 """
@@ -24,7 +25,8 @@ from pyspark.sql import functions as F
 from ._text import U, hash_ranges, mix, slices, utf8
 
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-VARIANTS, LONG, SLICE_BYTES = 4, 64, 3 << 20
+LONG, SLICE_BYTES = 64, 3 << 20
+BLOCK_CHARS = 1 << 17
 MAX_MODEL_BYTES = 16 << 20
 _NEVER = np.int64(1) << 40
 
@@ -77,8 +79,15 @@ def _vocabulary(proto: bytes) -> Vocabulary:
 
 def _skipped(seed: np.ndarray, first: np.ndarray, middle: np.ndarray, last: np.ndarray, limit: int) -> np.ndarray:
     """True for the candidate merges that the keyed hash drops."""
-    key = mix(seed + first.astype(U) * U(0x9E3779B97F4A7C15) + middle.astype(U) * U(0xC2B2AE3D27D4EB4F) + last.astype(U) * U(0x165667B19E3779F9))
-    return (key >> U(33)) < U(limit)
+    return _falls(seed + _place(first, middle, last), limit)
+
+
+def _place(first: np.ndarray, middle: np.ndarray, last: np.ndarray) -> np.ndarray:
+    return first.astype(U) * U(0x9E3779B97F4A7C15) + middle.astype(U) * U(0xC2B2AE3D27D4EB4F) + last.astype(U) * U(0x165667B19E3779F9)
+
+
+def _falls(key: np.ndarray, limit: int) -> np.ndarray:
+    return (mix(key) >> U(33)) < U(limit)
 
 
 def _code_points(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -137,8 +146,11 @@ def _few(voc: Vocabulary, symbols: list[int], ends: list[int], before: int, at:
             heapq.heappush(agenda, (int(rank[0]), a, b, ends[b], int(result[0])))
 
 
-def _segment(voc: Vocabulary, symbol: np.ndarray, begin: np.ndarray, seed: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Merge the characters of chunks: (pieces, index of each piece's first character, where each chunk's pieces begin)."""
+def _segment(voc: Vocabulary, symbol: np.ndarray, begin: np.ndarray, seed: np.ndarray, limit: int, taken: list | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Merge the characters of chunks: (pieces, index of each piece's first character, where each chunk's pieces begin).
+
+    ``taken`` gets (chunk, place) of the merges of each round, without those of long chunks.
+    """
     count = np.diff(begin)
     done_sym, done_at, done_chunk = [], [], []
     for c in np.flatnonzero(count > LONG).tolist():
@@ -184,6 +196,8 @@ def _segment(voc: Vocabulary, symbol: np.ndarray, begin: np.ndarray, seed: np.nd
                 break
             edge = np.concatenate(([0], np.cumsum(size)[:-1]))
         p = np.flatnonzero(rank * 128 + first == np.repeat(best, size))
+        if taken is not None:
+            taken.append((chunk[p], _place(first[p], first[p + 1], last[p + 1])))
         sym[p], last[p] = result[p], last[p + 1]
         keep = np.ones(len(sym), bool)
         keep[p + 1] = False
@@ -205,8 +219,24 @@ def _gather(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.arange(int(size.sum())) + np.repeat(start - np.concatenate(([0], np.cumsum(size)))[:-1], size)
 
 
-def encode_rows(voc: Vocabulary, raw: np.ndarray, off: np.ndarray, variant: np.ndarray, dropout: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Piece ids of all rows one after the other, and where each row's begin."""
+def _changed(count: np.ndarray, back: np.ndarray, seeds: np.ndarray, taken: list, limit: int) -> np.ndarray:
+    """The occurrences that lose one of their chunk's merges; those of long chunks all count."""
+    out = count[back] > LONG
+    if not taken:
+        return np.flatnonzero(out)
+    chunk, place = (np.concatenate(x) for x in zip(*taken, strict=True))
+    place = place[np.argsort(chunk, kind="stable")]
+    n = np.bincount(chunk, minlength=len(count))
+    begin = np.cumsum(n) - n
+    for a in range(0, len(back), BLOCK_CHARS):
+        c = back[a : a + BLOCK_CHARS]
+        lost = _falls(np.repeat(seeds[a : a + BLOCK_CHARS], n[c]) + place[_gather(begin[c], n[c])], limit)
+        out[a + np.repeat(np.arange(len(c)), n[c])[lost]] = True
+    return np.flatnonzero(out)
+
+
+def encode_rows(voc: Vocabulary, raw: np.ndarray, off: np.ndarray, key: np.ndarray, dropout: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Piece ids of all rows one after the other, and where each row's begin; ``key`` is an integer for each row's draws."""
     some = np.diff(off) > 0
     lead = off[:-1][some]
     raw = np.insert(raw, lead, 0x20)  # the space that the model puts before a text
@@ -220,16 +250,34 @@ def encode_rows(voc: Vocabulary, raw: np.ndarray, off: np.ndarray, variant: np.n
     start = np.flatnonzero(opens)
     end = np.append(start[1:], len(raw))
     row = np.searchsorted(off, start, "right") - 1
-    key = hash_ranges(raw, start, end, exact=True)
-    if dropout:
-        key = mix(key + (variant[row].astype(U) + U(1)) * U(0x9E3779B97F4A7C15))
-    _, which, back = np.unique(key, return_index=True, return_inverse=True)
+    value = hash_ranges(raw, start, end, exact=True)
+    _, which, back = np.unique(value, return_index=True, return_inverse=True)
     size = end[which] - start[which]
     text = raw[_gather(start[which], size)]
     code, at = _code_points(text)
     begin = np.searchsorted(at, np.concatenate(([0], np.cumsum(size))))
-    seeds = mix(key[which] ^ mix(np.array([seed], np.int64).view(U))[0])
-    sym, first, parts = _segment(voc, voc.char[code], begin, seeds, int(dropout * (1 << 31)))
+    symbol, count = voc.char[code], np.diff(begin)
+    limit = int(dropout * (1 << 31))
+    taken: list = []
+    sym, first, parts = _segment(voc, symbol, begin, np.zeros(len(which), U), 0, taken if limit else None)
+    if limit:
+        draws = mix(key.astype(np.int64).view(U) ^ mix(np.array([seed], np.int64).view(U))[0])
+        seeds = mix(value + mix(draws[row] + (start - off[row]).astype(U) * U(0x9E3779B97F4A7C15)))
+        other = _changed(count, back, seeds, taken, limit)
+        ends = np.cumsum(count[back[other]])
+        syms, firsts, sizes, a = [sym], [first], [np.diff(parts)], 0
+        while a < len(other):
+            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + BLOCK_CHARS, "right")))
+            c = back[other[a:b]]
+            chars = _gather(begin[c], count[c])
+            s, f, p = _segment(voc, symbol[chars], np.concatenate(([0], np.cumsum(count[c]))), seeds[other[a:b]], limit)
+            syms.append(s)
+            firsts.append(chars[f])
+            sizes.append(np.diff(p))
+            a = b
+        back[other] = len(which) + np.arange(len(other))
+        sym, first = np.concatenate(syms), np.concatenate(firsts)
+        parts = np.concatenate(([0], np.cumsum(np.concatenate(sizes))))
     width = np.diff(np.append(at, len(text)))
     unknown = sym == voc.size
     spread = np.where(unknown, width[first], 1)
@@ -270,12 +318,12 @@ def _kept(rows: DataFrame, drop: int) -> list[str]:
 def encode(docs: DataFrame, keep: list[str], key: str = "doc_id", column: str = "text", dropout: float = 0.0, seed: int = 0, model: str = DEFAULT_MODEL, check: bool = False) -> DataFrame:
     """The ``keep`` columns and ``__ids`` (array of int); with ``check`` also ``__lossless``: decoding gave back the text's bytes.
 
-    The segmentation is a function of the text, the seed, and the variant of the row's ``key`` alone. A null text has null ids,
-    an empty one none; a null key is variant 0. Rows are independent, so repeats are kept.
+    The segmentation is a function of the text, the seed and the row's ``key`` alone; with a null key, of text and seed. A null
+    text has null ids, an empty one none. Rows are independent, so repeats are kept.
     """
     shared = docs.sparkSession.sparkContext.broadcast(read_model(model))
-    variant = F.coalesce(F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(seed)), F.lit(VARIANTS)), F.lit(0)).cast("int")
-    rows = docs.select(*keep, F.when(F.col(key).isNull(), 0).otherwise(variant).alias("__variant"), F.col(column).cast("string").alias("__text"))
+    text = F.col(column).cast("string")
+    rows = docs.select(*keep, F.xxhash64(F.col(key).cast("string"), text, F.lit(seed)).alias("__key"), text.alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voc = _vocabulary(shared.value)

@@ -71,3 +71,19 @@ def test_operators(spark):
     again = {(r["doc_id"], tuple(r["ids"] or [])) for r in seg.collect()}
     assert again == {(r["doc_id"], tuple(r["ids"] or [])) for r in S.segment_corpus(df.repartition(2)).collect()}
     assert again != {(r["doc_id"], tuple(r["ids"] or [])) for r in S.segment_corpus(df, seed=18).collect()}
+
+
+def test_every_occurrence_has_its_own_draws(spark, monkeypatch):
+    text = "international " * 300
+    ids = coded([text], 0.1, 17)[0][0]
+    starts = [k for k, i in enumerate(ids) if SP.id_to_piece(i).startswith("▁")]
+    assert len({tuple(ids[a:b]) for a, b in zip(starts[:300], starts[1:301])}) > 4
+    df = spark.createDataFrame([(k, "international") for k in range(400)] + [(None, "international")], "doc_id long, text string")
+    assert len({tuple(r["ids"]) for r in S.segment_corpus(df).collect()}) > 4
+    texts = [text, "the unbelievable  word, ünïcode 漢字 " * 40, "", "abcde" * 40, "x"]
+    rows = np.arange(5)
+    fast = [coded(texts, d, 3, rows) for d in (0.1, 0.5, 1.0)]
+    monkeypatch.setattr(S, "BLOCK_CHARS", 50)
+    assert fast == [coded(texts, d, 3, rows) for d in (0.1, 0.5, 1.0)]
+    monkeypatch.setattr(S, "_changed", lambda count, back, *_: np.arange(len(back)))
+    assert fast == [coded(texts, d, 3, rows) for d in (0.1, 0.5, 1.0)]
