@@ -1,8 +1,9 @@
 """SpotSigs fingerprints: chains of content words that follow common words; DataFrame functions only.
 
 A text's signature set has, for every common word (anchor), the anchor with the next ``CHAIN`` content words among the
-``REACH`` words after it. A text without such a chain falls back to its runs of ``CHAIN`` + 1 words, a shorter one to its
-words as one, and one without words to itself; only the empty text has no signature. The fingerprint is the sorted set.
+``REACH`` words after it. Words beyond the reach of any such chain give their runs of ``CHAIN`` + 1 words: a signature depends
+on the words near it alone, so an edit elsewhere takes none away. A text of at most ``CHAIN`` words falls back to them as one,
+and one without words to itself; only the empty text has no signature. The fingerprint is the sorted set.
 
 ``near_pairs`` compares sets of like length only: documents are partitioned by set length, a pair can meet on one of the
 rarest signatures of both (the prefix that any pair of the similarity must share), and lengths prune it before the exact
@@ -41,10 +42,22 @@ def signatures(text: Column) -> Column:
             follow = F.filter(F.slice(words, i + 2, F.lit(REACH)), lambda x: ~anchor(x))
             return F.when(anchor(w), let(follow, lambda f: F.when(F.size(f) >= CHAIN, F.xxhash64(w, *(F.element_at(f, k) for k in range(1, CHAIN + 1))))))
 
-        chains = F.filter(F.transform(words, chain), lambda s: s.isNotNull())
-        runs = F.transform(F.sequence(F.lit(1), F.size(words) - CHAIN), lambda i: F.xxhash64(*(F.element_at(words, i + k) for k in range(CHAIN + 1))))
-        rest = F.when(F.size(words) > CHAIN, runs).otherwise(F.array(F.xxhash64(F.array_join(words, " "))))
-        return let(chains, lambda c: F.when(F.size(c) > 0, c).otherwise(rest))
+        def run(i: Column) -> Column:
+            return F.xxhash64(*(F.element_at(words, i + k) for k in range(CHAIN + 1)))
+
+        def runs(spots: Column) -> Column:
+            """Of the stretches that begin after the reach of one chain's anchor and end before the next one."""
+            edges = F.concat(F.array(F.lit(-REACH)), spots, F.array(F.size(words) + 1))
+            ends = let(edges, lambda e: F.transform(F.sequence(F.lit(1), F.size(e) - 1), lambda k: F.struct((F.element_at(e, k) + REACH + 1).alias("a"), (F.element_at(e, k + 1) - CHAIN - 1).alias("b"))))
+            return F.flatten(F.transform(F.filter(ends, lambda x: x["a"] <= x["b"]), lambda x: F.transform(F.sequence(x["a"], x["b"]), run)))
+
+        def both(chains: Column) -> Column:
+            found = F.filter(chains, lambda s: s.isNotNull())
+            spots = F.filter(F.transform(chains, lambda s, i: F.when(s.isNotNull(), i + 1)), lambda i: i.isNotNull())
+            return F.concat(found, runs(spots))
+
+        several = let(F.transform(words, chain), both)
+        return F.when(F.size(words) > CHAIN, several).otherwise(F.array(F.xxhash64(F.array_join(words, " "))))
 
     words = F.filter(F.split(F.lower(text), _SPLIT), lambda w: w != "")
     whole = let(words, lambda w: F.when(F.size(w) > 0, of(w)).otherwise(F.array(F.xxhash64(text))))

@@ -54,3 +54,31 @@ def test_pairs_against_brute_force(spark):
     want = {(max(a, b), min(a, b)) for x, a in reps.items() for y, b in reps.items() if a > b and len(x & y) / len(x | y) >= 0.8}
     assert {(r["a"], r["b"]) for r in pairs.collect()} == want and want
     assert {(r["doc_id"], r["rep"]) for r in members.collect()} == {(d, reps[s]) for d, s in sets.items() if s}
+
+
+def reference(words):
+    """(sort, words) of each signature of a list of more than two words."""
+    spots, out = [], set()
+    for i, w in enumerate(words):
+        follow = [x for x in words[i + 1 : i + 1 + S.REACH] if x not in S.ANCHORS]
+        if w in S.ANCHORS and len(follow) >= S.CHAIN:
+            spots.append(i)
+            out.add((w, *follow[: S.CHAIN]))
+    for i in range(len(words) - S.CHAIN):
+        if not any(i - S.REACH <= s <= i + S.CHAIN for s in spots):
+            out.add(tuple(words[i : i + S.CHAIN + 1]))
+    return out
+
+
+def test_signatures_are_local(spark):
+    table = " ".join(f"cell{k}" for k in range(90))
+    prose = "the quick fox of a lazy house in my garden " * 20
+    rows = {r["doc_id"]: r for r in S.scan(spark.createDataFrame([(2, table), (1, prose)], "doc_id long, text string")).collect()}
+    assert rows[2]["near_edited"] > 0.4 and rows[2]["near_next"] == 0
+    texts = [table, table + " the quick fox", "the quick fox " + table, table + " the quick fox " + table.upper(), "the of a an " + table, "cell the of a", "cell1 the cell2 of", prose, table.replace("cell50", "the")]
+    got = [set(r["s"]) for r in spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k long, t string").select("k", S.signatures(S.F.col("t")).alias("s")).orderBy("k").collect()]
+    sets = [reference(t.lower().split()) for t in texts]
+    for a, x in zip(got, sets):
+        assert len(a) == len(x)
+        for b, y in zip(got, sets):
+            assert len(a & b) == len(x & y)
