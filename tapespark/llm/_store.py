@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession, label: str) -> str:
-    """A new folder name under ``spark.checkpoint.dir``; a temporary folder only where that is unset."""
+    """A new folder name under ``spark.checkpoint.dir``. A cluster must have that set; a session of one process may use a temporary folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.conf.get("spark.master", "").split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 
 U = np.uint64
 #: One slice of a batch holds about this many bytes (a longer text makes a slice of its own).
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 _BASE = U(0x9E3779B97F4A7C15)
 _BASE_INV = U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -29,18 +29,9 @@ _BYTE = _EXACT.copy()
 _BYTE[65:91] = _BYTE[97:123]
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-_powers: dict[str, np.ndarray] = {}
-
-
-def _power(name: str, base: np.uint64, n: int) -> np.ndarray:
-    have = _powers.get(name)
-    if have is None or len(have) < n:
-        have = np.full(max(n, SLICE_BYTES + 1), base, U)
-        have[0] = 1
-        have = np.multiply.accumulate(have)
-        if n <= 4 * SLICE_BYTES:
-            _powers[name] = have
-    return have[:n]
+#: Powers of the base and of its inverse, for blocks of ``SLICE_BYTES``.
+_UP = np.multiply.accumulate(np.concatenate((np.ones(1, U), np.full(SLICE_BYTES, _BASE, U))))
+_DOWN = np.multiply.accumulate(np.concatenate((np.ones(1, U), np.full(SLICE_BYTES, _BASE_INV, U))))
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -65,6 +56,21 @@ def slices(off: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int
         a = b
 
 
+def cut_long(raw: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """Ranges of about ``limit`` bytes, each ending before white space; a word longer than that stays whole."""
+    a, n = 0, len(raw)
+    while a < n:
+        b = min(a + limit, n)
+        while b < n:
+            at = np.flatnonzero(_SPACE[raw[b : b + limit]])
+            if len(at):
+                b += int(at[0])
+                break
+            b = min(b + limit, n)
+        yield a, b
+        a = b
+
+
 def words(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words ``[^\\x20\\x09-\\x0D]+`` of the rows: (start byte, end byte, 64-bit hash, first word of each row and the total)."""
     n = len(raw)
@@ -84,11 +90,33 @@ def words(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
 
 
 def hash_ranges(raw: np.ndarray, start: np.ndarray, end: np.ndarray, exact: bool = False) -> np.ndarray:
-    """64-bit hash of each range of bytes; ASCII case counts only if ``exact``."""
-    n = len(raw)
-    total = np.zeros(n + 1, U)
-    np.cumsum((_EXACT if exact else _BYTE)[raw] * _power("up", _BASE, n), out=total[1:])
-    return mix((total[end] - total[start]) * _power("down", _BASE_INV, n + 1)[start] + (end - start).astype(U))
+    """64-bit hash of each range of bytes, the ranges in order and apart; ASCII case counts only if ``exact``.
+
+    Blocks of at most ``SLICE_BYTES`` are hashed at a time, so that a long text needs no more memory than a short one.
+    """
+    table = _EXACT if exact else _BYTE
+    out = np.empty(len(start), U)
+    k = 0
+    while k < len(start):
+        a = int(start[k])
+        j = max(k + 1, int(np.searchsorted(end, a + SLICE_BYTES, "right")))
+        if int(end[j - 1]) - a > SLICE_BYTES:
+            out[k] = _long_sum(table, raw[a : int(end[k])])
+        else:
+            total = np.zeros(int(end[j - 1]) - a + 1, U)
+            np.cumsum(table[raw[a : int(end[j - 1])]] * _UP[: len(total) - 1], out=total[1:])
+            out[k:j] = (total[end[k:j] - a] - total[start[k:j] - a]) * _DOWN[start[k:j] - a]
+        k = j
+    return mix(out + (end - start).astype(U))
+
+
+def _long_sum(table: np.ndarray, raw: np.ndarray) -> np.uint64:
+    """The sum that ``hash_ranges`` takes, of one range longer than a block."""
+    total = np.zeros(1, U)
+    for a in range((len(raw) - 1) // SLICE_BYTES * SLICE_BYTES, -1, -SLICE_BYTES):
+        part = raw[a : a + SLICE_BYTES]
+        total = total * _UP[SLICE_BYTES] + (table[part] * _UP[: len(part)]).sum(dtype=U)
+    return total[0]
 
 
 def shingles(value: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:

@@ -1,14 +1,16 @@
 """Benchmark decontamination: pigeonhole pieces propose, Myers' bit-parallel edit distance decides.
 
 Texts and items are lower-cased with white space collapsed. An item of n characters may have k = floor(``rate`` n) edits. It
-is cut into k + 1 pieces; any text that holds it with at most k edits holds one piece unchanged, near its place. The pieces of
-a block of items go into one Aho-Corasick automaton; each hit gives a window of the text, overlapping windows of an item join,
-and each is verified once. Items are taken in blocks of about ``BLOCK_BYTES``, the only data sent to workers; documents are
-never shuffled.
+is cut into k + 1 pieces; any text that holds it with at most k edits holds one piece unchanged, near its place. An item that
+is too short for an edit is one piece, and must stand between word boundaries. The pieces of a block of items go into one
+Aho-Corasick automaton; each hit gives a window of the text, overlapping windows of an item join, and each is verified once.
+Items are taken in blocks of about ``BLOCK_BYTES``, the only data sent to workers, one map over the documents for each block;
+documents are never shuffled. The driver reads one block at a time and hands it to Spark as a broadcast.
 """
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections import defaultdict
 from collections.abc import Iterator
@@ -17,13 +19,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._rows import Texts, batch_of, fresh
 from ._store import input_bytes
 
-RATE, LEAST_CHARS, BLOCK_BYTES = 0.05, 40, 4 << 20
+RATE, BLOCK_BYTES = 0.05, 4 << 20
+_SPACES = re.compile(r"\s+")
 
 
 def normal(text: str | None) -> str:
-    return " ".join((text or "").lower().split())
+    low = (text or "").lower()
+    return " ".join(low.split()) if len(low) < 1 << 20 else _SPACES.sub(" ", low).strip()  # a long text is not cut into words
 
 
 def pieces(item: str, k: int) -> list[tuple[int, str]]:
@@ -65,6 +70,11 @@ def distance(peq: dict[str, int], m: int, text: str) -> int:
     return best
 
 
+def apart(text: str, a: int, b: int) -> bool:
+    """True if no letter or digit stands right before or after the range."""
+    return not (a > 0 and text[a - 1].isalnum() and text[a].isalnum()) and not (b < len(text) and text[b].isalnum() and text[b - 1].isalnum())
+
+
 class Items:
     """The automaton of a block of items."""
 
@@ -90,6 +100,10 @@ class Items:
         out = []
         for index, found in starts.items():
             item_id, item, k, peq = self.items[index]
+            if not k:
+                if any(apart(text, s, s + len(item)) for s in found):
+                    out.append((item_id, 0))
+                continue
             if item in text:
                 out.append((item_id, 0))
                 continue
@@ -121,48 +135,52 @@ def _automaton(name: str, shared, rate: float) -> Items:
 _HITS = pa.list_(pa.struct([("item_id", pa.int64()), ("distance", pa.int32())]))
 
 
-def _search(shared, rate: float):
+def _search(texts: Texts, shared, rate: float, more: bool):
+    """One block of items; with ``more`` the last column has the hits of the blocks before."""
     name = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = _automaton(name, shared, rate)
         for batch in batches:
-            texts, before = batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1)
+            columns = batch.columns[: batch.num_columns - more]
+            before = batch.columns[-1] if more else [None] * batch.num_rows
             hits = []
-            for text, old in zip(texts, before, strict=True):
+            for text, old in zip(texts.text(batch), before, strict=True):
                 found = [{"item_id": i, "distance": d} for i, d in items.find(normal(text.as_py()))]
-                hits.append((old.as_py() or []) + found)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(hits, _HITS)], batch.schema.names)
+                hits.append(old.as_py() + found if more else found)
+            yield batch_of([*columns, pa.array(hits, _HITS)])
 
     return run
 
 
-def find_items(docs: DataFrame, items: DataFrame, keep: list[str], column: str = "text", rate: float = RATE) -> DataFrame:
-    """The ``keep`` columns and ``__hits``: array of (item_id, distance) of the items that a text holds, by item_id.
+def find_items(docs: DataFrame, items: DataFrame, keep: list[str], column: str = "text", rate: float = RATE, name: str | None = None) -> DataFrame:
+    """The ``keep`` columns and, as ``name`` (``__hits``, with underscores added where a kept column has that name), an array of
+    (item_id, distance) of the items that a text holds, by item_id.
 
-    ``items`` has item_id and text. Items of under ``LEAST_CHARS`` normalised characters are not searched, since a phrase that
-    short occurs by itself; nor are items with a null text; one without an id is reported as -1. A null or empty text holds
-    none. Equal items, and equal documents, each count for themselves.
+    ``items`` has item_id and text; one without an id is reported as -1, and one whose text is null or blank is in no text. A
+    null or empty text holds none. Equal items, and equal documents, each count for themselves. Further columns pass through
+    if kept, whatever their names.
     """
+    (name,) = [name] if name else fresh(keep, "hits")
     spark = docs.sparkSession
     items = items.select(F.coalesce(F.col("item_id").cast("long"), F.lit(-1)).alias("item_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
     blocks = max(1, -(-input_bytes(items, "text") // BLOCK_BYTES))
+    texts = Texts(docs, keep, column)
     hits = "array<struct<item_id:bigint,distance:int>>"
-    rows = docs.select(*keep, F.col(column).cast("string").alias("__text"), F.array().cast(hits).alias("__hits"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    rows, found = texts.rows, False
     for block in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()
-        wanted = [(r["item_id"], t) for r in part if len(t := normal(r["text"])) >= LEAST_CHARS]
+        wanted = [(r["item_id"], t) for r in part if (t := normal(r["text"]))]
         if wanted:
-            rows = rows.mapInArrow(_search(spark.sparkContext.broadcast(wanted), rate), schema)
-    ordered = F.array_sort("__hits") if blocks > 1 else F.col("__hits")
-    return rows.select(*keep, ordered.alias("__hits"))
+            rows = rows.mapInArrow(_search(texts, spark.sparkContext.broadcast(wanted), rate, found), texts.schema(f"hits {hits}", with_text=True))
+            found = True
+    return texts.restored(rows, (F.array_sort("hits") if found else F.array().cast(hits)).alias(name))
 
 
 def scan(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """doc_id, n_items, items (ids, comma-joined), least_distance (null if none), contaminated."""
-    rows = find_items(docs, items, ["doc_id"])
-    ids = F.array_join(F.transform("__hits", lambda h: h["item_id"].cast("string")), ",")
-    least = F.array_min(F.transform("__hits", lambda h: h["distance"]))
-    n = F.size("__hits").cast("long")
+    """doc_id, n_items, items (ids, comma-joined), least_distance (null if none), contaminated; a row for each row of ``docs``."""
+    rows = find_items(docs, items, ["doc_id"], name="hits")
+    ids = F.array_join(F.transform("hits", lambda h: h["item_id"].cast("string")), ",")
+    least = F.array_min(F.transform("hits", lambda h: h["distance"]))
+    n = F.size("hits").cast("long")
     return rows.select("doc_id", n.alias("n_items"), ids.alias("items"), least.cast("long").alias("least_distance"), (n > 0).alias("contaminated"))

@@ -3,31 +3,37 @@
 Tokens are the words between white space; each is secret-begin, secret-inside or outside. Features are small integers made
 by array operations on the bytes of a batch: the token's shape (length, character classes, changes of class, share of digits,
 hexadecimal), its neighbours (what the previous token ends with, key words in the two before it, the length of the next), and
-the file (share of tokens with code characters). The field is trained on windows of tokens that the rules label, a bounded
-sample of ``TRAIN_WINDOWS`` windows with and as many without a secret, by gradient steps on the exact log-likelihood.
-Decoding is Viterbi over the texts of a batch side by side; a text in which no token can be worth leaving "outside" is skipped,
-which changes no result.
+the file (share of tokens with code characters). The field is trained on windows of tokens that the rules label, by gradient
+steps on the exact log-likelihood. The windows are a bounded sample, the ``TRAIN_WINDOWS`` with and ``TRAIN_WINDOWS`` without a
+secret that have the smallest hashes, of the windows that tasks offer: around the first secret of every row, and around about
+``OFFERED`` tokens with a digit of every slice of texts. Decoding is Viterbi over the texts of a batch side by side; a text in
+which no token can be worth leaving "outside" is skipped, which changes no result. A text of more than ``LONG`` bytes is decoded
+in pieces of about that size, cut at white space; the rules always see the whole text.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import slices, utf8, words
+from ._rows import Texts, batch_of, fresh, named
+from ._store import materialize
+from ._text import cut_long, slices, utf8, words
 
 KINDS = ("assign", "access", "hex", "crf")
-TRAIN_WINDOWS, WINDOW, STEPS = 1000, 32, 120
-_SLICE = 2 << 20
+TRAIN_WINDOWS, WINDOW, STEPS, OFFERED = 1000, 32, 120, 64
+_SLICE, LONG = 1 << 20, 4 << 20
 # The rules.
 _KEY_WORDS = "password|passwd|secret|token|api_?key"
-ASSIGN = re.compile(rf"(?i:{_KEY_WORDS})[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
+ASSIGN = re.compile(rf"(?i:{_KEY_WORDS})[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.ASCII)
 ACCESS = re.compile("AKIA[A-Z0-9]+")
 HEX = re.compile("[0-9a-f]{24,}")
 #: Where a key word may begin; of no width, so that one over two rows hides none.
@@ -83,7 +89,8 @@ class _Slice:
         self.start, self.end, _, self.first = words(raw, off)
         self.keys = np.array([m.start() for m in _ANY_KEY.finditer(raw.tobytes())], np.int64)
 
-    def features(self) -> np.ndarray:
+    def features(self) -> list[np.ndarray]:
+        """A column of small integers for each feature; ``_OFFSETS`` tells them apart."""
         start, end, raw, n = self.start, self.end, self.raw, len(self.start)
         length = end - start
         sums = np.zeros(len(raw) + 1, np.int32)
@@ -126,7 +133,7 @@ class _Slice:
             share[row],
             (digit > 0) & (lower + upper > 0) & (length >= 16),
         )
-        return np.stack([c.astype(np.int32) for c in columns], axis=1).reshape(n, len(SIZES)) + _OFFSETS[:-1].astype(np.int32)
+        return [c.astype(np.uint8) for c in columns]
 
     def points(self) -> np.ndarray:
         """Code points before each byte, counted over the slice."""
@@ -150,38 +157,40 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         raw, off = utf8(batch.column(0))
         for a, b in slices(off, _SLICE):
-            part = _Slice(raw[off[a] : off[b]], off[a : b + 1] - off[a])
-            if not len(part.start):
-                continue
-            features, points = part.features(), part.points()
-            token_start, token_end = points[part.start], points[part.end]
-            marks = np.zeros(len(part.start), np.uint8)
-            centres: dict[int, tuple[int, bool]] = {}
-            suspects = _suspects(part.raw, part.off, part.keys)
-            for r in suspects.tolist():
-                for _, _, _, c, d in rules(part.raw[part.off[r] : part.off[r + 1]].tobytes().decode(errors="replace")):
-                    base = points[part.off[r]]
-                    lo, hi = np.searchsorted(token_end, base + c, "right"), np.searchsorted(token_start, base + d)
-                    if hi > lo and not marks[lo:hi].any():
-                        marks[lo:hi] = 2
-                        marks[lo] = 1
-                        centres.setdefault(r, (int(lo), True))
-            digits = np.flatnonzero((features[:, 4] > _OFFSETS[4]) & (marks == 0))
-            for at in digits[:: max(1, len(digits) // 64)].tolist():
-                centres.setdefault(int(np.searchsorted(part.first, at, "right") - 1), (at, False))
-            rows = []
-            for r, (at, positive) in centres.items():
-                lo = max(int(part.first[r]), at - WINDOW // 2)
-                hi = min(int(part.first[r + 1]), lo + WINDOW)
-                rows.append((positive, features[lo:hi].astype(np.int32).tobytes(), marks[lo:hi].tobytes()))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["positive", "features", "marks"])
+            for part, _ in _pieces(_Slice(raw[off[a] : off[b]], off[a : b + 1] - off[a])):
+                if rows := _offered(part):
+                    yield batch_of([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())])
+
+
+def _offered(part: _Slice) -> list[tuple[bool, bytes, bytes]]:
+    """(holds a secret, features, tags) of the windows of a slice."""
+    features, points = part.features(), part.points()
+    token_start, token_end = points[part.start], points[part.end]
+    marks = np.zeros(len(part.start), np.uint8)
+    centres: dict[int, tuple[int, bool]] = {}
+    for r in _suspects(part.raw, part.off, part.keys).tolist():
+        base = points[part.off[r]]
+        for _, _, _, c, d in rules(part.raw[part.off[r] : part.off[r + 1]].tobytes().decode(errors="replace")):
+            lo, hi = np.searchsorted(token_end, base + c, "right"), np.searchsorted(token_start, base + d)
+            if hi > lo and not marks[lo:hi].any():
+                marks[lo:hi] = 2
+                marks[lo] = 1
+                centres.setdefault(r, (int(lo), True))
+    digits = np.flatnonzero((features[4] > 0) & (marks == 0))
+    for at in digits[:: max(1, len(digits) // OFFERED)].tolist():
+        centres.setdefault(int(np.searchsorted(part.first, at, "right") - 1), (at, False))
+    rows = []
+    for r, (at, positive) in centres.items():
+        lo = max(int(part.first[r]), at - WINDOW // 2)
+        hi = min(int(part.first[r + 1]), lo + WINDOW)
+        rows.append((positive, np.stack([x[lo:hi] for x in features], axis=1).tobytes(), marks[lo:hi].tobytes()))
+    return rows
 
 
 def train(docs: DataFrame, column: str = "text") -> Model:
     """Fit the field to the rules' labels on the sample: the windows with the smallest hashes. Without a labelled secret it tags nothing."""
-    windows = docs.select(F.col(column).cast("string")).mapInArrow(_windows, "positive boolean, features binary, marks binary")
-    ranked = windows.withColumn("h", F.xxhash64("features", "marks"))
+    windows = docs.select(*(c.cast("string") for c in named(column))).mapInArrow(_windows, "positive boolean, features binary, marks binary")
+    ranked = materialize(windows.withColumn("h", F.xxhash64("features", "marks")), "secret-windows")
     side = lambda p: ranked.where(F.col("positive") == p).orderBy("h", "features").limit(TRAIN_WINDOWS)
     rows = side(True).union(side(False)).collect()
     if not any(r["positive"] for r in rows):
@@ -192,7 +201,7 @@ def train(docs: DataFrame, column: str = "text") -> Model:
     there = np.zeros((n, WINDOW), bool)
     for k, r in enumerate(rows):
         marks = np.frombuffer(r["marks"], np.uint8)
-        x[k, : len(marks)] = np.frombuffer(r["features"], np.int32).reshape(len(marks), -1)
+        x[k, : len(marks)] = np.frombuffer(r["features"], np.uint8).reshape(len(marks), -1) + _OFFSETS[:-1]
         y[k, : len(marks)] = marks
         there[k, : len(marks)] = True
     return _fit(x, y, there)
@@ -266,22 +275,24 @@ def viterbi(model: Model, emit: np.ndarray, first: np.ndarray) -> np.ndarray:
 _LEFT, _RIGHT = "\"'([{<=:,;", "\"')]}>,.;:!?"
 
 
-def _scan_slice(model: Model, part: _Slice) -> dict[int, tuple[list, list]]:
-    """Rows that have spans: (base, all), each a list of (kind, start, end) in code points."""
+def _ruled(raw: np.ndarray, off: np.ndarray, keys: np.ndarray) -> dict[int, tuple[list, list]]:
+    """Rows that have base spans: (base, all), each a list of (kind, start, end) in code points."""
     found: dict[int, tuple[list, list]] = {}
-    text = lambda r: part.raw[part.off[r] : part.off[r + 1]].tobytes().decode(errors="replace")
-    for r in _suspects(part.raw, part.off, part.keys).tolist():
-        if base := [x[:3] for x in rules(text(r))]:
+    for r in _suspects(raw, off, keys).tolist():
+        if base := [x[:3] for x in rules(raw[off[r] : off[r + 1]].tobytes().decode(errors="replace"))]:
             found[r] = (base, list(base))
-    if not len(part.start) or model is NOTHING:
-        return found
+    return found
+
+
+def _field(model: Model, part: _Slice) -> Iterator[tuple[int, int, int]]:
+    """(row, start, end) of the runs of tokens that the field tags, in code points of the row."""
     emit = np.zeros((len(part.start), 3))
-    for column in part.features().T:
-        emit += model.weights[column]
+    for column, offset in zip(part.features(), _OFFSETS, strict=False):
+        emit += model.weights[offset : offset + 256][column]
     tags = viterbi(model, emit, part.first)
     at = np.flatnonzero(tags)
     if not len(at):
-        return found
+        return
     points = part.points()
     row = np.searchsorted(part.first, at, "right") - 1
     k = 0
@@ -294,59 +305,92 @@ def _scan_slice(model: Model, part: _Slice) -> dict[int, tuple[list, list]]:
         a, b = int(points[lo] - points[part.off[r]]), int(points[hi] - points[part.off[r]])
         s = part.raw[lo:hi].tobytes().decode(errors="replace")
         a, b = a + len(s) - len(s.lstrip(_LEFT)), b - (len(s) - len(s.rstrip(_RIGHT)))
-        base, every = found.get(r, ([], []))
-        if b - a >= 6 and not any(x < b and a < y for _, x, y in base):
-            every.append(("crf", a, b))
-            found[r] = (base, every)
+        if b - a >= 6:
+            yield r, a, b
         k = j + 1
+
+
+def _scan_rows(model: Model, raw: np.ndarray, off: np.ndarray) -> dict[int, tuple[list, list]]:
+    """Rows that have spans: (base, all)."""
+    whole = _Slice(raw, off)
+    found = _ruled(raw, off, whole.keys)
+    if model is NOTHING:
+        return found
+    covers = {r: ([x for _, x, _ in base], list(accumulate((y for _, _, y in base), max))) for r, (base, _) in found.items()}
+    for part, before in _pieces(whole):
+        for r, a, b in _field(model, part):
+            a, b = a + before, b + before
+            starts, ends = covers.get(r, ([], []))
+            k = bisect_left(starts, b)  # spans that begin before the end of this one
+            if not k or ends[k - 1] <= a:
+                found.setdefault(r, ([], []))[1].append(("crf", a, b))
     for _, every in found.values():
         every.sort(key=lambda x: (x[1], KINDS.index(x[0])))
     return found
 
 
+def _pieces(whole: _Slice) -> Iterator[tuple[_Slice, int]]:
+    """The slice itself, or the pieces of its one long row, with the row's code points before each."""
+    if len(whole.off) != 2 or whole.off[-1] <= LONG:
+        yield whole, 0
+        return
+    before = 0
+    for a, b in cut_long(whole.raw, LONG):
+        raw = whole.raw[a:b]
+        yield _Slice(raw, np.array([0, b - a])), before
+        before += int(((raw & 0xC0) != 0x80).sum())
+
+
 _SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
 
-def _find(model: Model | None):
+def _find(texts: Texts, model: Model | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         used = NOTHING if model is None else model
         for batch in batches:
-            raw, off = utf8(batch.column(batch.num_columns - 1))
+            raw, off = utf8(texts.text(batch))
             for a, b in slices(off, _SLICE):
-                found = _scan_slice(used, _Slice(raw[off[a] : off[b]], off[a : b + 1] - off[a]))
+                found = _scan_rows(used, raw[off[a] : off[b]], off[a : b + 1] - off[a])
                 lists = [pa.array([[dict(zip(("kind", "start", "end"), x, strict=True)) for x in found[r][k]] if r in found else [] for r in range(b - a)], _SPANS) for k in (0, 1)]
-                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(a, b - a) for k in range(batch.num_columns - 1)), *lists], [*batch.schema.names[:-1], "__base", "__found"])
+                yield batch_of([*texts.kept(batch, a, b), *lists])
 
     return run
 
 
-def find_secrets(docs: DataFrame, model: Model, keep: list[str], column: str = "text") -> DataFrame:
-    """The ``keep`` columns, then ``__base`` (the rules' spans) and ``__found`` (those, and the field's where they overlap none).
+def find_secrets(docs: DataFrame, model: Model, keep: list[str], column: str = "text", names: tuple[str, str] | None = None) -> DataFrame:
+    """The ``keep`` columns, then the rules' spans, and those with the field's where they overlap none, as ``names`` (``__base``
+    and ``__found``, with underscores added where a kept column has that name).
 
-    Spans are (kind, start, end) in code points, by start, then kind. A null or empty text has none. Rows are independent.
+    Spans are (kind, start, end) in code points, by start, then kind. A null or empty text has none. Rows are independent, so
+    repeated ones are all kept; further columns pass through if kept.
     """
-    rows = docs.select(*keep, F.col(column).cast("string").alias("__text"))
-    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]]
+    base, every = names or fresh(keep, "base", "found")
+    texts = Texts(docs, keep, column)
     spans = "array<struct<kind:string,start:bigint,end:bigint>>"
-    return rows.mapInArrow(_find(None if model is NOTHING else model), ", ".join([*kept, f"__base {spans}", f"__found {spans}"]))
+    rows = texts.rows.mapInArrow(_find(texts, None if model is NOTHING else model), texts.schema(f"base {spans}, every {spans}"))
+    return texts.restored(rows, F.col("base").alias(base), F.col("every").alias(every))
 
 
 def redacted(text: str = "text", found: str = "__found", mark: str = "[SECRET]"):
     """Column: the text with every found span replaced; overlapping spans count as one."""
+    whole, spans = named(text, found)
 
     def step(state, s):
         start = F.greatest(s["start"], state["at"])
         fresh = s["start"] >= state["at"]
-        piece = F.when(fresh, F.concat(F.substring(F.col(text), (state["at"] + 1).cast("int"), (start - state["at"]).cast("int")), F.lit(mark))).otherwise(F.lit(""))
+        piece = F.when(fresh, F.concat(F.substring(whole, (state["at"] + 1).cast("int"), (start - state["at"]).cast("int")), F.lit(mark))).otherwise(F.lit(""))
         return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.concat(state["out"], piece).alias("out"))
 
     begin = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-    done = F.aggregate(found, begin, step, lambda s: F.concat(s["out"], F.substring(F.col(text), (s["at"] + 1).cast("int"), F.length(text))))
-    return F.when(F.size(found) > 0, done).otherwise(F.col(text))
+    done = F.aggregate(spans, begin, step, lambda s: F.concat(s["out"], F.substring(whole, (s["at"] + 1).cast("int"), F.length(whole))))
+    return F.when(F.size(spans) > 0, done).otherwise(whole)
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """Train on the documents, then: doc_id, n_assign, n_access, n_hex, the sha256 of the base spans, and all spans as text."""
+    """Train on the documents, then: doc_id, n_assign, n_access, n_hex, the sha256 of the base spans, and all spans as text.
+
+    Every row of ``docs`` gives a row, also repeated ones; a null text counts as empty. Further columns, whatever their names, stay out.
+    """
     docs = docs.select("doc_id", "text")
     rows = find_secrets(docs, train(docs), ["doc_id"])
     text = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")

@@ -8,7 +8,8 @@ of a word has draws of its own. An occurrence none of whose merges without dropo
 dropout only takes candidates away; the others are segmented one by one. Characters without a piece, and the model's own space
 mark, become byte pieces: decoding is lossless.
 
-Chunks of more than ``LONG`` characters use a heap, so a long run without spaces stays n log n.
+Chunks of more than ``LONG`` characters use a heap, so a long run without spaces stays n log n. A text longer than a slice is
+encoded in pieces that end where a chunk ends, which changes nothing.
 """
 
 from __future__ import annotations
@@ -21,11 +22,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
+from ._rows import Texts, batch_of, fresh, named
 from ._text import U, hash_ranges, mix, slices, utf8
 
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-LONG, SLICE_BYTES = 64, 3 << 20
+LONG, SLICE_BYTES = 64, 1 << 20
 BLOCK_CHARS = 1 << 17
 MAX_MODEL_BYTES = 16 << 20
 _NEVER = np.int64(1) << 40
@@ -237,16 +240,41 @@ def _changed(count: np.ndarray, back: np.ndarray, seeds: np.ndarray, taken: list
 
 def encode_rows(voc: Vocabulary, raw: np.ndarray, off: np.ndarray, key: np.ndarray, dropout: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """Piece ids of all rows one after the other, and where each row's begin; ``key`` is an integer for each row's draws."""
-    some = np.diff(off) > 0
+    if len(off) == 2 and len(raw) > SLICE_BYTES:
+        parts, a = [], 0
+        while a < len(raw):
+            b = _chunk_end(raw, a + SLICE_BYTES)
+            parts.append(_encode(voc, raw[a:b], np.array([0, b - a]), key, dropout, seed, a)[0])
+            a = b
+        ids = np.concatenate(parts)
+        return ids, np.array([0, len(ids)])
+    return _encode(voc, raw, off, key, dropout, seed, 0)
+
+
+def _chunk_end(raw: np.ndarray, at: int) -> int:
+    """The first place from ``at`` on where a run of spaces begins, or the end."""
+    while at < len(raw):
+        space = raw[at - 1 : at + SLICE_BYTES] == 0x20
+        opens = np.flatnonzero(space[1:] & ~space[:-1])
+        if len(opens):
+            return at + int(opens[0])
+        at += SLICE_BYTES
+    return len(raw)
+
+
+def _encode(voc: Vocabulary, raw: np.ndarray, off: np.ndarray, key: np.ndarray, dropout: float, seed: int, before: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows that fit in a slice, or a piece of one row with ``before`` bytes of it to the left."""
+    some = (np.diff(off) > 0) & (before == 0)
     lead = off[:-1][some]
     raw = np.insert(raw, lead, 0x20)  # the space that the model puts before a text
     off = off + np.concatenate(([0], np.cumsum(some)))
+    before += int(before > 0)
     if not len(raw):
         return np.zeros(0, np.int32), np.zeros(len(off), np.int64)
     space = raw == 0x20
     opens = space.copy()
     opens[1:] &= ~space[:-1]
-    opens[off[:-1][some]] = True
+    opens[off[:-1][np.diff(off) > 0]] = True
     start = np.flatnonzero(opens)
     end = np.append(start[1:], len(raw))
     row = np.searchsorted(off, start, "right") - 1
@@ -262,7 +290,7 @@ def encode_rows(voc: Vocabulary, raw: np.ndarray, off: np.ndarray, key: np.ndarr
     sym, first, parts = _segment(voc, symbol, begin, np.zeros(len(which), U), 0, taken if limit else None)
     if limit:
         draws = mix(key.astype(np.int64).view(U) ^ mix(np.array([seed], np.int64).view(U))[0])
-        seeds = mix(value + mix(draws[row] + (start - off[row]).astype(U) * U(0x9E3779B97F4A7C15)))
+        seeds = mix(value + mix(draws[row] + (start - off[row] + before).astype(U) * U(0x9E3779B97F4A7C15)))
         other = _changed(count, back, seeds, taken, limit)
         ends = np.cumsum(count[back[other]])
         syms, firsts, sizes, a = [sym], [first], [np.diff(parts)], 0
@@ -311,53 +339,56 @@ def read_model(path: str = DEFAULT_MODEL) -> bytes:
     return proto
 
 
-def _kept(rows: DataFrame, drop: int) -> list[str]:
-    return [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-drop]]
-
-
-def encode(docs: DataFrame, keep: list[str], key: str = "doc_id", column: str = "text", dropout: float = 0.0, seed: int = 0, model: str = DEFAULT_MODEL, check: bool = False) -> DataFrame:
-    """The ``keep`` columns and ``__ids`` (array of int); with ``check`` also ``__lossless``: decoding gave back the text's bytes.
+def encode(docs: DataFrame, keep: list[str], key: str = "doc_id", column: str = "text", dropout: float = 0.0, seed: int = 0, model: str = DEFAULT_MODEL, check: bool = False, names: tuple[str, str] | None = None) -> DataFrame:
+    """The ``keep`` columns and the ids (array of int); with ``check`` also whether decoding gave back the text's bytes. ``names``
+    are ``__ids`` and ``__lossless``, with underscores added where a kept column has that name.
 
     The segmentation is a function of the text, the seed and the row's ``key`` alone; with a null key, of text and seed. A null
-    text has null ids, an empty one none. Rows are independent, so repeats are kept.
+    text has null ids, an empty one none. Rows are independent, so repeats are kept; further columns pass through if kept.
     """
+    listed, right = names or fresh(keep, "ids", "lossless")
     shared = docs.sparkSession.sparkContext.broadcast(read_model(model))
-    text = F.col(column).cast("string")
-    rows = docs.select(*keep, F.xxhash64(F.col(key).cast("string"), text, F.lit(seed)).alias("__key"), text.alias("__text"))
+    (draw,) = fresh([*docs.columns, *keep], "key")
+    docs = docs.withColumn(draw, F.xxhash64(named(key)[0].cast("string"), named(column)[0].cast("string"), F.lit(seed)))
+    texts = Texts(docs, [*keep, draw], column)
+    drawn = texts.keep - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voc = _vocabulary(shared.value)
         for batch in batches:
-            k = batch.num_columns - 2
-            text = batch.column(k + 1)
+            text = texts.text(batch)
             raw, off = utf8(text)
             for a, b in slices(off, SLICE_BYTES):
                 part, at = raw[off[a] : off[b]], off[a : b + 1] - off[a]
-                ids, bounds = encode_rows(voc, part, at, batch.column(k).slice(a, b - a).to_numpy(), dropout, seed)
-                gone = text.slice(a, b - a).is_null()
-                lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids, pa.int32()), mask=gone)
-                out = [*(batch.column(c).slice(a, b - a) for c in range(k)), lists]
-                if check:
-                    back, ends = decode_rows(voc, ids, bounds)
-                    same = np.diff(ends) == np.diff(at)
-                    if len(back) == len(part):
-                        wrong = np.flatnonzero(back != part)
-                        same[np.unique(np.searchsorted(at, wrong, "right") - 1)] = False
-                    else:
-                        same = np.array([x == y and bytes(back[ends[r] : ends[r + 1]]) == bytes(part[at[r] : at[r + 1]]) for r, (x, y) in enumerate(zip(np.diff(ends), np.diff(at), strict=True))])
-                    out.append(pa.array(same))
-                yield pa.RecordBatch.from_arrays(out, [*batch.schema.names[:-2], "__ids", *["__lossless"] * check])
-
-    return rows.mapInArrow(run, ", ".join([*_kept(rows, 2), "__ids array<int>", *["__lossless boolean"] * check]))
-
-
-def decode(rows: DataFrame, keep: list[str], column: str = "ids", model: str = DEFAULT_MODEL) -> DataFrame:
-    """The ``keep`` columns and ``__text``; null ids have a null text, bytes that are no UTF-8 become replacement characters.
-
-    Ids must be pieces of the model; a null id in a list counts as none.
+                ids, bounds = encode_rows(voc, part, at, batch.column(drawn).slice(a, b - a).to_numpy(), dropout, seed)
+                lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids, pa.int32()), mask=text.slice(a, b - a).is_null())
+                yield batch_of([*texts.kept(batch, a, b), lists, pa.array(_same(voc, ids, bounds, part, at) if check else [None] * (b - a), pa.bool_())])
+
+    rows = texts.rows.mapInArrow(run, texts.schema("ids array<int>, lossless boolean"))
+    found = texts.restored(rows, F.col("ids").alias(listed), *[F.col("lossless").alias(right)] * check)
+    return found.drop(draw)
+
+
+def _same(voc: Vocabulary, ids: np.ndarray, bounds: np.ndarray, raw: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Which rows the ids give back byte for byte."""
+    back, ends = decode_rows(voc, ids, bounds)
+    same = np.diff(ends) == np.diff(off)
+    if len(back) == len(raw):
+        wrong = np.flatnonzero(back != raw)
+        same[np.unique(np.searchsorted(off, wrong, "right") - 1)] = False
+        return same
+    return np.array([x == y and bytes(back[ends[r] : ends[r + 1]]) == bytes(raw[off[r] : off[r + 1]]) for r, (x, y) in enumerate(zip(np.diff(ends), np.diff(off), strict=True))])
+
+
+def decode(rows: DataFrame, keep: list[str], column: str = "ids", model: str = DEFAULT_MODEL, name: str | None = None) -> DataFrame:
+    """The ``keep`` columns and the text, as ``name`` (``__text``, with underscores added where a kept column has that name).
+
+    Null ids have a null text, bytes that are no UTF-8 become replacement characters. Ids must be pieces of the model; a null id
+    in a list counts as none.
     """
+    (name,) = [name] if name else fresh(keep, "text")
     shared = rows.sparkSession.sparkContext.broadcast(read_model(model))
-    rows = rows.select(*keep, F.array_compact(F.col(column)).cast("array<int>").alias("__ids"))
+    kept = rows.select(*(c.alias(f"c{k}") for k, c in enumerate(named(*keep))), F.array_compact(named(column)[0]).cast("array<int>").alias("ids"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voc = _vocabulary(shared.value)
@@ -368,12 +399,13 @@ def decode(rows: DataFrame, keep: list[str], column: str = "ids", model: str = D
             raw, off = decode_rows(voc, ids, np.concatenate(([0], np.cumsum(size))).astype(np.int64))
             data, there = raw.tobytes(), lists.is_valid().to_pylist()
             texts = [data[off[r] : off[r + 1]].decode(errors="replace") if ok else None for r, ok in enumerate(there)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], [*batch.schema.names[:-1], "__text"])
+            yield batch_of([*batch.columns[:-1], pa.array(texts, pa.string())])
 
-    return rows.mapInArrow(run, ", ".join([*_kept(rows, 1), "__text string"]))
+    out = kept.mapInArrow(run, StructType([*kept.schema.fields[:-1], StructField("text", StringType())]))
+    return out.select(*(F.col(f"c{k}").alias(n) for k, n in enumerate(keep)), F.col("text").alias(name))
 
 
 def segment_corpus(docs: DataFrame, dropout: float = 0.1, seed: int = 17, model: str = DEFAULT_MODEL) -> DataFrame:
-    """doc_id, n_tokens, ids, lossless (decoding gives the text back; true for a null text)."""
-    rows = encode(docs.select("doc_id", "text"), ["doc_id"], dropout=dropout, seed=seed, model=model, check=True)
-    return rows.select("doc_id", F.coalesce(F.size("__ids"), F.lit(0)).cast("long").alias("n_tokens"), F.col("__ids").alias("ids"), F.col("__lossless").alias("lossless"))
+    """doc_id, n_tokens, ids, lossless (decoding gives the text back; true for a null text); a row for each row of ``docs``."""
+    rows = encode(docs.select("doc_id", "text"), ["doc_id"], dropout=dropout, seed=seed, model=model, check=True, names=("ids", "lossless"))
+    return rows.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"), "ids", "lossless")

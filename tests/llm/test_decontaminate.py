@@ -27,7 +27,7 @@ def test_search_against_brute_force(spark, monkeypatch):
     rnd = random.Random(4)
     word = lambda: "".join(rnd.choice("abcde") for _ in range(rnd.randint(1, 7)))
     items = [(k, " ".join(word() for _ in range(rnd.randint(12, 40)))) for k in range(30)]
-    items += [(40, None), (41, ""), (42, "too short"), (None, items[0][1] + " without id")]
+    items += [(40, None), (41, " \n"), (42, "ab ce"), (43, "e"), (44, "aab"), (45, "(b) da-c"), (None, items[0][1] + " without id")]
     docs = []
     for k in range(120):
         text = " ".join(word() for _ in range(rnd.randint(0, 60)))
@@ -45,7 +45,14 @@ def test_search_against_brute_force(spark, monkeypatch):
         hits = []
         for i, item in items:
             p = D.normal(item)
-            if len(p) >= D.LEAST_CHARS and (d := sellers(p, t)) <= int(len(p) * D.RATE):
+            if not p:
+                continue
+            if len(p) * D.RATE < 1:  # exact, and not inside a word
+                inside = lambda k: 0 < k < len(t) and t[k - 1].isalnum() and t[k].isalnum()  # noqa: E731, B023
+                d = 0 if any(t.startswith(p, k) and not inside(k) and not inside(k + len(p)) for k in range(len(t))) else 1
+            else:
+                d = sellers(p, t)
+            if d <= int(len(p) * D.RATE):
                 hits.append((-1 if i is None else i, d))
         want.append((doc, tuple(sorted(hits))))
     df = spark.createDataFrame(docs, "doc_id long, text string")
@@ -54,5 +61,15 @@ def test_search_against_brute_force(spark, monkeypatch):
         monkeypatch.setattr(D, "BLOCK_BYTES", size)
         got = [(r["doc_id"], tuple(map(tuple, r["__hits"]))) for r in D.find_items(df, of, ["doc_id"]).collect()]
         assert sorted(got, key=str) == sorted(want, key=str)
+    clash = df.limit(3).selectExpr("*", "1 AS __hits", "2 AS __text")
+    rows = D.find_items(clash, of, clash.columns).collect()
+    assert rows[0].__fields__ == ["doc_id", "text", "__hits", "__text", "__hits_"] and {r["__hits"] for r in rows} == {1}
     assert D.scan(df.limit(0), of).collect() == []
     assert {r["contaminated"] for r in D.scan(df.withColumn("items", df.text), of.limit(0)).collect()} == {False}
+
+
+def test_very_long_text(spark):
+    item = "what is the name of the river that flows through the town"
+    text = "word and word \n" * 200_000 + item.replace("river", "rivver") + " other" * 200_000
+    rows = D.scan(spark.createDataFrame([(1, text), (2, "word")], "doc_id long, text string"), spark.createDataFrame([(7, item)], "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["items"], r["least_distance"]) for r in rows} == {(1, "7", 1), (2, "", None)}

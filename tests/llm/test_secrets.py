@@ -3,6 +3,7 @@ import itertools
 import random
 
 import numpy as np
+import regex
 
 from tapespark.llm import secrets as S
 
@@ -37,13 +38,29 @@ def corpus(n=300):
     return [*out, None, "", "token", "a" * 40_000, "deadbeef" * 5]
 
 
+def base(text):
+    """The base spans by another engine, straight from their definition."""
+    found = [(m.start(), 0, f"assign:{m.start()}:{m.end()}") for m in regex.finditer("(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])[\"']? *[:=] *[\"']?([A-Za-z0-9+/_.=-]+)", text) if len(m[1]) >= 6]
+    found += [(m.start(), 1, f"access:{m.start()}:{m.end()}") for m in regex.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    found += [(m.start(), 2, f"hex:{m.start()}:{m.end()}") for m in regex.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+    return [x for _, _, x in sorted(found)]
+
+
+def test_letters_of_other_alphabets_are_no_key_words(spark):
+    """Alone, and beside a plain key word: spans do not depend on what else the text holds."""
+    texts = ["pa\u017fsword=abcdef12", "pa\u017fsword=abcdef12 and password=abcdef12", "to\u212aen: abcdef123", "to\u212aen: abcdef123 TOKEN: abcdef123", "\u017fecret=abcdef12 Api_Key='abcdef12'"]
+    rows = S.find_secrets(spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, text string"), S.NOTHING, ["k"]).collect()
+    got = {r["k"]: [f"{s['kind']}:{s['start']}:{s['end']}" for s in r["__base"]] for r in rows}
+    assert got == {k: base(t) for k, t in enumerate(texts)} and not got[0] and len(got[1]) == 1
+
+
 def test_scan(spark):
     texts = corpus()
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
     rows = S.scan(df.withColumn("__base", S.F.lit(1))).collect()
     assert len(rows) == len(texts)
     for r in rows:
-        want = [":".join(map(str, x[:3])) for x in S.rules(texts[r["doc_id"]] or "")]
+        want = base(texts[r["doc_id"]] or "")
         assert r["base_sha256"] == hashlib.sha256(",".join(want).encode()).hexdigest()
         assert set(want) <= set(r["spans"].split(",")) | {""}
         if not want and texts[r["doc_id"]] and len(texts[r["doc_id"]]) < 2000:
@@ -52,17 +69,70 @@ def test_scan(spark):
     assert S.scan(df.limit(0)).collect() == []
 
 
-def test_field_finds_what_the_rules_miss(spark):
+def brute_gradient(x, y, there, w, moves, start):
+    """The log-likelihood of windows by all tag sequences."""
+    total = 0.0
+    for k in range(len(x)):
+        n = int(there[k].sum())
+        value = lambda t: start[t[0]] + sum(w[x[k, i]].sum(axis=0)[t[i]] for i in range(n)) + sum(moves[a, b] for a, b in zip(t, t[1:]))  # noqa: E731, B023
+        every = np.array([value(t) for t in itertools.product(range(3), repeat=n)])
+        total += value(y[k, :n].tolist()) - (every.max() + np.log(np.exp(every - every.max()).sum()))
+    return total / len(x)
+
+
+def test_fit_raises_the_likelihood():
+    rnd = np.random.default_rng(4)
+    y = np.array([[0, 1, 2, 0], [0, 0, 0, 0], [1, 0, 0, 0], [0, 1, 0, 0]])
+    there = np.array([[1, 1, 1, 1], [1, 1, 1, 0], [1, 1, 0, 0], [1, 1, 1, 1]], bool)
+    x = np.full((4, 4, len(S.SIZES)), S.FEATURES, np.int32)
+    x[there] = rnd.integers(0, 3, (int(there.sum()), len(S.SIZES))) % np.array(S.SIZES).clip(max=2) + S._OFFSETS[:-1]
+    m = S._fit(x, y, there)
+    zero = brute_gradient(x, y, there, np.zeros((S.FEATURES + 1, 3)), np.zeros((3, 3)), np.zeros(3))
+    fitted = brute_gradient(x, y, there, np.vstack([m.weights, np.zeros(3)]), m.moves, m.start)
+    assert fitted > zero / 10
+
+
+def test_features_by_hand():
+    raw = b"key password= aB3x 0123456789abcdef\nnext"
+    part = S._Slice(np.frombuffer(raw, np.uint8), np.array([0, 35, len(raw)]))
+    f = part.features()
+    assert [int(x) for x in f[0]] == [1, 4, 2, 6, 2]  # lengths 3, 9, 4, 16, 4
+    assert [int(x) for x in f[1]] == [1, 9, 7, 5, 1]  # lower 1, upper 2, digit 4, other 8
+    assert [int(x) for x in f[2]] == [0, 0, 0, 2, 0] and [int(x) for x in f[5]] == [0, 0, 1, 0, 0] and [int(x) for x in f[6]] == [0, 0, 1, 0, 0]
+    assert [int(x) for x in f[8]] == [0, 1, 0, 0, 0] and [int(x) for x in f[9]] == [4, 2, 6, 0, 0]
+
+
+def test_precision_and_recall_of_the_field(spark):
+    """On texts it has not seen: secrets that no rule finds, and look-alikes that are none."""
     rnd = random.Random(8)
-    df = spark.createDataFrame([(t,) for t in corpus(600)], "text string")
-    model = S.train(df)
-    hidden = ["the key is " + "".join(rnd.choice("0123456789ABCDEFabcdef") for _ in range(36)) + " for now" for _ in range(40)]
-    found = S.find_secrets(spark.createDataFrame([(t,) for t in hidden], "text string"), model, ["text"]).collect()
-    hit = [r for r in found if any(s["kind"] == "crf" for s in r["__found"])]
-    assert len(hit) >= 20
-    for r in hit:
-        s = r["__found"][0]
-        assert r["text"][s["start"] : s["end"]] in r["text"].split()
+    model = S.train(spark.createDataFrame([(t,) for t in corpus(600)], "text string"))
+    code = lambda k, s="0123456789ABCDEFabcdef": "".join(rnd.choice(s) for _ in range(k))
+    word = lambda: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randint(2, 9)))
+    texts = []
+    for k in range(200):
+        secret = code(rnd.randint(30, 44)) if k % 2 else None
+        other = rnd.choice(["4111111111111111", "2024-05-01", "10.0.0.1", word() * 3, "a.b12@mail.example.com"])
+        texts.append((k, " ".join([*(word() for _ in range(8)), secret or other, *(word() for _ in range(8))]), secret))
+    got = S.find_secrets(spark.createDataFrame([x[:2] for x in texts], "k int, text string"), model, ["k", "text"]).collect()
+    found = {r["k"]: [r["text"][s["start"] : s["end"]] for s in r["__found"]] for r in got}
+    right = sum(secret in found[k] for k, _, secret in texts if secret)
+    assert right >= 90  # recall 0.9
+    assert right >= 0.9 * sum(map(len, found.values()))  # precision 0.9
+
+
+def test_long_text_in_pieces(spark, monkeypatch):
+    """Rules see the whole text; the field's spans are placed right behind the first piece. Clashing names are kept apart."""
+    monkeypatch.setattr(S, "LONG", 500)
+    monkeypatch.setattr(S, "_SLICE", 400)
+    model = S.train(spark.createDataFrame([(t,) for t in corpus(600)], "text string"))
+    secret = "9fE3" * 9
+    text = "é und so weiter " * 200 + f"the key is {secret} now " + "é password=abcdef0123 " + "x " * 900
+    df = spark.createDataFrame([(1, text, 5, 6), (2, "plain", 7, 8), (2, "plain", 7, 8), (3, None, 9, 9)], "doc_id long, text string, __found int, __base int")
+    rows = S.find_secrets(df, model, df.columns).collect()
+    assert len(rows) == 4 and rows[0].__fields__ == [*df.columns, "__base_", "__found_"]
+    r = next(r for r in rows if r["doc_id"] == 1)
+    assert r["__found"] == 5 and [f"{s['kind']}:{s['start']}:{s['end']}" for s in r["__base_"]] == base(text)
+    assert secret in [text[s["start"] : s["end"]] for s in r["__found_"] if s["kind"] == "crf"]
 
 
 def test_redaction(spark):

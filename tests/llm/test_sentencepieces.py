@@ -87,3 +87,15 @@ def test_every_occurrence_has_its_own_draws(spark, monkeypatch):
     assert fast == [coded(texts, d, 3, rows) for d in (0.1, 0.5, 1.0)]
     monkeypatch.setattr(S, "_changed", lambda count, back, *_: np.arange(len(back)))
     assert fast == [coded(texts, d, 3, rows) for d in (0.1, 0.5, 1.0)]
+
+
+def test_long_text_in_pieces(spark, monkeypatch):
+    texts = ["the  unbelievable ünïcode   word " * 60 + "x" * 500 + " y" * 300, "   ", "short text"]
+    whole = [coded([t], d, 3) for t in texts for d in (0.0, 0.3)]
+    monkeypatch.setattr(S, "SLICE_BYTES", 100)
+    assert whole == [coded([t], d, 3) for t in texts for d in (0.0, 0.3)]
+    df = spark.createDataFrame([(1, texts[0], 2, 3)], "doc_id long, text string, a int, b int").toDF("doc_id", "text", "__ids", "x.y")
+    out = S.encode(df, df.columns, dropout=0.3, seed=3)
+    assert out.columns == [*df.columns, "__ids_"]
+    (r,) = S.decode(out, out.columns, "__ids_").collect()
+    assert r["__text"] == texts[0] and (r["__ids"], r["x.y"]) == (2, 3)
