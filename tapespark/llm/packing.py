@@ -1,8 +1,8 @@
 """Best-fit-decreasing packing of token ids into rows of one length, with binary id matrices.
 
 Tasks encode their documents and pack blocks of about ``BLOCK_TOKENS`` tokens, so memory is bounded and nothing is shuffled.
-A document longer than a row is split into full rows and a rest, with its offset kept: joining a document's segments by offset
-gives its ids back. Within a block, segments go in order of falling length to the row with the least room that still fits,
+A document longer than a row is split into full rows and a rest, with its offset kept, and every document has a number in its
+block: the segments of one (block, number), joined by offset, give a document's ids back, whatever its doc_id. Within a block, segments go in order of falling length to the row with the least room that still fits,
 which a segment tree over the room left finds in steps of the logarithm of the row length.
 """
 
@@ -71,7 +71,7 @@ def best_fit(lengths: np.ndarray, row: int) -> tuple[np.ndarray, int]:
     return out, rows
 
 
-_OUT = "block long, row int, n_tokens int, input_ids binary, cu_seqlens array<int>, position_resets array<int>, doc_ids array<long>, doc_offsets array<long>"
+_OUT = "block long, row int, n_tokens int, input_ids binary, cu_seqlens array<int>, position_resets array<int>, doc_ids array<long>, doc_numbers array<int>, doc_offsets array<long>"
 _NAMES = [x.split()[0] for x in _OUT.split(", ")]
 
 
@@ -103,6 +103,7 @@ def _pack(block: int, ids: np.ndarray, bounds: np.ndarray, docs: pa.Array, lengt
             lists(first + np.arange(rows + 1), pa.array(cumulative.astype(np.int32))),
             lists(first, pa.array(starts.astype(np.int32))),
             lists(first, docs.take(pa.array(doc))),
+            lists(first, pa.array(doc.astype(np.int32))),
             lists(first, pa.array(offset.astype(np.int64))),
         ],
         _NAMES,
@@ -111,10 +112,12 @@ def _pack(block: int, ids: np.ndarray, bounds: np.ndarray, docs: pa.Array, lengt
 
 def pack(docs: DataFrame, length: int = 2048, end: int = 2, pad: int = 0, model: str = DEFAULT_MODEL) -> DataFrame:
     """A row per packed row: block and row number, n_tokens, input_ids (``length`` little-endian uint16, padded), cu_seqlens
-    (from 0), position_resets (where positions begin again), and the doc_id and offset in its document of each segment.
+    (from 0), position_resets (where positions begin again), and of each segment the doc_id, the document's number in the block
+    and the offset in the document.
 
-    Every document ends with the ``end`` id, so null and empty texts are one token; null ids are kept, repeated rows stay apart.
-    The block number has the partition's number in its high bits.
+    Every document ends with the ``end`` id, so null and empty texts are one token; null and repeated ids are kept, and rows
+    that share an id stay apart by their numbers. The block number has the partition's number in its high bits. Further columns
+    of ``docs``, whatever their names, stay out.
     """
     shared = docs.sparkSession.sparkContext.broadcast(read_model(model))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
