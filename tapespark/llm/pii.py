@@ -3,9 +3,10 @@
 A pattern's matches come from ``regexp_extract_all`` and the texts between them from ``split``; their lengths give the code
 point positions. Patterns are possessive forms of the plain ones: they find the same matches without stack growth or
 quadratic retries on long runs. Candidates that fail their check (ranges, Luhn, mod 97, number of digits) are dropped, the
-rest get the score of their kind, plus ``CONTEXT`` if a context word stands in the ``WINDOW`` characters before the match;
-those below ``LEAST`` are dropped. Email, ip, card and phone numbers with a plus pass on their own; IBANs and plain phone
-numbers are added where they overlap none of those.
+rest get the score of their kind, plus ``CONTEXT`` if a context word stands in the ``WINDOW`` characters before or after the
+match; those below ``LEAST`` are dropped. Windows reach over one match of the same kind on each side. Email, ip, card and phone
+numbers with a plus pass on their own; IBANs, also in groups of four, and plain phone numbers, which need a context word, are
+added where they overlap none of those.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._rows import fresh, named
+
 WINDOW, LEAST, CONTEXT = 40, 0.5, 0.35
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "iban", "local_phone")
@@ -24,8 +27,8 @@ PATTERNS = {
     "ip": r"[0-9](?<![0-9][0-9])[0-9]*+\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?+[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}",
-    "local_phone": r"[0-9]{3}[\x20.-][0-9]{3}[\x20.-][0-9]{4}",
+    "iban": r"(?<![A-Za-z0-9_])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9_])",
+    "local_phone": r"(?<![A-Za-z0-9_])[0-9]{3}[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![A-Za-z0-9_])",
 }
 SCORES = {"email": 0.9, "ip": 0.6, "card": 0.6, "phone": 0.5, "iban": 0.6, "local_phone": 0.2}
 WORDS = {
@@ -61,16 +64,24 @@ def _prefix_sums(steps: Column) -> Column:
     return let(steps, within)
 
 
-_SPAN = "array<struct<kind:string,start:bigint,end:bigint,match:string,before:string>>"
+_SPAN = "array<struct<kind:string,start:bigint,end:bigint,match:string,around:string>>"
 
 
 def spans(text: Column, kind: str, pattern: str, matches: Column) -> Column:
-    """Start and end (code points, end exclusive), match and preceding characters of the given matches of a pattern."""
+    """Start and end (code points, end exclusive), match and surrounding characters of the given matches of a pattern."""
+    n = F.size(matches)
 
     def located(pieces: Column) -> Column:
-        steps = F.zip_with(F.slice(pieces, F.lit(1), F.size(matches)), matches, lambda p, m: (F.length(p) + F.length(m)).cast("long"))
-        begin = _prefix_sums(steps)
-        rows = F.arrays_zip(begin.alias("at"), F.slice(pieces, F.lit(1), F.size(matches)).alias("piece"), matches.alias("match"))
+        steps = F.zip_with(F.slice(pieces, F.lit(1), n), matches, lambda p, m: (F.length(p) + F.length(m)).cast("long"))
+        none = F.array(F.lit(""))
+        rows = F.arrays_zip(
+            _prefix_sums(steps).alias("at"),
+            F.slice(pieces, F.lit(1), n).alias("piece"),
+            F.slice(pieces, F.lit(2), n).alias("rest"),
+            matches.alias("match"),
+            F.concat(none, F.slice(matches, F.lit(1), n - 1)).alias("last"),
+            F.concat(F.slice(matches, F.lit(2), n - 1), none).alias("next"),
+        )
         return F.transform(
             rows,
             lambda r: F.struct(
@@ -78,11 +89,11 @@ def spans(text: Column, kind: str, pattern: str, matches: Column) -> Column:
                 (r["at"] + F.length(r["piece"])).alias("start"),
                 (r["at"] + F.length(r["piece"]) + F.length(r["match"])).alias("end"),
                 r["match"].alias("match"),
-                F.right(r["piece"], F.lit(WINDOW)).alias("before"),
+                F.concat(F.right(F.concat(r["last"], F.right(r["piece"], F.lit(WINDOW))), F.lit(WINDOW)), F.lit(" "), F.left(F.concat(F.left(r["rest"], F.lit(WINDOW)), r["next"]), F.lit(WINDOW))).alias("around"),
             ),
         )
 
-    return F.when(F.size(matches) > 0, let(F.split(text, pattern, -1), located)).otherwise(F.array().cast(_SPAN))
+    return F.when(n > 0, let(F.split(text, pattern, -1), located)).otherwise(F.array().cast(_SPAN))
 
 
 def _digits(match: Column) -> Column:
@@ -118,36 +129,38 @@ def _valid(kind: str, match: Column) -> Column:
     if kind == "phone":
         return F.length(_digits(match)).between(8, 15)
     if kind == "iban":
-        return mod97(match)
+        return let(F.regexp_replace(match, " ", ""), lambda c: F.length(c).between(15, 34) & mod97(c))
     return F.lit(True)
 
 
-def _score(kind: str, before: Column) -> Column:
-    near = before.rlike(f"(?i)(^|[^A-Za-z])({WORDS[kind]})([^A-Za-z]|$)")
+def _score(kind: str, around: Column) -> Column:
+    near = around.rlike(f"(?i)(^|[^A-Za-z])({WORDS[kind]})([^A-Za-z]|$)")
     return F.lit(SCORES[kind]) + F.when(near, CONTEXT).otherwise(0.0)
 
 
-def find_pii(docs: DataFrame, keep: list[str], column: str = "text") -> DataFrame:
-    """The ``keep`` columns, then ``base`` and ``found``: arrays of (kind, start, end, score) by kind, then start.
+def find_pii(docs: DataFrame, keep: list[str], column: str = "text", names: tuple[str, str] | None = None) -> DataFrame:
+    """The ``keep`` columns, then two arrays of (kind, start, end, score) by kind, then start, as ``names`` (``__base`` and
+    ``__found``, with underscores added where a kept column has that name).
 
-    ``base`` has the kinds that pass on their own, ``found`` those and the added ones. A null or empty text has none.
-    Rows are independent, so repeated rows and ids are all kept; there is no shuffle.
+    The first has the kinds that pass on their own, the second those and the added ones. A null or empty text has none. Rows
+    are independent, so repeated rows and ids are all kept; there is no shuffle. Further columns pass through if kept.
     """
-    text = F.col("__text")
-    rows = docs.select(*keep, F.coalesce(F.col(column).cast("string"), F.lit("")).alias("__text"))
-    rows = rows.withColumn("__digit", text.rlike("[0-9]"))
+    first, second = names or fresh(keep, "base", "found")
+    text = F.col("text")
+    rows = docs.select(*(c.alias(f"c{k}") for k, c in enumerate(named(*keep))), F.coalesce(named(column)[0].cast("string"), F.lit("")).alias("text"))
+    rows = rows.withColumn("digit", text.rlike("[0-9]"))
     for kind in KINDS:
         tried = text.contains(_NEEDS[kind]) if kind in _NEEDS else F.lit(True)
-        tried = tried & F.col("__digit") if kind != "email" else tried
-        rows = rows.withColumn(f"__{kind}", F.when(tried, F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0))).otherwise(F.array().cast("array<string>")))
+        tried = tried & F.col("digit") if kind != "email" else tried
+        rows = rows.withColumn(kind, F.when(tried, F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0))).otherwise(F.array().cast("array<string>")))
     for kind in KINDS:
-        some = F.filter(spans(text, kind, PATTERNS[kind], F.col(f"__{kind}")), lambda s: _valid(kind, s["match"]))
-        scored = F.transform(some, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), _score(kind, s["before"]).alias("score")))
-        rows = rows.withColumn(f"__{kind}", F.filter(scored, lambda s: s["score"] >= LEAST))
-    rows = rows.withColumn("base", F.concat(*(F.col(f"__{k}") for k in BASE)))
-    added = F.concat(*(F.col(f"__{k}") for k in KINDS if k not in BASE))
+        some = F.filter(spans(text, kind, PATTERNS[kind], F.col(kind)), lambda s: _valid(kind, s["match"]))
+        scored = F.transform(some, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), _score(kind, s["around"]).alias("score")))
+        rows = rows.withColumn(kind, F.filter(scored, lambda s: s["score"] >= LEAST))
+    rows = rows.withColumn("base", F.concat(*(F.col(k) for k in BASE)))
+    added = F.concat(*(F.col(k) for k in KINDS if k not in BASE))
     clear = F.filter(added, lambda s: ~F.exists(F.col("base"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    return rows.withColumn("found", F.concat("base", clear)).select(*keep, "base", "found")
+    return rows.select(*(F.col(f"c{k}").alias(n) for k, n in enumerate(keep)), F.col("base").alias(first), F.concat("base", clear).alias(second))
 
 
 def digest(found: Column) -> Column:
@@ -156,11 +169,15 @@ def digest(found: Column) -> Column:
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, the number of spans of each base kind, the sha256 of the base spans, and all spans as text."""
-    rows = find_pii(docs, ["doc_id"])
+    """doc_id, the number of spans of each base kind, the sha256 of the base spans, all spans as text, and their scores in per cent.
+
+    Every row of ``docs`` gives a row; its further columns, whatever their names, stay out.
+    """
+    rows = find_pii(docs, ["doc_id"], names=("base", "found"))
     of = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
     counts = [of(k).alias(f"n_{k}") for k in BASE]
-    return rows.select("doc_id", *counts, F.sha2(digest(F.col("base")).cast("binary"), 256).alias("base_sha256"), digest(F.col("found")).alias("spans"))
+    scores = F.array_join(F.transform("found", lambda s: F.round(s["score"] * 100).cast("int").cast("string")), ",")
+    return rows.select("doc_id", *counts, F.sha2(digest(F.col("base")).cast("binary"), 256).alias("base_sha256"), digest(F.col("found")).alias("spans"), scores.alias("scores"))
 
 
 # The same by DuckDB: plain patterns, positions from the lengths of the pieces between matches.
@@ -169,36 +186,43 @@ _PLAIN = {
     "ip": r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+",
     "card": r"[0-9](?:[\x20-]?[0-9])+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}",
-    "local_phone": r"[0-9]{3}[\x20.-][0-9]{3}[\x20.-][0-9]{4}",
+    "iban": r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?\b",
+    "local_phone": r"\b[0-9]{3}[\x20.-][0-9]{3}[\x20.-][0-9]{4}\b",
 }
 
 
 def _sql() -> str:
+    digits = "regexp_replace(m, '[^0-9]', '', 'g')"
+    place = f"CAST(substr(reverse({digits}), i, 1) AS INT)"
+    code = "replace(m, ' ', '')"
     ok = {
         "email": "true",
         "ip": r"len(list_filter(string_split(m, '.'), lambda p: NOT regexp_full_match(p, '0*(25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])'))) = 0",
-        "card": "length(regexp_replace(m, '[^0-9]', '', 'g')) BETWEEN 16 AND 19 AND list_sum(list_transform(range(1, length(regexp_replace(m, '[^0-9]', '', 'g')) + 1), lambda i: CASE WHEN (i % 2) = 1 THEN CAST(substr(reverse(regexp_replace(m, '[^0-9]', '', 'g')), i, 1) AS INT) WHEN CAST(substr(reverse(regexp_replace(m, '[^0-9]', '', 'g')), i, 1) AS INT) > 4 THEN 2 * CAST(substr(reverse(regexp_replace(m, '[^0-9]', '', 'g')), i, 1) AS INT) - 9 ELSE 2 * CAST(substr(reverse(regexp_replace(m, '[^0-9]', '', 'g')), i, 1) AS INT) END)) % 10 = 0",
-        "phone": "length(regexp_replace(m, '[^0-9]', '', 'g')) BETWEEN 8 AND 15",
-        "iban": "CAST(array_to_string(list_transform(string_split(substr(m, 5) || substr(m, 1, 4), ''), lambda c: CASE WHEN c BETWEEN '0' AND '9' THEN c ELSE CAST(ascii(c) - 55 AS VARCHAR) END), '') AS HUGEINT) % 97 = 1",
-        "local_phone": f"regexp_matches(right(piece, {WINDOW}), '(?i)(^|[^A-Za-z])({WORDS['local_phone']})([^A-Za-z]|$)')",
+        "card": f"length({digits}) BETWEEN 16 AND 19 AND list_sum(list_transform(range(1, length({digits}) + 1), lambda i: CASE WHEN (i % 2) = 1 THEN {place} WHEN {place} > 4 THEN 2 * {place} - 9 ELSE 2 * {place} END)) % 10 = 0",
+        "phone": f"length({digits}) BETWEEN 8 AND 15",
+        # the remainder goes from character to character, since the whole number has more digits than an integer
+        "iban": f"length({code}) BETWEEN 15 AND 34 AND list_reduce(list_transform(string_split(substr({code}, 5) || substr({code}, 1, 4), ''), lambda c: CASE WHEN c BETWEEN '0' AND '9' THEN CAST(c AS INT) ELSE ascii(c) - 55 END), lambda r, x: (CASE WHEN x > 9 THEN 100 * r + x ELSE 10 * r + x END) % 97) = 1",
+        "local_phone": "near",
     }
     parts = []
     for k, kind in enumerate(KINDS):
         parts.append(
-            f"""SELECT doc_id, {k} AS k, '{kind}' AS kind, m, piece, before + length(piece) AS s, before + length(piece) + length(m) AS e FROM (
-  SELECT doc_id, unnest(ms) AS m, unnest(ps[1:len(ms)]) AS piece,
-    unnest(list_transform(range(len(ms)), lambda j: coalesce(list_sum(list_transform(ps[1:j], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(ms[1:j], lambda x: length(x))), 0))) AS before
-  FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_PLAIN[kind]}') AS ms, string_split_regex(coalesce(text, ''), '{_PLAIN[kind]}') AS ps FROM documents)
-  WHERE len(ms) > 0) WHERE {ok[kind]}"""
+            f"""SELECT doc_id, {k} AS k, '{kind}' AS kind, s, e, {round(100 * SCORES[kind])} + CASE WHEN near THEN {round(100 * CONTEXT)} ELSE 0 END AS score FROM (
+  SELECT doc_id, m, before + length(piece) AS s, before + length(piece) + length(m) AS e,
+    regexp_matches(right(last || right(piece, {WINDOW}), {WINDOW}) || ' ' || left(left(rest, {WINDOW}) || next, {WINDOW}), '(?i)(^|[^A-Za-z])({WORDS[kind]})([^A-Za-z]|$)') AS near
+  FROM (SELECT doc_id, unnest(ms) AS m, unnest(ps[1:len(ms)]) AS piece, unnest(ps[2:len(ms) + 1]) AS rest, unnest([''] || ms[1:len(ms) - 1]) AS last, unnest(ms[2:len(ms)] || ['']) AS next,
+      unnest(list_transform(range(len(ms)), lambda j: coalesce(list_sum(list_transform(ps[1:j], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(ms[1:j], lambda x: length(x))), 0))) AS before
+    FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_PLAIN[kind]}') AS ms, string_split_regex(coalesce(text, ''), '{_PLAIN[kind]}') AS ps FROM documents)
+    WHERE len(ms) > 0)) WHERE {ok[kind]}"""
         )
+    span = "kind || ':' || CAST(CAST(s AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(e AS BIGINT) AS VARCHAR)"
     return f"""WITH found AS ({" UNION ALL ".join(parts)}),
 clear AS (SELECT * FROM found f WHERE k < {len(BASE)} OR NOT EXISTS (SELECT 1 FROM found b WHERE b.k < {len(BASE)} AND b.doc_id = f.doc_id AND b.s < f.e AND f.s < b.e)),
 doc AS (SELECT doc_id, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip, count(*) FILTER (kind = 'card') AS n_card, count(*) FILTER (kind = 'phone') AS n_phone,
-  coalesce(string_agg(kind || ':' || CAST(CAST(s AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(e AS BIGINT) AS VARCHAR), ',' ORDER BY k, s) FILTER (k < {len(BASE)}), '') AS base,
-  string_agg(kind || ':' || CAST(CAST(s AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(e AS BIGINT) AS VARCHAR), ',' ORDER BY k, s) AS spans FROM clear GROUP BY doc_id)
+  coalesce(string_agg({span}, ',' ORDER BY k, s) FILTER (k < {len(BASE)}), '') AS base, string_agg({span}, ',' ORDER BY k, s) AS spans,
+  string_agg(CAST(score AS VARCHAR), ',' ORDER BY k, s) AS scores FROM clear GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone,
-  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM documents d LEFT JOIN doc USING (doc_id)"""
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(scores, '') AS scores FROM documents d LEFT JOIN doc USING (doc_id)"""
 
 
 ORACLE_SQL = _sql()
