@@ -6,9 +6,10 @@ is known), or merged into the turn before it (``MERGE``); empty turns may be ins
 path over the automaton's states, found by dynamic programming.
 
 A turn is a matrix of costs from state to state and a run of turns is their (min, +) product, so a conversation of any length
-can be cut: turns are range-partitioned by conversation and place, cut into chunks of ``CHUNK`` turns and written; chunks
-that a conversation crosses give one matrix for it; these small rows fix the state at each cut; then every chunk finds its own
-path between its states. No task holds more than a chunk of turns.
+can be cut: turns are range-partitioned by conversation and place, numbered within their conversation and written. A
+conversation of more than ``RUN`` turns is cut into runs of that many; each run gives one matrix, runs of matrices give one
+again, and so on up; on the way down they fix the state at each cut. Then runs and whole conversations are dealt to tasks by
+hash, about ``RUN`` turns to a group, and each finds its own path between its states. No task holds a whole long conversation.
 """
 
 from __future__ import annotations
@@ -19,12 +20,13 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._rows import batch_of
 from ._store import materialize
 
-CHUNK = 2000
+RUN = 2000
 MERGE, RELABEL, NAME, INSERT = 1.0, 5.0, 1.0, 3.0
 ROLES = ("", "system", "user", "assistant")  # the state after a turn of that role; 0: nothing yet
 _NEXT = {0: (1, 2), 1: (2,), 2: (3,), 3: (2,)}
@@ -94,104 +96,190 @@ def path(roles: list[str | None], start: int, end: int | None) -> list[int]:
     return out
 
 
-def _cut(chunk: int):
-    """Number the sorted turns of a partition in chunks."""
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Number the turns of each conversation within a sorted partition; the first two columns tell conversations apart."""
+    part, key, n = TaskContext.get().partitionId(), None, 0
+    for batch in batches:
+        none, conv = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy()
+        first = np.ones(len(conv), bool)
+        first[1:] = (conv[1:] != conv[:-1]) | (none[1:] != none[:-1])
+        if len(conv):
+            first[0] = (none[0], conv[0]) != key
+            at = np.where(first, np.arange(len(conv)), -1)
+            since = np.maximum.accumulate(at)
+            place = np.arange(len(conv)) - since
+            place[since < 0] += n - 1  # these go on from the batch before
+            key, n = (none[-1], conv[-1]), int(place[-1]) + 1
+            yield batch_of([*batch.columns, pa.array(np.full(len(conv), part, np.int32)), pa.array(place)])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, n = TaskContext.get().partitionId() << 32, 0
-        for batch in batches:
-            place = np.arange(n, n + batch.num_rows)
-            n += batch.num_rows
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(base + place // chunk), pa.array((place % chunk).astype(np.int32))], [*batch.schema.names, "chunk", "place"])
 
-    return run
+_KEY = ["none", "conv"]
 
 
-def _segments(pdf: pd.DataFrame) -> list[tuple[int, int]]:
-    """Ranges of one conversation each, in rows sorted by place; null is a conversation too."""
-    key = pdf["conv_id"]
-    change = ~((key == key.shift()) | (key.isna() & key.shift().isna())).to_numpy(dtype=bool, na_value=False)
-    change[:1] = True
-    at = np.flatnonzero(change)
-    return list(zip(at.tolist(), [*at[1:].tolist(), len(pdf)], strict=True))
+def _segments(pdf: pd.DataFrame, by: list[str]) -> list[tuple[int, int]]:
+    """Ranges of equal keys in sorted rows."""
+    change = np.ones(len(pdf) + 1, bool)
+    change[1:-1] = (pdf[by].to_numpy()[1:] != pdf[by].to_numpy()[:-1]).any(axis=1)
+    at = np.flatnonzero(change).tolist()
+    return list(zip(at, at[1:], strict=False))
 
 
-def _edges(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The matrices of a chunk's first and last conversation."""
-    pdf = pdf.sort_values("place", ignore_index=True)
-    parts = _segments(pdf)
-    out = []
-    for a, b in dict.fromkeys((parts[0], parts[-1])):
-        m = product([_role(x) for x in pdf["role"][a:b]])
-        out.append({"chunk": pdf["chunk"][0], "conv_id": pdf["conv_id"][a], "costs": [float(x) for x in m.ravel()]})
-    return pd.DataFrame(out, columns=["chunk", "conv_id", "costs"])
+def _matrix(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The matrix of one run of turns."""
+    m = product([_role(x) for x in pdf.sort_values("place")["role"]])
+    return pd.DataFrame({"none": pdf["none"][:1], "conv": pdf["conv"][:1], "run": pdf["run"][:1], "costs": [m.ravel().tolist()]})
+
+
+def _product(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The matrix of one run of matrices."""
+    out = np.where(np.eye(4, dtype=bool), 0.0, _INF)
+    for x in pdf.sort_values("run")["costs"]:
+        out = (out[:, :, None] + np.array(x).reshape(4, 4)[None]).min(axis=1)
+    return pd.DataFrame({"none": pdf["none"][:1], "conv": pdf["conv"][:1], "run": pdf["upper"][:1], "costs": [out.ravel().tolist()]})
 
 
 def _states(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The states at the cuts of one conversation, from the matrices of its chunks."""
-    pdf = pdf.sort_values("chunk", ignore_index=True)
+    """The states at the cuts within a run of matrices, from that run's own first and last state (-1: the conversation's end)."""
+    pdf = pdf.sort_values("run", ignore_index=True)
     ms = [np.array(x).reshape(4, 4) for x in pdf["costs"]]
-    left = [_FINAL]
+    state, end = int(pdf["enter"][0]), int(pdf["leave"][0])
+    left = [_FINAL if end < 0 else np.where(np.arange(4) == end, 0.0, _INF)]
     for m in reversed(ms[1:]):
         left.append((m + left[-1]).min(axis=1))
-    state, enter, leave = 0, [], []
+    enter, leave = [], []
     for m, after in zip(ms, reversed(left), strict=True):
         enter.append(state)
         state = int((m[state] + after).argmin())
         leave.append(state)
-    leave[-1] = -1
-    return pd.DataFrame({"chunk": pdf["chunk"], "conv_id": pdf["conv_id"], "enter": enter, "leave": leave})
+    leave[-1] = end
+    return pd.DataFrame({"none": pdf["none"], "conv": pdf["conv"], "run": pdf["run"], "enter": enter, "leave": leave})
+
+
+def _cuts(edges: DataFrame) -> DataFrame:
+    """(none, conv, run, enter, leave) of the runs of long conversations; ``edges`` has their matrices."""
+    edges = materialize(edges.withColumn("upper", F.floor(F.col("run") / RUN)), "chat-edges")
+    if edges.where("upper > 0").isEmpty():
+        upper = edges.select(*_KEY, "upper").distinct().select(*_KEY, "upper", F.lit(0).alias("enter"), F.lit(-1).alias("leave"))
+    else:
+        upper = _cuts(edges.groupBy(*_KEY, "upper").applyInPandas(_product, "none boolean, conv long, run long, costs array<double>")).withColumnRenamed("run", "upper")
+    return materialize(edges.join(upper, [*_KEY, "upper"]).groupBy(*_KEY, "upper").applyInPandas(_states, "none boolean, conv long, run long, enter int, leave int"), "chat-cuts")
 
 
 def _open(state: int) -> str:
     return f"<|{ROLES[state]}|>\n"
 
 
-def _repair(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The repaired turns of one chunk."""
-    pdf = pdf.sort_values("place", ignore_index=True)
-    cuts = {("null" if pd.isna(c["conv_id"]) else c["conv_id"]): (c["enter"], c["leave"]) for c in (pdf["cuts"][0] if isinstance(pdf["cuts"][0], (list, np.ndarray)) else [])}
+def _size(pdf: pd.DataFrame) -> pd.DataFrame:
+    """How many repaired turns one run of a long conversation gives."""
+    enter, leave = int(pdf["enter"][0]), int(pdf["leave"][0])
+    roles = [_role(x) for x in pdf.sort_values("place")["role"]]
+    n, state = 0, enter
+    for role, after in zip(roles, path(roles, enter, None if leave < 0 else leave), strict=True):
+        n += 1 + len(_TABLE[role][state, after][2])
+        state = after
+    return pd.DataFrame({"none": pdf["none"][:1], "conv": pdf["conv"][:1], "run": pdf["run"][:1], "n": [n]})
+
+
+_COLUMNS = ["none", "conv", "turn_none", "turn", "position", "action", "role", "rendered"]
+
+
+def _repair(turns: pd.DataFrame, cuts: pd.DataFrame) -> pd.DataFrame:
+    """The repaired turns of some conversations and runs; ``cuts`` has the states and the first position of the runs."""
+    turns = turns.sort_values(["none", "conv", "run", "place"], ignore_index=True)
+    known = {k: v for *k, e, lv, p in cuts[["none", "conv", "run", "enter", "leave", "position"]].itertuples(index=False) for k, v in [(tuple(k), (e, lv, p))]}
     rows = []
-    for a, b in _segments(pdf):
-        conv = pdf["conv_id"][a]
-        enter, leave = cuts.get("null" if pd.isna(conv) else conv, (0, -1))
-        roles = [_role(x) for x in pdf["role"][a:b]]
-        state = enter
+    for a, b in _segments(turns, ["none", "conv", "run"]):
+        key = turns["none"][a], turns["conv"][a]
+        enter, leave, at = known.get((*key, turns["run"][a]), (0, -1, 0))
+        roles = [_role(x) for x in turns["role"][a:b]]
+        out, state = [], enter
         for k, (role, after) in enumerate(zip(roles, path(roles, enter, None if leave < 0 else leave), strict=True), a):
             _, what, put = _TABLE[role][state, after]
-            turn = pdf["turn"][k]
-            rows += [(conv, turn, pdf["chunk"][k], 8 * k + j, "insert", ROLES[x], _open(x)) for j, x in enumerate(put)]
-            text = pdf["text"][k] or ""
+            turn = turns["turn_none"][k], turns["turn"][k]
+            out += [(turn, "insert", ROLES[x], _open(x)) for x in put]
+            text = turns["text"][k]
             done = "merge" if what == "merge" else "keep" if role == ROLES[after] else "relabel"
-            rows.append((conv, turn, pdf["chunk"][k], 8 * k + 3, done, ROLES[after], f"\n{text}" if what == "merge" else _open(after) + text))
+            out.append((turn, done, ROLES[after], f"\n{text}" if what == "merge" else _open(after) + text))
             state = after
         if leave < 0:
-            rows += [(conv, pdf["turn"][b - 1], pdf["chunk"][a], 8 * (b - 1) + 4 + j, "insert", ROLES[x], _open(x)) for j, x in enumerate(_END[state])]
-    return pd.DataFrame(rows, columns=["conv_id", "turn", "chunk", "place", "action", "role", "rendered"]).astype({"conv_id": "Int64", "turn": "Int64"})
+            out += [(turn, "insert", ROLES[x], _open(x)) for x in _END[state]]
+        rows += [(*key, *turn, at + i, *x) for i, (turn, *x) in enumerate(out)]
+    return pd.DataFrame(rows, columns=_COLUMNS)
 
 
-def repair(turns: DataFrame) -> DataFrame:
-    """The repaired turns: conv_id, turn (an inserted one has that of its neighbour), action (keep, relabel, merge, insert),
-    role, rendered, and (chunk, place), by which a conversation's rendered parts are in order.
+def _bucket(groups: int) -> Column:
+    return F.pmod(F.xxhash64("none", "conv", "run"), F.lit(groups))
+
 
-    Takes conv_id, turn, role, text. Turns are in order of turn, equal ones of role, then text; a null turn comes last, null
-    conv_ids are one conversation, a null or unknown role may become any, a null text is empty. Repeated rows are turns of
-    their own. Among ways of equal cost the first in the order system, user, assistant is taken, an emitted turn before a
-    merged one before an insertion.
+def repair(turns: DataFrame) -> DataFrame:
+    """The repaired turns: conv_id, turn (an inserted one has that of its neighbour), position (from 0 in its conversation, in
+    the order of the result), action (keep, relabel, merge, insert), role, rendered.
+
+    Takes conv_id, turn, role, text; further columns, whatever their names, stay out. Turns are in order of turn, equal ones of
+    role, then of the text's MD5; a null turn comes last, null conv_ids are one conversation, a null or unknown role may become
+    any, a null text is empty. Repeated rows are turns of their own. Among ways of equal cost, each turn takes the first state
+    in the order system, user, assistant, and there an emitted turn comes before a merged one before an insertion; in a
+    conversation of several runs the state after each run is chosen first, likewise.
     """
-    rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    order = [F.col("conv_id").asc_nulls_last(), F.col("turn").asc_nulls_last(), F.col("role").asc_nulls_last(), F.col("h"), F.col("i")]
-    rows = rows.withColumn("h", F.xxhash64("text")).withColumn("i", F.monotonically_increasing_id())
-    parts = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).drop("h", "i")
-    rows = materialize(rows.mapInArrow(_cut(CHUNK), "conv_id long, turn long, role string, text string, chunk long, place int"), "chat-turns")
-    edges = rows.select("chunk", "place", "conv_id", "role").groupBy("chunk").applyInPandas(_edges, "chunk long, conv_id long, costs array<double>")
-    states = edges.groupBy("conv_id").applyInPandas(_states, "chunk long, conv_id long, enter int, leave int")
-    cuts = states.groupBy("chunk").agg(F.collect_list(F.struct("conv_id", "enter", "leave")).alias("cuts"))
-    out = "conv_id long, turn long, chunk long, place int, action string, role string, rendered string"
-    return rows.join(cuts, "chunk", "left").groupBy("chunk").applyInPandas(_repair, out)
-
-
-def scan(turns: DataFrame) -> DataFrame:
-    """The repaired turns without their place."""
-    return repair(turns).select("conv_id", "turn", "action", "role", "rendered")
+    spark = turns.sparkSession
+    whole = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(0))
+    rows = turns.select(F.isnull(F.col("conv_id").cast("long")).alias("none"), whole("conv_id").alias("conv"), F.isnull(F.col("turn").cast("long")).alias("turn_none"), whole("turn").alias("turn"), F.col("role").cast("string").alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    order = [F.col("none"), F.col("conv"), F.col("turn_none"), F.col("turn"), F.col("role").asc_nulls_last(), F.col("h")]
+    rows = rows.withColumn("h", F.md5("text"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).drop("h")
+    rows = materialize(rows.mapInArrow(_numbered, "none boolean, conv long, turn_none boolean, turn long, role string, text string, part int, place long"), "chat-turns")
+    # a conversation over several partitions goes on from the one before: at most one of these in each partition
+    held = rows.groupBy(*_KEY, "part").agg(F.count("*").alias("n")).withColumn("before", F.sum("n").over(Window.partitionBy(*_KEY).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))
+    before = F.broadcast(held.where("before IS NOT NULL").select(*_KEY, "part", "before"))
+    rows = rows.join(before, [*_KEY, "part"], "left").withColumn("place", F.col("place") + F.coalesce("before", F.lit(0))).drop("part", "before")
+    rows = rows.withColumn("run", F.floor(F.col("place") / RUN))
+    bare = rows.select(*_KEY, "run", "place", "role")
+    long = bare.where(F.col("place") == RUN).select(*_KEY)
+    runs = bare.join(long, _KEY, "left_semi")
+    cuts = _cuts(runs.groupBy(*_KEY, "run").applyInPandas(_matrix, "none boolean, conv long, run long, costs array<double>"))
+    sizes = runs.join(cuts, [*_KEY, "run"]).groupBy(*_KEY, "run").applyInPandas(_size, "none boolean, conv long, run long, n long")
+    position = F.coalesce(F.sum("n").over(Window.partitionBy(*_KEY).orderBy("run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cuts = cuts.join(sizes.withColumn("position", position).drop("n"), [*_KEY, "run"])
+    groups = max(1, rows.count() // RUN)
+    out = "none boolean, conv long, turn_none boolean, turn long, position long, action string, role string, rendered string"
+    done = rows.groupBy(_bucket(groups).alias("bucket")).cogroup(cuts.groupBy(_bucket(groups).alias("bucket"))).applyInPandas(_repair, out)
+    return done.select(F.when(~F.col("none"), F.col("conv")).alias("conv_id"), F.when(~F.col("turn_none"), F.col("turn")).alias("turn"), "position", "action", "role", "rendered")
+
+
+def rendered(repaired: DataFrame) -> DataFrame:
+    """conv_id and the text of each whole conversation, which Spark must be able to hold in a row."""
+    parts = F.array_sort(F.collect_list(F.struct("position", "rendered")))
+    return repaired.groupBy("conv_id").agg(F.array_join(F.transform(parts, lambda p: p["rendered"]), "\n").alias("text"))
+
+
+def _sql() -> str:
+    """The same by recursion over the turns in DuckDB, back for the costs to go, forth for the states; the automaton as a table."""
+    far = 1e9
+    matrices = ", ".join(f"('{r or ''}', {[[float(x) if x < far else far for x in row] for row in m.tolist()]}::DOUBLE[][])" for r, m in _MATRIX.items())
+    ways = ", ".join(f"('{r or ''}', {a}, {b}, '{what}', {[ROLES[x] for x in put]}::VARCHAR[])" for r, t in _TABLE.items() for (a, b), (_, what, put) in t.items())
+    ends = ", ".join(f"({s}, {[ROLES[x] for x in put]}::VARCHAR[])" for s, put in _END.items())
+    return f"""WITH RECURSIVE matrices(known, m) AS (VALUES {matrices}), ways(known, a, b, what, put) AS (VALUES {ways}), ends(s, put) AS (VALUES {ends}),
+turns AS (SELECT *, row_number() OVER w AS i, count(*) OVER (PARTITION BY conv_id) AS n FROM (
+    SELECT conv_id, turn, role, coalesce(text, '') AS text, CASE WHEN role IN ('system', 'user', 'assistant') THEN role ELSE '' END AS known FROM conversations) JOIN matrices USING (known)
+  WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS LAST, role NULLS LAST, md5(text))),
+togo(conv_id, i, c) AS (
+  SELECT conv_id, n, {_FINAL.tolist()}::DOUBLE[] FROM turns WHERE i = n
+  UNION ALL SELECT t.conv_id, t.i - 1, list_transform([1, 2, 3, 4], lambda a: list_min(list_transform([1, 2, 3, 4], lambda b: m[a][b] + c[b]))) FROM togo g JOIN turns t ON t.conv_id IS NOT DISTINCT FROM g.conv_id AND t.i = g.i WHERE t.i > 1),
+forth(conv_id, i, before, after) AS (
+  SELECT DISTINCT conv_id, 0::BIGINT, 0::BIGINT, 0::BIGINT FROM turns
+  UNION ALL SELECT conv_id, i, before, list_position(v, list_min(v)) - 1 FROM (
+    SELECT t.conv_id, t.i, f.after AS before, list_transform([1, 2, 3, 4], lambda b: m[f.after + 1][b] + c[b]) AS v
+    FROM forth f JOIN turns t ON t.conv_id IS NOT DISTINCT FROM f.conv_id AND t.i = f.i + 1 JOIN togo g ON g.conv_id IS NOT DISTINCT FROM t.conv_id AND g.i = t.i)),
+steps AS (
+  SELECT t.*, w.what, w.put, f.after, CASE WHEN t.i = t.n THEN e.put ELSE [] END AS closing
+  FROM turns t JOIN forth f ON f.conv_id IS NOT DISTINCT FROM t.conv_id AND f.i = t.i JOIN ways w ON w.known = t.known AND w.a = f.before AND w.b = f.after JOIN ends e ON e.s = f.after),
+lines AS (
+  SELECT conv_id, turn, i, unnest(range(len(put))) AS j, 'insert' AS action, unnest(put) AS role, '<|' || unnest(put) || '|>' || chr(10) AS rendered FROM steps
+  UNION ALL SELECT conv_id, turn, i, 3, CASE WHEN what = 'merge' THEN 'merge' WHEN known = {list(ROLES)}[after + 1] THEN 'keep' ELSE 'relabel' END, {list(ROLES)}[after + 1],
+    CASE WHEN what = 'merge' THEN '' ELSE '<|' || {list(ROLES)}[after + 1] || '|>' END || chr(10) || text FROM steps
+  UNION ALL SELECT conv_id, turn, i, 4 + unnest(range(len(closing))), 'insert', unnest(closing), '<|' || unnest(closing) || '|>' || chr(10) FROM steps)
+SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY i, j) - 1 AS position, action, role, rendered FROM lines"""
+
+
+ORACLE_SQL = _sql()

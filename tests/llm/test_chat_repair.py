@@ -1,6 +1,7 @@
 import itertools
 import random
 
+import duckdb
 import pytest
 
 from tapespark.llm import chat_repair as C
@@ -36,23 +37,24 @@ def brute(roles):
     return min(best.get((len(roles), s), 1e9) for s in ((3,) if roles else (0, 3)))
 
 
-def cost(rows):
-    return sum({"insert": C.INSERT}.get(r["action"], 0) + (C.MERGE if r["action"] == "merge" else 0) for r in rows)
-
-
-@pytest.mark.parametrize("chunk", [3, 2000])
-def test_repair(spark, monkeypatch, chunk):
-    monkeypatch.setattr(C, "CHUNK", chunk)
+@pytest.mark.parametrize("run", [3, 2000])
+def test_repair(spark, monkeypatch, run):
+    monkeypatch.setattr(C, "RUN", run)
     rnd = random.Random(1)
     convs = {k: list(x) for k, x in enumerate(itertools.product(["system", "user", "assistant", None], repeat=3))}
     convs |= {100 + k: [rnd.choice(["system", "user", "assistant", "tool"]) for _ in range(rnd.randint(1, 40))] for k in range(25)}
     rows = [(c, t, r, f"text {c} {t}") for c, roles in convs.items() for t, r in enumerate(roles)]
     rnd.shuffle(rows)
     rows += [(None, 0, "user", None), (None, None, "user", "last")]
-    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("chunk", C.F.lit("x"))
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("run", C.F.lit("x")).withColumn("a.b", C.F.lit("x"))
     out = {}
-    for r in sorted(C.repair(df).collect(), key=lambda r: (r["chunk"], r["place"])):
+    got = C.repair(df)
+    for r in sorted(got.collect(), key=lambda r: r["position"]):
         out.setdefault(r["conv_id"], []).append(r)
+    for x in out.values():
+        assert [r["position"] for r in x] == list(range(len(x)))
+    whole = {r["conv_id"]: r["text"] for r in C.rendered(got).collect()}
+    assert whole == {c: "\n".join(r["rendered"] for r in x) for c, x in out.items()}
     for c, roles in convs.items():
         got = out[c]
         shown = [r["role"] for r in got if r["action"] != "merge"]
@@ -73,11 +75,34 @@ def test_repair(spark, monkeypatch, chunk):
     assert [r["action"] for r in out[None] if r["action"] != "insert"] == ["keep", "merge"]
 
 
-def test_one_long_conversation(spark, monkeypatch):
-    monkeypatch.setattr(C, "CHUNK", 50)
+@pytest.mark.parametrize("run", [7, 50])
+def test_one_long_conversation(spark, monkeypatch, run):
+    """Cut once, and again into runs of runs."""
+    monkeypatch.setattr(C, "RUN", run)
     df = spark.range(3000).selectExpr("7L AS conv_id", "id AS turn", "if(id % 2 = 0, 'user', 'assistant') AS role", "'x' AS text")
-    rows = C.scan(df).collect()
-    assert len(rows) == 3000 and {r["action"] for r in rows} == {"keep"}
-    same = C.scan(df.selectExpr("conv_id", "0L AS turn", "'user' AS role", "text")).groupBy("action").count().collect()
+    rows = C.repair(df).collect()
+    assert sorted(r["position"] for r in rows) == list(range(3000)) and {r["action"] for r in rows} == {"keep"}
+    same = C.repair(df.selectExpr("conv_id", "0L AS turn", "'user' AS role", "text")).groupBy("action").count().collect()
     assert {r["action"]: r["count"] for r in same} == {"keep": 1, "merge": 2999, "insert": 1}
-    assert C.scan(df.limit(0)).collect() == []
+    rnd = random.Random(run)
+    roles = [rnd.choice(["user", "assistant", "system", "tool"]) for _ in range(900)]
+    df = spark.createDataFrame([(1, t, r, str(t)) for t, r in enumerate(roles)], "conv_id long, turn long, role string, text string")
+    got = sorted(C.repair(df).collect(), key=lambda r: r["position"])
+    assert [r["position"] for r in got] == list(range(len(got))) and legal([r["role"] for r in got if r["action"] != "merge"])
+    paid = sum(C.INSERT if r["action"] == "insert" else C._as(roles[r["turn"]] if roles[r["turn"]] in C._KNOWN else None, C.ROLES.index(r["role"])) + (C.MERGE if r["action"] == "merge" else 0) for r in got)
+    assert paid == brute([r if r in C._KNOWN else None for r in roles])
+    assert C.repair(df.limit(0)).collect() == []
+
+
+def test_sql_gives_the_same(spark, tmp_path):
+    """Ties, nulls, repeated and empty turns, very long texts; one conversation with most turns."""
+    rnd = random.Random(9)
+    rows = [(rnd.choice([1, 1, 1, *range(40), None, 2**60, 2**60 + 1]), rnd.choice([*range(30), None]), rnd.choice(["system", "user", "assistant", "tool", "", None]), rnd.choice(["a", "b", "", None, "é\n" * 3])) for _ in range(700)]
+    rows += [(50, 0, "user", "long text " * 100_000)]
+    path = str(tmp_path / "conversations.parquet")
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3).write.parquet(path)
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW conversations AS SELECT * FROM '{path}/*.parquet'")
+    got = C.repair(spark.read.parquet(path))
+    want = con.sql(f"SELECT {', '.join(got.columns)} FROM ({C.ORACLE_SQL})").fetchall()
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
