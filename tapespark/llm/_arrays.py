@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import json
 import os
-import tempfile
 import uuid
+from collections import OrderedDict
 from urllib.parse import unquote, urlparse
 
 import numpy as np
 
-_open: dict[str, dict[str, np.ndarray]] = {}
+#: The files that a worker has open, least used first: a process may map only so many.
+MOST_OPEN = 2048
+_open: OrderedDict[str, dict[str, np.ndarray] | None] = OrderedDict()
 
 
 def _local(uri: str) -> str | None:
@@ -49,22 +51,27 @@ def write_arrays(uri: str, arrays: dict[str, np.ndarray]) -> None:
     store.move(path + part, path)
 
 
-def map_arrays(uri: str) -> dict[str, np.ndarray]:
-    """Memory-map the arrays of one file; a worker keeps its maps. A file of a remote store is first copied to an unlinked local file."""
-    if uri not in _open:
-        path = _local(uri)
-        if path is not None:
-            raw = np.memmap(path, np.uint8, "r")
-        else:
-            from pyarrow import fs
+def map_arrays(uri: str) -> dict[str, np.ndarray] | None:
+    """The arrays of one file, memory-mapped; of a store that is not mounted, read into memory. None if there is no such file."""
+    if uri in _open:
+        _open.move_to_end(uri)
+        return _open[uri]
+    while len(_open) >= MOST_OPEN:
+        _open.popitem(last=False)
+    path, raw = _local(uri), None
+    if path is not None:
+        raw = np.memmap(path, np.uint8, "r") if os.path.exists(path) else None
+    else:
+        from pyarrow import fs
 
-            store, path = fs.FileSystem.from_uri(uri)
-            with store.open_input_stream(path) as source, tempfile.TemporaryFile() as copy:
-                while block := source.read(16 << 20):
-                    copy.write(block)
-                copy.flush()
-                raw = np.memmap(copy, np.uint8, "r")
-        size = int.from_bytes(raw[:8].tobytes(), "little")
-        base = 8 + size
-        _open[uri] = {name: raw[base + at : base + at + n * np.dtype(kind).itemsize].view(kind) for name, kind, n, at in json.loads(raw[8:base].tobytes())}
+        store, path = fs.FileSystem.from_uri(uri)
+        if store.get_file_info(path).type == fs.FileType.File:
+            with store.open_input_stream(path) as source:
+                raw = np.frombuffer(source.read(), np.uint8)
+    if raw is None:
+        _open[uri] = None
+        return None
+    size = int.from_bytes(raw[:8].tobytes(), "little")
+    base = 8 + size
+    _open[uri] = {name: raw[base + at : base + at + n * np.dtype(kind).itemsize].view(kind) for name, kind, n, at in json.loads(raw[8:base].tobytes())}
     return _open[uri]

@@ -1,11 +1,15 @@
 """Interpolated modified Kneser-Ney language model: counted in Spark, stored as sorted hash arrays, memory-mapped to score.
 
-Training is one job. Each task hashes its texts, counts its n-grams and sends them, packed, to shards of the hash of their
-context. A shard sums its counts, writes sorted arrays (n-gram keys and counts; contexts with their total and the numbers of
-followers seen once, twice, and three times or more) to a file in the shared folder, and passes its distinct n-grams on as
-continuation counts of the next lower order. Only a row of sums per shard goes to the driver. The number of shards follows
-the text, about ``SHARD_BYTES`` of it each, so that a shard fits in a task at any size; a frequent n-gram is one entry of a
-shard, because tasks count before they send.
+Training is one job. Each task hashes its texts, counts its n-grams and sends them, packed, to shards. A shard sums its counts,
+writes sorted arrays of n-gram keys and counts to a file in the shared folder, passes its distinct n-grams on as continuation
+counts of the next lower order, and for each of its contexts the total and the numbers of followers seen once, twice, and three
+times or more. Those sums of contexts go to shards of their own and are written likewise. Spark adds up the few sums that all
+need; only they pass through the driver.
+
+The number of shards follows the text, about ``SHARD_BYTES`` of it each, so that a shard fits in a task at any size. Shards are
+a grid of parts by context and parts by token: the followers of a frequent word are dealt over a whole row of it, so a context
+that holds a third of all text is split like any other. A frequent n-gram is one entry of a flush, because tasks count before
+they send.
 
 Scoring is a map over the documents: workers map the files (pages of one file are shared by all workers of a machine), sort
 the keys of a batch of texts and search them shard by shard.
@@ -13,6 +17,7 @@ the keys of a batch of texts and search them shard by shard.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,23 +27,43 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._arrays import map_arrays, write_arrays
+from ._rows import Texts, batch_of
 from ._store import input_bytes, shared_dir
 from ._text import U, mix, slices, utf8, words
 
 SHARD_BYTES = 12 << 20
-FLUSH_TOKENS = 2_000_000
+FLUSH_TOKENS, BLOCK_TOKENS = 2_000_000, 500_000
 SCORE_BYTES = 4 << 20
 END, BEGIN = mix(np.array([1, 2], U) * U(0x632BE59BD9B4E019))
-_HIGH = U(0xFFFFF << 44)
+_PARTS = 12  # bits of a key that come from the context, and as many from the token
 
 
-def _join(context: np.ndarray, token: np.ndarray) -> np.ndarray:
-    """Hash of a context and a token, in the shard (the top bits) of the context."""
-    return (context & _HIGH) | (mix(context * U(0x9E3779B97F4A7C15) + token) & ~_HIGH)
+@dataclass(frozen=True)
+class Grid:
+    """Shards by context and by token, at most 4096 each way."""
+
+    contexts: int
+    tokens: int
 
+    def of(self, key: np.ndarray) -> np.ndarray:
+        """The shard of each n-gram."""
+        return self.row(key) * self.tokens + ((key >> U(52 - _PARTS) & U(4095)) * U(self.tokens) >> U(_PARTS)).astype(np.int64)
 
-def _shard(key: np.ndarray, shards: int) -> np.ndarray:
-    return ((key >> U(44)) * U(shards) >> U(20)).astype(np.int64)
+    def row(self, key: np.ndarray) -> np.ndarray:
+        """The shard of each context; a key has that of its own."""
+        return ((key >> U(52)) * U(self.contexts) >> U(_PARTS)).astype(np.int64)
+
+
+def _grid(size: int) -> Grid:
+    shards = max(1, -(-size // SHARD_BYTES))
+    tokens = math.isqrt(shards - 1) + 1
+    return Grid(min(4096, -(-shards // tokens)), min(4096, tokens))
+
+
+def _join(context: np.ndarray, token: np.ndarray) -> np.ndarray:
+    """Key of a context and a token: ``_PARTS`` bits of either, the rest a hash of both."""
+    low = mix(context * U(0x9E3779B97F4A7C15) + token) & U((1 << 52 - _PARTS) - 1)
+    return (context >> U(52) << U(52)) | (token >> U(52) << U(52 - _PARTS)) | low
 
 
 def _tokens(raw: np.ndarray, off: np.ndarray, order: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
@@ -62,7 +87,7 @@ def _tokens(raw: np.ndarray, off: np.ndarray, order: int) -> tuple[list[np.ndarr
 
 def _sum(columns: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
     """Sorted distinct keys of (longest context, ..., token), their columns, and summed counts."""
-    key = _join(columns[0], columns[-1]) if len(columns) > 1 else columns[0]
+    key = _key(columns)
     order = np.argsort(key)
     key = key[order]
     at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
@@ -73,17 +98,44 @@ _PACKED = "level int, shard int, columns binary, counts binary, stats array<long
 _PACKED_ARROW = pa.schema([("level", pa.int32()), ("shard", pa.int32()), ("columns", pa.binary()), ("counts", pa.binary()), ("stats", pa.list_(pa.int64()))])
 
 
-def _packed(level: int, key: np.ndarray, columns: list[np.ndarray], counts: list[np.ndarray], shards: int) -> list[dict]:
-    """One row for each shard that has some of the sorted keys."""
-    cut = np.searchsorted(_shard(key, shards), np.arange(shards + 1))
+def _thin(x: np.ndarray) -> bytes:
+    """Counts in as few bytes as the largest needs, after a byte that says how many."""
+    size = next(k for k in (1, 2, 4, 8) if not len(x) or int(x.max()) < 1 << 8 * k - (k == 8))
+    return bytes([size]) + x.astype(f"<u{size}").tobytes()
+
+
+def _thick(raw: memoryview, n: int, columns: int) -> list[np.ndarray]:
+    out, at = [], 0
+    for _ in range(columns):
+        size = raw[at]
+        out.append(np.frombuffer(raw, f"<u{size}", n, at + 1).astype(np.int64))
+        at += 1 + n * size
+    return out
+
+
+def _packed(level: int, shard: np.ndarray, columns: list[np.ndarray], counts: list[np.ndarray]) -> list[dict]:
+    """One row for each shard of some sorted entries."""
+    order = np.argsort(shard, kind="stable")
+    shard = shard[order]
+    cut = np.append(np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1]))) if len(shard) else [], len(shard)).astype(np.int64)
+    columns, counts = [c[order] for c in columns], [c[order] for c in counts]
     return [
-        {"level": level, "shard": s, "columns": b"".join(c[a:b].tobytes() for c in columns), "counts": b"".join(c[a:b].astype(np.int64).tobytes() for c in counts), "stats": None}
-        for s, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True))
-        if b > a
+        {"level": level, "shard": int(shard[a]), "columns": b"".join(c[a:b].tobytes() for c in columns), "counts": b"".join(_thin(c[a:b]) for c in counts), "stats": None}
+        for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)
     ]
 
 
-def _count(order: int, shards: int):
+def _unpacked(table: pa.Table, columns: int, counts: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    wide = [np.frombuffer(x.as_buffer(), U).reshape(columns, -1) for x in table.column("columns")]
+    thin = [_thick(memoryview(x.as_buffer()), w.shape[1], counts) for x, w in zip(table.column("counts"), wide, strict=True)]
+    return [np.concatenate(x) for x in zip(*wide, strict=True)], [np.concatenate(x) for x in zip(*thin, strict=True)]
+
+
+def _key(columns: list[np.ndarray]) -> np.ndarray:
+    return _join(columns[0], columns[-1]) if len(columns) > 1 else columns[0]
+
+
+def _count(order: int, grid: Grid):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
         size = 0
@@ -91,17 +143,18 @@ def _count(order: int, shards: int):
         def flush() -> pa.RecordBatch:
             columns = [np.concatenate(x) for x in zip(*held, strict=True)]
             key, columns, counts = _sum(columns, [np.ones(len(columns[0]), np.int64)])
-            return pa.RecordBatch.from_pylist(_packed(order, key, columns, counts, shards), _PACKED_ARROW)
+            return pa.RecordBatch.from_pylist(_packed(order, grid.of(key), columns, counts), _PACKED_ARROW)
 
         for batch in batches:
             raw, off = utf8(batch.column(0))
             for a, b in slices(off):
                 contexts, token, _ = _tokens(raw[off[a] : off[b]], off[a : b + 1] - off[a], order)
-                held.append([*contexts[::-1], token])
-                size += len(token)
-                if size >= FLUSH_TOKENS:
-                    yield flush()
-                    held, size = [], 0
+                for k in range(0, len(token), FLUSH_TOKENS):
+                    held.append([x[k : k + FLUSH_TOKENS] for x in (*contexts[::-1], token)])
+                    size += len(held[-1][0])
+                    if size >= FLUSH_TOKENS:
+                        yield flush()
+                        held, size = [], 0
         if held:
             yield flush()
 
@@ -114,35 +167,37 @@ def _small(counts: np.ndarray) -> dict[str, np.ndarray]:
     return {"count": np.minimum(counts, 255).astype(np.uint8), "big_at": big.astype(np.int64), "big": counts[big].astype(np.int64)}
 
 
-def _reduce(level: int, top: bool, shards: int, folder: str):
-    """Sum one shard of one order, write it, and pass on the next lower order; rows of stats of higher orders pass through."""
+def _reduce(order: int, grid: Grid, folder: str):
+    """Sum one shard of n-grams or of contexts (level below 0) and write it; n-grams are passed on as entries of the next lower
+    order, their contexts as sums. Rows of stats pass through."""
 
     def run(table: pa.Table) -> pa.Table:
-        stats = [x for x in table.to_pylist() if x["stats"] is not None] if table.column("columns").null_count else []
-        table = table.filter(pa.compute.is_valid(table.column("columns")))
-        if not table.num_rows:
-            return pa.Table.from_pylist(stats, _PACKED_ARROW)
-        shard = table.column("shard")[0].as_py()
-        columns = [np.concatenate(x) for x in zip(*(np.frombuffer(x.as_buffer(), U).reshape(level, -1) for x in table.column("columns")), strict=True)]
-        counts = [np.concatenate(x) for x in zip(*(np.frombuffer(x.as_buffer(), np.int64).reshape(1 if top else 2, -1) for x in table.column("counts")), strict=True)]
+        level, shard = table.column("level")[0].as_py(), table.column("shard")[0].as_py()
+        if level == 0:
+            return table
+        if level < 0:
+            (context,), sums = _unpacked(table, 1, 4)
+            _, (context,), sums = _sum([context], sums)
+            total, *ns = sums
+            write_arrays(f"{folder}/c{-level}/{shard:08d}.arrays", {"context": context, "total": total} | {f"n{k}": x.astype(np.uint32) for k, x in enumerate(ns, 1)})
+            return pa.Table.from_pylist([], _PACKED_ARROW)
+        columns, counts = _unpacked(table, level, 1 if level == order else 2)
         key, columns, counts = _sum(columns, counts)
         count, raw = counts[0], counts[-1]
         arrays = {"key": key}
         row = [len(key), int(count.sum()), *(int((count == k).sum()) for k in (1, 2, 3, 4)), int(raw.sum())]
-        out = [{"level": level, "shard": shard, "columns": None, "counts": None, "stats": row}]
+        out = [{"level": 0, "shard": level, "columns": None, "counts": None, "stats": row}]
         if level > 1:
-            context = columns[0]
-            order = np.argsort(context, kind="stable")
-            context, follow = context[order], count[order]
-            at = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1])))
-            add = lambda x: np.add.reduceat(x, at)
-            arrays |= _small(count) | {"context": context[at], "total": add(follow)} | {f"n{k}": add((follow == k if k < 3 else follow >= 3).astype(np.uint32)) for k in (1, 2, 3)}
+            arrays |= _small(count)
+            follow = [count, *((count == k if k < 3 else count >= 3).astype(np.int64) for k in (1, 2, 3))]
+            _, (context,), sums = _sum(columns[:1], follow)
+            out += _packed(-level, grid.row(context), [context], sums)
             lower, low_columns, low_counts = _sum(columns[1:], [np.ones(len(key), np.int64), raw])
-            out += _packed(level - 1, lower, low_columns, low_counts, shards)
+            out += _packed(level - 1, grid.of(lower), low_columns, low_counts)
         else:
             arrays |= {"follows": count, "raw": raw}
-        write_arrays(f"{folder}/{level}/{shard:07d}.arrays", arrays)
-        return pa.Table.from_pylist(stats + out, _PACKED_ARROW)
+        write_arrays(f"{folder}/{level}/{shard:08d}.arrays", arrays)
+        return pa.Table.from_pylist(out, _PACKED_ARROW)
 
     return run
 
@@ -153,10 +208,9 @@ class Model:
 
     folder: str
     order: int
-    shards: int
+    grid: Grid
     tokens: int
     distinct: int
-    files: dict[int, frozenset[int]]
     discounts: dict[int, tuple[float, float, float, float]]
     follows: int
     backoff: float
@@ -176,39 +230,42 @@ def train(texts: DataFrame, order: int = 2, column: str = "text") -> Model:
     if order < 2:
         raise ValueError("order must be 2 or more")
     texts = texts.select(F.col(column).cast("string").alias("text"))
-    shards = min(1 << 20, max(1, -(-input_bytes(texts, "text") // SHARD_BYTES)))
+    grid = _grid(input_bytes(texts, "text"))
     folder = shared_dir(texts.sparkSession, "lm")
-    rows = texts.mapInArrow(_count(order, shards), _PACKED)
-    for level in range(order, 0, -1):
-        rows = rows.groupBy("shard").applyInArrow(_reduce(level, level == order, shards, folder), _PACKED)
-    sums = rows.where("stats IS NOT NULL").select("level", "shard", "stats").collect()
-    total = {k: [sum(x) for x in zip(*(r["stats"] for r in sums if r["level"] == k), strict=True)] or [0] * 7 for k in range(1, order + 1)}
+    rows = texts.mapInArrow(_count(order, grid), _PACKED)
+    for _ in range(order):
+        # stats of one level may come from every shard: dealt by a number of their own
+        rows = rows.groupBy("level", "shard", F.when(F.col("level") == 0, F.xxhash64("stats") % 64)).applyInArrow(_reduce(order, grid, folder), _PACKED)
+    sums = rows.groupBy("level", "shard").agg(*(F.sum(F.col("stats")[k]).alias(f"s{k}") for k in range(7))).where("level = 0").collect()
+    total = {k: [0] * 7 for k in range(1, order + 1)} | {r["shard"]: [r[f"s{k}"] for k in range(7)] for r in sums}
     discounts = {k: _discounts(total[k][2:6]) for k in total}
     distinct, follows = total[1][0], total[1][1]
     d, ones, twos = discounts[1], total[1][2], total[1][3]
     held = d[1] * ones + d[2] * twos + d[3] * (distinct - ones - twos)
-    return Model(folder, order, shards, total[1][6], distinct, {k: frozenset(r["shard"] for r in sums if r["level"] == k) for k in total}, discounts, follows, held / follows if follows else 1.0)
+    return Model(folder, order, grid, total[1][6], distinct, discounts, follows, held / follows if follows else 1.0)
 
 
 def _find(model: Model, level: int, by: str, wanted: np.ndarray, fields: list[str]) -> list[np.ndarray]:
-    """The fields of the wanted keys, 0 where a key is unknown."""
+    """The fields of the wanted keys or contexts, 0 where one is unknown."""
     keys, back = np.unique(wanted, return_inverse=True)
     found = [np.zeros(len(keys), np.int64) for _ in fields]
-    cut = np.searchsorted(_shard(keys, model.shards), np.arange(model.shards + 1))
-    for s in np.flatnonzero(np.diff(cut)).tolist():
-        if s not in model.files[level]:
+    shard = model.grid.of(keys) if by == "key" else model.grid.row(keys)
+    order = np.argsort(shard, kind="stable")
+    cut = np.flatnonzero(np.concatenate(([True], np.diff(shard[order]) != 0))) if len(keys) else np.zeros(0, np.int64)
+    for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(keys)], strict=True):
+        place = order[a:b]
+        arrays = map_arrays(f"{model.folder}/{'' if by == 'key' else 'c'}{level}/{shard[place[0]]:08d}.arrays")
+        if arrays is None:
             continue
-        a, b = int(cut[s]), int(cut[s + 1])
-        arrays = map_arrays(f"{model.folder}/{level}/{s:07d}.arrays")
-        have = arrays[by]
-        at = np.minimum(np.searchsorted(have, keys[a:b]), len(have) - 1)
-        hit = np.flatnonzero(have[at] == keys[a:b])
+        have, asked = arrays[by], keys[place]
+        at = np.minimum(np.searchsorted(have, asked), len(have) - 1)
+        hit = np.flatnonzero(have[at] == asked)
         at = at[hit]
         for out, field in zip(found, fields, strict=True):
             got = arrays[field][at].astype(np.int64)
             if field == "count" and len(arrays["big_at"]) and (large := np.flatnonzero(got == 255)).size:
                 got[large] = arrays["big"][np.searchsorted(arrays["big_at"], at[large])]
-            out[a + hit] = got
+            out[place[hit]] = got
     return [x[back] for x in found]
 
 
@@ -230,36 +287,39 @@ def _probability(model: Model, contexts: list[np.ndarray], token: np.ndarray) ->
     return p, raw
 
 
-def _score(model: Model):
+def _score(model: Model, texts: Texts):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, off = utf8(batch.column(batch.num_columns - 1))
+            raw, off = utf8(texts.text(batch))
             for a, b in slices(off, SCORE_BYTES):
                 contexts, token, begin = _tokens(raw[off[a] : off[b]], off[a : b + 1] - off[a], model.order)
-                p, count = _probability(model, contexts, token)
-                at = begin[:-1]
-                columns = [batch.column(k).slice(a, b - a) for k in range(batch.num_columns - 1)]
-                columns += [
-                    pa.array(np.diff(begin)),
-                    pa.array(np.add.reduceat((count > 0).astype(np.int64), at)),
-                    pa.array(np.full(b - a, model.tokens, np.int64)),
-                    pa.array(np.add.reduceat(np.log10((count + 1) / (model.tokens + model.distinct + 1)), at)),
-                    pa.array(np.add.reduceat(np.log10(p), at)),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:-1], "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+                row = np.repeat(np.arange(b - a), np.diff(begin))
+                known, base, score = np.zeros(b - a, np.int64), np.zeros(b - a), np.zeros(b - a)
+                for k in range(0, len(token), BLOCK_TOKENS):
+                    part = slice(k, k + BLOCK_TOKENS)
+                    p, count = _probability(model, [c[part] for c in contexts], token[part])
+                    add = lambda x, part=part: np.bincount(row[part], x, b - a)  # noqa: B023, E731
+                    known += add(count > 0).astype(np.int64)
+                    base += add(np.log10((count + 1) / (model.tokens + model.distinct + 1)))
+                    score += add(np.log10(p))
+                yield batch_of([*texts.kept(batch, a, b), pa.array(np.diff(begin)), pa.array(known), pa.array(np.full(b - a, model.tokens, np.int64)), pa.array(base), pa.array(score)])
 
     return run
 
 
+_SCORED = "n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+
 def score(docs: DataFrame, model: Model, keep: list[str] | None = None, column: str = "text") -> DataFrame:
-    """Score one text column; keeps the ``keep`` columns and adds n_tokens, n_known, train_tokens, base_score, score, perplexity.
+    """Score one text column; keeps the ``keep`` columns and adds n_tokens, n_known, train_tokens, base_score, score, perplexity,
+    whose names the kept ones must not have.
 
     ``score`` is the model's log10 probability of the text and its end; ``base_score`` that of add-one single-token counts.
     """
-    keep = ["doc_id"] if keep is None else keep
-    docs = docs.select(*keep, F.col(column).cast("string").alias("__text"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields[:-1]), "n_tokens long, n_known long, train_tokens long, base_score double, score double"])
-    return docs.mapInArrow(_score(model), schema).withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
+    texts = Texts(docs, ["doc_id"] if keep is None else keep, column)
+    rows = texts.rows.mapInArrow(_score(model, texts), texts.schema(_SCORED))
+    perplexity = F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens"))
+    return texts.restored(rows, *(x.split()[0] for x in _SCORED.split(", ")), perplexity.alias("perplexity"))
 
 
 def held_out(doc_id: Column | str, parts: int, part: int) -> Column:
