@@ -13,6 +13,10 @@ Shape of the job (``near_duplicates``):
    prefix of the rarest ones must meet (``_left_over``). No link between different texts is lost to the choice of the hub;
 5. components get their smallest doc_id.
 
+A key or hub with more than ``HOT`` rows is not left to one task. Hot band keys, of which there can only be so many, are sent
+to all tasks with their hub, so their members stay where they are; the members of a hot hub are dealt to several tasks, each
+with a copy of the hub's sketch or set.
+
 With 6 rows and 40 bands a pair at similarity 0.8 shares no key with probability (1 - 0.8**6)**40 = 5e-6. The screen drops
 a pair at 0.8 with probability under 1e-9 (6.4 standard deviations).
 """
@@ -31,6 +35,7 @@ from ._text import distinct, mix, shingles, slices, utf8, words
 from .components import components
 
 BANDS, ROWS, BITS = 40, 6, 512
+HOT, MOST_SENT = 2000, 100_000
 #: Differing bits beyond which a pair is not confirmed: an estimated similarity of about 0.53.
 SCREEN_BITS = 150
 _FACTORS = (mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x5851F42D4C957F2D)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
@@ -94,18 +99,34 @@ def _arrays(size: int):
     return run
 
 
+def _joined(rows: DataFrame, keys: list[str], by: str, payload: DataFrame) -> DataFrame:
+    """``rows.join(payload, keys)``: the rows of a key that has more than ``HOT`` go to several tasks by the hash of ``by``, each
+    with a copy of that key's payload. ``rows`` are read twice, so they should be written ones."""
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > HOT)
+    sizes = materialize(sizes.select(*keys, F.ceil(F.col("n") / HOT).alias("parts")), "nd-hot")
+    n = sizes.count()
+    if not n:
+        return rows.join(payload, keys)
+    sizes = F.broadcast(sizes) if n <= MOST_SENT else sizes
+    parts = F.coalesce("parts", F.lit(1))
+    rows = rows.join(sizes, keys, "left").withColumn("part", F.pmod(F.xxhash64(by), parts)).drop("parts")
+    payload = payload.join(sizes, keys, "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("parts")
+    return rows.join(payload, [*keys, "part"]).drop("part")
+
+
 def _screened(pairs: DataFrame, reps: DataFrame, threshold: int) -> DataFrame:
     """Pairs (a, b) whose sizes and odd sketches allow the similarity."""
     of = lambda p: reps.select(F.col("rep").alias(p), F.col("n").alias(f"n_{p}"), F.col("sketch").alias(f"sk_{p}"))
     differ = sum((F.bit_count(F.col("sk_a")[i].bitwiseXOR(F.col("sk_b")[i])) for i in range(BITS // 64)), F.lit(0))
     near = (100 * F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b")) & (differ <= SCREEN_BITS)
-    return pairs.join(of("a"), "a").join(of("b"), "b").where(near).select("a", "b").distinct()
+    return _joined(pairs, ["b"], "a", of("b")).join(of("a"), "a").where(near).select("a", "b").distinct()
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """Links: 100 * intersection >= threshold * union on the full shingle sets."""
     of = lambda p: sets.select(F.col("rep").alias(p), F.col("grams").alias(f"g_{p}"))
-    both = pairs.join(of("a"), "a").join(of("b"), "b").withColumn("i", F.size(F.array_intersect("g_a", "g_b")))
+    pairs = materialize(pairs, "nd-screened")
+    both = _joined(pairs, ["b"], "a", of("b")).join(of("a"), "a").withColumn("i", F.size(F.array_intersect("g_a", "g_b")))
     return both.where(100 * F.col("i") >= threshold * (F.size("g_a") + F.size("g_b") - F.col("i"))).select("a", "b")
 
 
@@ -123,8 +144,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: int = 80) -> Data
     whole = feats.where("n > 0 AND doc_id IS NOT NULL")
     reps = materialize(whole.groupBy("s0", "s1", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "nd-reps")
     keyed = reps.select("rep", "copies", F.explode("bands").alias("key"))
-    shared = keyed.groupBy("key").agg(F.max(F.struct("copies", (-F.col("rep")).alias("low"))).alias("hub"), F.count("*").alias("m")).where("m > 1").select("key", "hub", (-F.col("hub.low")).alias("b"))
-    first = keyed.join(shared, "key").where("rep <> b").groupBy(F.col("rep").alias("a"), "b").agg(F.max("hub").alias("hub"))
+    shared = keyed.groupBy("key").agg(F.max(F.struct("copies", (-F.col("rep")).alias("low"))).alias("hub"), F.count("*").alias("m")).where("m > 1").select("key", "hub", (-F.col("hub.low")).alias("b"), "m")
+    shared = materialize(shared, "nd-shared")
+    # at most MOST_SENT keys can have this many rows
+    many = max(HOT, reps.count() * BANDS // MOST_SENT + 1)
+    hot = F.broadcast(shared.where(F.col("m") > many))
+    first = keyed.join(hot, "key", "left_anti").join(shared.where(F.col("m") <= many), "key").unionByName(keyed.join(hot, "key"))
+    first = first.where("rep <> b").groupBy(F.col("rep").alias("a"), "b").agg(F.max("hub").alias("hub"))
     first = materialize(first, "nd-first")
     # the ids grow with the documents: the plan is that of a large input at any size
     wanted = first.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct().hint("merge")
@@ -132,7 +158,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: int = 80) -> Data
     sets = materialize(texts.mapInArrow(_arrays(size), "rep long, grams array<long>"), "nd-sets")
     links = materialize(_confirmed(_screened(first.select("a", "b"), reps, threshold), sets, threshold), "nd-links")
     roots = components(links)
-    more = materialize(_confirmed(_screened(_left_over(first, roots, sets, threshold), reps, threshold), sets, threshold), "nd-links")
+    left = materialize(_left_over(first, roots, sets, threshold), "nd-left")
+    more = materialize(_confirmed(_screened(left, reps, threshold), sets, threshold), "nd-links")
     if not more.isEmpty():
         links = links.union(more)
         roots = components(links)
@@ -171,13 +198,14 @@ def _left_over(first: DataFrame, roots: DataFrame, sets: DataFrame, threshold: i
     members = members.where("a <> p").select("a", F.col("p").alias("b")).distinct()
     placed = members.join(of("a", "ra"), "a", "left").join(of("b", "rb"), "b", "left").select("a", "b", F.coalesce("ra", "a").alias("ra"), F.coalesce("rb", "b").alias("rb"))
     placed = materialize(placed, "nd-placed")
-    members = placed.join(placed.where("ra <> rb").select("b").distinct(), "b", "left_semi")
+    members = _joined(placed, ["b"], "a", placed.where("ra <> rb").select("b").distinct())
+    members = materialize(members, "nd-members")
     grams = lambda p: sets.select(F.col("rep").alias(p), F.col("grams").alias(f"g_{p}"))
-    members = members.join(grams("a"), "a").join(grams("b"), "b")
+    members = _joined(members, ["b"], "a", grams("b")).join(grams("a"), "a")
     members = members.select("a", "b", "ra", F.size("g_a").alias("n"), F.size("g_b").alias("nb"), F.concat(F.array_except("g_a", "g_b"), F.array_except("g_b", "g_a")).alias("d"))
     members = members.withColumn("m", F.size("d")).withColumn("over", F.col("m") - c * (F.col("n") + F.col("nb")))
     spread = materialize(members.select("a", "b", "ra", "n", "m", "over", F.explode("d").alias("gram")), "nd-spread")
-    spread = spread.join(spread.groupBy("b", "gram").agg(F.count("*").alias("df")), ["b", "gram"])
+    spread = _joined(spread, ["b", "gram"], "a", spread.groupBy("b", "gram").agg(F.count("*").alias("df")))
     spread = spread.withColumn("place", F.row_number().over(Window.partitionBy("b", "a").orderBy("df", "gram")))
     meets = spread.where(F.col("place") <= F.col("m") - F.floor((1 - c) / 2 * F.col("m") - 1e-9))
     outside = spread.where((F.col("over") > -1e-9) & (F.col("place") <= F.col("m") + 1 - F.greatest(F.lit(1), F.ceil(F.col("over") / (1 + c) - 1e-9))))
@@ -187,3 +215,19 @@ def _left_over(first: DataFrame, roots: DataFrame, sets: DataFrame, threshold: i
     sized = 100 * F.least("nx", "ny") >= threshold * F.greatest("nx", "ny")
     pairs = side(outside, "x").join(side(meets, "y"), ["b", "gram"]).where((F.col("rax") != F.col("ray")) & sized & (shared <= most + 1e-9))
     return pairs.select(F.greatest("ax", "ay").alias("a"), F.least("ax", "ay").alias("b")).distinct()
+
+
+def _sql(size: int, threshold: int) -> str:
+    """The same in DuckDB by counting common shingles of all pairs that share one; for tables whose doc_ids differ."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return f"""WITH RECURSIVE words AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{upper}', '{lower}'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+sets AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + {size - 1}], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - {size - 2}, 2))) AS i FROM words WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM sets a JOIN sets b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= {threshold} * (x.n + y.n - i)),
+reach(id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT id, b FROM reach JOIN links ON a = other),
+roots AS (SELECT id, min(other) AS root FROM reach GROUP BY id)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, root AS component_id, d.doc_id = root AS kept FROM documents d JOIN roots ON id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id"""
+
+
+ORACLE_SQL = _sql(4, 80)

@@ -48,7 +48,7 @@ def op9_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat_repair.scan(_table(spark, sf_dir, "conversations"))
+    return chat_repair.repair(_table(spark, sf_dir, "conversations"))
 
 
 QUERIES = {
@@ -63,4 +63,4 @@ QUERIES = {
     "op9_spotsigs": op9_spotsigs,
     "op10_chat_repair": op10_chat_repair,
 }
-ORACLE_SQL: dict[str, str] = {"op4_pii": pii.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_pii": pii.ORACLE_SQL, "op8_near_dedup": near_dedup.ORACLE_SQL, "op10_chat_repair": chat_repair.ORACLE_SQL}

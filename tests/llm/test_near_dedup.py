@@ -1,5 +1,8 @@
 import random
 
+import pytest
+
+from tapespark.llm import near_dedup
 from tapespark.llm.near_dedup import near_duplicates
 
 
@@ -69,7 +72,10 @@ def test_one_id_with_two_texts(spark):
     assert {r["component_id"] for r in got} == {2}
 
 
-def test_large_group_of_near_copies(spark):
+@pytest.mark.parametrize("hot", [2000, 5])
+def test_large_group_of_near_copies(spark, monkeypatch, hot):
+    """Also with so low a bound that keys and hubs are dealt to several tasks."""
+    monkeypatch.setattr(near_dedup, "HOT", hot)
     rnd = random.Random(9)
     base = [f"b{i}" for i in range(150)]
     rows = [(1000 + k, " ".join(base)) for k in range(5)]
@@ -80,3 +86,10 @@ def test_large_group_of_near_copies(spark):
         rows.append((k, " ".join(w)))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert {tuple(r) for r in near_duplicates(df, 4, 80).collect()} == brute(rows, 4, 80)
+
+
+def test_very_long_text_and_clashing_names(spark):
+    base = [f"w{i}" for i in range(300_000)]
+    rows = [(1, " ".join(base), 1, 2), (2, " ".join([*base[:-9], "x"]), 1, 2), (3, "short one", 1, 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, x int, y int").toDF("doc_id", "text", "n", "a.b")
+    assert sorted((r["doc_id"], r["component_id"]) for r in near_duplicates(df, 4).collect()) == [(1, 1), (2, 1), (3, 3)]
