@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def display_number(text: Column) -> Column:
-    """A displayed number such as $12.4K, 45% or 1,234 as a double; null if it isn't one."""
+    """A number as pages show it, with a currency sign, separators, or a suffix for a multiple, as a double; null if it isn't one."""
     pattern = r"^\s*[~<>]?\$?\s*(-?[0-9][0-9,]*\.?[0-9]*|-?\.[0-9]+)\s*([kKmMbB%]?)\s*$"
     digits = F.regexp_replace(F.regexp_extract(text, pattern, 1), ",", "")
     suffix = F.lower(F.regexp_extract(text, pattern, 2))
@@ -21,7 +21,7 @@ _SECONDS = {"s": 1, "m": 60, "h": 3600, "d": 86_400, "w": 604_800, "mo": 2_592_0
 
 
 def display_duration(text: Column) -> Column:
-    """A displayed duration such as 1h 5m or 3mo in seconds; null if anything is left over."""
+    """A length of time as pages show it, amounts each with a unit, in seconds; null if anything is left over."""
     low = F.lower(F.trim(text))
     amounts, units = F.regexp_extract_all(low, F.lit(_UNIT), F.lit(1)), F.regexp_extract_all(low, F.lit(_UNIT), F.lit(2))
     factor = F.create_map(*(x for k, v in _SECONDS.items() for x in (F.lit(k), F.lit(float(v)))))

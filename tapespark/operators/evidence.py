@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from . import scratch
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -31,18 +34,26 @@ def violations(rows: DataFrame, key: str, rules: dict[str, Column]) -> DataFrame
     return rows.select(key, F.explode(F.filter(found, lambda m: m.isNotNull())).alias("problem"))
 
 
-def lineage(nodes: DataFrame, key: str, parent: str, leaf: DataFrame, most: int = 64) -> DataFrame:
-    """Ancestors of the keys in ``leaf``, as (start, key, depth) with depth 0 the key itself; one join per generation."""
-    step = leaf.select(F.col(key).alias("start"), F.col(key))
-    found = None
-    links = nodes.select(F.col(key).alias("__child"), F.col(parent).alias("__parent"))
-    for depth in range(most):
-        level = step.withColumn("depth", F.lit(depth).cast("long"))
-        found = level if found is None else found.union(level)
-        step = step.join(links, step[key] == links["__child"]).where("__parent IS NOT NULL").select("start", F.col("__parent").alias(key))
-        if step.isEmpty():
-            break
-    return found
+def lineage(nodes: DataFrame, key: str, parent: str, leaf: DataFrame) -> DataFrame:
+    """Rows (start, key, depth): each leaf and its ancestors, depth 0 first, until none has a parent.
+
+    Pointers are doubled: after k rounds a row knows the ancestor 2^k steps up, so the rounds are the logarithm of the longest
+    line; each is written to the shared folder. A cycle raises.
+    """
+    links = nodes.where(F.col(parent).isNotNull()).select(F.col(key).alias("a"), F.col(parent).alias("b")).distinct()
+    jumps = scratch.written(links, "lineage-jumps")
+    most = jumps.count()
+    found = scratch.written(leaf.select(F.col(key).alias("start"), F.col(key).alias("at"), F.lit(0).cast("long").alias("depth")), "lineage-rows")
+    steps = 1
+    while True:
+        more = found.join(jumps, F.col("at") == F.col("a")).select("start", F.col("b").alias("at"), (F.col("depth") + steps).alias("depth"))
+        found = scratch.written(found.union(more), "lineage-rows")
+        far = jumps.select(F.col("a").alias("x"), F.col("b").alias("m")).join(jumps, F.col("m") == F.col("a")).select(F.col("x").alias("a"), "b")
+        jumps, steps = scratch.written(far, "lineage-jumps"), 2 * steps
+        if jumps.isEmpty():
+            return found.select("start", F.col("at").alias(key), "depth")
+        if steps > most:
+            raise ValueError("a node is its own ancestor")
 
 
 def quote_found(quote: Column, texts: Column) -> Column:
@@ -52,13 +63,52 @@ def quote_found(quote: Column, texts: Column) -> Column:
     return F.when(quote.isNull() | (F.trim(quote) == "") | texts.isNull(), None).otherwise(F.contains(normal(texts), normal(quote)))
 
 
-def fingerprint(rows: DataFrame, day: Column, columns: list[str]) -> DataFrame:
-    """A hash per day that does not depend on the order of rows, and their number."""
-    return rows.groupBy(day.alias("day")).agg(F.count("*").alias("n"), F.sum(F.xxhash64(*columns).cast("decimal(38,0)")).cast("string").alias("fingerprint"))
+def _runs(words: str, n: int) -> Column:
+    """All runs of ``n`` of the words, of which there are as many at least."""
+    return F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " "))
+
+
+def quote_holders(quotes: DataFrame, texts: DataFrame, item: str, quote: str, doc: str, body: str) -> DataFrame:
+    """(item, doc): the texts that hold a quote; both are normalised, blank quotes are in none.
+
+    A quote may begin and end inside a word of a text. So quotes of three words or more meet texts on their inner words, the
+    first four of them at most; those of two on the end of the word that the first is; single words on parts of the texts'
+    distinct words. What meets is then compared as a whole.
+    """
+    words = F.split(F.col(quote), " ")
+    q = quotes.where(F.trim(quote) != "").select(item, quote, F.least(F.size(words) - 2, F.lit(4)).alias("n")).withColumn("gram", F.array_join(F.slice(words, F.when(F.col("n") > 0, 2).otherwise(1), F.greatest("n", F.lit(1))), " "))
+    w = texts.where(F.col(body).isNotNull()).select(doc, F.split(F.col(body), " ").alias("w"))
+    used = [r["n"] for r in q.select("n").distinct().collect()]  # six numbers at most
+    met = []
+    for n in [n for n in used if n > 0]:
+        met.append(w.where(F.size("w") >= n).select(doc, F.explode(F.array_distinct(_runs("w", n))).alias("gram")).join(q.where(F.col("n") == n), "gram"))
+    if any(n <= 0 for n in used):
+        held = w.select(doc, F.explode(F.array_distinct("w")).alias("word"))
+        ends = held.select("word").distinct().where("word <> ''").select("word", F.explode(F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: F.substring(F.col("word"), i, F.length("word")))).alias("gram"))
+        if 0 in used:
+            met.append(ends.join(q.where("n = 0"), "gram").join(held, "word"))
+        if -1 in used:
+            sizes = [r["k"] for r in q.where("n = -1").select(F.length("gram").alias("k")).distinct().collect()]  # lengths of words
+            parts = ends.select("word", F.explode(F.array(*(F.when(F.length("gram") >= k, F.left("gram", F.lit(k))) for k in sizes))).alias("gram")).where("gram IS NOT NULL").distinct()
+            met.append(parts.join(q.where("n = -1"), "gram").join(held, "word"))
+    if not met:
+        return quotes.sparkSession.createDataFrame([], StructType([quotes.schema[item], texts.schema[doc]]))
+    pairs = met[0].select(item, quote, doc)
+    for more in met[1:]:
+        pairs = pairs.union(more.select(item, quote, doc))
+    return pairs.distinct().join(texts.select(doc, body), doc).where(F.contains(F.col(body), F.col(quote))).select(item, doc)
+
+
+def fingerprint(rows: DataFrame, by: list[str], order: list[str], columns: list[str]) -> DataFrame:
+    """Per group the number of rows and the sha256 over the rows' own, in order; 64 characters of each row stand in one string,
+    so groups are to be days or the like."""
+    own = F.sha2(F.concat_ws("\x1f", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns)), 256)
+    ordered = F.array_sort(F.collect_list(F.struct(*order, own.alias("__own"))))
+    return rows.groupBy(*by).agg(F.count("*").alias("n"), ordered.alias("__all")).select(*by, "n", F.sha2(F.array_join(F.transform("__all", lambda x: x["__own"]), ""), 256).alias("fingerprint"))
 
 
 def split_problems(splits: DataFrame, name: str, start: str, end: str) -> DataFrame:
-    """Splits that are empty or begin before the one before them has ended."""
-    before = F.lag(end).over(Window.orderBy(start))
+    """Splits that are empty, or begin before one that began earlier has ended. A handful of rows, so in one window."""
+    before = F.max(end).over(Window.orderBy(start, name).rowsBetween(Window.unboundedPreceding, -1))
     bad = F.when(F.col(start) >= F.col(end), "empty").when(before > F.col(start), "overlaps")
     return splits.select(name, bad.alias("problem")).where("problem IS NOT NULL")

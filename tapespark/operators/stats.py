@@ -41,6 +41,32 @@ def auc(rows: DataFrame, score: str, label: str) -> DataFrame:
     return won.agg((F.sum(F.col("p") * (F.col("lower") + F.col("n") / 2)) / F.nullif(F.sum("p") * F.sum("n"), F.lit(0.0))).alias("auc"))
 
 
+def counts_up_to(asked: DataFrame, at: str, series: dict[str, DataFrame], windows: dict[str, tuple[str, int]], block: int) -> DataFrame:
+    """``asked`` with, for each of ``windows`` (name: series, width), how many ``x`` of the series lie in (at - width, at].
+
+    Time is cut in blocks. Series shrink to counts by time before they move; the running count within a block is a window of
+    that block, and what lies before it a running sum over the blocks' totals. Rows of ``asked`` must differ.
+    """
+    names = asked.columns
+    asks = F.array(*(F.struct(F.lit(name).alias("name"), F.lit(which).alias("which"), F.lit(shift).cast("long").alias("shift"), F.lit(sign).alias("sign")) for name, (which, width) in windows.items() for shift, sign in ((0, 1), (width, -1))))
+    questions = asked.withColumn("a", F.explode(asks)).select(F.struct(*names).alias("row"), "a.name", "a.sign", "a.which", (F.col(at) - F.col("a.shift")).alias("x"), F.lit(0).cast("long").alias("n"))
+    kind = questions.schema["row"].dataType
+    counts = None
+    for which, df in series.items():
+        part = df.where("x IS NOT NULL").groupBy("x").agg(F.count("*").alias("n")).withColumn("which", F.lit(which))
+        counts = part if counts is None else counts.unionByName(part)
+    line = questions.unionByName(counts.select(F.lit(None).cast(kind).alias("row"), F.lit(None).cast("string").alias("name"), F.lit(0).alias("sign"), "which", "x", "n"))
+    line = line.withColumn("block", F.floor(F.col("x") / block))
+    inside = F.sum("n").over(Window.partitionBy("which", "block").orderBy("x").rangeBetween(Window.unboundedPreceding, 0))
+    totals = counts.groupBy("which", F.floor(F.col("x") / block).alias("b")).agg(F.sum("n").alias("n"))
+    # a block's total counts for the questions of later blocks: both stand in one line of blocks
+    ends = totals.select("which", "b", "n", F.lit(False).alias("asks")).union(line.where("row IS NOT NULL").select("which", F.col("block").alias("b")).distinct().select("which", "b", F.lit(0).cast("long"), F.lit(True)))
+    before = ends.groupBy("which", "b").agg(F.sum("n").alias("n"), F.bool_or("asks").alias("asks"))
+    before = before.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("which").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).where("asks").select("which", F.col("b").alias("block"), "before")
+    found = line.withColumn("inside", inside).where("row IS NOT NULL").join(before, ["which", "block"])
+    return found.groupBy("row").pivot("name", list(windows)).agg(F.sum(F.col("sign") * (F.col("inside") + F.col("before")))).select("row.*", *windows)
+
+
 def sign_test(k: Column, n: Column) -> Column:
     """Exact two-sided sign test of k of n, in logs, so it does not underflow."""
     log_factorial = lambda m: F.aggregate(F.sequence(F.lit(1), F.greatest(m.cast("int"), F.lit(1))), F.lit(0.0), lambda a, i: a + F.log(i.cast("double")))

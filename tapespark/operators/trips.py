@@ -2,49 +2,72 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from .folds import sweep
 
 #: A trip is over when at most this share of its largest position is left.
 DUST = 0.01
 
-_TRIP = "struct<opened:bigint,closed:bigint,sol_in:double,sol_out:double,bought:double,sold:double,n_buys:int,n_sells:int>"
+_TRIP = "usr long, mint long, opened long, closed long, sol_in double, sol_out double, bought double, sold double, n_buys int, n_sells int"
+_PRINT = ("usr", "mint", "recv", "buy", "sol", "tok")
 
 
 def round_trips(prints: DataFrame) -> DataFrame:
     """One row per trip of (usr, mint): it opens at the first buy when flat, and closes when the position falls to 1% of its peak.
 
-    Sells when flat are left out; a trip that is not over has a null ``closed``. Prints are folded in order of (recv, seq), so
-    equal times have a fixed order. A group's prints are sorted once; the fold is one expression.
+    Sells when flat are left out; a trip that is not over has a null ``closed``. Prints are walked in order of (recv, seq), so
+    equal times have a fixed order; the state is one open trip, however many prints a wallet has. Prints without a time, side
+    or amount are not counted.
     """
-    events = F.array_sort(F.collect_list(F.struct("recv", "seq", "buy", "sol", "tok")))
-    blank = F.struct(F.lit(0.0).alias("pos"), F.lit(0.0).alias("peak"), F.lit(None).cast(_TRIP).alias("now"), F.array().cast(f"array<{_TRIP}>").alias("done"))
-
-    def trip(opened: Column, closed: Column, sol_in: Column, sol_out: Column, bought: Column, sold: Column, nb: Column, ns: Column) -> Column:
-        fields = (opened.cast("long"), closed.cast("long"), sol_in.cast("double"), sol_out.cast("double"), bought.cast("double"), sold.cast("double"), nb.cast("int"), ns.cast("int"))
-        names = ("opened", "closed", "sol_in", "sol_out", "bought", "sold", "n_buys", "n_sells")
-        return F.struct(*(f.alias(n) for f, n in zip(fields, names, strict=True)))
-
-    def step(s: Column, e: Column) -> Column:
-        now = s["now"]
-        opened = trip(e["recv"], F.lit(None), e["sol"], F.lit(0.0), e["tok"], F.lit(0.0), F.lit(1), F.lit(0))
-        more = trip(now["opened"], F.lit(None), now["sol_in"] + e["sol"], now["sol_out"], now["bought"] + e["tok"], now["sold"], now["n_buys"] + 1, now["n_sells"])
-        less = trip(now["opened"], F.lit(None), now["sol_in"], now["sol_out"] + e["sol"], now["bought"], now["sold"] + e["tok"], now["n_buys"], now["n_sells"] + 1)
-        over = trip(now["opened"], e["recv"], now["sol_in"], now["sol_out"] + e["sol"], now["bought"], now["sold"] + e["tok"], now["n_buys"], now["n_sells"] + 1)
-        state = lambda pos, peak, at, done: F.struct(pos.cast("double").alias("pos"), peak.cast("double").alias("peak"), at.alias("now"), done.alias("done"))
-        left = s["pos"] - e["tok"]
-        closes = left <= DUST * s["peak"]
-        return (
-            F.when(e["buy"] & now.isNull(), state(e["tok"], e["tok"], opened, s["done"]))
-            .when(e["buy"], state(s["pos"] + e["tok"], F.greatest(s["peak"], s["pos"] + e["tok"]), more, s["done"]))
-            .when(now.isNull(), s)
-            .when(closes, state(F.lit(0.0), F.lit(0.0), F.lit(None).cast(_TRIP), F.concat(s["done"], F.array(over))))
-            .otherwise(state(left, s["peak"], less, s["done"]))
-        )
-
-    finish = lambda s: F.when(s["now"].isNull(), s["done"]).otherwise(F.concat(s["done"], F.array(s["now"])))
-    folded = prints.groupBy("usr", "mint").agg(events.alias("events"))
-    return folded.select("usr", "mint", F.inline(F.aggregate("events", blank, step, finish)))
+    schema = StructType.fromDDL(_TRIP)
+    names = schema.names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, pos, peak, trip = None, 0.0, 0.0, None
+        for batch in batches:
+            done = []
+            for usr, mint, recv, buy, sol, tok in zip(*(batch.column(c).to_pylist() for c in _PRINT), strict=True):
+                if (usr, mint) != key:
+                    if trip:
+                        done.append(trip)
+                    key, pos, peak, trip = (usr, mint), 0.0, 0.0, None
+                if buy:
+                    pos += tok
+                    if trip:
+                        trip[4] += sol
+                        trip[6] += tok
+                        trip[8] += 1
+                        peak = max(peak, pos)
+                    else:
+                        pos = peak = tok
+                        trip = [usr, mint, recv, None, sol, 0.0, tok, 0.0, 1, 0]
+                elif trip:
+                    trip[5] += sol
+                    trip[7] += tok
+                    trip[9] += 1
+                    if pos - tok <= DUST * peak:
+                        trip[3] = recv
+                        done.append(trip)
+                        pos, peak, trip = 0.0, 0.0, None
+                    else:
+                        pos -= tok
+            if done:
+                yield _batch(done)
+        if trip:
+            yield _batch([trip])
+
+    def _batch(rows: list) -> pa.RecordBatch:
+        types = [pa.int64()] * 4 + [pa.float64()] * 4 + [pa.int32()] * 2
+        return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), types, strict=True)], names)
+
+    rows = prints.select(*_PRINT, "seq").dropna(subset=list(_PRINT[2:]))
+    return sweep(rows, ["usr", "mint"], ["recv", "seq"], run, schema)
 
 
 def summarize(trips: DataFrame, by: str = "usr") -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import evidence, folds, joins, stats, trips
-from ..sources import tape
+from ..sources import feeds, tape
 from ..sources.tape import DAILY, DAY, LAUNCHES, SECOND, TAPE, TICKS
 from .panels import daily
 from .registry import Tables, query
@@ -27,8 +27,8 @@ def _running(*by: str):
 
 @query(
     "c2_selection_edge",
-    f"""WITH {TAPE}, k AS (SELECT seq, mint, recv, sol FROM tape WHERE buy AND usr = 7),
-c AS (SELECT k.seq, q.mint AS peer, max(q.recv) AS at_t FROM k JOIN tape q ON q.recv > k.recv - 86400000000 AND q.recv < k.recv AND q.mint <> k.mint AND q.sol BETWEEN k.sol * 0.5 AND k.sol * 1.5 GROUP BY ALL),
+    f"""WITH {TAPE}, k AS (SELECT seq, mint, recv, sol FROM tape WHERE buy),
+c AS (SELECT k.seq, q.mint AS peer, max(q.recv) AS at_t FROM k JOIN tape q ON q.recv > k.recv - 3600000000 AND q.recv < k.recv AND q.mint <> k.mint AND q.sol BETWEEN k.sol * 0.5 AND k.sol * 1.5 GROUP BY ALL),
 d AS (SELECT seq, peer FROM (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY (peer * 7919 + seq * 104729) % 1000003, peer) AS r FROM c) WHERE r <= 3),
 a AS (SELECT seq, mint AS who, recv, true AS picked FROM k UNION ALL SELECT d.seq, d.peer, k.recv, false FROM d JOIN k ON k.seq = d.seq),
 r AS (SELECT a.seq, a.picked, (SELECT arg_min({_PX}, (recv, seq)) FROM tape p WHERE p.mint = a.who AND p.recv >= a.recv + 2592000000000) / (SELECT arg_max({_PX}, (recv, seq)) FROM tape p WHERE p.mint = a.who AND p.recv <= a.recv) - 1 AS ret FROM a),
@@ -40,7 +40,7 @@ def c2_selection_edge(t: Tables) -> DataFrame:
     from .tape import c4_matched_controls
 
     rows = priced(t)
-    picks = rows.where("buy AND usr = 7").select("seq", F.col("mint").alias("who"), "recv")
+    picks = rows.where("buy").select("seq", F.col("mint").alias("who"), "recv")
     peers = c4_matched_controls(t).select("seq", F.col("peer").alias("who")).join(picks.select("seq", "recv"), "seq")
     both = picks.withColumn("picked", F.lit(True)).unionByName(peers.withColumn("picked", F.lit(False)))
     states = rows.select(F.col("mint").alias("who"), "recv", "px", F.col("seq").alias("o"))
@@ -108,13 +108,13 @@ def c16_cross_fitted_triggers(t: Tables) -> DataFrame:
 
 @query(
     "c17_path_after_entry",
-    f"""WITH {TAPE}, e AS (SELECT mint, seq, recv, {_PX} AS px FROM tape WHERE buy AND usr = 9), x AS (SELECT e.seq, e.px, h, (SELECT arg_max({_PX}, (p.recv, p.seq)) FROM tape p WHERE p.mint = e.mint AND p.recv <= e.recv + h * 86400000000::BIGINT) AS later FROM e, (VALUES (1), (7), (30)) v(h))
+    f"""WITH {TAPE}, e AS (SELECT mint, seq, recv, {_PX} AS px FROM tape WHERE buy), x AS (SELECT e.seq, e.px, h, (SELECT arg_max({_PX}, (p.recv, p.seq)) FROM tape p WHERE p.mint = e.mint AND p.recv <= e.recv + h * 86400000000::BIGINT) AS later FROM e, (VALUES (1), (7), (30)) v(h))
 SELECT CAST(h AS BIGINT) AS days, count(*) AS n, round(avg(later / px - 1), 6) AS mean, round(quantile_cont(later / px - 1, 0.5), 6) AS median FROM x GROUP BY h""",
 )
 def c17_path_after_entry(t: Tables) -> DataFrame:
-    """Mean and median return at horizons after a wallet's entries."""
+    """Mean and median return at horizons after entries."""
     rows = priced(t)
-    e = rows.where("buy AND usr = 9").select("mint", "seq", "px", "recv", F.explode(F.array(*(F.lit(x).cast("long") for x in (1, 7, 30)))).alias("days"))
+    e = rows.where("buy").select("mint", "seq", "px", "recv", F.explode(F.array(*(F.lit(x).cast("long") for x in (1, 7, 30)))).alias("days"))
     e = e.withColumnRenamed("px", "entry").withColumn("recv", F.col("recv") + F.col("days") * DAY)
     x = joins.asof_join(e, rows.select("mint", "recv", "px", F.col("seq").alias("o")), ["mint"], "recv", ["px"], order=["o"])
     ret = F.col("px") / F.col("entry") - 1
@@ -173,18 +173,30 @@ def c21_narrative_clusters(t: Tables) -> DataFrame:
     return c.where("others >= 3").groupBy("word").agg(F.min("born").alias("first"), F.max("others").alias("largest"))
 
 
+_NAMED = "named AS (SELECT l_partkey AS mint, epoch_us(CAST(CAST(l_shipdate AS DATE) AS TIMESTAMP)) + ((l_orderkey * 97 + l_linenumber * 13) % 86400) * 1000000 AS recv, l_orderkey * 10 + l_linenumber AS seq, (l_extendedprice + 30) / (l_quantity + 1) AS px FROM lineitem)"
+_THEMES = "themes AS (SELECT p_partkey AS mint, p_type || ' ' || p_brand AS theme FROM part)"
+
+
 @query(
     "c22_sympathy",
-    f"""WITH {TAPE}, l AS (SELECT mint, min(recv) AS t FROM tape WHERE {_PX} >= 1700 GROUP BY mint), p AS (SELECT l.mint AS leader, q.mint, arg_max({_PX}, (q.recv, q.seq)) AS px FROM l JOIN tape q ON q.mint <> l.mint AND q.mint % 3 = l.mint % 3 AND q.recv > l.t - 864000000000 AND q.recv <= l.t GROUP BY ALL)
-SELECT leader, arg_min(mint, (px, mint)) AS follower, round(min(px), 6) AS px FROM p GROUP BY leader""",
+    f"""WITH {_NAMED}, {_THEMES}, lead AS (SELECT mint, min(recv) AS t, arg_min(px, (recv, seq)) AS lpx FROM named WHERE px >= 20000 GROUP BY mint),
+c AS (SELECT l.mint AS leader, l.t, l.lpx, b.mint, arg_max(q.px, (q.recv, q.seq)) AS px, max(q.recv) AS seen FROM lead l JOIN themes a ON a.mint = l.mint JOIN themes b ON b.theme = a.theme AND b.mint <> l.mint JOIN named q ON q.mint = b.mint AND q.recv > l.t - 8640000000000 AND q.recv <= l.t GROUP BY ALL)
+SELECT leader, t, count(*) AS candidates, arg_max(mint, (px, mint)) AS largest, round(max(px), 6) AS px, arg_max(mint, (seen, mint)) AS latest FROM c WHERE px < lpx GROUP BY leader, t""",
 )
 def c22_sympathy(t: Tables) -> DataFrame:
-    """When a leader crosses a level, the cheapest token of its group that was active in the ten days before."""
-    rows = priced(t)
-    lead = rows.where("px >= 1700").groupBy("mint").agg(F.min("recv").alias("t")).select(F.col("mint").alias("leader"), (F.col("mint") % 3).alias("grp"), "t")
-    q = joins.range_join(lead, rows.withColumn("grp", F.col("mint") % 3), ["grp"], "t", "recv", -10 * DAY + 1, 0, condition=F.col("leader") != F.col("mint"))
-    p = q.groupBy("leader", "mint").agg(F.max_by("px", F.struct("recv", "seq")).alias("px"))
-    return p.groupBy("leader").agg(F.min_by("mint", F.struct("px", "mint")).alias("follower"), F.round(F.min("px"), 6).alias("px"))
+    """When a token first crosses a level, the cheaper tokens of its theme that were active before: the largest and the latest.
+
+    Prints of a theme and the crossings in it meet on (theme, time bucket) and shrink to one row per token at once.
+    """
+    l = t("lineitem")
+    recv = tape.day_of(F.col("l_shipdate")) + (F.col("l_orderkey") * 97 + F.col("l_linenumber") * 13) % 86_400 * SECOND
+    theme = t("part").select(F.col("p_partkey").alias("mint"), F.concat_ws(" ", "p_type", "p_brand").alias("theme"))
+    rows = l.select(F.col("l_partkey").alias("mint"), recv.alias("recv"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), ((F.col("l_extendedprice") + 30) / (F.col("l_quantity") + 1)).alias("px")).join(theme, "mint")
+    at = F.struct("recv", "seq")
+    lead = rows.where("px >= 20000").groupBy("mint", "theme").agg(F.min("recv").alias("t"), F.min_by("px", at).alias("lpx")).withColumnRenamed("mint", "leader")
+    near = joins.range_join(lead, rows, ["theme"], "t", "recv", -100 * DAY + 1, 0, condition=F.col("leader") != F.col("mint"))
+    c = near.groupBy("leader", "t", "lpx", "mint").agg(F.max_by("px", at).alias("px"), F.max("recv").alias("seen")).where("px < lpx")
+    return c.groupBy("leader", "t").agg(F.count("*").alias("candidates"), F.max_by("mint", F.struct("px", "mint")).alias("largest"), F.round(F.max("px"), 6).alias("px"), F.max_by("mint", F.struct("seen", "mint")).alias("latest"))
 
 
 @query(
@@ -259,25 +271,29 @@ def c31_dated_windows(t: Tables) -> DataFrame:
 
 @query(
     "c34_pair_spread",
-    f"WITH {DAILY}, x AS (SELECT day, max(ln(close)) FILTER (symbol = 'BUILDING') - max(ln(close)) FILTER (symbol = 'MACHINERY') AS s FROM daily GROUP BY day) SELECT day, round((s - avg(s) OVER w) / nullif(stddev_samp(s) OVER w, 0), 6) AS z FROM x WHERE s IS NOT NULL WINDOW w AS (ORDER BY day ROWS 19 PRECEDING)",
+    f"""WITH {DAILY}, x AS (SELECT a.day, a.symbol AS x, b.symbol AS y, ln(a.close) - ln(b.close) AS s FROM daily a JOIN daily b ON b.day = a.day AND a.symbol < b.symbol)
+SELECT day, x, y, round((s - avg(s) OVER w) / nullif(stddev_samp(s) OVER w, 0), 6) AS z FROM x WINDOW w AS (PARTITION BY x, y ORDER BY day ROWS 19 PRECEDING)""",
 )
 def c34_pair_spread(t: Tables) -> DataFrame:
-    """Z-score of a pair's log spread over twenty bars; the pair is the key."""
-    of = lambda s: F.max(F.when(F.col("symbol") == s, F.log("close")))
-    x = daily(t).groupBy("day").agg((of("BUILDING") - of("MACHINERY")).alias("s")).where("s IS NOT NULL").withColumn("pair", F.lit("BUILDING-MACHINERY"))
-    w = Window.partitionBy("pair").orderBy("day").rowsBetween(-19, 0)
-    return x.select("day", F.round((F.col("s") - F.avg("s").over(w)) / F.nullif(F.stddev_samp("s").over(w), F.lit(0.0)), 6).alias("z"))
+    """Z-score of every pair's log spread over twenty bars. Pairs are of market segments, of which there are a handful."""
+    d = daily(t).select("day", "symbol", F.log("close").alias("p"))
+    x = d.select("day", F.col("symbol").alias("x"), F.col("p").alias("px")).join(d.select("day", F.col("symbol").alias("y"), F.col("p").alias("py")), "day").where("x < y").withColumn("s", F.col("px") - F.col("py"))
+    w = Window.partitionBy("x", "y").orderBy("day").rowsBetween(-19, 0)
+    return x.select("day", "x", "y", F.round((F.col("s") - F.avg("s").over(w)) / F.nullif(F.stddev_samp("s").over(w), F.lit(0.0)), 6).alias("z"))
 
 
 @query(
     "c35_growth_and_loss",
-    f"WITH {DAILY}, g AS (SELECT day, symbol, close / first_value(close) OVER w AS k, exp(sum(ln(1 + 0.003 * n)) OVER w) AS fees FROM daily WINDOW w AS (PARTITION BY symbol ORDER BY day ROWS UNBOUNDED PRECEDING)) SELECT day, symbol, round(fees, 3) AS fees, round(2 * sqrt(k) / (1 + k) - 1, 6) AS loss FROM g",
+    f"""WITH {DAILY}, g AS (SELECT day, symbol, volume, n, close / first_value(close) OVER w AS k, exp(sum(ln(1 + 0.003 * n)) OVER w) AS fees, sum(volume * 0.003) OVER w AS paid, avg(volume) OVER (PARTITION BY symbol ORDER BY day ROWS 6 PRECEDING) AS depth FROM daily WINDOW w AS (PARTITION BY symbol ORDER BY day ROWS UNBOUNDED PRECEDING))
+SELECT day, symbol, round(depth, 4) AS liquidity, round(fees, 3) AS fees, round(paid / depth, 6) AS fee_per_unit, round(2 * sqrt(k) / (1 + k) - 1, 6) AS loss, round(sqrt(k) * (1 + paid / depth), 6) AS value FROM g""",
 )
 def c35_growth_and_loss(t: Tables) -> DataFrame:
-    """Compounded fee growth and the loss against holding."""
+    """Liquidity, compounded fee growth, fees and value per unit of liquidity, and the loss against holding, per pool and day."""
     w = Window.partitionBy("symbol").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
     g = daily(t).withColumn("k", F.col("close") / F.first("close").over(w)).withColumn("fees", F.exp(F.sum(F.log(1 + 0.003 * F.col("n"))).over(w)))
-    return g.select("day", "symbol", F.round("fees", 3).alias("fees"), F.round(2 * F.sqrt("k") / (1 + F.col("k")) - 1, 6).alias("loss"))
+    g = g.withColumn("paid", F.sum(F.col("volume") * 0.003).over(w)).withColumn("depth", F.avg("volume").over(w.rowsBetween(-6, 0)))
+    unit = F.col("paid") / F.col("depth")
+    return g.select("day", "symbol", F.round("depth", 4).alias("liquidity"), F.round("fees", 3).alias("fees"), F.round(unit, 6).alias("fee_per_unit"), F.round(2 * F.sqrt("k") / (1 + F.col("k")) - 1, 6).alias("loss"), F.round(F.sqrt("k") * (1 + unit), 6).alias("value"))
 
 
 @query(
@@ -320,29 +336,80 @@ def c40_hour_snapshots(t: Tables) -> DataFrame:
 
 @query(
     "c41_milestone_events",
-    f"WITH {TAPE}, m AS (SELECT mint, min(recv) FILTER (sol >= 60000) AS reached, min(recv) FILTER (discount >= 0.1) AS paid FROM tape GROUP BY mint) SELECT mint, greatest(paid + 3600000000, reached) AS event_at FROM m WHERE reached IS NOT NULL AND paid IS NOT NULL",
+    f"""WITH {TAPE}, m AS (SELECT mint, min(recv) FILTER (sol >= 60000 AND abs(vsol - sol - 30) < 0.01) AS reached, min(recv) FILTER (discount >= 0.1) AS paid FROM tape GROUP BY mint),
+e AS (SELECT mint, paid IS NOT NULL AS paid_first, coalesce(greatest(paid + 3600000000, reached), reached) AS event_at FROM m WHERE reached IS NOT NULL),
+g AS (SELECT recv, CASE WHEN recv - lag(recv) OVER (ORDER BY recv) <= 172800000000 THEN 0 ELSE 1 END AS new FROM (SELECT DISTINCT recv FROM tape)), s AS (SELECT min(recv) AS lo, max(recv) AS hi FROM (SELECT recv, sum(new) OVER (ORDER BY recv ROWS UNBOUNDED PRECEDING) AS seg FROM g) GROUP BY seg)
+SELECT mint, paid_first, event_at FROM e WHERE EXISTS (SELECT 1 FROM s WHERE event_at >= lo AND event_at + 86400000000 <= hi)""",
 )
 def c41_milestone_events(t: Tables) -> DataFrame:
-    """The later of a milestone and a payment with its lag."""
+    """The later of a milestone's first trusted state and a payment with its lag, kept where the day after lies in one covered segment.
+
+    Covered days are found per day first (a day whose prints, and the day before's, leave no hole of two days), so that the
+    ordered line is one of days.
+    """
+    rows = prints(t)
     first = lambda c: F.min(F.when(c, F.col("recv")))
-    m = prints(t).groupBy("mint").agg(first(F.col("sol") >= 60_000).alias("reached"), first(F.col("discount") >= 0.1).alias("paid")).where("reached IS NOT NULL AND paid IS NOT NULL")
-    return m.select("mint", F.greatest(F.col("paid") + 3600 * SECOND, F.col("reached")).alias("event_at"))
+    ok = (F.col("sol") >= 60_000) & C.trusted(F.col("vsol"), F.col("sol"))
+    m = rows.groupBy("mint").agg(first(ok).alias("reached"), first(F.col("discount") >= 0.1).alias("paid")).where("reached IS NOT NULL")
+    e = m.select("mint", F.col("paid").isNotNull().alias("paid_first"), F.coalesce(F.greatest(F.col("paid") + 3600 * SECOND, F.col("reached")), F.col("reached")).alias("event_at"))
+    # within a day no hole can reach two days: segments follow from each day's first and last print
+    days = rows.groupBy(F.floor(F.col("recv") / DAY).alias("day")).agg(F.min("recv").alias("lo"), F.max("recv").alias("hi")).withColumn("one", F.lit(1))
+    w = Window.partitionBy("one").orderBy("day")
+    days = days.withColumn("new", F.when(F.col("lo") - F.lag("hi").over(w) <= 2 * DAY, 0).otherwise(1)).withColumn("seg", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    segments = days.groupBy("seg").agg(F.min("lo").alias("event_at"), F.max("hi").alias("hi")).withColumn("one", F.lit(1))
+    hit = joins.asof_join(e.withColumn("one", F.lit(1)), segments, ["one"], "event_at", ["hi"])
+    return hit.where(F.col("event_at") + DAY <= F.col("hi")).select("mint", "paid_first", "event_at")
+
+
+_VENUES = "venues AS (SELECT key // 2 AS coin, key % 2 = 0 AS leads, t, event_id, value FROM ticks WHERE value > 0)"
+_AT = "(SELECT arg_max(value, (q.t, q.event_id)) FROM venues q WHERE q.coin = {0}.coin AND {2}q.leads AND q.t <= {1})"
+BASIS = f"""hours AS (SELECT coin, CAST(greatest(min(t) FILTER (leads), min(t) FILTER (NOT leads)) // 3600000000 + 1 AS BIGINT) AS a, CAST(least(max(t) FILTER (leads), max(t) FILTER (NOT leads)) // 3600000000 AS BIGINT) AS b FROM venues GROUP BY coin HAVING bool_or(leads) AND NOT bool_and(leads)),
+grid AS (SELECT coin, unnest(generate_series(a, b)) AS hour FROM hours WHERE a <= b), raw AS (SELECT coin, hour, {_AT.format('g', 'g.hour * 3600000000', 'NOT ')} / {_AT.format('g', 'g.hour * 3600000000', '')} - 1 AS x FROM grid g),
+basis AS (SELECT coin, hour, x, CASE WHEN count(*) OVER w = 24 THEN quantile_cont(x, 0.5) OVER w END AS med FROM raw WINDOW w AS (PARTITION BY coin ORDER BY hour ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING))"""
 
 
 @query(
     "c42_lead_signal",
-    f"""WITH {TICKS}, l AS (SELECT event_id, t, value / nullif(lag(value) OVER (PARTITION BY key ORDER BY t, event_id), 0) - 1 AS move FROM ticks WHERE key = (SELECT min(key) FROM ticks)), h AS (SELECT * FROM l WHERE abs(move) > 0.5)
-SELECT h.event_id, k.key, (SELECT arg_max(value, (q.t, q.event_id)) FROM ticks q WHERE q.key = k.key AND q.t <= h.t) AS follower FROM h, (SELECT DISTINCT key FROM ticks WHERE key <> (SELECT min(key) FROM ticks)) k""",
+    f"""WITH RECURSIVE {TICKS}, {_VENUES}, {BASIS}, s AS (SELECT coin, event_id, t, value / {_AT.format('v', 'v.t - 21600000000', '')} - 1 AS move, {_AT.format('v', 'v.t', 'NOT ')} / {_AT.format('v', 'v.t - 21600000000', 'NOT ')} - 1 AS answer FROM venues v WHERE leads),
+k AS (SELECT s.*, b.med, row_number() OVER (PARTITION BY s.coin ORDER BY t, event_id) AS i FROM s JOIN basis b ON b.coin = s.coin AND b.hour = s.t // 3600000000 WHERE abs(move) > 0.5 AND sign(move) * answer < 0.25 AND med IS NOT NULL),
+c AS (SELECT coin, i, t AS last, true AS kept FROM k WHERE i = 1 UNION ALL SELECT k.coin, k.i, CASE WHEN k.t - c.last >= 43200000000 THEN k.t ELSE c.last END, k.t - c.last >= 43200000000 FROM c JOIN k ON k.coin = c.coin AND k.i = c.i + 1)
+SELECT k.coin, k.event_id, round(move, 6) AS move, round(answer, 6) AS answer, round(med, 6) AS basis FROM k JOIN c ON c.coin = k.coin AND c.i = k.i WHERE kept""",
 )
 def c42_lead_signal(t: Tables) -> DataFrame:
-    """Large moves of a leader with the follower's state at the same moment."""
-    ticks = tape.ticks(t("events"))
-    leader = ticks.agg(F.min("key").alias("key"))
-    l = ticks.join(F.broadcast(leader), "key", "left_semi").withColumn("move", F.col("value") / F.nullif(F.lag("value").over(Window.partitionBy("key").orderBy("t", "event_id")), F.lit(0.0)) - 1).where("abs(move) > 0.5")
-    keys = ticks.select("key").distinct().join(F.broadcast(leader), "key", "left_anti")
-    asked = l.select("event_id", "t").crossJoin(F.broadcast(keys))
-    out = joins.asof_join(asked, ticks.select("key", "t", "value", F.col("event_id").alias("o")), ["key"], "t", ["value"], order=["o"])
-    return out.select("event_id", "key", F.col("value").alias("follower"))
+    """Moves of a coin's leading venue over six hours that the other has not answered by half, where the basis is known, with a
+    cooldown of twelve hours per coin."""
+    rows = venues(t)
+    back = 6 * 3600 * SECOND
+    lead, other = rows.where("leads"), rows.where("NOT leads")
+    value = lambda df, name: df.select("coin", "t", F.col("value").alias(name), F.col("event_id").alias("o"))
+    s = lead.select("coin", "event_id", F.col("t").alias("at"), F.col("value").alias("now"))
+    for shift, df, name in ((back, lead, "before"), (0, other, "o_now"), (back, other, "o_before")):
+        s = joins.asof_join(s.withColumn("t", F.col("at") - shift), value(df, name), ["coin"], "t", [name], order=["o"]).drop("t", "t_right")
+    s = s.withColumn("move", F.col("now") / F.col("before") - 1).withColumn("answer", F.col("o_now") / F.col("o_before") - 1)
+    s = s.where((F.abs("move") > 0.5) & (F.signum("move") * F.col("answer") < 0.25)).withColumn("hour", F.floor(F.col("at") / (3600 * SECOND)))
+    known = s.join(hourly_basis(rows).where("med IS NOT NULL").select("coin", "hour", "med"), ["coin", "hour"])
+    kept = folds.cooldown(known.select("coin", F.col("at").alias("t"), "event_id", "move", "answer", "med"), ["coin"], "t", 12 * 3600 * SECOND, ["event_id"])
+    return kept.select("coin", "event_id", F.round("move", 6).alias("move"), F.round("answer", 6).alias("answer"), F.round("med", 6).alias("basis"))
+
+
+def venues(t: Tables) -> DataFrame:
+    """Ticks of coins on two venues: even keys lead, odd ones follow."""
+    ticks = tape.ticks(t("events")).where("value > 0")
+    return ticks.select(F.floor(F.col("key") / 2).alias("coin"), (F.col("key") % 2 == 0).alias("leads"), "t", "event_id", "value")
+
+
+def hourly_basis(rows: DataFrame) -> DataFrame:
+    """(coin, hour, x, med): the basis at each full hour from what was known by then, and the median of the 24 hours before."""
+    hour = 3600 * SECOND
+    of = lambda f, leads: f(F.when(F.col("leads") == leads, F.col("t")))
+    span = rows.groupBy("coin").agg((F.floor(F.greatest(of(F.min, True), of(F.min, False)) / hour) + 1).alias("a"), F.floor(F.least(of(F.max, True), of(F.max, False)) / hour).alias("b"), F.count_if("leads").alias("l"), F.count_if(~F.col("leads")).alias("f"))
+    grid = span.where("l > 0 AND f > 0 AND a <= b").select("coin", F.explode(F.sequence("a", "b")).alias("hour")).withColumn("t", F.col("hour") * hour)
+    for leads, name in ((True, "lead"), (False, "other")):
+        states = rows.where(F.col("leads") == leads).select("coin", "t", F.col("value").alias(name), F.col("event_id").alias("o"))
+        grid = joins.asof_join(grid, states, ["coin"], "t", [name], order=["o"]).drop("t_right")
+    w = Window.partitionBy("coin").orderBy("hour").rowsBetween(-24, -1)
+    raw = grid.select("coin", "hour", (F.col("other") / F.col("lead") - 1).alias("x"))
+    return raw.withColumn("med", F.when(F.count("*").over(w) == 24, F.percentile("x", 0.5).over(w)))
 
 
 @query(
@@ -384,11 +451,14 @@ def j21_hedge_basket(t: Tables) -> DataFrame:
 
 @query(
     "s26_unlock_schedule",
-    "WITH d AS (SELECT p_size AS day, p_brand AS category, p_retailprice AS amount FROM part), s AS (SELECT day, " + ", ".join(f"round(coalesce(sum(amount) FILTER (category = 'Brand#{k}'), 0), 2) AS b{k}" for k in (11, 22, 33)) + ", sum(amount) AS total FROM d GROUP BY day) SELECT day, b11, b22, b33, round(sum(total) OVER (ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 2) AS before FROM s",
+    """WITH d AS (SELECT p_brand AS protocol, p_size AS day, p_type AS category, p_retailprice AS amount FROM part), m AS (SELECT *, CASE WHEN category IN ('ECONOMY', 'SMALL') THEN 'team' WHEN category IN ('LARGE', 'MEDIUM') THEN 'investor' WHEN category = 'PROMO' THEN 'airdrop' END AS class FROM d),
+g AS (SELECT protocol, day, sum(amount) FILTER (class IS NOT NULL) AS vest, sum(amount) FILTER (class = 'team') AS team, sum(amount) FILTER (class = 'investor') AS investor, sum(amount) FILTER (class = 'airdrop') AS airdrop, sum(amount) AS total FROM m GROUP BY ALL),
+r AS (SELECT *, sum(total) OVER (PARTITION BY protocol ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM g)
+SELECT protocol, day, round(vest, 2) AS vest, round(coalesce(team, 0), 2) AS team, round(coalesce(investor, 0), 2) AS investor, round(coalesce(airdrop, 0), 2) AS airdrop, round(coalesce(before, 0), 2) AS circulating, round(100 * vest / before, 4) AS size_pct FROM r WHERE vest > 0""",
 )
 def s26_unlock_schedule(t: Tables) -> DataFrame:
-    """Amounts per day by category as columns, and the supply before the day."""
-    d = t("part").select(F.col("p_size").alias("day"), "p_brand", "p_retailprice")
-    of = lambda k: F.round(F.sum(F.when(F.col("p_brand") == f"Brand#{k}", F.col("p_retailprice")).otherwise(0.0)), 2).alias(f"b{k}")
-    s = d.groupBy("day").agg(of(11), of(22), of(33), F.sum("p_retailprice").alias("total"))
-    return s.select("day", "b11", "b22", "b33", F.round(F.sum("total").over(Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)), 2).alias("before"))
+    """Nested schedules, an object of events with allocations per protocol, to amounts per day and class, and the supply before the day."""
+    part = t("part").groupBy("p_brand", "p_size").agg(F.struct(F.col("p_size").alias("day"), F.collect_list(F.struct(F.col("p_type").alias("category"), F.col("p_retailprice").alias("amount"))).alias("allocations")).alias("event"))
+    files = part.groupBy(F.col("p_brand").alias("protocol")).agg(F.to_json(F.struct(F.collect_list("event").alias("events"))).alias("body"))
+    vesting = {"ECONOMY": "team", "SMALL": "team", "LARGE": "investor", "MEDIUM": "investor", "PROMO": "airdrop"}
+    return feeds.unlocks(files, "protocol", "body", vesting, ["team", "investor", "airdrop"])

@@ -54,12 +54,23 @@ def s5_decode_trades(t: Tables) -> DataFrame:
     return feeds.decode_events(logs, "data", kinds).withColumns({c: F.col(c).cast("string") for c in ("sol", "tok")})
 
 
-@query("s10_wallet_swaps", "SELECT CAST(o_orderkey AS VARCHAR) AS sig, l_suppkey AS mint, round(sum(l_quantity), 4) AS tok FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_orderkey, l_suppkey")
+@query(
+    "s10_wallet_swaps",
+    """WITH c AS (SELECT o_orderkey, l_suppkey, sum(CASE WHEN l_linestatus = 'F' THEN l_quantity ELSE -l_quantity END) AS tok FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag <> 'R' GROUP BY ALL), n AS (SELECT *, count(*) OVER (PARTITION BY o_orderkey) AS changed FROM c WHERE abs(tok) > 1e-12)
+SELECT CAST(n.o_orderkey AS VARCHAR) AS sig, 'w' || o_custkey AS wallet, l_suppkey AS mint, round(tok, 4) AS tok, CASE WHEN changed = 1 AND sign(CASE WHEN o_orderstatus = 'F' THEN -o_totalprice ELSE o_totalprice END + o_totalprice * 0.5) = -sign(tok) THEN round(CASE WHEN o_orderstatus = 'F' THEN -o_totalprice ELSE o_totalprice END + o_totalprice * 0.5, 4) END AS sol FROM n JOIN orders o ON o.o_orderkey = n.o_orderkey""",
+)
 def s10_wallet_swaps(t: Tables) -> DataFrame:
-    """Orders as transactions with balances before and after."""
-    b = t("lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct(F.lit("me").alias("owner"), F.col("l_suppkey").cast("string").alias("mint"), F.col("l_quantity").alias("amount"))).alias("post"))
-    tx = t("orders").join(b, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_orderkey").cast("string").alias("sig"), F.lit("me").alias("wallet"), F.lit(0.0).alias("fee"), F.lit(0.0).alias("sol_pre"), (-F.col("o_totalprice")).alias("sol_post"), F.array().cast("array<struct<owner:string,mint:string,amount:double>>").alias("pre"), "post")
-    return feeds.swaps(tx).select("sig", F.col("mint").cast("long").alias("mint"), F.round("tok", 4).alias("tok"))
+    """Orders as transactions of several owners: balances before and after, a fee, and part of the money in wrapped form."""
+    l = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    owner = F.when(F.col("l_returnflag") == "R", F.lit("pool")).otherwise(F.concat(F.lit("w"), F.col("o_custkey").cast("string")))
+    side = lambda flag: F.collect_list(F.when(F.col("l_linestatus") == flag, F.struct(owner.alias("owner"), F.col("l_suppkey").cast("string").alias("mint"), F.col("l_quantity").alias("amount"))))
+    b = l.groupBy("o_orderkey").agg(side("O").alias("pre"), side("F").alias("post"))
+    price = F.col("o_totalprice")
+    wallet = F.concat(F.lit("w"), F.col("o_custkey").cast("string"))
+    wrapped = F.array(F.struct(wallet.alias("owner"), F.lit("WSOL").alias("mint"), (price * 0.25).alias("amount")))
+    paid = F.when(F.col("o_orderstatus") == "F", -price).otherwise(price)
+    tx = t("orders").join(b, "o_orderkey").select(F.col("o_orderkey").cast("string").alias("sig"), wallet.alias("wallet"), (price * 0.25).alias("fee"), price.alias("sol_pre"), (price + paid).alias("sol_post"), "pre", F.concat("post", wrapped).alias("post"))
+    return feeds.swaps(tx).select("sig", "wallet", F.col("mint").cast("long").alias("mint"), F.round("tok", 4).alias("tok"), F.round("sol", 4).alias("sol"))
 
 
 @query("s23_scaled_view", "SELECT l_orderkey, l_linenumber, l_partkey, ceil(l_extendedprice * 1.25) AS charged, l_quantity * 1000000 AS units FROM lineitem")

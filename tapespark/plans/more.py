@@ -12,6 +12,7 @@ from ..operators import evidence, joins, stats
 from ..sources import feeds, tape
 from ..sources.tape import DAILY, DAY, LAUNCHES, SECOND, TAPE, TICKS
 from ..streaming import live
+from .composites import _VENUES, BASIS, hourly_basis, venues
 from .panels import daily
 from .registry import Tables, query
 from .tape import prints
@@ -64,11 +65,25 @@ def s8_known_pool_swaps(t: Tables) -> DataFrame:
     return rows.select("seq", "mint", F.round(F.col("sol") / 100, 4).alias("sol"), F.round(F.col("discount") * 1e4).cast("long").alias("fee_bps"))
 
 
-@query("s9_second_venue", f"WITH {TAPE} SELECT 'pools' AS target, count(DISTINCT mint) AS n FROM tape UNION ALL SELECT 'trades', count(*) FROM tape WHERE sol > 0")
+@query(
+    "s9_second_venue",
+    "SELECT l_orderkey AS id, l_linenumber AS line, l_partkey AS part, l_suppkey AS pool, s_name AS name, l_linestatus = 'F' AS buy, CAST(l_linenumber AS BIGINT) AS status, l_extendedprice AS amount_in, l_quantity AS amount_out, l_extendedprice + 30 AS virtual_quote, l_quantity + 1 AS virtual_base, CAST(round(l_tax * 1e4) + round(l_discount * 1e4) AS DOUBLE) AS fees FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE l_quantity >= 5",
+)
 def s9_second_venue(t: Tables) -> DataFrame:
-    """The tables of a second venue and their sizes."""
-    rows = prints(t)
-    return rows.agg(F.lit("pools").alias("target"), F.count_distinct("mint").alias("n")).union(rows.where("sol > 0").agg(F.lit("trades"), F.count("*")))
+    """The trades table of a second venue with its pools: both decoded from logs, the fee the sum of four parts; short logs go."""
+    made = t("supplier").select(F.concat(F.unhex(F.lit(_MADE)), _le(F.col("s_suppkey")), _text(F.col("s_name"))).alias("data"))
+    pools = feeds.decode_events(made, "data", {"create": (_MADE, 20, {"pool": ("u64", 8)})})
+    pools = made.select(feeds.u64(F.col("data"), 8).cast("long").alias("pool"), feeds.strings(F.col("data"), 16, 1)[0].alias("name")).join(pools.select(F.col("pool").cast("long").alias("pool")), "pool", "left_semi")
+    tax, off = F.round(F.col("l_tax") * 1e4), F.round(F.col("l_discount") * 1e4)
+    fields = (F.col("l_suppkey"), F.col("l_linenumber"), F.round(F.col("l_extendedprice") * 100), F.col("l_quantity"), tax, off, F.lit(0), F.lit(0))
+    body = F.concat(F.unhex(F.lit(_BUY)), *(_le(c) for c in fields), F.unhex(F.when(F.col("l_linestatus") == "F", "01").otherwise("00")))
+    logs = t("lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part"), F.when(F.col("l_quantity") < 5, F.substring(body, 1, 60)).otherwise(body).alias("data"))
+    names = ("pool", "status", "amount_in", "amount_out", "fee1", "fee2", "fee3", "fee4")
+    trades = feeds.decode_events(logs, "data", {"trade": (_BUY, 73, {n: ("u64", 8 + 8 * k) for k, n in enumerate(names)} | {"buy": ("bool", 72)})})
+    trades = trades.withColumns({n: F.col(n).cast("double") for n in names[2:]}).withColumns({n: F.col(n).cast("long") for n in names[:2]})
+    money = F.col("amount_in") / 100
+    fees = sum((F.col(f"fee{k}") for k in (2, 3, 4)), F.col("fee1"))
+    return trades.join(pools, "pool").select("id", "line", "part", "pool", "name", "buy", "status", money.alias("amount_in"), "amount_out", (money + 30).alias("virtual_quote"), (F.col("amount_out") + 1).alias("virtual_base"), fees.alias("fees"))
 
 
 @query("s27_list_offsets", "SELECT l_orderkey AS id, count(*) AS holders, CAST(sum(CAST(round(l_extendedprice) AS BIGINT)) AS VARCHAR) AS claimed FROM lineitem GROUP BY l_orderkey")
@@ -181,33 +196,44 @@ def c32_leader_without_follower(t: Tables) -> DataFrame:
     return j.select("day", "symbol", F.round("lead", 6).alias("lead_move"), F.round("fwd", 6).alias("fwd"))
 
 
-@query(
-    "c33_basis",
-    f"WITH {DAILY}, j AS (SELECT f.day, f.symbol, f.close / r.close - 1 AS basis FROM daily f JOIN daily r ON r.day = f.day AND r.symbol = 'BUILDING' AND f.symbol <> 'BUILDING') SELECT day, symbol, round(basis, 6) AS basis, round(basis - quantile_cont(basis, 0.5) OVER (PARTITION BY symbol ORDER BY day ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING), 6) AS deviation FROM j",
-)
+@query("c33_basis", f"WITH {TICKS}, {_VENUES}, {BASIS} SELECT coin, hour, round(x, 6) AS basis, round(x - med, 6) AS deviation FROM basis")
 def c33_basis(t: Tables) -> DataFrame:
-    """Basis against a reference and its deviation from the median of the thirty before."""
-    d = daily(t)
-    ref = d.where("symbol = 'BUILDING'").select("day", F.col("close").alias("ref"))
-    w = Window.partitionBy("symbol").orderBy("day").rowsBetween(-30, -1)
-    j = d.where("symbol <> 'BUILDING'").join(ref, "day").withColumn("b", F.col("close") / F.col("ref") - 1)
-    return j.select("day", "symbol", F.round("b", 6).alias("basis"), F.round(F.col("b") - F.percentile("b", 0.5).over(w), 6).alias("deviation"))
+    """Basis of a venue against the reference on a grid of hours, and its deviation from the median of the 24 before."""
+    return hourly_basis(venues(t)).select("coin", "hour", F.round("x", 6).alias("basis"), F.round(F.col("x") - F.col("med"), 6).alias("deviation"))
+
+
+_FUNDED = """lines AS (SELECT o_custkey AS creator, l_suppkey AS funder, CAST(date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) AS BIGINT) AS day, l_orderkey, l_linenumber, l_partkey, l_extendedprice AS amount FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
+funding AS (SELECT creator, arg_min(funder, (day, l_orderkey, l_linenumber, l_partkey)) AS funder, min(day) AS t, arg_min(amount, (day, l_orderkey, l_linenumber, l_partkey)) AS amount FROM lines GROUP BY creator)"""
 
 
 @query(
     "c37_funding_features",
-    f"""WITH {LAUNCHES}, l AS (SELECT launch, creator, creator % 20 AS funder, born FROM launches) SELECT launch, creator, (born - min(born) OVER (PARTITION BY creator)) / 86400000000 AS age_days, row_number() OVER (PARTITION BY creator ORDER BY born, launch) - 1 AS before,
- (SELECT count(DISTINCT b.creator) FROM l b WHERE b.funder = l.funder AND b.creator <> l.creator AND b.born < l.born) AS other_creators FROM l""",
+    f"""WITH {LAUNCHES}, {_FUNDED}, f AS (SELECT f.*, s_acctbal AS pre, s_nationkey, (SELECT count(*) FROM lines x WHERE x.funder = f.funder AND x.day >= f.t - 1 AND x.day <= f.t) AS f_24h, (SELECT count(*) FROM lines x WHERE x.funder = f.funder AND x.day <= f.t) AS f_n, (SELECT min(day) FROM lines x WHERE x.funder = f.funder) AS f_first FROM funding f JOIN supplier ON s_suppkey = f.funder),
+l AS (SELECT launch, creator, born // 86400000000 AS day, row_number() OVER (PARTITION BY creator ORDER BY born, launch) - 1 AS before, born - min(born) OVER (PARTITION BY creator) AS age_us FROM launches),
+j AS (SELECT l.*, f.funder, f.t, f.pre, f.s_nationkey, f.f_24h, f.f_n, f.f_first, (SELECT count(*) FROM funding g WHERE g.funder = f.funder AND g.creator <> l.creator AND g.t < l.day) AS others FROM l LEFT JOIN f ON f.creator = l.creator AND f.t < l.day)
+SELECT launch, creator, CAST(age_us // 1000000 AS BIGINT) AS age_s, before, CASE WHEN before >= 8 THEN 'heavy' WHEN before = 0 THEN 'unknown' WHEN age_us < 86400000000 THEN 'fresh' WHEN age_us < 2592000000000 THEN 'young' ELSE 'aged' END AS creator_class, CASE WHEN funder IS NOT NULL THEN others END AS others, f_24h, f_n,
+ CASE WHEN funder IS NULL THEN 'unknown' WHEN s_nationkey = 0 THEN 'listed' WHEN pre >= 9000 THEN 'whale' WHEN others >= 40 OR f_24h >= 8 THEN 'farm' WHEN f_n < 1000 AND t - f_first <= 7 THEN 'fresh' ELSE 'other' END AS funder_class FROM j""",
 )
 def c37_funding_features(t: Tables) -> DataFrame:
-    """Account age, launches before, and other creators the funder had before: each counts at its first launch."""
-    l = tape.launches(t("orders")).select("launch", "creator", (F.col("creator") % 20).alias("funder"), "born")
+    """Account age, launches before, and the funder of a creator's first line: its counts up to the funding, other creators it had
+    funded before the launch, and a class by the first rule of a ladder that holds. Counts are running ones, not pairs."""
+    lines = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("creator"), F.col("l_suppkey").alias("funder"), F.unix_date(F.to_date("l_shipdate")).cast("long").alias("day"), "l_orderkey", "l_linenumber", "l_partkey")
+    daily_lines = lines.groupBy("funder", "day").agg(F.count("*").alias("n"))
+    w = Window.partitionBy("funder").orderBy("day")
+    counts = daily_lines.select("funder", F.col("day").alias("t"), F.sum("n").over(w.rangeBetween(-1, 0)).alias("f_24h"), F.sum("n").over(w.rangeBetween(Window.unboundedPreceding, 0)).alias("f_n"), F.min("day").over(Window.partitionBy("funder")).alias("f_first"))
+    funding = lines.groupBy("creator").agg(F.min(F.struct("day", "l_orderkey", "l_linenumber", "l_partkey", "funder")).alias("x")).select("creator", "x.funder", F.col("x.day").alias("t"))
+    funds = funding.join(counts, ["funder", "t"]).join(t("supplier").select(F.col("s_suppkey").alias("funder"), F.col("s_acctbal").alias("pre"), "s_nationkey"), "funder")
     own = Window.partitionBy("creator")
-    first = F.row_number().over(own.orderBy("born", "launch")) == 1
-    before = Window.partitionBy("funder").orderBy("born").rangeBetween(Window.unboundedPreceding, -1)
-    rows = l.withColumn("t0", F.min("born").over(own)).withColumn("first", first.cast("long"))
-    known = F.coalesce(F.sum("first").over(before), F.lit(0)) - (F.col("t0") < F.col("born")).cast("long")
-    return rows.select("launch", "creator", ((F.col("born") - F.col("t0")) / DAY).alias("age_days"), (F.row_number().over(own.orderBy("born", "launch")) - 1).cast("long").alias("before"), known.alias("other_creators"))
+    l = tape.launches(t("orders")).select("launch", "creator", F.floor(F.col("born") / DAY).alias("day"), (F.row_number().over(own.orderBy("born", "launch")) - 1).cast("long").alias("before"), (F.col("born") - F.min("born").over(own)).alias("age"))
+    j = l.join(funds.withColumnRenamed("creator", "c"), (F.col("c") == F.col("creator")) & (F.col("t") < F.col("day")), "left").drop("c")
+    # creators funded so far: one step for each at its funding, read at the launches; the launch's own creator is one of them
+    step = funding.groupBy("funder", F.col("t").alias("day")).agg(F.count("*").alias("n")).withColumn("o", F.lit(0)).withColumn("n", F.sum("n").over(Window.partitionBy("funder").orderBy("day")))
+    known = joins.asof_join(j.where("funder IS NOT NULL"), step, ["funder"], "day", ["n"], order=["o"], strict=True).withColumn("others", F.coalesce("n", F.lit(0)) - 1).drop("n", "day_right")
+    every = known.unionByName(j.where("funder IS NULL").withColumn("others", F.lit(None).cast("long")))
+    creator_class = F.when(F.col("before") >= 8, "heavy").when(F.col("before") == 0, "unknown").when(F.col("age") < DAY, "fresh").when(F.col("age") < 30 * DAY, "young").otherwise("aged")
+    farm = (F.col("others") >= 40) | (F.col("f_24h") >= 8)
+    funder_class = F.when(F.col("funder").isNull(), "unknown").when(F.col("s_nationkey") == 0, "listed").when(F.col("pre") >= 9000, "whale").when(farm, "farm").when((F.col("f_n") < 1000) & (F.col("t") - F.col("f_first") <= 7), "fresh").otherwise("other")
+    return every.select("launch", "creator", F.floor(F.col("age") / SECOND).alias("age_s"), "before", creator_class.alias("creator_class"), "others", "f_24h", "f_n", funder_class.alias("funder_class"))
 
 
 @query(
@@ -230,16 +256,22 @@ def c39_bar_first_touch(t: Tables) -> DataFrame:
 
 @query(
     "e5_reverify",
-    "SELECT count(*) AS quotes, count(*) FILTER (found) AS verified, count(*) FILTER (NOT found) AS changed FROM (SELECT d.doc_id, contains(lower(trim(regexp_replace(d.text, '\\s+', ' ', 'g'))), lower(trim(regexp_replace(substr(d.text, 1, 80), '\\s+', ' ', 'g')))) AND d.n_chars > 500 AS found FROM documents d)",
+    """WITH q AS (SELECT item_id, item_id * 7919 % (SELECT count(*) FROM documents) AS doc_id, lower(trim(regexp_replace(substr(text, 11, 60), '\\s+', ' ', 'g'))) AS quote FROM benchmark),
+h AS (SELECT q.item_id, q.doc_id AS cited, max(d.doc_id) AS latest FROM q JOIN documents d ON contains(lower(trim(regexp_replace(d.text, '\\s+', ' ', 'g'))), q.quote) WHERE quote <> '' GROUP BY ALL)
+SELECT q.item_id, q.doc_id AS cited, h.latest AS points_to, CASE WHEN h.latest IS NULL THEN 'lost' WHEN contains(lower(trim(regexp_replace(d.text, '\\s+', ' ', 'g'))), q.quote) THEN 'verified' ELSE 'moved' END AS state FROM q LEFT JOIN h ON h.item_id = q.item_id LEFT JOIN documents d ON d.doc_id = q.doc_id""",
 )
 def e5_reverify(t: Tables) -> DataFrame:
-    """Quotes against the latest snapshot of their source, older ones replaced, with counts of what changed."""
-    d = t("documents")
-    quotes = d.select("doc_id", F.left("text", F.lit(80)).alias("quote"))
-    snaps = d.select("doc_id", F.lit(1).alias("fetched"), F.lit("old").alias("body")).union(d.select("doc_id", F.lit(2), F.when(F.col("n_chars") > 500, F.col("text")).otherwise(F.lit("gone"))))
-    latest = snaps.groupBy("doc_id").agg(F.max_by("body", "fetched").alias("body"))
-    v = quotes.join(latest, "doc_id").select(evidence.quote_found(F.col("quote"), F.col("body")).alias("found"))
-    return v.agg(F.count("*").alias("quotes"), F.count_if("found").alias("verified"), F.count_if(~F.col("found")).alias("changed"))
+    """Quotes from the middle of benchmark items, each citing some document: found again in the whole text of the one cited, or
+    pointed to the latest document that holds them, or lost.
+
+    Quotes and texts meet on four words of the quote, those from its second on (the first may begin inside a word).
+    """
+    n = t("documents").agg(F.count("*").alias("n"))
+    quotes = t("benchmark").crossJoin(F.broadcast(n)).select("item_id", (F.col("item_id") * 7919 % F.col("n")).alias("cited"), X.normal(F.substring("text", 11, 60)).alias("quote"))
+    holders = evidence.quote_holders(quotes, t("documents").select("doc_id", X.normal(F.col("text")).alias("body")), "item_id", "quote", "doc_id", "body")
+    seen = holders.join(quotes.select("item_id", "cited"), "item_id").groupBy("item_id").agg(F.max("doc_id").alias("points_to"), F.bool_or(F.col("doc_id") == F.col("cited")).alias("same"))
+    state = F.when(F.col("points_to").isNull(), "lost").when(F.col("same"), "verified").otherwise("moved")
+    return quotes.join(seen, "item_id", "left").select("item_id", "cited", "points_to", state.alias("state"))
 
 
 @query("t2_two_clocks", "SELECT event_id, (event_id % 40) * 30000000 AS lateness_us, (event_id % 40) * 30 > 600 AS late FROM events")

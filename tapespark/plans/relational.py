@@ -35,16 +35,25 @@ def j7_anti_join(t: Tables) -> DataFrame:
 _SEGMENTS = "segments AS (SELECT i AS seg, epoch_us(TIMESTAMP '1970-01-01') + (SELECT min(t) FROM ticks) + i * 7200000000 AS lo, (SELECT min(t) FROM ticks) + i * 7200000000 + 5400000000 AS hi FROM range(500) r(i))"
 
 
-@query("j8_point_in_interval", f"WITH {TICKS}, {_SEGMENTS} SELECT event_id, t, seg FROM ticks LEFT JOIN segments ON t BETWEEN lo AND hi")
+@query(
+    "j8_point_in_interval",
+    f"""WITH {TICKS}, g AS (SELECT key, t, event_id, CASE WHEN t - lag(t) OVER w <= 21600000000 THEN 0 ELSE 1 END AS new FROM ticks WHERE event_type = 'view' WINDOW w AS (PARTITION BY key ORDER BY t, event_id)), s AS (SELECT *, sum(new) OVER (PARTITION BY key ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS seg FROM g),
+segments AS (SELECT key, CAST(seg AS BIGINT) AS seg, min(t) AS lo, max(t) AS hi FROM s GROUP BY key, seg)
+SELECT q.event_id, q.t, seg, coalesce(q.t + 3600000000 <= hi, false) AS whole FROM ticks q LEFT JOIN segments x ON x.key = q.key AND q.t BETWEEN lo AND hi WHERE q.event_type <> 'view'""",
+)
 def j8_point_in_interval(t: Tables) -> DataFrame:
-    """The segment that holds a time, null between segments: segments are cut in buckets of time and joined on them."""
+    """The covered segment of its key that holds a time, null between segments, and whether the hour after lies in it too.
+
+    Segments follow from the data: views at most six hours apart. They do not overlap, so the last one to begin by a time is the
+    only one that can hold it: an as-of join, whatever the number and length of segments.
+    """
     ticks = tape.ticks(t("events"))
-    start = ticks.agg(F.min("t").alias("t0"))
-    width = 7200 * SECOND
-    segments = start.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(499).cast("long"))).alias("seg"), "t0").select("seg", (F.col("t0") + F.col("seg") * width).alias("lo"), (F.col("t0") + F.col("seg") * width + 5400 * SECOND).alias("hi"))
-    parts = segments.select("seg", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") / width).cast("long"), F.floor(F.col("hi") / width).cast("long"))).alias("bucket"))
-    hit = ticks.withColumn("bucket", F.floor(F.col("t") / width).cast("long")).join(parts, "bucket").where("t BETWEEN lo AND hi").select("event_id", "seg")
-    return ticks.select("event_id", "t").join(hit, "event_id", "left")
+    w = Window.partitionBy("key").orderBy("t", "event_id")
+    views = ticks.where("event_type = 'view'").withColumn("new", F.when(F.col("t") - F.lag("t").over(w) <= 6 * 3600 * SECOND, 0).otherwise(1)).withColumn("seg", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    segments = views.groupBy("key", "seg").agg(F.min("t").alias("t"), F.max("t").alias("hi"))
+    asked = ticks.where("event_type <> 'view'").select("event_id", "key", "t")
+    hit = joins.asof_join(asked, segments, ["key"], "t", ["seg", "hi"])
+    return hit.select("event_id", "t", F.when(F.col("t") <= F.col("hi"), F.col("seg")).alias("seg"), F.coalesce(F.col("t") + 3600 * SECOND <= F.col("hi"), F.lit(False)).alias("whole"))
 
 
 @query(
@@ -143,12 +152,23 @@ def j18_two_feeds(t: Tables) -> DataFrame:
 
 @query(
     "j19_venue_sessions",
-    "SELECT l_suppkey AS mint, round(sum(CASE WHEN l_returnflag = 'R' THEN l_extendedprice ELSE 0 END), 2) AS returned, count(*) FILTER (l_linestatus = 'O') AS opened, array_to_string(list_sort(list_distinct(list(l_returnflag))), ',') AS venues, CASE WHEN bool_or(l_returnflag = 'A') AND bool_or(l_returnflag = 'N') THEN 'both' ELSE 'one' END AS class FROM lineitem GROUP BY l_suppkey",
+    """WITH f AS (SELECT l_suppkey AS mint, min(l_shipdate) AS opened FROM lineitem GROUP BY 1), s AS (SELECT l.*, opened, (date_diff('day', opened, l_shipdate) // 365)::BIGINT AS session FROM lineitem l JOIN f ON mint = l_suppkey)
+SELECT l_suppkey AS mint, session, array_to_string(list_sort(list_distinct(list(l_returnflag))), ',') AS venues, CASE WHEN bool_or(l_returnflag = 'A') AND bool_or(l_returnflag = 'N') THEN 'both' WHEN bool_or(l_returnflag = 'A') THEN 'first' ELSE 'second' END AS class,
+ round(sum(l_extendedprice) FILTER (l_linestatus = 'F' AND date_diff('day', opened, l_shipdate) % 365 < 180), 2) AS bought, round(sum(l_extendedprice) FILTER (l_linestatus = 'O'), 2) AS sold,
+ round(coalesce(sum(l_extendedprice) FILTER (l_linestatus = 'O'), 0) - coalesce(sum(l_extendedprice) FILTER (l_linestatus = 'F' AND date_diff('day', opened, l_shipdate) % 365 < 180), 0), 2) AS pnl FROM s GROUP BY l_suppkey, session""",
 )
 def j19_venue_sessions(t: Tables) -> DataFrame:
+    """Per token and session: its venues and their class, buys inside the session's window, all sells, and what is left."""
+    l = t("lineitem")
+    first = l.groupBy(F.col("l_suppkey").alias("mint")).agg(F.min("l_shipdate").alias("opened"))
+    age = F.datediff(F.to_date("l_shipdate"), F.to_date("opened"))
+    s = l.withColumnRenamed("l_suppkey", "mint").join(first, "mint").withColumn("age", age)
     venues = F.array_sort(F.collect_set("l_returnflag"))
-    two = F.array_contains(venues, "A") & F.array_contains(venues, "N")
-    return t("lineitem").groupBy(F.col("l_suppkey").alias("mint")).agg(F.round(F.sum(F.when(F.col("l_returnflag") == "R", F.col("l_extendedprice")).otherwise(0.0)), 2).alias("returned"), F.count_if(F.col("l_linestatus") == "O").alias("opened"), F.array_join(venues, ",").alias("venues"), F.when(two, "both").otherwise("one").alias("class"))
+    a, n = F.array_contains(venues, "A"), F.array_contains(venues, "N")
+    bought = F.sum(F.when((F.col("l_linestatus") == "F") & (F.col("age") % 365 < 180), F.col("l_extendedprice")))
+    sold = F.sum(F.when(F.col("l_linestatus") == "O", F.col("l_extendedprice")))
+    none = F.lit(0.0)
+    return s.groupBy("mint", F.floor(F.col("age") / 365).alias("session")).agg(F.array_join(venues, ",").alias("venues"), F.when(a & n, "both").when(a, "first").otherwise("second").alias("class"), F.round(bought, 2).alias("bought"), F.round(sold, 2).alias("sold"), F.round(F.coalesce(sold, none) - F.coalesce(bought, none), 2).alias("pnl"))
 
 
 @query(
@@ -319,13 +339,16 @@ def a46_cost_table(t: Tables) -> DataFrame:
 
 @query(
     "a47_tick_size",
-    "WITH d AS (SELECT DISTINCT p_brand, round(p_retailprice * 100) AS px FROM part), s AS (SELECT p_brand, px - lag(px) OVER (PARTITION BY p_brand ORDER BY px) AS step FROM d) SELECT p_brand, min(step) FILTER (step > 0) AS tick FROM s GROUP BY p_brand",
+    """WITH p AS (SELECT l_suppkey, CAST(round(l_extendedprice * 100) AS BIGINT) AS px, CAST(round(l_extendedprice * 100) AS BIGINT) % 7 AS spread FROM lineitem), d AS (SELECT DISTINCT l_suppkey, px FROM p), s AS (SELECT l_suppkey, px - lag(px) OVER (PARTITION BY l_suppkey ORDER BY px) AS step FROM d), k AS (SELECT l_suppkey, min(step) FILTER (step > 0) AS tick FROM s GROUP BY l_suppkey)
+SELECT k.l_suppkey AS symbol, tick, round(avg(CASE WHEN spread <= tick THEN 1.0 ELSE 0 END), 6) AS one_tick_share FROM k JOIN p ON p.l_suppkey = k.l_suppkey GROUP BY k.l_suppkey, tick""",
 )
 def a47_tick_size(t: Tables) -> DataFrame:
-    """Smallest step between distinct prices of a symbol."""
-    d = t("part").select("p_brand", F.round(F.col("p_retailprice") * 100).alias("px")).distinct()
-    step = F.col("px") - F.lag("px").over(Window.partitionBy("p_brand").orderBy("px"))
-    return d.withColumn("step", step).groupBy("p_brand").agg(F.min(F.when(F.col("step") > 0, F.col("step"))).alias("tick"))
+    """Smallest step between distinct prices of a symbol, and the share of quotes whose spread is one such step or less."""
+    px = F.round(F.col("l_extendedprice") * 100).cast("long")
+    p = t("lineitem").select(F.col("l_suppkey").alias("symbol"), px.alias("px"), (px % 7).alias("spread"))
+    step = F.col("px") - F.lag("px").over(Window.partitionBy("symbol").orderBy("px"))
+    k = p.select("symbol", "px").distinct().withColumn("step", step).groupBy("symbol").agg(F.min(F.when(F.col("step") > 0, F.col("step"))).alias("tick"))
+    return p.join(k, "symbol").groupBy("symbol", "tick").agg(F.round(F.avg(F.when(F.col("spread") <= F.col("tick"), 1.0).otherwise(0.0)), 6).alias("one_tick_share"))
 
 
 @query("f1_priority_order", "SELECT o_orderkey, o_orderpriority FROM orders WHERE o_totalprice > 100000 ORDER BY CASE WHEN o_orderpriority = '3-MEDIUM' THEN 0 ELSE 1 END, o_orderpriority DESC NULLS LAST, o_orderkey")
@@ -387,9 +410,12 @@ def x2_union_all(t: Tables) -> DataFrame:
     return a.unionByName(t("supplier").select(F.lit("supplier").alias("kind"), F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("balance")))
 
 
-@query("x3_difference", "SELECT c_custkey AS id FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("x3_difference", "SELECT l_partkey AS part, l_suppkey AS supplier FROM lineitem WHERE l_returnflag = 'A' EXCEPT SELECT l_partkey, l_suppkey FROM lineitem WHERE l_returnflag <> 'A'")
 def x3_difference(t: Tables) -> DataFrame:
-    return t("customer").select(F.col("c_custkey").alias("id")).subtract(t("orders").select("o_custkey"))
+    """Pairs of part and supplier seen with one flag and never with another."""
+    pairs = lambda rows: rows.select(F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supplier"))
+    l = t("lineitem")
+    return pairs(l.where("l_returnflag = 'A'")).subtract(pairs(l.where("l_returnflag <> 'A'")))
 
 
 @query("x4_intersection", "SELECT l_partkey AS id FROM lineitem WHERE l_returnflag = 'R' INTERSECT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'N'")

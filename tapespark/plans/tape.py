@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import joins, trips
+from ..operators import folds, joins, stats, trips
 from ..sources import tape
 from ..sources.tape import DAY, LAUNCHES, SECOND, TAPE, TICKS
 from .registry import Tables, query
@@ -215,17 +215,17 @@ def j4_conservative_fill(t: Tables) -> DataFrame:
     return both.select("event_id", "key", F.greatest("before", after).alias("buy_fill"), F.least("before", after).alias("sell_fill"))
 
 
-_PEERS = f"""WITH {TAPE}, picks AS (SELECT mint, usr, recv, seq, sol FROM tape WHERE buy AND usr = 7),
-peers AS (SELECT p.seq, p.recv, p.mint, p.sol, q.mint AS peer, q.recv AS q_recv, q.seq AS q_seq, q.sol AS q_sol FROM picks p JOIN tape q ON q.recv > p.recv - 86400000000 AND q.recv < p.recv AND q.mint <> p.mint AND q.sol BETWEEN p.sol * 0.5 AND p.sol * 1.5)"""
+_PEERS = f"""WITH {TAPE}, picks AS (SELECT mint, usr, recv, seq, sol FROM tape WHERE buy),
+peers AS (SELECT p.seq, p.recv, p.mint, p.sol, q.mint AS peer, q.recv AS q_recv, q.seq AS q_seq, q.sol AS q_sol FROM picks p JOIN tape q ON q.recv > p.recv - 3600000000 AND q.recv < p.recv AND q.mint <> p.mint AND q.sol BETWEEN p.sol * 0.5 AND p.sol * 1.5)"""
 
 
 def _peers(t: Tables) -> DataFrame:
-    """Prints of other tokens in the day before a pick and within half of its size."""
+    """Prints of other tokens in the hour before a pick and within half of its size."""
     tape_rows = prints(t)
-    picks = tape_rows.where("buy AND usr = 7").select("mint", "recv", "seq", "sol")
+    picks = tape_rows.where("buy").select("mint", "recv", "seq", "sol")
     others = tape_rows.select(F.col("mint").alias("peer"), F.col("recv").alias("q_recv"), F.col("seq").alias("q_seq"), F.col("sol").alias("q_sol"))
     band = (F.col("peer") != F.col("mint")) & F.col("q_sol").between(F.col("sol") * 0.5, F.col("sol") * 1.5)
-    return joins.range_join(picks, others, [], "recv", "q_recv", -DAY + 1, -1, condition=band)
+    return joins.range_join(picks, others, [], "recv", "q_recv", -3600 * SECOND + 1, -1, condition=band)
 
 
 @query("j5_range_candidates", f"{_PEERS} SELECT seq, count(*) AS candidates, count(DISTINCT peer) AS peers, round(avg(q_sol), 8) AS mean_sol FROM peers GROUP BY seq")
@@ -246,22 +246,41 @@ def c4_matched_controls(t: Tables) -> DataFrame:
 
 @query(
     "c3_event_study",
-    f"""{_TRIPS_SQL}, e AS (SELECT usr, mint, opened FROM trips),
+    f"""{_TRIPS_SQL}, e AS (SELECT DISTINCT usr, mint, opened FROM trips),
 w AS (SELECT e.usr, e.mint, e.opened, p.recv - e.opened AS d, p.seq, CASE WHEN p.buy THEN p.sol ELSE -p.sol END AS flow, p.vsol / p.vtok AS px FROM e JOIN tape p ON p.mint = e.mint AND p.usr <> e.usr AND p.recv BETWEEN e.opened - 2592000000000 AND e.opened + 2592000000000)
 SELECT usr, mint, opened, round(coalesce(sum(flow) FILTER (d < 0), 0), 2) AS flow_before, round(coalesce(sum(flow) FILTER (d >= 0 AND d <= 604800000000), 0), 2) AS flow_week, round(coalesce(sum(flow) FILTER (d >= 0), 0), 2) AS flow_month,
  round(arg_max(px, (d, seq)) FILTER (d <= 604800000000) / arg_max(px, (d, seq)) FILTER (d < 0) - 1, 6) AS ret_week, round(arg_max(px, (d, seq)) / arg_max(px, (d, seq)) FILTER (d < 0) - 1, 6) AS ret_month FROM w GROUP BY usr, mint, opened""",
 )
 def c3_event_study(t: Tables) -> DataFrame:
-    """Others' net flow around entries and the return from the price before them at two horizons."""
-    tape_rows = prints(t)
-    entries = trips.round_trips(tape_rows).select("usr", "mint", "opened")
-    flow = tape_rows.select("mint", F.col("usr").alias("who"), "recv", "seq", F.when(F.col("buy"), F.col("sol")).otherwise(-F.col("sol")).alias("flow"), (F.col("vsol") / F.col("vtok")).alias("px"))
+    """Others' net flow around entries and the return from the price before them at two horizons.
+
+    Four questions for each entry (a month before, at it, a week and a month after) stand in one line with the prints of the
+    token. Running sums of all prints less the wallet's own give the flows, and the last print, or where that is the wallet's
+    own the last one before its run, the price: one shuffle by token, no pairs.
+    """
     month, week = 30 * DAY, 7 * DAY
-    w = joins.range_join(entries, flow, ["mint"], "opened", "recv", -month, month, condition=F.col("who") != F.col("usr")).withColumn("d", F.col("recv") - F.col("opened"))
-    d = F.col("d")
-    total = lambda c: F.round(F.coalesce(F.sum(F.when(c, F.col("flow"))), F.lit(0.0)), 2)
-    last = lambda c: F.max_by("px", F.when(c, F.struct("d", "seq")))
-    return w.groupBy("usr", "mint", "opened").agg(total(d < 0).alias("flow_before"), total(d.between(0, week)).alias("flow_week"), total(d >= 0).alias("flow_month"), F.round(last(d <= week) / last(d < 0) - 1, 6).alias("ret_week"), F.round(last(F.lit(True)) / last(d < 0) - 1, 6).alias("ret_month"))
+    flow = F.when(F.col("buy"), F.col("sol")).otherwise(-F.col("sol"))
+    none = lambda kind: F.lit(None).cast(kind)
+    rows = prints(t)
+    seen = rows.select("mint", "usr", F.col("recv").alias("at"), F.lit(1).alias("side"), "seq", flow.alias("flow"), F.lit(1).alias("one"), (F.col("vsol") / F.col("vtok")).alias("px"), none("int").alias("k"), none("long").alias("opened"))
+    asks = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(shift).cast("long").alias("shift"), F.lit(side).alias("side")) for k, (shift, side) in enumerate(((-month, 0), (0, 0), (week, 2), (month, 2)))))
+    entries = trips.round_trips(rows).select("usr", "mint", "opened").distinct().withColumn("a", F.explode(asks))
+    asked = entries.select("mint", "usr", (F.col("opened") + F.col("a.shift")).alias("at"), F.col("a.side").alias("side"), none("long").alias("seq"), F.lit(0.0).alias("flow"), F.lit(0).alias("one"), none("double").alias("px"), F.col("a.k").alias("k"), "opened")
+    line = seen.unionByName(asked).repartition("mint")
+    run = Window.partitionBy("mint").orderBy("at", "side", "seq").rowsBetween(Window.unboundedPreceding, 0)
+    own = Window.partitionBy("mint", "usr").orderBy("at", "side", "seq").rowsBetween(Window.unboundedPreceding, 0)
+    earlier = run.rowsBetween(Window.unboundedPreceding, -1)
+    is_print = F.col("one") == 1
+    now = F.when(is_print, F.struct("usr", "at", "px"))
+    line = line.withColumn("n", F.sum("one").over(run) - F.sum("one").over(own)).withColumn("sum", F.sum("flow").over(run) - F.sum("flow").over(own))
+    line = line.withColumn("prev", F.last(now, ignorenulls=True).over(earlier))
+    line = line.withColumn("other", F.last(F.when(is_print & (F.col("prev.usr") != F.col("usr")), F.col("prev")), ignorenulls=True).over(run))
+    last = F.when(F.col("prev.usr") != F.col("usr"), F.col("prev")).otherwise(F.col("other"))
+    asked = line.where("k IS NOT NULL").withColumn("px", F.when(last["at"] >= F.col("opened") - month, last["px"]))
+    of = lambda c, k: F.max(F.when(F.col("k") == k, F.col(c)))
+    w = asked.groupBy("mint", "usr", "opened").agg(*(of(c, k).alias(f"{c}{k}") for c in ("n", "sum", "px") for k in range(4))).where("n3 > n0")
+    change = lambda c, a, b: F.round(F.col(f"{c}{b}") - F.col(f"{c}{a}"), 2)
+    return w.select("usr", "mint", "opened", change("sum", 0, 1).alias("flow_before"), change("sum", 1, 2).alias("flow_week"), change("sum", 1, 3).alias("flow_month"), F.round(F.col("px2") / F.col("px1") - 1, 6).alias("ret_week"), F.round(F.col("px3") / F.col("px1") - 1, 6).alias("ret_month"))
 
 
 _ANCHORS = "anchors AS (SELECT 788918400000000 + i * 2592000000000 AS t FROM range(36) r(i))"
@@ -286,14 +305,14 @@ def c5_snapshot_features(t: Tables) -> DataFrame:
 
 @query(
     "c6_choice_sets",
-    f"""WITH {TAPE}, picks AS (SELECT seq AS pick, mint AS picked, recv - 1000000 AS t FROM tape WHERE buy AND usr = 3),
-w AS (SELECT k.pick, p.mint, count(*) AS prints, round(sum(p.sol), 2) AS volume, bool_or(p.mint = k.picked) AS is_pick FROM picks k JOIN tape p ON p.recv >= k.t - 259200000000 AND p.recv < k.t GROUP BY ALL)
+    f"""WITH {TAPE}, picks AS (SELECT seq AS pick, mint AS picked, recv - 1000000 AS t FROM tape WHERE buy),
+w AS (SELECT k.pick, p.mint, count(*) AS prints, round(sum(p.sol), 2) AS volume, bool_or(p.mint = k.picked) AS is_pick FROM picks k JOIN tape p ON p.recv >= k.t - 21600000000 AND p.recv < k.t GROUP BY ALL)
 SELECT * FROM (SELECT *, bool_or(is_pick) OVER (PARTITION BY pick) AS has FROM w) WHERE has""",
 )
 def c6_choice_sets(t: Tables) -> DataFrame:
     """The picked token and all alternatives active before each entry, a second apart; entries without activity dropped."""
-    picks = prints(t).where("buy AND usr = 3").select(F.col("seq").alias("pick"), F.col("mint").alias("picked"), (F.col("recv") - SECOND).alias("t"))
-    w = joins.range_join(picks, prints(t).drop("seq"), [], "t", "recv", -3 * DAY, -1)
+    picks = prints(t).where("buy").select(F.col("seq").alias("pick"), F.col("mint").alias("picked"), (F.col("recv") - SECOND).alias("t"))
+    w = joins.range_join(picks, prints(t).drop("seq"), [], "t", "recv", -6 * 3600 * SECOND, -1)
     sets = w.groupBy("pick", "mint").agg(F.count("*").alias("prints"), F.round(F.sum("sol"), 2).alias("volume"), F.bool_or(F.col("mint") == F.col("picked")).alias("is_pick"))
     return sets.withColumn("has", F.bool_or("is_pick").over(Window.partitionBy("pick"))).where("has")
 
@@ -424,9 +443,18 @@ def w14_velocity(t: Tables) -> DataFrame:
     f"""WITH {TAPE} SELECT a.seq, (SELECT count(DISTINCT b.usr) FROM tape b WHERE a.mint = b.mint AND b.recv > a.recv - 864000000000 AND b.recv <= a.recv) AS users FROM tape a""",
 )
 def w12_distinct_in_window(t: Tables) -> DataFrame:
-    """Distinct users of a token in the ten days up to every print."""
-    w = Window.partitionBy("mint").orderBy("recv").rangeBetween(-10 * DAY + 1, 0)
-    return prints(t).withColumn("users", F.size(F.collect_set("usr").over(w)).cast("long")).select("seq", "users")
+    """Distinct users of a token in the ten days up to every print.
+
+    A user counts from a print until ten days after or until his next print, whichever is first: one more at the print, one
+    less at that end, and a running sum of both.
+    """
+    rows = prints(t).select("mint", "usr", "recv", "seq").repartition("mint")
+    following = F.lead("recv").over(Window.partitionBy("mint", "usr").orderBy("recv", "seq"))
+    rows = rows.withColumn("until", F.least(following, F.col("recv") + 10 * DAY))
+    ends = F.array(F.struct(F.col("recv").alias("at"), F.lit(1).alias("step"), F.col("seq").alias("print")), F.struct(F.col("until").alias("at"), F.lit(-1).alias("step"), F.lit(None).cast("long").alias("print")))
+    line = rows.select("mint", F.inline(ends))
+    run = Window.partitionBy("mint").orderBy("at").rangeBetween(Window.unboundedPreceding, 0)
+    return line.withColumn("users", F.sum("step").over(run)).where("print IS NOT NULL").select(F.col("print").alias("seq"), "users")
 
 
 @query(
@@ -458,12 +486,9 @@ SELECT mint, seq, CASE WHEN tp IS NULL AND sl IS NULL THEN 'time' WHEN sl IS NUL
 )
 def w19_first_touch(t: Tables) -> DataFrame:
     """First print at the target or the stop inside the hold, else time: labels of every entry. A stop at the same time counts first."""
-    rows = prints(t).withColumn("px", F.col("vsol") / F.col("vtok"))
-    entries = rows.where("buy").select("mint", "seq", "recv", "px")
-    path = rows.select("mint", F.col("recv").alias("born"), F.col("px").alias("later"))
     hold = 10 * DAY
-    j = joins.range_join(entries, path, ["mint"], "recv", "born", 1, hold, how="left")
-    j = j.groupBy("mint", "seq", "recv").agg(F.min(F.when(F.col("later") >= 1.5 * F.col("px"), F.col("born"))).alias("tp"), F.min(F.when(F.col("later") <= 0.7 * F.col("px"), F.col("born"))).alias("sl"))
+    rows = prints(t).select("mint", "seq", "recv", "buy", (F.col("vsol") / F.col("vtok")).alias("px"))
+    j = folds.first_touch(rows, "mint", "recv", "px", "buy", 1.5, 0.7, hold)
     outcome = F.when(F.col("tp").isNull() & F.col("sl").isNull(), "time").when(F.col("sl").isNull() | (F.col("tp") < F.col("sl")), "profit").otherwise("stop")
     return j.select("mint", "seq", outcome.alias("outcome"), F.coalesce(F.least("tp", "sl"), F.col("recv") + hold).alias("exit_at"))
 
@@ -477,9 +502,7 @@ SELECT key, event_id, t FROM k WHERE kept""",
 )
 def w20_cooldown(t: Tables) -> DataFrame:
     """Greedy: an event is kept if it comes six hours or more after the last kept one."""
-    from ..operators.folds import cooldown
-
-    return cooldown(tape.ticks(t("events")).where("event_type = 'purchase'").select("key", "t", "event_id"), ["key"], "t", 6 * 3600 * SECOND, ["event_id"]).select("key", "event_id", "t")
+    return folds.cooldown(tape.ticks(t("events")).where("event_type = 'purchase'").select("key", "t", "event_id"), ["key"], "t", 6 * 3600 * SECOND, ["event_id"]).select("key", "event_id", "t")
 
 
 @query(
@@ -495,15 +518,25 @@ def w27_crossing(t: Tables) -> DataFrame:
 
 @query(
     "w30_regime",
-    f"""WITH {LAUNCHES} SELECT launch, (SELECT count(*) FROM launches b WHERE b.born > a.born - 3600000000 AND b.born <= a.born) AS launches_1h, (SELECT count(*) FROM launches b WHERE b.completed_at > a.born - 3600000000 AND b.completed_at <= a.born) AS completions_1h FROM launches a""",
+    f"""WITH {TAPE}, {LAUNCHES}, f AS (SELECT greatest((SELECT min(born) FROM launches), (SELECT min(recv) FROM tape)) AS first),
+c AS (SELECT launch, born - 3600000000 >= first AS known, (SELECT count(*) FROM launches b WHERE b.born > a.born - 600000000 AND b.born <= a.born) AS l10, (SELECT count(*) FROM launches b WHERE b.born > a.born - 3600000000 AND b.born <= a.born) AS l60,
+ (SELECT count(*) FROM launches b WHERE b.completed_at > a.born - 3600000000 AND b.completed_at <= a.born) AS c60, (SELECT count(*) FROM tape p WHERE p.recv > a.born - 600000000 AND p.recv <= a.born) AS t10 FROM launches a, f)
+SELECT launch, CASE WHEN known THEN l10 END AS launches_10m, CASE WHEN known THEN l60 END AS launches_1h, CASE WHEN known THEN c60 END AS completions_1h, CASE WHEN known THEN round(c60 / greatest(l60, 1), 6) END AS completion_rate, CASE WHEN known THEN t10 END AS trades_10m FROM c""",
 )
 def w30_regime(t: Tables) -> DataFrame:
-    """Market-wide counts in the hour up to every launch, by a bucketed range join."""
-    rows = tape.launches(t("orders"))
-    asked = rows.select("launch", "born")
-    line = rows.select(F.col("born").alias("x"), F.lit(1).alias("l"), F.lit(0).alias("c")).union(rows.where("completed").select(F.col("completed_at").alias("x"), F.lit(0).alias("l"), F.lit(1).alias("c")))
-    j = joins.range_join(asked, line, [], "born", "x", -3600 * SECOND + 1, 0, how="left")
-    return j.groupBy("launch").agg(F.coalesce(F.sum("l"), F.lit(0)).alias("launches_1h"), F.coalesce(F.sum("c"), F.lit(0)).alias("completions_1h"))
+    """Market-wide counts up to every launch: launches, completions and their ratio, prints; null where the hour before is not covered.
+
+    Every count is the difference of two running counts, read at the launch and at the window's start.
+    """
+    rows, tape_rows = tape.launches(t("orders")), prints(t)
+    hour, some = 3600 * SECOND, 600 * SECOND
+    series = {"l": rows.select(F.col("born").alias("x")), "c": rows.where("completed").select(F.col("completed_at").alias("x")), "t": tape_rows.select(F.col("recv").alias("x"))}
+    counted = stats.counts_up_to(rows.select("launch", "born"), "born", series, {"launches_10m": ("l", some), "launches_1h": ("l", hour), "completions_1h": ("c", hour), "trades_10m": ("t", some)}, hour)
+    first = rows.agg(F.min("born").alias("a")).crossJoin(tape_rows.agg(F.min("recv").alias("b"))).select(F.greatest("a", "b").alias("first"))
+    known = lambda c: F.when(F.col("born") - hour >= F.col("first"), c)
+    counted = counted.crossJoin(F.broadcast(first))
+    ratio = F.round(F.col("completions_1h") / F.greatest("launches_1h", F.lit(1)), 6)
+    return counted.select("launch", *(known(F.col(c)).alias(c) for c in ("launches_10m", "launches_1h", "completions_1h")), known(ratio).alias("completion_rate"), known(F.col("trades_10m")).alias("trades_10m"))
 
 
 @query(
@@ -523,27 +556,27 @@ def c15_detector_precision(t: Tables) -> DataFrame:
 @query(
     "c11_mirror",
     f"""WITH {TAPE}, p AS (SELECT mint, usr, recv, seq, buy, tok, coalesce(sum(CASE WHEN buy THEN tok ELSE -tok END) OVER (PARTITION BY mint, usr ORDER BY recv, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM tape)
-SELECT mint, usr, seq, CASE WHEN buy AND pos <= 0 THEN 'open' WHEN NOT buy AND pos > 0 THEN 'exit' ELSE 'other' END AS action, round(CASE WHEN NOT buy AND pos > 0 THEN least(tok / pos, 1) END, 6) AS fraction FROM p WHERE usr IN (1, 2, 3)""",
+SELECT mint, usr, seq, CASE WHEN buy AND pos <= 0 THEN 'open' WHEN NOT buy AND pos > 0 THEN 'exit' ELSE 'other' END AS action, round(CASE WHEN NOT buy AND pos > 0 THEN least(tok / pos, 1) END, 6) AS fraction FROM p""",
 )
 def c11_mirror(t: Tables) -> DataFrame:
-    """What a mirror of three wallets does at each of their prints, and the fraction it exits."""
+    """What a mirror does at each print of a wallet, and the fraction it exits."""
     w = Window.partitionBy("mint", "usr").orderBy("recv", "seq").rowsBetween(Window.unboundedPreceding, -1)
     pos = F.coalesce(F.sum(F.when(F.col("buy"), F.col("tok")).otherwise(-F.col("tok"))).over(w), F.lit(0.0))
-    p = prints(t).where(F.col("usr").isin(1, 2, 3)).withColumn("pos", pos)
+    p = prints(t).withColumn("pos", pos)
     sells = ~F.col("buy") & (F.col("pos") > 0)
     return p.select("mint", "usr", "seq", F.when(F.col("buy") & (F.col("pos") <= 0), "open").when(sells, "exit").otherwise("other").alias("action"), F.round(F.when(sells, F.least(F.col("tok") / F.col("pos"), F.lit(1.0))), 6).alias("fraction"))
 
 
 @query(
     "c12_latency_sweep",
-    f"""WITH {TAPE}, e AS (SELECT seq, mint, recv, d FROM tape, (VALUES (0), (3600), (86400)) x(d) WHERE buy AND usr = 11),
+    f"""WITH {TAPE}, e AS (SELECT seq, mint, recv, d FROM tape, (VALUES (0), (3600), (86400)) x(d) WHERE buy),
 f AS (SELECT e.*, (SELECT arg_min(vsol / vtok, (p.recv, p.seq)) FROM tape p WHERE p.mint = e.mint AND p.recv >= e.recv + d * 1000000::BIGINT) AS entry, (SELECT arg_min(vsol / vtok, (p.recv, p.seq)) FROM tape p WHERE p.mint = e.mint AND p.recv >= e.recv + d * 1000000::BIGINT + 864000000000) AS leave FROM e)
 SELECT CAST(d AS BIGINT) AS delay_s, count(*) AS n, count(leave) AS filled, round(avg(leave / entry - 1), 6) AS mean_return FROM f GROUP BY d""",
 )
 def c12_latency_sweep(t: Tables) -> DataFrame:
     """The same signals priced at several delays: signals x delays, two forward as-of joins, one group-by."""
     rows = prints(t).withColumn("px", F.col("vsol") / F.col("vtok"))
-    e = rows.where("buy AND usr = 11").select("seq", "mint", "recv", F.explode(F.array(*map(F.lit, (0, 3600, 86_400)))).alias("d"))
+    e = rows.where("buy").select("seq", "mint", "recv", F.explode(F.array(*map(F.lit, (0, 3600, 86_400)))).alias("d"))
     e = e.withColumn("t", F.col("recv") + F.col("d").cast("long") * SECOND)
     states = rows.select("mint", F.col("recv").alias("t"), "px", F.col("seq").alias("order"))
     one = joins.asof_join(e, states, ["mint"], "t", ["px"], forward=True, order=["order"]).withColumnRenamed("px", "entry").drop("t_right").withColumn("t", F.col("t") + 10 * DAY)

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..functions import text as X
 from ..operators import evidence
-from ..sources import documents, tape
-from ..sources.tape import TAPE, TICKS
+from ..sources import documents, feeds, tape
+from ..sources.tape import DAILY, LAUNCHES, TAPE, TICKS
 from .registry import Tables, query
 from .tape import prints
 
@@ -73,10 +73,19 @@ def p8_display_number(t: Tables) -> DataFrame:
     return t("events").select("event_id", F.round(X.display_number(shown), 4).alias("number"))
 
 
-@query("p9_display_duration", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN CAST(event_id % 24 AS DOUBLE) * 3600 + 5 * 60 WHEN event_id % 3 = 1 THEN CAST(event_id % 12 AS DOUBLE) * 2592000 END AS seconds FROM events")
+_HELD = "CASE event_type WHEN 'error' THEN 'after a while' WHEN 'view' THEN CAST(CAST(floor(value) AS BIGINT) AS VARCHAR) || 'd ' || CAST(event_id % 24 AS VARCHAR) || 'h' WHEN 'click' THEN CAST(CAST(floor(value) AS BIGINT) AS VARCHAR) || 'mo' ELSE CAST(CAST(floor(value) AS BIGINT) AS VARCHAR) || 'm ' || CAST(CAST(floor(value * 60) AS BIGINT) % 60 AS VARCHAR) || 's' END"
+
+
+@query(
+    "p9_display_duration",
+    f"""WITH s AS (SELECT event_id, {_HELD} AS shown FROM events), n AS (SELECT event_id, shown, regexp_extract_all(shown, '([0-9]+)(mo|[smhdwy])', 1) AS a, regexp_extract_all(shown, '([0-9]+)(mo|[smhdwy])', 2) AS u FROM s)
+SELECT event_id, CASE WHEN len(a) > 0 AND trim(regexp_replace(shown, '([0-9]+)(mo|[smhdwy])', '', 'g')) = '' THEN list_sum(list_transform(range(1, len(a) + 1), lambda i: CAST(a[i] AS DOUBLE) * CASE u[i] WHEN 's' THEN 1 WHEN 'm' THEN 60 WHEN 'h' THEN 3600 WHEN 'd' THEN 86400 WHEN 'mo' THEN 2592000 END)) END AS seconds FROM n""",
+)
 def p9_display_duration(t: Tables) -> DataFrame:
-    n = F.col("event_id")
-    shown = F.when(n % 3 == 0, F.concat((n % 24).cast("string"), F.lit("h 5m"))).when(n % 3 == 1, F.concat((n % 12).cast("string"), F.lit("mo"))).otherwise("5 apples")
+    """Durations as shown, in four forms by the kind of event, of which one is none."""
+    whole = lambda c: F.floor(c).cast("string")
+    v, kind = F.col("value"), F.col("event_type")
+    shown = F.when(kind == "error", "after a while").when(kind == "view", F.concat(whole(v), F.lit("d "), (F.col("event_id") % 24).cast("string"), F.lit("h"))).when(kind == "click", F.concat(whole(v), F.lit("mo"))).otherwise(F.concat(whole(v), F.lit("m "), (F.floor(v * 60) % 60).cast("string"), F.lit("s")))
     return t("events").select("event_id", X.display_duration(shown).alias("seconds"))
 
 
@@ -118,11 +127,17 @@ def p16_keywords(t: Tables) -> DataFrame:
     return t("part").select("p_partkey", F.explode(X.keywords(F.col("p_name"), ["part", "item"])).alias("word"))
 
 
-@query("p17_link_kinds", "SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'post' WHEN 1 THEN 'profile' WHEN 2 THEN 'community' ELSE 'other' END AS kind, CASE WHEN page_id % 4 = 0 THEN 'user' || page_id END AS author FROM pages")
+@query(
+    "p17_link_kinds",
+    r"""WITH l AS (SELECT page_id, unnest(list_distinct([url] || regexp_extract_all(html, '(?i)href=["'']([^"'']+)', 1))) AS link FROM pages)
+SELECT page_id, link, CASE WHEN regexp_matches(lower(link), '(x|twitter)\.com/[^/]+/status/') THEN 'post' WHEN regexp_matches(lower(link), '(x|twitter)\.com/i/communities/') THEN 'community' WHEN regexp_matches(lower(link), '(x|twitter)\.com/[a-z0-9_]+/?$') THEN 'profile' WHEN link = '' THEN 'none' ELSE 'other' END AS kind,
+ nullif(lower(regexp_extract(link, '(?i)(?:x|twitter)\.com/([A-Za-z0-9_]{1,15})/status/', 1)), '') AS author FROM l""",
+)
 def p17_link_kinds(t: Tables) -> DataFrame:
-    n = F.col("page_id").cast("string")
-    url = F.when(F.col("page_id") % 4 == 0, F.concat(F.lit("https://X.com/User"), n, F.lit("/status/9"))).when(F.col("page_id") % 4 == 1, F.concat(F.lit("https://x.com/user"), n)).when(F.col("page_id") % 4 == 2, F.lit("https://x.com/i/communities/5")).otherwise(F.col("url"))
-    return t("pages").select("page_id", X.link_kind(url).alias("kind"), X.post_author(url).alias("author"))
+    """The kind of a page's own address and of every link in it, with the author where it is a post."""
+    links = F.array_distinct(F.concat(F.array("url"), F.regexp_extract_all("html", F.lit(r"(?i)href=[\"']([^\"']+)"), F.lit(1))))
+    rows = t("pages").select("page_id", F.explode(links).alias("link"))
+    return rows.select("page_id", "link", X.link_kind(F.col("link")).alias("kind"), X.post_author(F.col("link")).alias("author"))
 
 
 @query("p18_symbol_base", "SELECT p_partkey, upper(replace(p_brand, '#', '')) AS base, CASE p_partkey % 3 WHEN 0 THEN 1000 WHEN 1 THEN 1000000 ELSE 1 END AS multiple FROM part")
@@ -143,10 +158,10 @@ def p20_split_label(t: Tables) -> DataFrame:
     return prints(t).select("seq", C.split_label(F.col("recv"), bounds, "forward").alias("split"))
 
 
-@query("p21_error_class", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'blocked' WHEN event_id % 3 = 1 THEN 'error' END AS class FROM events WHERE event_type = 'error'")
+@query("p21_error_class", "SELECT doc_id, CASE WHEN text IS NOT NULL THEN CASE WHEN contains(lower(text), 'rights reserved') OR contains(lower(text), 'license') OR contains(lower(text), 'sign in') THEN 'blocked' ELSE 'error' END END AS class FROM documents")
 def p21_error_class(t: Tables) -> DataFrame:
-    text = F.when(F.col("event_id") % 3 == 0, "HTTP 403 Forbidden").when(F.col("event_id") % 3 == 1, "timed out")
-    return t("events").where("event_type = 'error'").select("event_id", X.error_class(text, ["403", "captcha", "sign in"]).alias("class"))
+    """Answers that only say that one may not read on, by marks in their text."""
+    return t("documents").select("doc_id", X.error_class(F.col("text"), ["rights reserved", "license", "sign in"]).alias("class"))
 
 
 @query("p22_signed_log", "SELECT event_id, round(sign(value - 50) * ln(1 + abs(value - 50)), 9) AS x, greatest(least(value, 80), 20) AS clipped FROM events")
@@ -155,9 +170,30 @@ def p22_signed_log(t: Tables) -> DataFrame:
     return t("events").select("event_id", F.round(C.signed_log1p(v), 9).alias("x"), C.clip(F.col("value"), 20.0, 80.0).alias("clipped"))
 
 
-@query("p23_post_features", "SELECT doc_id, length(text) AS chars, regexp_matches(text, '[0-9]{12,}') AS has_number, contains(text, '@') AS has_at, len(regexp_extract_all(text, '[.]')) AS stops FROM documents")
+_POSTS = """posts AS (SELECT o.launch, e.event_id AS status, e.user_id AS author, e.t AS posted, e.event_type, e.props, o.born, min(e.t) OVER (PARTITION BY e.user_id) AS joined
+  FROM launches o LEFT JOIN (SELECT event_id, key AS user_id, t - 946684800000000 AS t, event_type, props FROM ticks) e ON e.event_id = o.launch // 3)"""
+
+
+@query(
+    "p23_post_features",
+    f"""WITH {LAUNCHES}, {TICKS}, {_POSTS} SELECT launch, status IS NULL AS post_missing, round((born - posted) / 6e7, 3) AS post_age_min, round((born - joined) / 8.64e10, 6) AS account_age_d, event_type = 'click' AS is_reply, event_type = 'view' AS is_quote, contains(props, '7') AS has_media,
+ length(props) AS text_len, regexp_matches(props, '[0-9]{{2,}}') AS mentions_number, CASE WHEN status IS NOT NULL THEN row_number() OVER (PARTITION BY status ORDER BY born, launch) END AS rank_for_post FROM posts""",
+)
 def p23_post_features(t: Tables) -> DataFrame:
-    return t("documents").select("doc_id", F.length("text").cast("long").alias("chars"), F.col("text").rlike("[0-9]{12,}").alias("has_number"), F.contains(F.col("text"), F.lit("@")).alias("has_at"), F.size(F.regexp_extract_all("text", F.lit("[.]"), F.lit(0))).cast("long").alias("stops"))
+    """Features of the post that a launch cites: ages at the launch, kind, text, and the how-manieth launch for the post.
+
+    Events are thirty years later than launches, so posts are moved by as much.
+    """
+    ticks = tape.ticks(t("events")).withColumn("t", F.col("t") - 946_684_800_000_000)
+    cited = tape.launches(t("orders")).select("launch", "born", F.floor(F.col("launch") / 3).alias("event_id"))
+    posts = cited.join(ticks.withColumn("status", F.col("event_id")), "event_id", "left")
+    seen = posts.where("status IS NOT NULL").groupBy("key").agg(F.min("t").alias("first"))
+    posts = posts.join(seen, "key", "left")
+    rank = F.when(F.col("status").isNotNull(), F.row_number().over(Window.partitionBy("status").orderBy("born", "launch")))
+    return posts.select(
+        "launch", F.col("status").isNull().alias("post_missing"), F.round((F.col("born") - F.col("t")) / 6e7, 3).alias("post_age_min"), F.round((F.col("born") - F.col("first")) / 8.64e10, 6).alias("account_age_d"), (F.col("event_type") == "click").alias("is_reply"), (F.col("event_type") == "view").alias("is_quote"),
+        F.contains(F.col("props"), F.lit("7")).alias("has_media"), F.length("props").cast("long").alias("text_len"), F.col("props").rlike("[0-9]{2,}").alias("mentions_number"), rank.cast("long").alias("rank_for_post"),
+    )
 
 
 @query("p24_hms", "SELECT doc_id, printf('%02d:%02d:%02d', n_chars // 3600, (n_chars // 60) % 60, n_chars % 60) AS hms FROM documents")
@@ -202,23 +238,29 @@ def s16_page_snapshots(t: Tables) -> DataFrame:
     return documents.page_snapshots(t("pages")).select("url", "snapshot", "title", F.size("links").cast("long").alias("links"))
 
 
-@query("s14_captions")
+_CUES = """(SELECT conv_id, turn, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text FROM conversations)"""
+
+
+@query(
+    "s14_captions",
+    f"""WITH c AS (SELECT *, lag(text, 1) OVER w AS a, lag(text, 2) OVER w AS b, lag(text, 3) OVER w AS c FROM {_CUES} WHERE text <> '' WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS seq, CAST(turn AS DOUBLE) AS start, turn + 0.5 AS "end", text FROM c WHERE text IS DISTINCT FROM a AND text IS DISTINCT FROM b AND text IS DISTINCT FROM c""",
+)
 def s14_captions(t: Tables) -> DataFrame:
-    """Conversations written as captions and read back as segments."""
-    cue = F.format_string("%02d:%02d:%02d.000 --> %02d:%02d:%02d.500\n%s", (F.col("turn") / 3600).cast("int"), (F.col("turn") / 60 % 60).cast("int"), (F.col("turn") % 60).cast("int"), (F.col("turn") / 3600).cast("int"), (F.col("turn") / 60 % 60).cast("int"), (F.col("turn") % 60).cast("int"), F.regexp_replace("text", r"\s+", " "))
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", cue.alias("cue")))), lambda x: x["cue"]), "\n\n")
-    files = t("conversations").groupBy("conv_id").agg(F.concat(F.lit("WEBVTT\n\n"), body).alias("vtt"))
-    return documents.cues(files, "conv_id", "vtt")
+    """Conversations written as captions, a row for each cue, and read back as segments."""
+    stamp = lambda end: F.format_string(f"%02d:%02d:%02d.{end}", F.floor(F.col("turn") / 3600), F.floor(F.col("turn") / 60) % 60, F.col("turn") % 60)
+    cue = F.concat(stamp("0"), F.lit(" --> "), stamp("500"), F.lit("\n"), F.regexp_replace("text", r"\s+", " "))
+    return documents.segments(t("conversations").select("conv_id", F.col("turn").alias("block"), cue.alias("cue")), "conv_id")
 
 
 _WORD = "(?i)(price|stupid|licensed|card)"
 
 
-@query("e6_moments", f"SELECT doc_id, regexp_extract(text, '{_WORD}', 1) AS word, 'new' AS state FROM documents WHERE regexp_matches(text, '{_WORD}')")
+@query("e6_moments", f"SELECT d.doc_id, regexp_extract(text, '{_WORD}', 1) AS word, CASE WHEN quality = 1 THEN 'kept' WHEN quality = 0 THEN 'dropped' ELSE 'new' END AS state FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id WHERE regexp_matches(text, '{_WORD}')")
 def e6_moments(t: Tables) -> DataFrame:
     """Moments by key word; the state of an earlier review stays."""
     found = t("documents").where(F.col("text").rlike(_WORD)).select("doc_id", F.regexp_extract("text", _WORD, 1).alias("word"))
-    reviewed = t("labels").where("quality > 1").select("doc_id", F.lit("reviewed").alias("state"))
+    reviewed = t("labels").select("doc_id", F.when(F.col("quality") == 1, "kept").otherwise("dropped").alias("state"))
     return found.join(reviewed, "doc_id", "left").select("doc_id", "word", F.coalesce("state", F.lit("new")).alias("state"))
 
 
@@ -247,30 +289,26 @@ def e3_violations(t: Tables) -> DataFrame:
 
 @query("e4_quote_check", "SELECT b.item_id, count(*) AS holders FROM benchmark b JOIN documents d ON contains(lower(trim(regexp_replace(d.text, '\\s+', ' ', 'g'))), lower(trim(regexp_replace(b.text, '\\s+', ' ', 'g')))) GROUP BY b.item_id")
 def e4_quote_check(t: Tables) -> DataFrame:
-    """Documents that hold a quote word for word: quote and text meet on the quote's first five words, then are compared."""
-    first = lambda w: F.array_join(F.slice(w, 1, 5), " ")
-    quotes = t("benchmark").select("item_id", X.normal(F.col("text")).alias("quote")).withColumn("lead", first(F.split("quote", " ")))
-    texts = t("documents").select("doc_id", X.normal(F.col("text")).alias("body")).withColumn("w", F.split("body", " "))
-    # a quote may begin inside a word of the text, so its second to fifth words are what must meet
-    quotes = quotes.withColumn("lead", F.array_join(F.slice(F.split("quote", " "), 2, 4), " "))
-    grams = texts.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 3, F.lit(1))), lambda i: F.array_join(F.slice(F.col("w"), i, F.lit(4)), " ")))).alias("lead"))
-    hits = grams.join(quotes, "lead").join(texts.select("doc_id", "body"), "doc_id").where(F.contains(F.col("body"), F.col("quote")))
-    return hits.groupBy("item_id").agg(F.count_distinct("doc_id").alias("holders"))
-
-
-@query("e8_lineage", "WITH RECURSIVE a AS (SELECT o_orderkey AS start, o_orderkey, 0::BIGINT AS depth FROM orders UNION ALL SELECT start, o_orderkey // 2, depth + 1 FROM a WHERE o_orderkey // 2 > 0) SELECT start, o_orderkey, depth FROM a")
+    """Documents that hold a quote word for word."""
+    quotes = t("benchmark").select("item_id", X.normal(F.col("text")).alias("quote"))
+    texts = t("documents").select("doc_id", X.normal(F.col("text")).alias("body"))
+    return evidence.quote_holders(quotes, texts, "item_id", "quote", "doc_id", "body").groupBy("item_id").agg(F.count("*").alias("holders"))
+
+
+@query("e8_lineage", "WITH RECURSIVE n AS (SELECT o_orderkey, (SELECT max(o_orderkey) FROM orders p WHERE p.o_custkey = o.o_custkey AND p.o_orderkey < o.o_orderkey) AS parent FROM orders o), a AS (SELECT o_orderkey AS start, o_orderkey, 0::BIGINT AS depth FROM orders UNION ALL SELECT start, parent, depth + 1 FROM a JOIN n ON n.o_orderkey = a.o_orderkey WHERE parent IS NOT NULL) SELECT start, o_orderkey, depth FROM a")
 def e8_lineage(t: Tables) -> DataFrame:
-    """Ancestors of every order by a parent pointer."""
-    o = t("orders").select("o_orderkey")
-    top = o.agg(F.max("o_orderkey").alias("m"))
-    nodes = top.select(F.explode(F.sequence(F.lit(1).cast("long"), "m")).alias("o_orderkey")).withColumn("parent", F.when(F.col("o_orderkey") > 1, F.floor(F.col("o_orderkey") / 2)))
-    return evidence.lineage(nodes, "o_orderkey", "parent", o)
+    """Every order with all orders of its customer before it, by a pointer from each to the one before."""
+    o = t("orders").select("o_orderkey", F.lag("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).alias("parent"))
+    return evidence.lineage(o, "o_orderkey", "parent", o.select("o_orderkey"))
 
 
-@query("e9_candidate_merge", "WITH c AS (SELECT p_brand AS key, p_size AS priority, p_name AS note, p_partkey AS id FROM part) SELECT key, min(priority) AS priority, arg_min(note, id) AS note, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS evidence FROM c GROUP BY key")
+@query("e9_candidate_merge", "WITH c AS (SELECT p_name || ' ' || p_type AS key, p_size AS priority, p_name || ' ' || p_brand AS note, p_partkey AS id FROM part) SELECT key, id AS evidence, min(priority) OVER (PARTITION BY key) AS priority, first_value(note) OVER (PARTITION BY key ORDER BY id) AS note, row_number() OVER (PARTITION BY key ORDER BY id) - 1 AS place FROM c")
 def e9_candidate_merge(t: Tables) -> DataFrame:
-    ids = F.transform(F.array_sort(F.collect_list("p_partkey")), lambda x: x.cast("string"))
-    return t("part").groupBy(F.col("p_brand").alias("key")).agg(F.min("p_size").alias("priority"), F.min_by("p_name", "p_partkey").alias("note"), F.array_join(ids, ",").alias("evidence"))
+    """Candidates of one key become one: its evidence a row each in order, with the highest priority and the first note."""
+    c = t("part").select(F.concat_ws(" ", "p_name", "p_type").alias("key"), "p_size", F.concat_ws(" ", "p_name", "p_brand").alias("note"), F.col("p_partkey").alias("evidence"))
+    best = c.groupBy("key").agg(F.min("p_size").alias("priority"), F.min_by("note", "evidence").alias("note"))
+    placed = c.select("key", "evidence", (F.row_number().over(Window.partitionBy("key").orderBy("evidence")) - 1).cast("long").alias("place"))
+    return placed.join(best, "key").select("key", "evidence", "priority", "note", "place")
 
 
 @query("e10_ledger", "SELECT n_name AS source, string_agg(DISTINCT c_mktsegment, ';' ORDER BY c_mktsegment) AS kinds FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY n_name UNION ALL SELECT r_name, 'candidate' FROM region")
@@ -287,12 +325,18 @@ def e11_filtered_listing(t: Tables) -> DataFrame:
     return rows.where("n_chars > 1000").select("doc_id", "lang", "source")
 
 
-@query("e14_decision_windows", f"WITH {TICKS}, a AS (SELECT event_id, t // 1000000 AS s FROM ticks WHERE event_type = 'signup'), g AS (SELECT event_id, s + unnest(generate_series(-60, 60, 20)) AS at_s FROM a UNION SELECT event_id, s + unnest(generate_series(-5, 5, 1)) FROM a) SELECT event_id, CAST(at_s AS BIGINT) AS at_s FROM g")
+@query(
+    "e14_decision_windows",
+    f"WITH {TICKS}, d AS (SELECT min(t) // 1000000 AS lo, max(t) // 1000000 AS hi FROM ticks), a AS (SELECT event_id, t // 1000000 AS s FROM ticks WHERE event_type = 'signup'), g AS (SELECT event_id, s + unnest(generate_series(-600, 600, 200)) AS at_s FROM a UNION SELECT event_id, s + unnest(generate_series(-5, 5, 1)) FROM a) SELECT event_id, CAST(at_s AS BIGINT) AS at_s FROM g, d WHERE at_s BETWEEN lo AND hi",
+)
 def e14_decision_windows(t: Tables) -> DataFrame:
-    """A coarse grid and a dense one around an anchor, without repeats."""
-    a = tape.ticks(t("events")).where("event_type = 'signup'").select("event_id", F.floor(F.col("t") / 1_000_000).alias("s"))
-    grid = F.concat(F.sequence(F.col("s") - 60, F.col("s") + 60, F.lit(20).cast("long")), F.sequence(F.col("s") - 5, F.col("s") + 5))
-    return a.select("event_id", F.explode(F.array_distinct(F.array_sort(grid))).alias("at_s"))
+    """A coarse grid and a dense one around an anchor, without repeats, clipped to the recording."""
+    ticks = tape.ticks(t("events"))
+    span = ticks.agg(F.floor(F.min("t") / 1_000_000).alias("lo"), F.floor(F.max("t") / 1_000_000).alias("hi"))
+    a = ticks.where("event_type = 'signup'").select("event_id", F.floor(F.col("t") / 1_000_000).alias("s"))
+    grid = F.concat(F.sequence(F.col("s") - 600, F.col("s") + 600, F.lit(200).cast("long")), F.sequence(F.col("s") - 5, F.col("s") + 5))
+    rows = a.select("event_id", F.explode(F.array_distinct(grid)).alias("at_s"))
+    return rows.crossJoin(F.broadcast(span)).where("at_s BETWEEN lo AND hi").select("event_id", "at_s")  # the span is one row
 
 
 @query("e16_identity_dedupe", "SELECT p_brand AS handle, min(p_partkey) AS id FROM (SELECT coalesce(lower(p_brand), '') AS p_brand, p_partkey FROM part) GROUP BY 1")
@@ -300,19 +344,22 @@ def e16_identity_dedupe(t: Tables) -> DataFrame:
     return t("part").groupBy(F.coalesce(F.lower("p_brand"), F.lit("")).alias("handle")).agg(F.min("p_partkey").alias("id"))
 
 
-@query("e17_fingerprint")
+@query("e17_fingerprint", f"WITH {TICKS} SELECT t // 86400000000 AS day, count(*) AS n, sha256(string_agg(sha256(event_id || chr(31) || key || chr(31) || event_type || chr(31) || t), '' ORDER BY event_id)) AS fingerprint FROM ticks GROUP BY 1")
 def e17_fingerprint(t: Tables) -> DataFrame:
-    """A hash of the events per day; equal data have equal hashes in any order."""
-    return evidence.fingerprint(t("events"), F.to_date("ts"), ["event_id", "user_id", "event_type", "value"])
+    """A hash of the events per day, over their ordered keys; equal data have equal hashes."""
+    rows = tape.ticks(t("events")).withColumn("day", F.floor(F.col("t") / tape.DAY))
+    return evidence.fingerprint(rows, ["day"], ["event_id"], ["event_id", "key", "event_type", "t"])
 
 
-@query("e18_split_checks", "SELECT 'b' AS name, 'overlaps' AS problem WHERE (SELECT count(*) FROM events) > 0")
+@query(
+    "e18_split_checks",
+    f"""WITH {TICKS}, s AS (SELECT event_type AS name, min(t) AS lo, max(t) AS hi FROM ticks GROUP BY 1 UNION ALL SELECT 'none', 5, 5), o AS (SELECT *, max(hi) OVER (ORDER BY lo, name ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM s)
+SELECT name, CASE WHEN lo >= hi THEN 'empty' WHEN before > lo THEN 'overlaps' END AS problem FROM o WHERE lo >= hi OR before > lo""",
+)
 def e18_split_checks(t: Tables) -> DataFrame:
-    """Three splits of the events' time, of which the second begins before the first ends."""
-    span = tape.ticks(t("events")).agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
-    w = F.col("hi") - F.col("lo")
-    part = lambda n, a, b: F.struct(F.lit(n).alias("name"), (F.col("lo") + w * a).alias("start"), (F.col("lo") + w * b).alias("end"))
-    splits = span.select(F.inline(F.array(part("a", 0.0, 0.5), part("b", 0.4, 0.8), part("c", 0.8, 1.0))))
+    """The spans of the kinds of events taken as splits, and one without length: which are empty or begin before another has ended."""
+    splits = tape.ticks(t("events")).groupBy(F.col("event_type").alias("name")).agg(F.min("t").alias("start"), F.max("t").alias("end"))
+    splits = splits.union(splits.limit(1).select(F.lit("none"), F.lit(5).cast("long"), F.lit(5).cast("long")))
     return evidence.split_problems(splits, "name", "start", "end")
 
 
@@ -346,14 +393,41 @@ def s28_flag_table(t: Tables) -> DataFrame:
     return tape.ticks(t("events")).groupBy("key").agg(F.min(F.struct("t", "event_id", flag.alias("flag"))).alias("x")).select("key", "x.flag")
 
 
-@query("s25_announcements", "SELECT p_partkey, trim(token) AS token FROM (SELECT p_partkey, unnest(regexp_split_to_array(p_name, '\\s*,\\s*|\\s+and\\s+|\\s*&\\s*|\\s+')) AS token FROM part) WHERE token <> ''")
+_TITLES = "titles AS (SELECT o_orderkey AS code, CAST(o_orderdate AS DATE) AS day, CASE o_orderstatus WHEN 'F' THEN 'Exchange Will Delist ' || c_mktsegment || ', ' || o_orderpriority || ' and GHOST on ' || CAST(CAST(o_orderdate AS DATE) AS VARCHAR) WHEN 'O' THEN 'Exchange Will Extend the Monitoring Tag to Include ' || c_mktsegment || ' & ' || o_orderpriority ELSE 'Exchange Adds ' || c_mktsegment END AS title FROM orders JOIN customer ON o_custkey = c_custkey)"
+
+
+@query(
+    "s25_announcements",
+    f"""WITH {DAILY}, {_TITLES}, e AS (SELECT code, day, 'delist' AS kind, regexp_extract(title, 'Will Delist (.+) on [0-9-]+$', 1) AS tokens FROM titles WHERE regexp_matches(title, 'Will Delist (.+) on [0-9-]+$')
+ UNION ALL SELECT code, day, 'monitor', regexp_extract(title, 'Monitoring Tag to Include (.+)$', 1) FROM titles WHERE regexp_matches(title, 'Monitoring Tag to Include (.+)$')),
+k AS (SELECT code, day, kind, unnest(regexp_split_to_array(tokens, '\\s*,\\s*|\\s+and\\s+|\\s*&\\s*')) AS token FROM e), f AS (SELECT symbol, min(day) AS first FROM daily GROUP BY symbol)
+SELECT code, kind, token, d.symbol, CAST(d.day - f.first AS BIGINT) AS age_days, CASE WHEN d.symbol IS NOT NULL THEN 'ok' WHEN f.symbol IS NOT NULL THEN 'no bar' ELSE 'no symbol' END AS note FROM k
+LEFT JOIN f ON f.symbol = k.token LEFT JOIN daily d ON d.symbol = k.token AND d.day = date_diff('day', DATE '1970-01-01', k.day) + CASE WHEN kind = 'monitor' THEN 1 ELSE 0 END""",
+)
 def s25_announcements(t: Tables) -> DataFrame:
-    """Token lists of titles, a row per token."""
-    return t("part").select("p_partkey", F.explode(F.split("p_name", r"\s*,\s*|\s+and\s+|\s*&\s*|\s+")).alias("token")).where("token <> ''").select("p_partkey", F.trim("token").alias("token"))
+    """Titles to a row per token by two patterns, each with its symbol and that symbol's age if it has a bar on the day it counts from."""
+    o, c = F.col("o_orderpriority"), F.col("c_mktsegment")
+    said = F.when(F.col("o_orderstatus") == "F", F.concat(F.lit("Exchange Will Delist "), c, F.lit(", "), o, F.lit(" and GHOST on "), F.to_date("o_orderdate").cast("string"))).when(F.col("o_orderstatus") == "O", F.concat(F.lit("Exchange Will Extend the Monitoring Tag to Include "), c, F.lit(" & "), o)).otherwise(F.concat(F.lit("Exchange Adds "), c))
+    titles = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("code"), F.unix_date(F.to_date("o_orderdate")).cast("long").alias("day"), said.alias("title"))
+    events = documents.announced(titles, "title", {"delist": r"Will Delist (.+) on [0-9-]+$", "monitor": r"Monitoring Tag to Include (.+)$"})
+    bars = tape.daily(t("orders"), t("customer")).select("symbol", "day")
+    first = bars.groupBy("symbol").agg(F.min("day").alias("first")).select(F.col("symbol").alias("token"), "first")
+    events = events.withColumn("day", F.col("day") + (F.col("kind") == "monitor").cast("long"))
+    j = events.join(first, "token", "left").join(bars.withColumn("token", F.col("symbol")), ["token", "day"], "left")
+    note = F.when(F.col("symbol").isNotNull(), "ok").when(F.col("first").isNotNull(), "no bar").otherwise("no symbol")
+    return j.select("code", "kind", "token", "symbol", F.when(F.col("symbol").isNotNull(), F.col("day") - F.col("first")).alias("age_days"), note.alias("note"))
 
 
-@query("s17_polls", f"WITH {TICKS}, p AS (SELECT DISTINCT key, t // 1000 AS recv_ms FROM ticks WHERE event_type <> 'error') SELECT key, count(*) AS polls, min(recv_ms) AS first FROM p GROUP BY key")
+@query(
+    "s17_polls",
+    f"""WITH {TAPE}, polls AS (SELECT recv // 60000000 AS minute, count(*) AS n FROM tape GROUP BY ALL) SELECT minute * 60000 AS recv_ms, n, mint, round(sum(tok), 2) AS viewers, bool_or(buy) AS complete FROM tape JOIN polls ON minute = recv // 60000000 GROUP BY ALL""",
+)
 def s17_polls(t: Tables) -> DataFrame:
-    """Successful polls only, repeats within a millisecond once."""
-    p = tape.ticks(t("events")).where("event_type <> 'error'").select("key", F.floor(F.col("t") / 1000).alias("recv_ms")).dropDuplicates(["key", "recv_ms"])
-    return p.groupBy("key").agg(F.count("*").alias("polls"), F.min("recv_ms").alias("first"))
+    """Polls as answers in JSON, each sent twice and some failed: one row for each coin of every poll that counts once."""
+    minute = F.floor(F.col("recv") / 60_000_000)
+    coins = prints(t).groupBy(minute.alias("minute"), "mint").agg(F.round(F.sum("tok"), 2).alias("viewers"), F.bool_or("buy").alias("complete"), F.count("*").alias("k"))
+    sent = coins.groupBy("minute").agg(F.struct(F.sum("k").alias("n"), F.collect_list(F.struct("mint", "viewers", "complete")).alias("coins")).alias("x"))
+    body = F.to_json(F.struct((F.col("minute") * 60).cast("double").alias("recv"), F.col("x.n").alias("n"), F.col("x.coins").alias("coins")))
+    failed = F.to_json(F.struct((F.col("minute") * 60).cast("double").alias("recv"), F.lit("timed out").alias("error")))
+    lines = sent.select(F.explode(F.array(body, body, failed)).alias("line"))
+    return feeds.poll_rows(lines, "line", "mint long, viewers double, complete boolean")

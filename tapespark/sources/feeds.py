@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 BAD = "_bad"
 
 
-def read_feed(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+def read_feed(spark: SparkSession, path: str | list[str], schema: StructType | str) -> DataFrame:
     """JSON lines, gzip or plain: lines that do not parse go, a cut gzip gives its readable part; ``src_file`` is kept."""
     rows = spark.read.schema(_with_bad(schema)).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", BAD).option("ignoreCorruptFiles", True).json(path)
     return _good(rows)
@@ -35,6 +36,51 @@ def load_incremental(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("src_file").parquet(path)
 
 
+def load_feed(spark: SparkSession, folder: str, schema: StructType | str, table: str, ledger: str, settled_s: int = 3600) -> int:
+    """Load a folder's feed files into ``table``: a finished file once, one that may still grow on every run. Returns how many.
+
+    A file is finished when it was last changed ``settled_s`` or more before. The ledger has a row (name, complete, loaded) for
+    each load, and is only added to; names pass through the driver, rows do not.
+    """
+    files = spark.read.format("binaryFile").load(folder).select("path", F.element_at(F.split("path", "/"), -1).alias("name"), (F.current_timestamp() - F.make_dt_interval(secs=F.lit(settled_s)) >= F.col("modificationTime")).alias("complete"))
+    todo = files
+    try:
+        done = spark.read.schema("name string, complete boolean, loaded timestamp").parquet(ledger).where("complete")
+        todo = files.join(done, "name", "left_anti")
+    except AnalysisException:  # the first load
+        pass
+    found = todo.select("path", "name", "complete").collect()
+    if found:
+        load_incremental(read_feed(spark, [r["path"] for r in found], schema), table)
+        seen = spark.createDataFrame([(r["name"], r["complete"]) for r in found], "name string, complete boolean")
+        seen.withColumn("loaded", F.current_timestamp()).write.mode("append").parquet(ledger)
+    return len(found)
+
+
+def poll_rows(lines: DataFrame, column: str, coin: str) -> DataFrame:
+    """Answers of polls, a JSON object each, to a row for each coin in them: recv_ms, n, and the coin's fields.
+
+    Answers that do not parse or report an error go, and of answers at one millisecond one counts. A poll without coins gives one
+    row of nulls.
+    """
+    x = F.from_json(column, f"recv double, n long, error string, coins array<struct<{', '.join(f.strip().replace(' ', ':', 1) for f in coin.split(','))}>>")
+    polls = lines.select(x.alias("x")).where("x.recv IS NOT NULL AND x.error IS NULL").select(F.round(F.col("x.recv") * 1000).cast("long").alias("recv_ms"), "x.n", "x.coins")
+    return polls.dropDuplicates(["recv_ms"]).select("recv_ms", "n", F.explode_outer("coins").alias("c")).select("recv_ms", "n", "c.*")
+
+
+def unlocks(files: DataFrame, key: str, body: str, classes: dict[str, str], names: list[str]) -> DataFrame:
+    """Schedules, a JSON object of events (day, allocations of category and amount) per key, to a row per day on which something
+    vests: vest, an amount for each class, the supply unlocked before the day, and vest as a percentage of that."""
+    events = F.from_json(body, "events array<struct<day:long,allocations:array<struct<category:string,amount:double>>>>")["events"]
+    rows = files.select(key, F.explode(events).alias("e")).select(key, F.col("e.day").alias("day"), F.explode("e.allocations").alias("a")).select(key, "day", "a.category", "a.amount").where("amount > 0")
+    known = F.create_map(*(F.lit(x) for pair in classes.items() for x in pair))
+    rows = rows.withColumn("class", F.try_element_at(known, F.col("category")))
+    of = lambda name: F.round(F.coalesce(F.sum(F.when(F.col("class") == name, F.col("amount"))), F.lit(0.0)), 2).alias(name)
+    days = rows.groupBy(key, "day").agg(F.sum(F.when(F.col("class").isNotNull(), F.col("amount"))).alias("vest"), *map(of, names), F.sum("amount").alias("total"))
+    days = days.withColumn("before", F.sum("total").over(Window.partitionBy(key).orderBy("day").rowsBetween(Window.unboundedPreceding, -1)))
+    return days.where("vest > 0").select(key, "day", F.round("vest", 2).alias("vest"), *names, F.round(F.coalesce("before", F.lit(0.0)), 2).alias("circulating"), F.round(100 * F.col("vest") / F.col("before"), 4).alias("size_pct"))
+
+
 def export_parquet(tables: dict[str, DataFrame], path: str) -> None:
     """One zstd Parquet folder per table."""
     for name, df in tables.items():
@@ -58,6 +104,31 @@ def export_csv(rows: DataFrame, path: str, order: list[str], synthetic: str = "i
     rows.orderBy(*order).write.mode("overwrite").option("header", True).csv(path)
 
 
+def export_views(views: dict[str, tuple[DataFrame, list[str]]], path: str, synthetic: str = "is_synthetic") -> None:
+    """A CSV folder for each view (rows, order)."""
+    for name, (rows, order) in views.items():
+        export_csv(rows, f"{path}/{name}", order, synthetic)
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of text files: file, line (from 1 in its file), value."""
+    rows = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("i"))
+    return rows.select("file", F.row_number().over(Window.partitionBy("file").orderBy("block", "i")).alias("line"), "value")
+
+
+def import_lines(lines: DataFrame, schema: str, rules: dict[str, str], path: str) -> DataFrame:
+    """Append JSON lines (file, line, value) to a table if every one parses and breaks no rule (message: SQL condition of a bad
+    row). Returns the problems: file, line, problem; none means that the rows are in."""
+    parsed = lines.where("trim(value) <> ''").withColumn("x", F.from_json("value", schema))
+    names = StructType.fromDDL(schema).names
+    rows = parsed.select("file", "line", "x.*", (F.col("x").isNull() | F.expr(" AND ".join(f"x.`{n}` IS NULL" for n in names))).alias(BAD))
+    found = F.array(F.when(F.col(BAD), F.lit("no such row")), *(F.when(~F.col(BAD) & F.expr(bad), F.lit(message)) for message, bad in rules.items()))
+    problems = rows.select("file", "line", F.explode(F.filter(found, lambda m: m.isNotNull())).alias("problem"))
+    if problems.isEmpty():
+        rows.select(*names).write.mode("append").parquet(path)
+    return problems
+
+
 def import_all_or_nothing(rows: DataFrame, problems: DataFrame, path: str) -> int:
     """Append the rows only if there are no problems; returns the number of problems."""
     n = problems.count()

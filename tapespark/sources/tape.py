@@ -18,18 +18,19 @@ def micros(ts: Column) -> Column:
     return F.unix_micros(F.from_utc_timestamp(ts.cast("timestamp"), F.current_timezone()))
 
 
-def _day(ts: Column) -> Column:
+def day_of(ts: Column) -> Column:
+    """Microseconds of the day's beginning."""
     return F.unix_date(F.to_date(ts)).cast("long") * DAY
 
 
 def prints(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
-    """The tape: one print per order line, keyed by supplier (mint) and customer (usr)."""
-    users = orders.select(F.col("o_orderkey").alias("l_orderkey"), (F.col("o_custkey") % 100).alias("usr"))
+    """The tape: one print per order line, keyed by supplier (mint) and customer (usr, ten customer keys each)."""
+    users = orders.select(F.col("o_orderkey").alias("l_orderkey"), F.floor(F.col("o_custkey") / 10).alias("usr"))
     second = (F.col("l_orderkey") * 97 + F.col("l_linenumber") * 13) % 86_400
     return lineitem.join(users, "l_orderkey").select(
         F.col("l_suppkey").alias("mint"),
         "usr",
-        (_day(F.col("l_shipdate")) + second * SECOND).alias("recv"),
+        (day_of(F.col("l_shipdate")) + second * SECOND).alias("recv"),
         ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1_000_000 + F.col("l_partkey")).alias("seq"),
         (F.col("l_linestatus") == "F").alias("buy"),
         F.col("l_extendedprice").alias("sol"),
@@ -40,7 +41,7 @@ def prints(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
     )
 
 
-TAPE = """tape AS (SELECT l_suppkey AS mint, o_custkey % 100 AS usr,
+TAPE = """tape AS (SELECT l_suppkey AS mint, o_custkey // 10 AS usr,
   epoch_us(CAST(CAST(l_shipdate AS DATE) AS TIMESTAMP)) + ((l_orderkey * 97 + l_linenumber * 13) % 86400) * 1000000 AS recv,
   (l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey AS seq, l_linestatus = 'F' AS buy, l_extendedprice AS sol, l_quantity AS tok,
   l_extendedprice + 30 AS vsol, l_quantity + 1 AS vtok, l_discount AS discount
@@ -49,7 +50,7 @@ TAPE = """tape AS (SELECT l_suppkey AS mint, o_custkey % 100 AS usr,
 
 def launches(orders: DataFrame) -> DataFrame:
     """Launches: creator, launch id, time, name key, whether and when it completed (a day later)."""
-    born = _day(F.col("o_orderdate")) + (F.col("o_orderkey") * 97 % 86_400) * SECOND
+    born = day_of(F.col("o_orderdate")) + (F.col("o_orderkey") * 97 % 86_400) * SECOND
     done = F.col("o_orderstatus") == "F"
     return orders.select(F.col("o_custkey").alias("creator"), F.col("o_orderkey").alias("launch"), born.alias("born"), done.alias("completed"), F.when(done, born + DAY).alias("completed_at"), F.col("o_totalprice").alias("size"), F.col("o_orderpriority").alias("kind"))
 

@@ -8,10 +8,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..operators.folds import sweep
 from ..sources import feeds
 
 
@@ -43,49 +45,117 @@ def sessions(rows: DataFrame, key: str, event: str, gap: str, late: str = "10 mi
     return rows.withWatermark(event, late).groupBy(F.session_window(event, gap).alias("w"), key).agg(F.count("*").alias("n")).select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
+#: The state store that operators with state of their own need.
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class Thinner:
+    """One key's quotes: a changed price is written at most every ``price_us``, a changed size every ``size_us``; a change back
+    cancels what waits. ``last`` is what was written last, ``waits`` what comes due, each (t, price, size) or None."""
+
+    def __init__(self, price_us: int, size_us: int, last: tuple | None = None, waits: tuple | None = None) -> None:
+        self.price_us, self.size_us, self.last, self.waits = price_us, size_us, last, waits
+
+    def due(self, t: int) -> list[tuple]:
+        """What waits, if it comes due by ``t``."""
+        if self.waits is None or self.waits[0] > t:
+            return []
+        self.last, self.waits = self.waits, None
+        return [self.last]
+
+    def quote(self, t: int, price: float, size: float) -> list[tuple]:
+        """What is written up to and with this quote."""
+        out = self.due(t)
+        if self.last is not None and (price, size) == self.last[1:]:
+            self.waits = None
+            return out
+        at = t if self.last is None else self.last[0] + (self.price_us if price != self.last[1] else self.size_us)
+        if t >= at:
+            self.last, self.waits = (t, price, size), None
+            return [*out, self.last]
+        self.waits = (at, price, size)
+        return out
+
+
 class _Coalesce(StatefulProcessor):
-    """Writes a changed price at most every ``price_us``, a changed size every ``size_us``; a change back cancels what waits."""
+    """What waits at the end of a batch stays in the state, with a timer for when it comes due: the output does not depend on
+    where batches are cut."""
 
     def __init__(self, price_us: int, size_us: int) -> None:
         self.price_us, self.size_us = price_us, size_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.last = handle.getValueState("last", "t bigint, price double, size double")
+        self.waits = handle.getValueState("waits", "t bigint, price double, size double")
+
+    def _thinner(self) -> Thinner:
+        held = lambda state: tuple(state.get()) if state.exists() else None
+        return Thinner(self.price_us, self.size_us, held(self.last), held(self.waits))
+
+    def _keep(self, thin: Thinner, old: tuple | None) -> None:
+        if thin.last is not None:
+            self.last.update(thin.last)
+        if old is not None and thin.waits != old:
+            self.handle.deleteTimer(_due_ms(old))
+        if thin.waits is None:
+            self.waits.clear()
+        elif thin.waits != old:
+            self.waits.update(thin.waits)
+            self.handle.registerTimer(_due_ms(thin.waits))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:
-        last = self.last.get() if self.last.exists() else None
+        thin = self._thinner()
+        old = thin.waits
         pdf = pd.concat(list(rows)).sort_values("t", kind="stable")
-        out, waits = [], None
-        for t, price, size in zip(pdf["t"], pdf["price"], pdf["size"], strict=True):
-            if waits is not None and waits[0] <= t:
-                last = (int(waits[0]), waits[1], waits[2])
-                out.append(last)
-                waits = None
-            if last is None:
-                last = (int(t), float(price), float(size))
-                out.append(last)
-            elif (price, size) == (last[1], last[2]):
-                waits = None
-            else:
-                due = last[0] + (self.price_us if price != last[1] else self.size_us)
-                if t >= due:
-                    last, waits = (int(t), float(price), float(size)), None
-                    out.append(last)
-                else:
-                    waits = (due, float(price), float(size))
-        if waits is not None:  # the end of a batch sweeps what waits
-            last = (int(waits[0]), waits[1], waits[2])
-            out.append(last)
-        self.last.update(last)
+        out = [x for t, price, size in zip(pdf["t"], pdf["price"], pdf["size"], strict=True) for x in thin.quote(int(t), float(price), float(size))]
+        self._keep(thin, old)
+        yield pd.DataFrame([(key[0], *x) for x in out], columns=["key", "t", "price", "size"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        thin = self._thinner()
+        old = thin.waits
+        out = thin.due(expiredTimerInfo.getExpiryTimeInMs() * 1000)
+        if out:
+            self.last.update(thin.last)
+            self.waits.clear()
         yield pd.DataFrame([(key[0], *x) for x in out], columns=["key", "t", "price", "size"])
 
     def close(self) -> None:
         pass
 
 
-def coalesce_quotes(quotes: DataFrame, price_us: int = 50_000, size_us: int = 500_000) -> DataFrame:
-    """Quotes (key, t, price, size) thinned per key."""
-    return quotes.groupBy("key").transformWithStateInPandas(_Coalesce(price_us, size_us), "key bigint, t bigint, price double, size double", "Append", "None")
+def _due_ms(waits: tuple) -> int:
+    return -(-waits[0] // 1000)
+
+
+def coalesce_quotes(quotes: DataFrame, price_us: int = 50_000, size_us: int = 500_000, late: str = "1 second") -> DataFrame:
+    """A stream of quotes (key, t in microseconds, price, size) thinned per key; what waits comes out when the watermark, ``late``
+    behind the newest quote, has passed its time. Quotes later than that are not taken."""
+    timed = quotes.withColumn("at", F.timestamp_micros("t")).withWatermark("at", late)
+    return timed.groupBy("key").transformWithStateInPandas(_Coalesce(price_us, size_us), "key bigint, t bigint, price double, size double", "Append", "eventTime")
+
+
+def coalesced(quotes: DataFrame, order: list[str], price_us: int, size_us: int) -> DataFrame:
+    """The same over a table: keys are walked in order, and what waits at a key's end comes out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, thin = None, Thinner(price_us, size_us)
+        for batch in batches:
+            out = []
+            for key, t, price, size in zip(*(batch.column(c).to_pylist() for c in ("key", "t", "price", "size")), strict=True):
+                if key != now:
+                    out += [(now, *x) for x in thin.due(1 << 62)]
+                    now, thin = key, Thinner(price_us, size_us)
+                out += [(key, *x) for x in thin.quote(t, price, size)]
+            yield _quotes(out)
+        yield _quotes([(now, *x) for x in thin.due(1 << 62)])
+
+    def _quotes(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64())
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["key", "t", "price", "size"])
+
+    return sweep(quotes, ["key"], order, run, "key long, t long, price double, size double")
 
 
 class _Trips(StatefulProcessor):

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tapespark.functions import columns as C
 from tapespark.functions import text as X
-from tapespark.operators import evidence, joins, stats, trips
+from tapespark.operators import evidence, folds, joins, stats, trips
 
 
 def test_asof_join(spark):
@@ -43,9 +43,10 @@ def test_range_join(spark, how):
 
 
 def test_performance_by_hand(spark):
-    df = spark.createDataFrame([("s", k, x) for k, x in enumerate((0.5, -0.2, 0.1, -0.3, 2.0))], "g string, t int, pnl double")
+    """Wins 3, 1.5 and 0.25, losses 1 and 0.75, one trade of nothing; the running sum falls from 3 to 1.25."""
+    df = spark.createDataFrame([("s", k, x) for k, x in enumerate((3.0, -1.0, 0.0, -0.75, 0.25, 1.5))], "g string, t int, pnl double")
     r = trips.performance(df, "g", ["t"]).first()
-    assert (r["n"], r["total"], r["win_rate"], r["profit_factor"], r["max_drawdown"], r["without_best"]) == (5, 2.1, 0.6, 5.2, 0.4, 0.1)
+    assert (r["n"], r["total"], r["win_rate"], r["profit_factor"], r["max_drawdown"], r["without_best"]) == (6, 3.0, 0.5, round(4.75 / 1.75, 4), 1.75, 0.0)
     assert trips.verdict(df, "g").first()["passes"] is False
 
 
@@ -56,9 +57,10 @@ def test_round_trips_by_hand(spark):
 
 
 def test_agreement_by_hand(spark):
-    rows = [("buy", "buy"), ("buy", "buy"), ("buy", "skip"), ("skip", "buy"), ("skip", "skip")]
-    r = stats.agreement(spark.createDataFrame(rows, "h string, m string"), "h", "m", "buy").first()
-    assert r["agreement"] == 0.6 and r["precision"] == pytest.approx(2 / 3) and r["recall"] == pytest.approx(2 / 3)
+    """Of 8 rows 3 are taken by both, 1 by the first alone, 2 by the second alone, 2 by neither."""
+    rows = [("in", "in")] * 3 + [("in", "out")] + [("out", "in")] * 2 + [("out", "out")] * 2
+    r = stats.agreement(spark.createDataFrame(rows, "h string, m string"), "h", "m", "in").first()
+    assert r["agreement"] == 5 / 8 and r["precision"] == pytest.approx(3 / 5) and r["recall"] == pytest.approx(3 / 4)
 
 
 def test_sign_test_and_auc(spark):
@@ -100,13 +102,13 @@ def test_bootstrap_interval_holds_the_difference(spark):
     assert r == stats.bootstrap_difference(df.repartition(3), "v", "arm", "c", 200, 5).first()
 
 
-@pytest.mark.parametrize(("text", "number"), [("$12.4K", 12400.0), ("1.2M", 1.2e6), ("45%", 45.0), ("1,234", 1234.0), ("n/a", None), ("", None), (None, None)])
+@pytest.mark.parametrize(("text", "number"), [("$7.25k", 7250.0), ("~3B", 3e9), ("0.5%", 0.5), ("98,765,432", 98765432.0), ("-.75", -0.75), ("<2m", 2e6), ("12 apples", None), ("K", None), (" ", None), (None, None)])
 def test_display_number(spark, text, number):
     got = spark.createDataFrame([(text,)], "t string").select(X.display_number(F.col("t")).alias("n")).first()["n"]
     assert got == (number if number is None else pytest.approx(number))
 
 
-@pytest.mark.parametrize(("text", "seconds"), [("1h 5m", 3900.0), ("2d", 172800.0), ("3mo", 7776000.0), ("5 apples", None), ("", None), (None, None)])
+@pytest.mark.parametrize(("text", "seconds"), [("2h 30m", 9000.0), ("1w", 604800.0), ("1.5D", 129600.0), ("4mo, 2d", 10540800.0), ("45s", 45.0), ("7 pm", None), ("soon", None), (" ", None), (None, None)])
 def test_display_duration(spark, text, seconds):
     assert spark.createDataFrame([(text,)], "t string").select(X.display_duration(F.col("t")).alias("n")).first()["n"] == seconds
 
@@ -131,3 +133,52 @@ def test_evidence(spark):
     assert [r["cid"] for r in kept["g"].collect()] == [11]
     df = spark.createDataFrame([("A \\n b", "x a B y"), ("zz", "x"), (None, "x"), ("q", None)], "q string, t string")
     assert [r["f"] for r in df.select(evidence.quote_found(F.col("q"), F.col("t")).alias("f")).collect()] == [True, False, None, None]
+
+
+def test_lineage(spark):
+    nodes = [(k, k - 1) for k in range(2, 101)] + [(1, None), (200, 3), (201, 999)]
+    df = spark.createDataFrame(nodes, "k long, p long")
+    got = sorted((r["start"], r["depth"], r["k"]) for r in evidence.lineage(df, "k", "p", spark.createDataFrame([(100,), (200,), (201,), (1,)], "k long")).collect())
+    want = [(100, d, 100 - d) for d in range(100)] + [(200, 0, 200), (200, 1, 3), (200, 2, 2), (200, 3, 1), (201, 0, 201), (201, 1, 999), (1, 0, 1)]
+    assert got == sorted(want)
+    with pytest.raises(ValueError):
+        evidence.lineage(spark.createDataFrame([(1, 2), (2, 3), (3, 1)], "k long, p long"), "k", "p", df.select("k").limit(1))
+
+
+def test_quote_holders(spark):
+    texts = [(1, "the quick brown fox jumps over it"), (2, "a thequick brown foxes den"), (3, "quick"), (4, None), (5, "unquickly brown"), (6, "")]
+    quotes = [(1, "quick brown fox"), (2, "quick brown"), (3, "uick"), (4, "brown fox jumps over it"), (5, ""), (6, None), (7, "fox jumps over it all"), (8, "he qu")]
+    q, d = spark.createDataFrame(quotes, "item long, quote string"), spark.createDataFrame(texts, "doc long, body string")
+    want = {(i, k) for i, x in quotes for k, t in texts if x and t is not None and x in t}
+    assert {tuple(r) for r in evidence.quote_holders(q, d, "item", "quote", "doc", "body").collect()} == want
+    assert evidence.quote_holders(q.limit(0), d, "item", "quote", "doc", "body").collect() == []
+
+
+def test_first_touch_against_all_pairs(spark):
+    rng = np.random.default_rng(6)
+    rows = [(int(k), int(t), float(p), bool(e)) for k, t, p, e in zip(rng.integers(0, 3, 400), rng.integers(-300, 300, 400), rng.integers(1, 30, 400), rng.integers(0, 2, 400), strict=True)]
+    df = spark.createDataFrame(rows, "k long, t long, p double, e boolean")
+    want = []
+    for k, t, p, e in rows:
+        if e:
+            later = [(u, q) for x, u, q, _ in rows if x == k and t < u <= t + 25]
+            want.append((k, t, p, min((u for u, q in later if q >= 1.5 * p), default=None), min((u for u, q in later if q <= 0.7 * p), default=None)))
+    got = [(r["k"], r["t"], r["p"], r["tp"], r["sl"]) for r in folds.first_touch(df, "k", "t", "p", "e", 1.5, 0.7, 25).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_cooldown_and_counts(spark):
+    rng = np.random.default_rng(7)
+    rows = sorted((int(k), int(t), i) for i, (k, t) in enumerate(zip(rng.integers(0, 4, 200), rng.integers(0, 500, 200), strict=True)))
+    want, last = set(), {}
+    for k, t, i in rows:
+        if k not in last or t - last[k] >= 17:
+            last[k] = t
+            want.add(i)
+    df = spark.createDataFrame(rows, "k long, t long, i long")
+    assert {r["i"] for r in folds.cooldown(df, ["k"], "t", 17, ["i"]).collect()} == want
+    a, b = [t for _, t, _ in rows], [int(x) for x in rng.integers(0, 500, 50)]
+    series = {"a": df.selectExpr("t AS x"), "b": spark.createDataFrame([(x,) for x in b], "x long")}
+    asked = spark.createDataFrame([(i, i * 9) for i in range(60)], "q long, t long")
+    for r in stats.counts_up_to(asked, "t", series, {"n": ("a", 30), "m": ("b", 100)}, 40).collect():
+        assert (r["n"], r["m"]) == (sum(r["t"] - 30 < x <= r["t"] for x in a), sum(r["t"] - 100 < x <= r["t"] for x in b))

@@ -1,6 +1,10 @@
 import base64
+import gzip
+import json
+import os
 import struct
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tapespark.sources import documents, feeds
@@ -49,24 +53,35 @@ def test_round_trips_of_files(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "hours")).count() == 2
 
 
-VTT = """WEBVTT
+CAPTIONS = """WEBVTT - made up
+STYLE
 
-1
-00:00:01.000 --> 00:00:02.500
-<c>Hello</c> there
+NOTE nothing here
 
-00:02.500 --> 00:04.000
-Hello there
-a &amp; b
+intro
+00:07.5 --> 00:09.25 align:start
+good <i>morning</i>
 
-00:00:04,000 --> 00:00:05,000
-a & b
+00:09.250 --> 01:02:03.1
+good morning
+fish &amp; chips &#8212; 3 &lt; 4 &#x263A; &bogus;
+
+00:11,000 --> 00:12,000
+fish & chips \u2014 3 < 4 \u263a &bogus;
+last one
+
+xx:yy --> 00:13.000
+not a cue
 """
 
 
 def test_captions_and_paragraphs(spark):
-    df = spark.createDataFrame([("f", VTT)], "file string, body string")
-    assert [tuple(r) for r in documents.cues(df, "file", "body").orderBy("seq").collect()] == [("f", 0, 1.0, 2.5, "Hello there"), ("f", 1, 2.5, 4.0, "a & b")]
+    df = spark.createDataFrame([("f", CAPTIONS), ("g", CAPTIONS.replace("\n", "\r\n"))], "file string, body string")
+    want = [(0, 7.5, 9.25, "good morning"), (1, 9.25, 3723.1, "fish & chips \u2014 3 < 4 \u263a &bogus;"), (2, 11.0, 12.0, "last one")]
+    rows = documents.cues(df, "file", "body").orderBy("file", "seq").collect()
+    assert [tuple(r) for r in rows] == [("f", *x) for x in want] + [("g", *x) for x in want]
+    roll = spark.createDataFrame([("f", k, f"0:{k:02d} --> 0:{k + 1:02d}\n" + "\n".join(x)) for k, x in enumerate((["a"], ["a", "b"], ["b", "c"], ["c", "d"], ["a"], ["d", "a"]))], "file string, block int, cue string")
+    assert [r["text"] for r in documents.segments(roll, "file").orderBy("seq").collect()] == ["a", "b", "c", "d", "a"]
     text = spark.createDataFrame([("f", "one\n two\n\n \n three ")], "file string, body string")
     assert [r["text"] for r in documents.paragraphs(text, "file", "body").orderBy("seq").collect()] == ["one two", "three"]
     js = spark.createDataFrame([("f", '[{"start":1,"end":2,"text":"x"}]')], "file string, body string")
@@ -78,3 +93,46 @@ def test_pages(spark):
     df = spark.createDataFrame([("u", html), ("v", html)], "url string, html string")
     rows = documents.page_snapshots(df).collect()
     assert len({r["snapshot"] for r in rows}) == 1 and rows[0]["links"] == ["http://a.b/c"] and rows[0]["lang"] == "en" and rows[0]["words"] == 7
+
+
+def test_feeds_with_faults(spark, tmp_path):
+    """Bad lines go, a cut gzip gives its readable part, finished files are loaded once and growing ones again."""
+    folder, table, ledger = tmp_path / "feed", str(tmp_path / "table"), str(tmp_path / "ledger")
+    folder.mkdir()
+    line = lambda k: json.dumps({"id": k, "v": "x" * 50 + str(k)}) + "\n"
+    noise = np.random.default_rng(1)
+    long = "".join(json.dumps({"id": k, "v": noise.bytes(40).hex()}) + "\n" for k in range(20_000)).encode()
+    (folder / "cut.jsonl.gz").write_bytes(gzip.compress(long)[: len(gzip.compress(long)) // 2])
+    (folder / "old.jsonl").write_text(line(1) + "{broken\n" + line(2))
+    (folder / "new.jsonl").write_text(line(3))
+    os.utime(folder / "old.jsonl", (1, 1))
+    os.utime(folder / "cut.jsonl.gz", (1, 1))
+    assert feeds.load_feed(spark, str(folder), "id long, v string", table, ledger) == 3
+    rows = spark.read.parquet(table)
+    some = rows.where("src_file = 'cut.jsonl.gz'").count()
+    assert 5_000 < some < 20_000 and {r["id"] for r in rows.where("src_file = 'old.jsonl'").collect()} == {1, 2}
+    (folder / "new.jsonl").write_text(line(3) + line(4))
+    assert feeds.load_feed(spark, str(folder), "id long, v string", table, ledger) == 1
+    rows = spark.read.parquet(table)
+    assert rows.count() == some + 4 and {r["id"] for r in rows.where("src_file = 'new.jsonl'").collect()} == {3, 4}
+
+
+def test_import_of_lines(spark, tmp_path):
+    (tmp_path / "in.jsonl").write_text('{"id": 1, "side": "buy"}\n\n{"id": 2, "side": "hold"}\nnonsense\n')
+    lines = feeds.numbered_lines(spark, str(tmp_path / "in.jsonl"))
+    rules = {"unknown side": "side NOT IN ('buy', 'sell')"}
+    assert sorted(tuple(r) for r in feeds.import_lines(lines, "id long, side string", rules, str(tmp_path / "no")).collect()) == [("in.jsonl", 3, "unknown side"), ("in.jsonl", 4, "no such row")]
+    assert not (tmp_path / "no").exists()
+    assert feeds.import_lines(lines.where("line = 1"), "id long, side string", rules, str(tmp_path / "yes")).collect() == []
+    assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "yes")).collect()] == [(1, "buy")]
+
+
+def test_views_polls_and_announcements(spark, tmp_path):
+    df = spark.createDataFrame([(2, "b", False), (1, "a", False), (3, "c", True)], "id long, v string, is_synthetic boolean")
+    feeds.export_views({f"view{k}": (df, ["id"]) for k in range(7)}, str(tmp_path / "out"))
+    assert [[tuple(r) for r in spark.read.option("header", True).csv(str(tmp_path / "out" / f"view{k}")).collect()] for k in range(7)] == [[("1", "a"), ("2", "b")]] * 7
+    polls = ['{"recv": 1.0004, "n": 2, "coins": [{"mint": 5, "viewers": 1.5}, {"mint": 6}]}', '{"recv": 1.0004, "n": 2, "coins": []}', '{"recv": 2, "error": "no"}', "{", '{"recv": 3, "n": 0, "coins": []}']
+    got = feeds.poll_rows(spark.createDataFrame([(p,) for p in polls[:1] + polls[2:]], "line string"), "line", "mint long, viewers double").collect()
+    assert sorted(map(tuple, got), key=str) == [(1000, 2, 5, 1.5), (1000, 2, 6, None), (3000, 0, None, None)]
+    titles = spark.createDataFrame([(1, "We Will Drop A, B and C & D soon"), (2, "hello"), (3, None)], "id long, title string")
+    assert sorted(tuple(r) for r in documents.announced(titles, "title", {"drop": "Will Drop (.+) soon"}).collect()) == [(1, "drop", x) for x in "ABCD"]

@@ -13,7 +13,7 @@ DAY = 86_400  # times before the epoch's first moment count as late
 @pytest.fixture
 def rocks(spark):
     name = "spark.sql.streaming.stateStore.providerClass"
-    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    spark.conf.set(name, live.ROCKS)
     yield
     spark.conf.unset(name)
 
@@ -84,10 +84,15 @@ def test_triggers_as_in_batch(spark, tmp_path, rocks):
 
 
 def test_quotes_are_thinned(spark, tmp_path, rocks):
-    ms = 1000
-    rows = [(1, 0, 10.0, 1.0), (1, 10 * ms, 10.1, 1.0), (1, 20 * ms, 10.0, 1.0), (1, 60 * ms, 10.2, 1.0), (1, 70 * ms, 10.2, 5.0), (1, 900 * ms, 10.2, 7.0)]
-    got = run(spark, live.coalesce_quotes(stream(spark, tmp_path, spark.createDataFrame(rows, "key long, t long, price double, size double"), 1))).orderBy("t").collect()
-    assert [tuple(r) for r in got] == [(1, 0, 10.0, 1.0), (1, 60 * ms, 10.2, 1.0), (1, 560 * ms, 10.2, 5.0), (1, 1060 * ms, 10.2, 7.0)]
+    """What waits comes out when it is due, wherever batches are cut, and as over a table."""
+    ms, begin = 1000, DAY * 1_000_000
+    rows = [(1, 0, 10.0, 1.0), (1, 10, 10.1, 1.0), (1, 20, 10.0, 1.0), (1, 60, 10.2, 1.0), (1, 70, 10.2, 5.0), (1, 900, 10.2, 7.0), (2, 9000, 1.0, 1.0)]
+    df = spark.createDataFrame([(k, begin + t * ms, p, s) for k, t, p, s in rows], "key long, t long, price double, size double").orderBy("t")
+    want = [(1, begin, 10.0, 1.0), (1, begin + 60 * ms, 10.2, 1.0), (1, begin + 560 * ms, 10.2, 5.0), (1, begin + 1060 * ms, 10.2, 7.0), (2, begin + 9000 * ms, 1.0, 1.0)]
+    assert sorted(map(tuple, live.coalesced(df, ["t"], 50 * ms, 500 * ms).collect())) == want
+    for parts in (1, 7):
+        (tmp_path / str(parts)).mkdir()
+        assert sorted(map(tuple, run(spark, live.coalesce_quotes(stream(spark, tmp_path / str(parts), df, parts))).collect())) == want
 
 
 def test_joins_in_time(spark, tmp_path):
