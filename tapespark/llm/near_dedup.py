@@ -99,34 +99,37 @@ def _arrays(size: int):
     return run
 
 
-def _joined(rows: DataFrame, keys: list[str], by: str, payload: DataFrame) -> DataFrame:
-    """``rows.join(payload, keys)``: the rows of a key that has more than ``HOT`` go to several tasks by the hash of ``by``, each
-    with a copy of that key's payload. ``rows`` are read twice, so they should be written ones."""
-    sizes = rows.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > HOT)
-    sizes = materialize(sizes.select(*keys, F.ceil(F.col("n") / HOT).alias("parts")), "nd-hot")
+def _hot(rows: DataFrame, keys: list[str]) -> DataFrame | None:
+    """The keys with more than ``HOT`` rows and the number of tasks that theirs are dealt to; None if there is no such key.
+    ``rows`` are read twice, so they should be written ones."""
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > HOT).select(*keys, F.ceil(F.col("n") / HOT).alias("parts"))
     n = sizes.count()
-    if not n:
+    return None if not n else F.broadcast(sizes) if n <= MOST_SENT else sizes
+
+
+def _joined(rows: DataFrame, keys: list[str], by: str, payload: DataFrame, hot: DataFrame | None) -> DataFrame:
+    """``rows.join(payload, keys)``: the rows of a hot key go to several tasks by the hash of ``by``, each with a copy of that
+    key's payload."""
+    if hot is None:
         return rows.join(payload, keys)
-    sizes = F.broadcast(sizes) if n <= MOST_SENT else sizes
     parts = F.coalesce("parts", F.lit(1))
-    rows = rows.join(sizes, keys, "left").withColumn("part", F.pmod(F.xxhash64(by), parts)).drop("parts")
-    payload = payload.join(sizes, keys, "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("parts")
+    rows = rows.join(hot, keys, "left").withColumn("part", F.pmod(F.xxhash64(by), parts)).drop("parts")
+    payload = payload.join(hot, keys, "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("parts")
     return rows.join(payload, [*keys, "part"]).drop("part")
 
 
-def _screened(pairs: DataFrame, reps: DataFrame, threshold: int) -> DataFrame:
+def _screened(pairs: DataFrame, reps: DataFrame, threshold: int, hot: DataFrame | None = None) -> DataFrame:
     """Pairs (a, b) whose sizes and odd sketches allow the similarity."""
     of = lambda p: reps.select(F.col("rep").alias(p), F.col("n").alias(f"n_{p}"), F.col("sketch").alias(f"sk_{p}"))
     differ = sum((F.bit_count(F.col("sk_a")[i].bitwiseXOR(F.col("sk_b")[i])) for i in range(BITS // 64)), F.lit(0))
     near = (100 * F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b")) & (differ <= SCREEN_BITS)
-    return _joined(pairs, ["b"], "a", of("b")).join(of("a"), "a").where(near).select("a", "b").distinct()
+    return _joined(pairs, ["b"], "a", of("b"), hot).join(of("a"), "a").where(near).select("a", "b").distinct()
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, sets: DataFrame, threshold: int, hot: DataFrame | None = None) -> DataFrame:
     """Links: 100 * intersection >= threshold * union on the full shingle sets."""
     of = lambda p: sets.select(F.col("rep").alias(p), F.col("grams").alias(f"g_{p}"))
-    pairs = materialize(pairs, "nd-screened")
-    both = _joined(pairs, ["b"], "a", of("b")).join(of("a"), "a").withColumn("i", F.size(F.array_intersect("g_a", "g_b")))
+    both = _joined(pairs, ["b"], "a", of("b"), hot).join(of("a"), "a").withColumn("i", F.size(F.array_intersect("g_a", "g_b")))
     return both.where(100 * F.col("i") >= threshold * (F.size("g_a") + F.size("g_b") - F.col("i"))).select("a", "b")
 
 
@@ -156,10 +159,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: int = 80) -> Data
     wanted = first.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct().hint("merge")
     texts = docs.join(wanted, "doc_id", "left_semi")
     sets = materialize(texts.mapInArrow(_arrays(size), "rep long, grams array<long>"), "nd-sets")
-    links = materialize(_confirmed(_screened(first.select("a", "b"), reps, threshold), sets, threshold), "nd-links")
+    pairs = first.select("a", "b")
+    hubs = _hot(pairs, ["b"])
+    links = materialize(_confirmed(_screened(pairs, reps, threshold, hubs), sets, threshold, hubs), "nd-links")
     roots = components(links)
-    left = materialize(_left_over(first, roots, sets, threshold), "nd-left")
-    more = materialize(_confirmed(_screened(left, reps, threshold), sets, threshold), "nd-links")
+    more = materialize(_confirmed(_screened(_left_over(first, roots, sets, threshold), reps, threshold), sets, threshold), "nd-links")
     if not more.isEmpty():
         links = links.union(more)
         roots = components(links)
@@ -198,14 +202,14 @@ def _left_over(first: DataFrame, roots: DataFrame, sets: DataFrame, threshold: i
     members = members.where("a <> p").select("a", F.col("p").alias("b")).distinct()
     placed = members.join(of("a", "ra"), "a", "left").join(of("b", "rb"), "b", "left").select("a", "b", F.coalesce("ra", "a").alias("ra"), F.coalesce("rb", "b").alias("rb"))
     placed = materialize(placed, "nd-placed")
-    members = _joined(placed, ["b"], "a", placed.where("ra <> rb").select("b").distinct())
-    members = materialize(members, "nd-members")
+    hubs = _hot(placed, ["b"])
+    members = _joined(placed, ["b"], "a", placed.where("ra <> rb").select("b").distinct(), hubs)
     grams = lambda p: sets.select(F.col("rep").alias(p), F.col("grams").alias(f"g_{p}"))
-    members = _joined(members, ["b"], "a", grams("b")).join(grams("a"), "a")
+    members = _joined(members, ["b"], "a", grams("b"), hubs).join(grams("a"), "a")
     members = members.select("a", "b", "ra", F.size("g_a").alias("n"), F.size("g_b").alias("nb"), F.concat(F.array_except("g_a", "g_b"), F.array_except("g_b", "g_a")).alias("d"))
     members = members.withColumn("m", F.size("d")).withColumn("over", F.col("m") - c * (F.col("n") + F.col("nb")))
     spread = materialize(members.select("a", "b", "ra", "n", "m", "over", F.explode("d").alias("gram")), "nd-spread")
-    spread = _joined(spread, ["b", "gram"], "a", spread.groupBy("b", "gram").agg(F.count("*").alias("df")))
+    spread = _joined(spread, ["b", "gram"], "a", spread.groupBy("b", "gram").agg(F.count("*").alias("df")), _hot(spread, ["b", "gram"]))
     spread = spread.withColumn("place", F.row_number().over(Window.partitionBy("b", "a").orderBy("df", "gram")))
     meets = spread.where(F.col("place") <= F.col("m") - F.floor((1 - c) / 2 * F.col("m") - 1e-9))
     outside = spread.where((F.col("over") > -1e-9) & (F.col("place") <= F.col("m") + 1 - F.greatest(F.lit(1), F.ceil(F.col("over") / (1 + c) - 1e-9))))
