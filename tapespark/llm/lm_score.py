@@ -31,7 +31,7 @@ from ._rows import Texts, batch_of
 from ._store import input_bytes, shared_dir
 from ._text import U, mix, slices, utf8, words
 
-SHARD_BYTES = 12 << 20
+SHARD_BYTES = 3 << 20
 FLUSH_TOKENS, BLOCK_TOKENS = 2_000_000, 500_000
 SCORE_BYTES = 4 << 20
 END, BEGIN = mix(np.array([1, 2], U) * U(0x632BE59BD9B4E019))
