@@ -21,7 +21,7 @@ from ._store import input_bytes, materialize
 from .pii import let
 
 CHAIN, REACH = 2, 8
-BUCKET_BYTES, MAX_BUCKETS = 16 << 20, 20_000
+BUCKET_BYTES, MAX_BUCKETS = 2 << 20, 200_000
 # The anchors, common words of English, German, French and Spanish.
 ANCHORS = (
     "a an and are as at be by for from has have he her his i in is it its not of on or she that the their they this to was we were which will with you "
@@ -75,9 +75,8 @@ def likeness(a: Column, b: Column) -> Column:
     return let(shared, lambda i: F.when(F.size(a) + F.size(b) > 0, i / (F.size(a) + F.size(b) - i)).otherwise(F.lit(1.0)))
 
 
-def _bucket(key: Column, bounds: list[int]) -> Column:
-    """Number of bounds below the key, by binary search; -1 for null."""
-    table = F.array(*(F.lit(b).cast("long") for b in bounds)) if bounds else F.array().cast("array<bigint>")
+def _bucket(key: Column, table: Column, most: int) -> Column:
+    """Number of the sorted bounds in ``table``, of which there are ``most`` or fewer, that lie below the key, by binary search; -1 for null."""
 
     def step(s: Column, _: Column) -> Column:
         mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
@@ -85,8 +84,8 @@ def _bucket(key: Column, bounds: list[int]) -> Column:
         lower = F.struct(s["lo"].alias("lo"), mid.alias("hi"))
         return F.when(s["lo"] >= s["hi"], s).when(F.element_at(table, mid + 1) < key, higher).otherwise(lower)
 
-    steps = F.sequence(F.lit(1), F.lit(max(1, math.ceil(math.log2(len(bounds) + 1)) + 1)))
-    found = F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.lit(len(bounds)).alias("hi")), step, lambda s: s["lo"])
+    steps = F.sequence(F.lit(1), F.lit(max(1, math.ceil(math.log2(most + 1)) + 1)))
+    found = F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.size(table).alias("hi")), step, lambda s: s["lo"])
     return F.when(key.isNull(), -1).otherwise(found)
 
 
@@ -97,11 +96,14 @@ def _chained(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     buckets = min(MAX_BUCKETS, max(1, math.ceil(input_bytes(docs, "text") / BUCKET_BYTES)))
-    bounds: list[int] = []
     if buckets > 1:
         marks = [k / buckets for k in range(1, buckets)]
-        bounds = sorted(set(docs.agg(F.percentile_approx("doc_id", marks, 10 * buckets + 1000).alias("q")).first()["q"] or []))
-    docs = docs.withColumn("bucket", _bucket(F.col("doc_id"), bounds))
+        bounds = docs.agg(F.percentile_approx("doc_id", marks, 4 * buckets + 1000).alias("q"))
+        bounds = materialize(bounds.select(F.array_distinct(F.coalesce("q", F.array().cast("array<bigint>"))).alias("bounds")), "spot-bounds")
+        # one row of at most MAX_BUCKETS numbers
+        docs = docs.join(F.broadcast(bounds), F.lit(True)).withColumn("bucket", _bucket(F.col("doc_id"), F.col("bounds"), buckets)).drop("bounds")
+    else:
+        docs = docs.withColumn("bucket", F.when(F.col("doc_id").isNull(), -1).otherwise(0))
     firsts = sorted(docs.groupBy("bucket").agg(F.max("doc_id").alias("doc_id")).collect(), key=lambda r: -r["bucket"])
     to = [(firsts[k]["doc_id"], firsts[k - 1]["bucket"]) for k in range(len(firsts))]
     known = spark.createDataFrame([x for x in to if x[0] is not None], "doc_id long, bucket int")
