@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 #: Supply of a token, default fee in basis points.
@@ -103,3 +103,20 @@ def taker_fill(bid: Column, ask: Column, bid_size: Column, ask_size: Column, buy
     at_touch = F.least(units, size)
     beyond = F.when(buy, ask + (ask - bid)).otherwise(bid - (ask - bid))
     return (at_touch * touch + (units - at_touch) * beyond) / units
+
+
+#: SQL functions of the same meaning, for those who write SQL: name, parameters, result, body.
+SQL_FUNCTIONS = (
+    ("tape_price", "s DOUBLE, k DOUBLE", "DOUBLE", "CASE WHEN k <> 0 THEN s / k END"),
+    ("tape_cap", "s DOUBLE, k DOUBLE", "DOUBLE", f"CASE WHEN k <> 0 THEN s / k * {SUPPLY} END"),
+    ("tape_fee", "bps DOUBLE, creator DOUBLE", "DOUBLE", f"CASE WHEN bps IS NULL THEN {DEFAULT_FEE_BPS / 1e4} ELSE (bps + coalesce(creator, 0)) / 1e4 END"),
+    ("tape_quote_buy", "s DOUBLE, k DOUBLE, paid DOUBLE, fee DOUBLE", "DOUBLE", "k * (paid / (1 + fee)) / (s + paid / (1 + fee))"),
+    ("tape_quote_sell", "s DOUBLE, k DOUBLE, sold DOUBLE, fee DOUBLE", "DOUBLE", "s * sold / (k + sold) * (1 - fee)"),
+    ("tape_signed_log", "x DOUBLE", "DOUBLE", "signum(x) * ln(1 + abs(x))"),
+)
+
+
+def register(spark: SparkSession) -> None:
+    """Make the SQL functions known to a session; Catalyst puts their bodies in place, so there is no call at run time."""
+    for name, parameters, result, body in SQL_FUNCTIONS:
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({parameters}) RETURNS {result} RETURN {body}")

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import scratch
+
 
 def folds(rows: DataFrame, key: str, k: int = 5) -> DataFrame:
     """A fold per key, so that rows of one key are never on both sides."""
@@ -18,8 +19,10 @@ def folds(rows: DataFrame, key: str, k: int = 5) -> DataFrame:
 
 
 def out_of_fold(rows: DataFrame, features: list[str], target: str, key: str, k: int = 3, classify: bool = False, depth: int = 3, trees: int = 8) -> DataFrame:
-    """Predictions of boosted trees for every row by the model that did not see its key."""
-    rows = VectorAssembler(inputCols=features, outputCol="__x", handleInvalid="keep").transform(folds(rows, key, k))
+    """Predictions of boosted trees for every row by the model that did not see its key. Features are written once, and so are
+    the predictions."""
+    rows = scratch.written(folds(rows, key, k), "fold-rows")
+    rows = VectorAssembler(inputCols=features, outputCol="__x", handleInvalid="keep").transform(rows)
     learner = GBTClassifier if classify else GBTRegressor
     out = None
     for fold in range(k):
@@ -28,20 +31,16 @@ def out_of_fold(rows: DataFrame, features: list[str], target: str, key: str, k:
         part = part.withColumn("pred", vector_to_array("probability")[1] if classify else F.col("prediction"))
         part = part.drop("__x", "prediction", *(["probability", "rawPrediction"] if classify else []))
         out = part if out is None else out.unionByName(part)
-    return out
+    return scratch.written(out, "fold-predictions")
 
 
 def above_quantile(rows: DataFrame, pred: str, q: float, key: str, order: list[str]) -> DataFrame:
-    """The first row per key whose prediction is at or over a quantile of all."""
-    cut = rows.agg(F.percentile(pred, q).alias("__cut"))
+    """The first row per key whose prediction is at or over a quantile of all, which is taken to a ten-thousandth of the rows."""
+    cut = rows.agg(F.percentile_approx(pred, q, 10_000).alias("__cut"))
     hit = rows.crossJoin(F.broadcast(cut)).where(F.col(pred) >= F.col("__cut")).drop("__cut")
     return hit.withColumn("__r", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("__r = 1").drop("__r")
 
 
-def auc(rows: DataFrame, pred: str, label: str) -> float:
-    return BinaryClassificationEvaluator(rawPredictionCol=pred, labelCol=label).evaluate(rows.select(F.col(pred).cast("double"), F.col(label).cast("double")))
-
-
 def balanced_logistic(train: DataFrame, test: DataFrame, features: list[str], label: str, penalty: float = 0.01) -> DataFrame:
     """``test`` with ``pred`` of an L2 logistic regression on standardised features, classes of equal weight."""
     share = train.agg(F.avg(F.col(label).cast("double")).alias("p")).first()["p"]
@@ -51,8 +50,8 @@ def balanced_logistic(train: DataFrame, test: DataFrame, features: list[str], la
     return model.transform(test).withColumn("pred", vector_to_array("probability")[1]).drop("__x", "__z", "rawPrediction", "probability", "prediction")
 
 
-def capture(rows: DataFrame, group: str, pred: str, label: str, k: int) -> DataFrame:
-    """Share of groups whose positive row is among the k best predictions."""
-    r = F.row_number().over(Window.partitionBy(group).orderBy(F.col(pred).desc()))
+def capture(rows: DataFrame, group: str, pred: str, label: str, k: int, order: list[str]) -> DataFrame:
+    """Share of groups whose positive row is among the k best predictions; equal ones are in ``order``."""
+    r = F.row_number().over(Window.partitionBy(group).orderBy(F.col(pred).desc(), *order))
     hit = rows.withColumn("__r", r).groupBy(group).agg(F.max(F.when((F.col(label) == 1) & (F.col("__r") <= k), 1.0).otherwise(0.0)).alias("hit"), F.max(label).alias("any")).where("any = 1")
     return hit.agg(F.count("*").alias("groups"), F.avg("hit").alias("captured"))

@@ -67,6 +67,25 @@ def counts_up_to(asked: DataFrame, at: str, series: dict[str, DataFrame], window
     return found.groupBy("row").pivot("name", list(windows)).agg(F.sum(F.col("sign") * (F.col("inside") + F.col("before")))).select("row.*", *windows)
 
 
+def placed(rows: DataFrame, value: str, order: list[str], by: list[str] | None = None, ties: bool = False, blocks: int = 64) -> DataFrame:
+    """``rows`` with ``place``, from 1 by rising value, then ``order``, and ``of``, the number of rows; per group of ``by``, of
+    which there are few. With ``ties`` equal values have the place of the first.
+
+    Values are cut in blocks at quantiles; a block is numbered by itself, and what lies below it is added. Rows without a value
+    come first.
+    """
+    by = by or []
+    cuts = rows.groupBy(*by).agg(F.percentile_approx(value, [k / blocks for k in range(1, blocks)], 100 * blocks).alias("__q"))
+    cut = rows.join(F.broadcast(cuts), by) if by else rows.crossJoin(F.broadcast(cuts))
+    cut = cut.withColumn("__b", F.when(F.col(value).isNull(), -1).otherwise(F.size(F.filter("__q", lambda q: q < F.col(value))))).drop("__q")
+    sizes = cut.groupBy(*by, "__b").agg(F.count("*").alias("__n"))
+    w = Window.partitionBy(*(by or [F.lit(1)])).orderBy("__b")
+    sizes = sizes.select(*by, "__b", F.coalesce(F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"), F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("of"))
+    inside = Window.partitionBy(*by, "__b").orderBy(value, *([] if ties else order))
+    number = (F.rank() if ties else F.row_number()).over(inside)
+    return cut.withColumn("__r", number).join(F.broadcast(sizes), [*by, "__b"]).withColumn("place", F.col("__r") + F.col("__before")).drop("__b", "__r", "__before")
+
+
 def sign_test(k: Column, n: Column) -> Column:
     """Exact two-sided sign test of k of n, in logs, so it does not underflow."""
     log_factorial = lambda m: F.aggregate(F.sequence(F.lit(1), F.greatest(m.cast("int"), F.lit(1))), F.lit(0.0), lambda a, i: a + F.log(i.cast("double")))

@@ -211,7 +211,8 @@ def c23_engagement_velocity(t: Tables) -> DataFrame:
     of = lambda c, s: F.max(F.when(F.col("s") == s, F.col(c)))
     v = r.groupBy("key").agg((of("value", 2) - of("value", 1)).alias("g"), of("t", 2).alias("t1")).where("t1 IS NOT NULL")
     j = joins.range_join(v, ticks.select("key", "t", "value"), ["key"], "t1", "t", 1, DAY, how="left").groupBy("key", "g").agg(F.max("value").alias("best_day"))
-    return j.select("key", F.round("g", 4).alias("gain"), F.rank().over(Window.orderBy(F.col("g").desc())).cast("long").alias("r"), "best_day")
+    ranked = stats.placed(j.withColumn("loss", -F.col("g")), "loss", [], ties=True)
+    return ranked.select("key", F.round("g", 4).alias("gain"), F.col("place").alias("r"), "best_day")
 
 
 @query(

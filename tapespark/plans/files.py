@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import columns
 from ..operators import scratch
 from ..sources import feeds, tape
 from ..sources.tape import SECOND, TAPE, TICKS
@@ -149,3 +150,13 @@ def t9_triggers(t: Tables) -> DataFrame:
     finally:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
     return spark.read.schema("key long, t long").parquet(sink)
+
+
+@query("z1_sql_functions", f"WITH {TAPE} SELECT seq, round(vsol / vtok, 8) AS price, round(vtok * (100 / 1.0125) / (vsol + 100 / 1.0125), 9) AS bought, round(sign(sol - 30000) * ln(1 + abs(sol - 30000)), 9) AS signed FROM tape")
+def z1_sql_functions(t: Tables) -> DataFrame:
+    """The column functions as SQL functions of the session, called from SQL: price, quote and signed logarithm."""
+    columns.register(t.spark)
+    return t.spark.sql(
+        "SELECT seq, round(tape_price(vsol, vtok), 8) AS price, round(tape_quote_buy(vsol, vtok, CAST(100 AS DOUBLE), CAST(0.0125 AS DOUBLE)), 9) AS bought, round(tape_signed_log(sol - 30000), 9) AS signed FROM {tape}",
+        tape=prints(t),
+    )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import learning
+from ..operators import learning, stats
 from ..sources import feeds
 from ..streaming import live
 from .registry import Tables, query
@@ -33,7 +33,7 @@ def m1_boosted_regression(t: Tables) -> DataFrame:
 def m2_boosted_classifier(t: Tables) -> DataFrame:
     """Out-of-fold probabilities and their area under the curve."""
     pred = learning.out_of_fold(_features(t), _X, "y", "source", classify=True)
-    return t.spark.createDataFrame([(learning.auc(pred, "pred", "y"), pred.count())], "auc double, n long")
+    return stats.auc(pred, "pred", "y").crossJoin(pred.agg(F.count("*").alias("n")))  # one row each
 
 
 @query("m3_balanced_logistic")
@@ -41,7 +41,7 @@ def m3_balanced_logistic(t: Tables) -> DataFrame:
     """Trained on two thirds of the documents by id, capture of the best two per source on the rest."""
     rows = _features(t)
     train, test = rows.where("doc_id % 3 <> 0"), rows.where("doc_id % 3 = 0")
-    return learning.capture(learning.balanced_logistic(train, test, _X, "y"), "source", "pred", "y", 2)
+    return learning.capture(learning.balanced_logistic(train, test, _X, "y"), "source", "pred", "y", 2, ["doc_id"])
 
 
 @query("s5_decode_trades", "SELECT l_orderkey * 10 + l_linenumber AS id, 'trade' AS kind, CAST(CAST(round(l_extendedprice * 100) AS BIGINT) AS VARCHAR) AS sol, CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) AS tok, l_linestatus = 'F' AS buy FROM lineitem")
@@ -76,8 +76,7 @@ def s10_wallet_swaps(t: Tables) -> DataFrame:
 @query("s23_scaled_view", "SELECT l_orderkey, l_linenumber, l_partkey, ceil(l_extendedprice * 1.25) AS charged, l_quantity * 1000000 AS units FROM lineitem")
 def s23_scaled_view(t: Tables) -> DataFrame:
     """A view that scales integers and rebuilds fees."""
-    t("lineitem").createOrReplaceTempView("lean_tape")
-    return t.spark.sql("SELECT l_orderkey, l_linenumber, l_partkey, CAST(ceil(l_extendedprice * CAST(1.25 AS DOUBLE)) AS DOUBLE) AS charged, l_quantity * 1000000 AS units FROM lean_tape")
+    return t.spark.sql("SELECT l_orderkey, l_linenumber, l_partkey, CAST(ceil(l_extendedprice * CAST(1.25 AS DOUBLE)) AS DOUBLE) AS charged, l_quantity * 1000000 AS units FROM {lean_tape}", lean_tape=t("lineitem"))
 
 
 @query("t4_bars", "SELECT user_id AS key, time_bucket(INTERVAL 1 HOUR, ts) AS start, count(*) AS n, round(sum(value), 4) AS total, arg_min(value, ts) AS first, arg_max(value, ts) AS last FROM events GROUP BY ALL")

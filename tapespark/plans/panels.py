@@ -45,9 +45,10 @@ def w9_contiguous_mean(t: Tables) -> DataFrame:
 
 @query("w16_forward_fill", f"WITH {TICKS}, g AS (SELECT k.key, d.day FROM (SELECT DISTINCT key FROM ticks) k, (SELECT DISTINCT t // 86400000000 AS day FROM ticks) d) SELECT g.key, g.day, (SELECT arg_max(value, (t, event_id)) FROM ticks q WHERE q.key = g.key AND q.t // 86400000000 <= g.day AND event_type = 'signup') AS last FROM g")
 def w16_forward_fill(t: Tables) -> DataFrame:
-    """Last known value of every day on a full grid of keys and days."""
+    """Last known value of every day on a full grid of keys and days: a key's row grows into its days where it is."""
     rows = tape.ticks(t("events")).withColumn("day", F.floor(F.col("t") / DAY))
-    grid = rows.select("key").distinct().crossJoin(F.broadcast(rows.select("day").distinct()))
+    days = rows.agg(F.array_sort(F.collect_set("day")).alias("days"))  # one row; a day is a number
+    grid = rows.select("key").distinct().crossJoin(F.broadcast(days)).select("key", F.explode("days").alias("day"))
     known = rows.where("event_type = 'signup'").groupBy("key", "day").agg(F.max_by("value", F.struct("t", "event_id")).alias("v"))
     w = Window.partitionBy("key").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
     return grid.join(known, ["key", "day"], "left").select("key", "day", F.last("v", ignorenulls=True).over(w).alias("last"))
@@ -156,8 +157,8 @@ def a19_quantile_table(t: Tables) -> DataFrame:
     """Bounds, n and outcome rate per fifth of every feature."""
     c = t("customer").select(F.col("c_custkey").alias("id"), (F.col("c_mktsegment") == "BUILDING").cast("double").alias("y"), F.col("c_acctbal").alias("balance"), F.col("c_nationkey").cast("double").alias("nation"))
     u = c.unpivot(["id", "y"], ["balance", "nation"], "feature", "x")
-    w = Window.partitionBy("feature")
-    b = u.withColumn("bucket", stats.rank_bucket(F.row_number().over(w.orderBy("x", "id")), F.count("*").over(w), 5))
+    r = stats.placed(u, "x", ["id"], ["feature"])
+    b = r.withColumn("bucket", stats.rank_bucket(F.col("place"), F.col("of"), 5))
     return b.groupBy("feature", "bucket").agg(F.count("*").alias("n"), F.round(F.min("x"), 4).alias("low"), F.round(F.max("x"), 4).alias("high"), F.round(F.avg("y"), 6).alias("rate"))
 
 
@@ -176,7 +177,11 @@ def a21_auc(t: Tables) -> DataFrame:
     return stats.auc(rows, "n_chars", "quality").select(F.round("auc", 8).alias("auc"))
 
 
-@query("a22_sign_test")
+@query(
+    "a22_sign_test",
+    """WITH b AS (SELECT user_id, count(*) FILTER (value > 50) AS k, count(*) AS n FROM events GROUP BY user_id)
+SELECT user_id, k, n, round(least(1.0, 2 * list_sum(list_transform(range(0, least(k, n - k) + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2))))), 9) AS p FROM b""",
+)
 def a22_sign_test(t: Tables) -> DataFrame:
     """Sign test of each user's values over 50."""
     by = t("events").groupBy("user_id").agg(F.count_if(F.col("value") > 50).alias("k"), F.count("*").alias("n"))

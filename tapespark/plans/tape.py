@@ -404,8 +404,10 @@ def w5_track_record(t: Tables) -> DataFrame:
 )
 def w28_copycat(t: Tables) -> DataFrame:
     """The same name was first seen within the six hours before."""
-    first = F.min("born").over(Window.partitionBy("kind"))
-    return tape.launches(t("orders")).select("launch", "kind", ((F.col("born") - first <= 6 * 3600 * SECOND) & (F.col("born") > first)).alias("copycat"))
+    rows = tape.launches(t("orders")).select("launch", "kind", "born")
+    first = rows.groupBy("kind").agg(F.min("born").alias("first"))
+    late = F.col("born") - F.col("first")
+    return rows.join(first, "kind").select("launch", "kind", ((late <= 6 * 3600 * SECOND) & (late > 0)).alias("copycat"))
 
 
 @query("w4_ordinal", f"WITH {LAUNCHES} SELECT launch, creator, row_number() OVER (PARTITION BY creator ORDER BY born, launch) - 1 AS ordinal FROM launches")
