@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import evidence, joins, stats
+from ..operators import evidence, folds, joins, stats
 from ..sources import feeds, tape
 from ..sources.tape import DAILY, DAY, LAUNCHES, SECOND, TAPE, TICKS
 from ..streaming import live
@@ -119,7 +123,15 @@ def _fit_weeks(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["symbol", "week", "b0", "b1", "b2"])
 
 
-@query("a32_walk_forward")
+_WALK = f"""WITH {DAILY}, y AS (SELECT *, ln(close / lag(close) OVER (PARTITION BY symbol ORDER BY day)) AS y FROM daily), d AS (SELECT *, day // 7 AS week FROM (SELECT day, symbol, y, lag(y, 1) OVER w AS x, lag(y, 2) OVER w AS z FROM y WINDOW w AS (PARTITION BY symbol ORDER BY day)) WHERE z IS NOT NULL),
+g AS (SELECT symbol, week, count(*) AS n, sum(x) AS sx, sum(z) AS sz, sum(y) AS sy, sum(x * x) AS sxx, sum(x * z) AS sxz, sum(z * z) AS szz, sum(x * y) AS sxy, sum(z * y) AS szy FROM d GROUP BY ALL),
+s AS (SELECT symbol, week, {', '.join(f'sum({c}) OVER w AS {c}' for c in ('n', 'sx', 'sz', 'sy', 'sxx', 'sxz', 'szz', 'sxy', 'szy'))} FROM g WINDOW w AS (PARTITION BY symbol ORDER BY week RANGE BETWEEN 13 PRECEDING AND 1 PRECEDING)),
+r AS (SELECT symbol, week, n + l AS a, sx AS b, sz AS c, sxx + l AS d, sxz AS e, szz + l AS f, sy, sxy, szy FROM (SELECT *, 1e-8 * greatest(n + sxx + szz, 1e-12) AS l FROM s WHERE n >= 20)),
+k AS (SELECT symbol, week, a * (d * f - e * e) - b * (b * f - e * c) + c * (b * e - d * c) AS det, sy * (d * f - e * e) - b * (sxy * f - e * szy) + c * (sxy * e - d * szy) AS d0, a * (sxy * f - e * szy) - sy * (b * f - e * c) + c * (b * szy - sxy * c) AS d1, a * (d * szy - sxy * e) - b * (b * szy - sxy * c) + sy * (b * e - d * c) AS d2 FROM r)
+SELECT d.symbol, d.day, round((d0 + d1 * x + d2 * z) / det, 6) AS pred FROM d JOIN k ON k.symbol = d.symbol AND k.week = d.week"""
+
+
+@query("a32_walk_forward", _WALK)
 def a32_walk_forward(t: Tables) -> DataFrame:
     """Next change from the last two, refitted every week on the thirteen weeks before: weekly sums, a window, a small solve."""
     w = Window.partitionBy("symbol").orderBy("day")
@@ -132,7 +144,16 @@ def a32_walk_forward(t: Tables) -> DataFrame:
     return d.join(fit, ["symbol", "week"]).select("symbol", "day", F.round(F.col("b0") + F.col("b1") * F.col("x") + F.col("b2") * F.col("z"), 6).alias("pred"))
 
 
-@query("a33_pair_formation")
+@query(
+    "a33_pair_formation",
+    f"""WITH RECURSIVE {DAILY}, j AS (SELECT a.day, a.symbol AS a, b.symbol AS b, ln(a.close) AS y, ln(b.close) AS x FROM daily a JOIN daily b ON b.day = a.day AND a.symbol < b.symbol), f AS (SELECT a, b, regr_slope(y, x) AS beta, regr_intercept(y, x) AS alpha FROM j GROUP BY ALL HAVING count(*) >= 20),
+e AS (SELECT a, b, day, y - alpha - beta * x AS e FROM j JOIN f USING (a, b)), l AS (SELECT a, b, l, e - l AS de FROM (SELECT a, b, e, lag(e) OVER (PARTITION BY a, b ORDER BY day) AS l FROM e) WHERE l IS NOT NULL),
+s AS (SELECT a, b, sum(l * de) / sum(l * l) AS rho, sum(l * de) AS ld, sum(l * l) AS ll, sum(de * de) AS dd, count(*) AS m FROM l GROUP BY ALL), q AS (SELECT a, b, rho / sqrt((dd - rho * ld) / (m - 1) / ll) AS t, CASE WHEN rho < 0 AND rho > -1 THEN -ln(2) / ln(1 + rho) END AS half_life FROM s),
+r AS (SELECT *, row_number() OVER (ORDER BY t, a, b) AS i FROM q WHERE t < -3),
+w(i, a, b, t, half_life, kept, used) AS (SELECT 0::BIGINT, '', '', 0.0::DOUBLE, 0.0::DOUBLE, false, []::VARCHAR[] UNION ALL SELECT i, a, b, t, half_life, ok, CASE WHEN ok THEN used || [a, b] ELSE used END FROM (
+ SELECT r.i, r.a, r.b, r.t, r.half_life, w.used, len(list_filter(w.used, lambda s: s = r.a)) < 2 AND len(list_filter(w.used, lambda s: s = r.b)) < 2 AS ok FROM w JOIN r ON r.i = w.i + 1))
+SELECT a, b, round(t, 4) AS t, round(half_life, 4) AS half_life FROM w WHERE kept ORDER BY i LIMIT 30""",
+)
 def a33_pair_formation(t: Tables) -> DataFrame:
     """Pairs by regression of log closes and the t-value of the residual's mean reversion, best first, two per symbol at most."""
     d = daily(t).select("day", "symbol", F.log("close").alias("p"))
@@ -144,15 +165,21 @@ def a33_pair_formation(t: Tables) -> DataFrame:
     s = e.groupBy("a", "b").agg(F.sum(F.col("l") * F.col("de")).alias("ld"), F.sum(F.col("l") * F.col("l")).alias("ll"), F.sum(F.col("de") * F.col("de")).alias("dd"), F.count("*").alias("m"))
     rho = F.col("ld") / F.col("ll")
     s = s.withColumn("t", rho / F.sqrt((F.col("dd") - rho * F.col("ld")) / (F.col("m") - 1) / F.col("ll"))).withColumn("half_life", F.when((rho < 0) & (rho > -1), -F.log(F.lit(2.0)) / F.log(1 + rho))).where("t < -3")
-    ordered = F.array_sort(F.collect_list(F.struct("t", "a", "b", "half_life")))
-    kind = "array<struct<t:double,a:string,b:string,half_life:double>>"
-
-    def step(kept: Column, x: Column) -> Column:
-        used = lambda v: F.size(F.filter(kept, lambda k: (k["a"] == v) | (k["b"] == v)))
-        return F.when((used(x["a"]) < 2) & (used(x["b"]) < 2), F.concat(kept, F.array(x))).otherwise(kept)
-
-    picked = s.agg(ordered.alias("xs")).select(F.inline(F.slice(F.aggregate("xs", F.array().cast(kind), step), 1, 30)))
-    return picked.select("a", "b", F.round("t", 4).alias("t"), F.round("half_life", 4).alias("half_life"))
+    # one group, walked best first: the state is how often each symbol was taken, and pairs pass one by one
+    pairs = s.select("a", "b", "t", "half_life", F.lit(1).alias("one"))
+    return folds.sweep(pairs, ["one"], ["t", "a", "b"], _twice_at_most, pairs.schema).limit(30).select("a", "b", F.round("t", 4).alias("t"), F.round("half_life", 4).alias("half_life"))
+
+
+def _twice_at_most(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Keep a pair if both of its symbols were kept less than twice before."""
+    used: Counter[str] = Counter()
+    for batch in batches:
+        kept = []
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            kept.append(used[a] < 2 and used[b] < 2)
+            if kept[-1]:
+                used.update((a, b))
+        yield batch.filter(pa.array(kept, pa.bool_()))
 
 
 @query(

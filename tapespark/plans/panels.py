@@ -235,11 +235,18 @@ def a28_newey_west(t: Tables) -> DataFrame:
     return stats.ols(d, "v", ["v1", "v2"], lags=3, order=["day"])
 
 
-@query("a29_cluster_ols")
+@query(
+    "a29_cluster_ols",
+    """WITH o AS (SELECT o_totalprice AS y, c_acctbal AS x, c_nationkey AS g FROM orders JOIN customer ON o_custkey = c_custkey), s AS (SELECT count(*) AS n, sum(x) AS sx, sum(y) AS sy, sum(x * x) AS sxx, sum(x * y) AS sxy FROM o),
+b AS (SELECT *, n * sxx - sx * sx AS det, (n * sxy - sx * sy) / (n * sxx - sx * sx) AS b1, (sxx * sy - sx * sxy) / (n * sxx - sx * sx) AS b0 FROM s), c AS (SELECT g, sum(y - b0 - b1 * x) AS s0, sum((y - b0 - b1 * x) * x) AS s1 FROM o, b GROUP BY g), m AS (SELECT count(*) AS k, sum(s0 * s0) AS m00, sum(s0 * s1) AS m01, sum(s1 * s1) AS m11 FROM c),
+v AS (SELECT b0, b1, k / (k - 1) * (n - 1) / (n - 2) * (sxx * sxx * m00 - 2 * sxx * sx * m01 + sx * sx * m11) / (det * det) AS v0, k / (k - 1) * (n - 1) / (n - 2) * (sx * sx * m00 - 2 * sx * n * m01 + n * n * m11) / (det * det) AS v1 FROM b, m)
+SELECT 'const' AS name, round(b0, 3) AS coef, round(sqrt(v0), 3) AS se, round(b0 / sqrt(v0), 3) AS t FROM v UNION ALL SELECT 'c_acctbal', round(b1, 3), round(sqrt(v1), 3), round(b1 / sqrt(v1), 3) FROM v""",
+)
 def a29_cluster_ols(t: Tables) -> DataFrame:
     """Order value on the customer's balance, errors clustered by nation."""
     o = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey"))
-    return stats.ols(o.select("o_totalprice", "c_acctbal", "c_nationkey"), "o_totalprice", ["c_acctbal"], cluster="c_nationkey")
+    fit = stats.ols(o.select("o_totalprice", "c_acctbal", "c_nationkey"), "o_totalprice", ["c_acctbal"], cluster="c_nationkey")
+    return fit.select("name", *(F.round(c, 3).alias(c) for c in ("coef", "se", "t")))
 
 
 @query("a30_simple_ols", "SELECT c_mktsegment, round(regr_slope(o_totalprice, c_acctbal), 8) AS beta, round(regr_intercept(o_totalprice, c_acctbal), 4) AS alpha, round(regr_r2(o_totalprice, c_acctbal), 8) AS r2, regr_count(o_totalprice, c_acctbal)::BIGINT AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_mktsegment")
