@@ -125,15 +125,19 @@ def c17_path_after_entry(t: Tables) -> DataFrame:
     "c18_path_after_completion",
     f"""WITH {TAPE}, {LAUNCHES}, a AS (SELECT launch, creator % (SELECT max(s_suppkey) FROM supplier) + 1 AS mint, completed_at FROM launches WHERE completed),
 w AS (SELECT a.launch, p.recv - a.completed_at AS d, p.seq, {_PX} AS px FROM a JOIN tape p ON p.mint = a.mint AND p.recv BETWEEN a.completed_at AND a.completed_at + 2592000000000)
-SELECT launch, round(arg_max(px, (d, seq)) FILTER (d <= 604800000000) / arg_min(px, (d, seq)) - 1, 6) AS week, round(arg_max(px, (d, seq)) / arg_min(px, (d, seq)) - 1, 6) AS month, round(max(px) / arg_min(px, (d, seq)) - 1, 6) AS best FROM w GROUP BY launch""",
+SELECT launch, round(arg_max(px, (d, seq)) FILTER (d <= 604800000000) / arg_min(px, (d, seq)) - 1, 6) AS week, round(arg_max(px, (d, seq)) / arg_min(px, (d, seq)) - 1, 6) AS month, round(max(px) / arg_min(px, (d, seq)) - 1, 6) AS best,
+ round(avg(CASE WHEN px >= 2 * (SELECT arg_min(v.px, (v.d, v.seq)) FROM w v WHERE v.launch = w.launch) THEN 1.0 ELSE 0 END), 6) AS doubled, round(arg_max(px, (d, seq)) / arg_min(px, (d, seq)) FILTER (d >= 259200000000) - 1, 6) AS late_month FROM w GROUP BY launch""",
 )
 def c18_path_after_completion(t: Tables) -> DataFrame:
+    """Returns at a week and a month after completions, the best, the share of prints at twice the first price, and what an entry
+    three days late makes by the month's end."""
     n = t("supplier").agg(F.max("s_suppkey").alias("k"))
     a = tape.launches(t("orders")).where("completed").crossJoin(F.broadcast(n)).select("launch", (F.col("creator") % F.col("k") + 1).alias("mint"), "completed_at")
     w = joins.range_join(a, priced(t), ["mint"], "completed_at", "recv", 0, 30 * DAY).withColumn("d", F.col("recv") - F.col("completed_at"))
     at = F.struct("d", "seq")
+    w = w.withColumn("px0", F.first("px").over(Window.partitionBy("launch").orderBy("d", "seq")))
     first = F.min_by("px", at)
-    return w.groupBy("launch").agg(F.round(F.max_by("px", F.when(F.col("d") <= 7 * DAY, at)) / first - 1, 6).alias("week"), F.round(F.max_by("px", at) / first - 1, 6).alias("month"), F.round(F.max("px") / first - 1, 6).alias("best"))
+    return w.groupBy("launch").agg(F.round(F.max_by("px", F.when(F.col("d") <= 7 * DAY, at)) / first - 1, 6).alias("week"), F.round(F.max_by("px", at) / first - 1, 6).alias("month"), F.round(F.max("px") / first - 1, 6).alias("best"), F.round(F.avg(F.when(F.col("px") >= 2 * F.col("px0"), 1.0).otherwise(0.0)), 6).alias("doubled"), F.round(F.max_by("px", at) / F.min_by("px", F.when(F.col("d") >= 3 * DAY, at)) - 1, 6).alias("late_month"))
 
 
 @query(

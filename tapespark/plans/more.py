@@ -101,16 +101,31 @@ def s27_list_offsets(t: Tables) -> DataFrame:
     return logs.select("id", n.alias("holders"), feeds.u64(F.col("data"), 12 + 34 * n).cast("string").alias("claimed"))
 
 
+_HOST = "regexp_replace(lower(regexp_extract({0}, '^[A-Za-z]+://([^/?#:]*)', 1)), '^www\\.', '')"
+
+
 @query(
     "j20_lead_tables",
-    "SELECT 'candidates' AS target, count(*) AS n, count(DISTINCT regexp_replace(lower(regexp_extract(u, '^[A-Za-z]+://([^/?#:]*)', 1)), '^www\\.', '')) AS domains FROM (SELECT unnest(regexp_extract_all(html, 'href=[\"''](https?://[^\"''#\\s]+)', 1)) AS u FROM pages) UNION ALL SELECT 'identities', count(*), count(DISTINCT regexp_replace(lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]*)', 1)), '^www\\.', '')) FROM pages UNION ALL SELECT 'gaps', count(*), 0 FROM pages WHERE len(regexp_extract_all(html, 'href=[\"''](https?://[^\"''#\\s]+)', 1)) = 0",
+    f"""WITH p AS (SELECT page_id, url, nullif(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), '') AS title, list_distinct(regexp_extract_all(html, '(?i)href=["'']([^"''#\\s]+)', 1)) AS links FROM pages), c AS (SELECT page_id, unnest(links) AS u FROM p)
+SELECT 'identities' AS target, page_id, url AS value, {_HOST.format('url')} AS domain FROM p UNION ALL SELECT 'observations', page_id, title, {_HOST.format('url')} FROM p WHERE title IS NOT NULL
+UNION ALL SELECT 'candidates', page_id, u, nullif({_HOST.format('u')}, '') FROM c UNION ALL SELECT 'gaps', page_id, url, NULL FROM p WHERE len(links) = 0""",
 )
 def j20_lead_tables(t: Tables) -> DataFrame:
-    """Nested leads to several target tables with counts of domains."""
-    p = t("pages").select("url", F.regexp_extract_all("html", F.lit(r"href=[\"'](https?://[^\"'#\s]+)"), F.lit(1)).alias("links"))
-    c = p.select(F.explode("links").alias("u")).agg(F.lit("candidates").alias("target"), F.count("*").alias("n"), F.count_distinct(X.domain(F.col("u"))).alias("domains"))
-    i = p.agg(F.lit("identities"), F.count("*"), F.count_distinct(X.domain(F.col("url"))))
-    return c.union(i).union(p.where(F.size("links") == 0).agg(F.lit("gaps"), F.count("*"), F.lit(0).cast("long")))
+    """Nested leads, one object per page, to the rows of four tables: identities, observations, candidates, and what is missing."""
+    links = F.array_distinct(F.regexp_extract_all("html", F.lit(r"(?i)href=[\"']([^\"'#\s]+)"), F.lit(1)))
+    title = F.nullif(F.trim(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1)), F.lit(""))
+    lead = t("pages").select("page_id", F.to_json(F.struct("url", title.alias("title"), links.alias("links"))).alias("lead"))
+    x = F.from_json("lead", "url string, title string, links array<string>")
+    p = lead.select("page_id", x.alias("x")).select("page_id", "x.*").withColumn("links", F.coalesce("links", F.array().cast("array<string>")))
+    row = lambda target, value, host: F.struct(F.lit(target).alias("target"), value.alias("value"), host.alias("domain"))
+    host, none = X.domain(F.col("url")), F.lit(None).cast("string")
+    found = F.concat(
+        F.array(row("identities", F.col("url"), host)),
+        F.when(F.col("title").isNotNull(), F.array(row("observations", F.col("title"), host))).otherwise(F.array()),
+        F.transform("links", lambda u: row("candidates", u, F.nullif(X.domain(u), F.lit("")))),
+        F.when(F.size("links") == 0, F.array(row("gaps", F.col("url"), none))).otherwise(F.array()),
+    )
+    return p.select("page_id", F.explode(found).alias("r")).select("r.target", "page_id", "r.value", "r.domain")
 
 
 def _fit_weeks(pdf: pd.DataFrame) -> pd.DataFrame:
