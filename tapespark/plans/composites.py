@@ -9,7 +9,7 @@ from ..functions import columns as C
 from ..operators import evidence, folds, joins, stats, trips
 from ..sources import feeds, tape
 from ..sources.tape import DAILY, DAY, LAUNCHES, SECOND, TAPE, TICKS
-from .panels import daily
+from .panels import EVENTS, daily, event_days
 from .registry import Tables, query
 from .tape import prints
 
@@ -442,15 +442,16 @@ def e19_forward_scoring(t: Tables) -> DataFrame:
 
 @query(
     "j21_hedge_basket",
-    f"WITH {DAILY}, e AS (SELECT day, symbol FROM daily WHERE n >= 3), c AS (SELECT e.day, e.symbol AS event, d.symbol, sum(d.volume) AS vol FROM e JOIN daily d ON d.symbol <> e.symbol AND d.day BETWEEN e.day - 30 AND e.day - 1 WHERE NOT EXISTS (SELECT 1 FROM e x WHERE x.symbol = d.symbol AND x.day BETWEEN e.day - 40 AND e.day) GROUP BY ALL HAVING count(*) >= 5) SELECT day, event, symbol, r FROM (SELECT *, row_number() OVER (PARTITION BY day, event ORDER BY vol DESC, symbol) AS r FROM c) WHERE r <= 2",
+    f"WITH {DAILY}, {EVENTS}, c AS (SELECT e.day, e.symbol AS event, d.symbol, round(sum(d.volume), 2) AS vol FROM events_of e JOIN daily d ON d.symbol <> e.symbol AND d.day BETWEEN e.day - 30 AND e.day - 1 WHERE NOT EXISTS (SELECT 1 FROM events_of x WHERE x.symbol = d.symbol AND x.day BETWEEN e.day - 10 AND e.day) GROUP BY ALL HAVING count(*) >= 5) SELECT day, event, symbol, r FROM (SELECT *, row_number() OVER (PARTITION BY day, event ORDER BY vol DESC, symbol) AS r FROM c) WHERE r <= 2",
 )
 def j21_hedge_basket(t: Tables) -> DataFrame:
-    """The largest symbols by the month before an event, without those with an event of their own in the forty days up to it."""
+    """The largest symbols by the month before an event, without those with an event of their own in the ten days up to it."""
     d = daily(t)
-    e = d.where("n >= 3").select("day", F.col("symbol").alias("event"))
+    found = event_days(d)
+    e = found.select("day", F.col("symbol").alias("event"))
     month = joins.range_join(e, d.select("symbol", F.col("day").alias("d"), "volume"), [], "day", "d", -30, -1, condition=F.col("symbol") != F.col("event"))
-    recent = joins.range_join(e, e.select(F.col("event").alias("symbol"), F.col("day").alias("x")), [], "day", "x", -40, 0).select("day", "event", "symbol").distinct()
-    c = month.groupBy("day", "event", "symbol").agg(F.sum("volume").alias("vol"), F.count("*").alias("bars")).where("bars >= 5").join(recent, ["day", "event", "symbol"], "left_anti")
+    recent = joins.range_join(e, found.select("symbol", F.col("day").alias("x")), [], "day", "x", -10, 0).select("day", "event", "symbol").distinct()
+    c = month.groupBy("day", "event", "symbol").agg(F.round(F.sum("volume"), 2).alias("vol"), F.count("*").alias("bars")).where("bars >= 5").join(recent, ["day", "event", "symbol"], "left_anti")
     return c.withColumn("r", F.row_number().over(Window.partitionBy("day", "event").orderBy(F.col("vol").desc(), "symbol"))).where("r <= 2").select("day", "event", "symbol", "r")
 
 

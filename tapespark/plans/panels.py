@@ -304,12 +304,20 @@ def a48_information_coefficient(t: Tables) -> DataFrame:
     return s.groupingSets([["half"], []], "half").agg(F.round(F.corr("sig", "fwd"), 6).alias("ic"), F.count("*").alias("n"))
 
 
-@query("a49_placebo_draw", f"WITH {DAILY}, e AS (SELECT day, symbol FROM daily WHERE n >= 3), c AS (SELECT d.symbol, d.day, d.close, row_number() OVER (PARTITION BY d.symbol ORDER BY (d.day * 7919) % 10007, d.day) AS r FROM daily d WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.symbol = d.symbol AND e.day = d.day)) SELECT symbol, count(*) AS n, round(avg(close), 4) AS mean FROM c WHERE r <= 20 GROUP BY symbol")
+EVENTS = "events_of AS (SELECT day, symbol FROM (SELECT day, symbol, volume, max(volume) OVER w AS high, count(*) OVER w AS k FROM daily WINDOW w AS (PARTITION BY symbol ORDER BY day ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)) WHERE k = 20 AND volume > high)"
+
+
+def event_days(d: DataFrame) -> DataFrame:
+    """(symbol, day) where a symbol's volume is over that of each of the twenty days before: as rare at any amount of data."""
+    w = Window.partitionBy("symbol").orderBy("day").rowsBetween(-20, -1)
+    return d.withColumn("high", F.max("volume").over(w)).withColumn("k", F.count("*").over(w)).where("k = 20 AND volume > high").select("symbol", "day")
+
+
+@query("a49_placebo_draw", f"WITH {DAILY}, {EVENTS}, c AS (SELECT d.symbol, d.day, d.close, row_number() OVER (PARTITION BY d.symbol ORDER BY (d.day * 7919) % 10007, d.day) AS r FROM daily d WHERE NOT EXISTS (SELECT 1 FROM events_of e WHERE e.symbol = d.symbol AND e.day = d.day)) SELECT symbol, count(*) AS n, round(avg(close), 4) AS mean FROM c WHERE r <= 20 GROUP BY symbol")
 def a49_placebo_draw(t: Tables) -> DataFrame:
     """Days without an event, drawn by a keyed order, and their mean."""
     d = daily(t)
-    events = d.where("n >= 3").select("symbol", "day")
-    c = d.join(events, ["symbol", "day"], "left_anti").withColumn("r", F.row_number().over(Window.partitionBy("symbol").orderBy((F.col("day") * 7919) % 10_007, "day")))
+    c = d.join(event_days(d), ["symbol", "day"], "left_anti").withColumn("r", F.row_number().over(Window.partitionBy("symbol").orderBy((F.col("day") * 7919) % 10_007, "day")))
     return c.where("r <= 20").groupBy("symbol").agg(F.count("*").alias("n"), F.round(F.avg("close"), 4).alias("mean"))
 
 
