@@ -139,12 +139,12 @@ def a16_split_half(t: Tables) -> DataFrame:
 @query(
     "a17_persistence",
     f"""{_HALVES}, w AS (SELECT usr, sum(pnl) FILTER (half = 1) > 0 AS p1, sum(pnl) FILTER (half = 2) > 0 AS p2 FROM h GROUP BY usr HAVING count(*) FILTER (half = 1) > 0 AND count(*) FILTER (half = 2) > 0)
-SELECT count(*) AS n, count(*) FILTER (p1) AS first, count(*) FILTER (p2) AS second, count(*) FILTER (p1 AND p2) AS both, round(count(*) FILTER (p1) * count(*) FILTER (p2) / count(*), 4) AS expected FROM w""",
+SELECT count(*) AS n, count(*) FILTER (p1) AS first, count(*) FILTER (p2) AS second, count(*) FILTER (p1 AND p2) AS both, round(count(*) FILTER (p1) * count(*) FILTER (p2) / nullif(count(*), 0), 4) AS expected FROM w""",
 )
 def a17_persistence(t: Tables) -> DataFrame:
     one, two = F.col("half") == 1, F.col("half") == 2
     w = _halves(t).groupBy("usr").agg((F.sum(F.when(one, F.col("pnl"))) > 0).alias("p1"), (F.sum(F.when(two, F.col("pnl"))) > 0).alias("p2"), F.count_if(one).alias("n1"), F.count_if(two).alias("n2")).where("n1 > 0 AND n2 > 0")
-    return w.agg(F.count("*").alias("n"), F.count_if("p1").alias("first"), F.count_if("p2").alias("second"), F.count_if(F.col("p1") & F.col("p2")).alias("both"), F.round(F.count_if("p1") * F.count_if("p2") / F.count("*"), 4).alias("expected"))
+    return w.agg(F.count("*").alias("n"), F.count_if("p1").alias("first"), F.count_if("p2").alias("second"), F.count_if(F.col("p1") & F.col("p2")).alias("both"), F.round(F.count_if("p1") * F.count_if("p2") / F.nullif(F.count("*"), F.lit(0)), 4).alias("expected"))
 
 
 @query("s24_bounded_tape", f"WITH {TAPE} SELECT * FROM tape WHERE recv >= 788918400000000 - 3600000000 AND recv < 820454400000000")
