@@ -1,8 +1,60 @@
 import hashlib
+import random
+import re
+
+import pytest
+import xxhash
 
 from tapespark.llm import spotsigs as S
 
 
+def brute(text):
+    """Signatures straight from their definition, with another xxHash."""
+
+    def sig(*words):
+        h = 42
+        for w in words:
+            h = xxhash.xxh64(w.encode(), seed=h).intdigest()
+        return (h - (1 << 64) if h >> 63 else h) >> 24
+
+    if not text:
+        return []
+    words = [w for w in re.split(r"[\x00-\x20!-/:-@\[-`{-~]+", text.lower()) if w]
+    if not words:
+        return [sig(text)]
+    if len(words) <= S.CHAIN:
+        return [sig(" ".join(words))]
+    out, spots = set(), []
+    for i, w in enumerate(words):
+        if w in S.ANCHORS:
+            follow = [x for x in words[i + 1 : i + 1 + S.REACH] if x not in S.ANCHORS]
+            if len(follow) >= S.CHAIN:
+                out.add(sig(w, *follow[: S.CHAIN]))
+                spots.append(i)
+    near = {k for p in spots for k in range(p, p + S.REACH + 1)}
+    out |= {sig(*words[i : i + S.CHAIN + 1]) for i in range(len(words) - S.CHAIN) if not near & set(range(i, i + S.CHAIN + 1))}
+    return sorted(out)
+
+
+def test_query_against_brute_force(spark):
+    """Fingerprints and both likenesses of every row, and the edited text they are of; one text is very long."""
+    rnd = random.Random(11)
+    words = ["the", "a", "of", "und", "les", "con", *(f"w{k}" for k in range(40)), "Été", "x-y", "12%", "..."]
+    docs = {k: rnd.choice(["", " ", "\n"]).join([" ".join(rnd.choice(words) for _ in range(rnd.choice([0, 1, 2, 3, 30, 80])))] * 2) for k in range(60)}
+    docs |= {100: "", 101: "!!", 102: None, 103: "lonely word " + "w1 w2 w3 " * 50_000, 104: docs[7], 105: docs[7] + " the w1 w2"}
+    rows = S.scan(spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(4)).collect()
+    ids = sorted(docs, reverse=True)
+    like = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    assert len(rows) == len(docs)
+    for r in rows:
+        text, after = docs[r["doc_id"]] or "", docs[ids[(ids.index(r["doc_id"]) + 1) % len(ids)]] or ""
+        cut = len(text) // 3
+        own, edited, following = (brute(x) for x in (text, text[: len(text) - cut] + after[:cut], after))
+        show = lambda s: "".join(f"{x + (1 << 40):010X}"[-10:] for x in s)
+        assert r["fingerprint"] == show(own) and r["edited_fingerprint"] == show(edited), r["doc_id"]
+        assert r["near_edited"] == pytest.approx(like(set(own), set(edited))) and r["near_next"] == pytest.approx(like(set(own), set(following)))
+
+
 def test_edits_and_likeness(spark, monkeypatch):
     docs = {k: f"the quick{k} brown{k % 7} fox and a lazy{k} dog of house{k} in my blue{k} garden " * (1 + k % 3) for k in range(60)}
     docs[60], docs[61], docs[62], docs[63] = "", None, "x", "nothing common here"
