@@ -6,12 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def asof_join(left: DataFrame, right: DataFrame, by: list[str], at: str, values: list[str], forward: bool = False, strict: bool = False, tolerance: int | None = None, order: list[str] | None = None) -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, by: list[str], at: str, values: list[str], forward: bool = False, strict: bool = False, tolerance: int | None = None, order: list[str] | None = None, block: int | None = None) -> DataFrame:
     """``left`` with the ``values`` of the last ``right`` row at or before its time (``forward``: the first at or after).
 
     ``strict`` leaves out equal times; ``tolerance`` nulls matches further away; ``order`` breaks ties of ``right`` (the last
     in this order counts as latest). Rows without a match get nulls. One union, one shuffle by key, one ordered window: the
     cost does not depend on how many rows match. The time of the match comes as ``<at>_right``.
+
+    With ``block``, keys are cut in blocks of time of that length, so that a busy key goes to many tasks; where a block has no
+    match of its own, the nearest end of the blocks before it (``forward``: after it) counts, from a line of their ends.
     """
     order = order or []
     fields = F.struct(F.col(at).alias("__t"), *(F.col(c).alias(c) for c in values))
@@ -22,8 +25,21 @@ def asof_join(left: DataFrame, right: DataFrame, by: list[str], at: str, values:
     side = -is_left if strict else is_left  # where equal times count, they must be read before the row that asks
     ordered = (lambda c: c.desc()) if forward else (lambda c: c.asc())
     keys = [ordered(F.col("__at")), side.asc(), *(ordered(F.col(f"__o{k}")) for k in range(len(order)))]
-    window = Window.partitionBy(*by).orderBy(*keys).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    found = seen.unionByName(asked).withColumn("__hit", F.last("__right", ignorenulls=True).over(window)).where("__left IS NOT NULL")
+    line = seen.unionByName(asked)
+    if block:
+        line = line.withColumn("__block", F.floor(F.col("__at") / block))
+    window = Window.partitionBy(*by, *["__block"] * bool(block)).orderBy(*keys).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = line.withColumn("__hit", F.last("__right", ignorenulls=True).over(window)).where("__left IS NOT NULL")
+    if block:
+        at_end = F.struct("__at", *(f"__o{k}" for k in range(len(order))))
+        nearest = (F.min_by if forward else F.max_by)("__right", F.when(F.col("__right").isNotNull(), at_end))
+        ends = line.groupBy(*by, "__block").agg(nearest.alias("__end"))
+        before = Window.partitionBy(*by).orderBy(ordered(F.col("__block"))).rowsBetween(Window.unboundedPreceding, -1)
+        ends = ends.withColumn("__far", F.last("__end", ignorenulls=True).over(before)).where("__far IS NOT NULL").select(*(F.col(c).alias(f"__k_{c}") for c in by), F.col("__block").alias("__k_block"), "__far")
+        same = F.col("__block") == F.col("__k_block")
+        for c in by:
+            same = same & F.col(c).eqNullSafe(F.col(f"__k_{c}"))
+        found = found.join(ends, same, "left").withColumn("__hit", F.coalesce("__hit", "__far"))
     near = F.lit(True) if tolerance is None else F.abs(F.col("__hit.__t") - F.col("__at")) <= tolerance
     return found.select("__left.*", F.when(near, F.col("__hit.__t")).alias(f"{at}_right"), *(F.when(near, F.col(f"__hit.{c}")).alias(c) for c in values))
 

@@ -209,8 +209,8 @@ def j4_conservative_fill(t: Tables) -> DataFrame:
     ticks = tape.ticks(t("events"))
     asked = ticks.where("event_type = 'click'").select("event_id", "key", (F.col("t") + 1).alias("t"))
     states = ticks.select("key", "t", "value", F.col("event_id").alias("order"))
-    both = joins.asof_join(asked, states, ["key"], "t", ["value"], order=["order"]).withColumnRenamed("value", "before").drop("t_right")
-    both = joins.asof_join(both, states, ["key"], "t", ["value"], forward=True, tolerance=3600 * SECOND, order=["order"])
+    both = joins.asof_join(asked, states, ["key"], "t", ["value"], order=["order"], block=7 * DAY).withColumnRenamed("value", "before").drop("t_right")
+    both = joins.asof_join(both, states, ["key"], "t", ["value"], forward=True, tolerance=3600 * SECOND, order=["order"], block=7 * DAY)
     after = F.coalesce("value", "before")
     return both.select("event_id", "key", F.greatest("before", after).alias("buy_fill"), F.least("before", after).alias("sell_fill"))
 

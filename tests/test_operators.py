@@ -28,6 +28,17 @@ def test_asof_does_not_see_later_rows(spark):
     assert full == set(joins.asof_join(left.where("t < 200"), right.where("t < 200"), ["k"], "t", ["v"]).collect())
 
 
+@pytest.mark.parametrize("block", [1, 7, 1000])
+def test_asof_in_blocks(spark, block):
+    rng = np.random.default_rng(8)
+    left = spark.createDataFrame([(int(k), int(t), i) for i, (k, t) in enumerate(zip(rng.integers(0, 3, 80), rng.integers(-40, 60, 80), strict=True))], "k long, t long, i long")
+    right = spark.createDataFrame([(int(k), int(t), i) for i, (k, t) in enumerate(zip(rng.integers(0, 4, 40), rng.integers(-40, 60, 40), strict=True))], "k long, t long, v long")
+    for kw in ({}, {"strict": True}, {"forward": True}, {"tolerance": 5}):
+        args = (left, right, ["k"], "t", ["v"])
+        want = sorted(map(str, joins.asof_join(*args, order=["v"], **kw).collect()))
+        assert sorted(map(str, joins.asof_join(*args, order=["v"], block=block, **kw).collect())) == want
+
+
 @pytest.mark.parametrize("how", ["inner", "left"])
 def test_range_join(spark, how):
     rng = np.random.default_rng(2)
