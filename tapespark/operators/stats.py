@@ -64,7 +64,8 @@ def counts_up_to(asked: DataFrame, at: str, series: dict[str, DataFrame], window
     before = ends.groupBy("which", "b").agg(F.sum("n").alias("n"), F.bool_or("asks").alias("asks"))
     before = before.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("which").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).where("asks").select("which", F.col("b").alias("block"), "before")
     found = line.withColumn("inside", inside).where("row IS NOT NULL").join(before, ["which", "block"])
-    return found.groupBy("row").pivot("name", list(windows)).agg(F.sum(F.col("sign") * (F.col("inside") + F.col("before")))).select("row.*", *windows)
+    count = F.col("sign") * (F.col("inside") + F.col("before"))
+    return found.groupBy("row").agg(*(F.sum(F.when(F.col("name") == name, count)).alias(f"c{k}") for k, name in enumerate(windows))).select("row.*", *(F.col(f"c{k}").alias(name) for k, name in enumerate(windows)))
 
 
 def placed(rows: DataFrame, value: str, order: list[str], by: list[str] | None = None, ties: bool = False, blocks: int = 64) -> DataFrame:
