@@ -186,7 +186,7 @@ _COLUMNS = ["none", "conv", "turn_none", "turn", "position", "action", "role", "
 def _repair(turns: pd.DataFrame, cuts: pd.DataFrame) -> pd.DataFrame:
     """The repaired turns of some conversations and runs; ``cuts`` has the states and the first position of the runs."""
     turns = turns.sort_values(["none", "conv", "run", "place"], ignore_index=True)
-    known = {k: v for *k, e, lv, p in cuts[["none", "conv", "run", "enter", "leave", "position"]].itertuples(index=False) for k, v in [(tuple(k), (e, lv, p))]}
+    known = {(n, c, r): rest for n, c, r, *rest in cuts[["none", "conv", "run", "enter", "leave", "position"]].itertuples(index=False)}
     rows = []
     for a, b in _segments(turns, ["none", "conv", "run"]):
         key = turns["none"][a], turns["conv"][a]
