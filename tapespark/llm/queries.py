@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_repair, decontaminate, language_id, lm_score, near_dedup, packing, pii, secrets, sentencepieces, spotsigs
+from . import chat_repair, decontaminate, language_id, lm_score, near_dedup, packing, pii, secrets, sentencepieces, spotsigs, vector_codes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +51,10 @@ def op10_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_repair.repair(_table(spark, sf_dir, "conversations"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.digest(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_lm_score": op1_lm_score,
     "op2_pack": op2_pack,
@@ -62,5 +66,6 @@ QUERIES = {
     "op8_near_dedup": op8_near_dedup,
     "op9_spotsigs": op9_spotsigs,
     "op10_chat_repair": op10_chat_repair,
+    "op11_vector_codes": op11_vector_codes,
 }
-ORACLE_SQL: dict[str, str] = {"op4_pii": pii.ORACLE_SQL, "op8_near_dedup": near_dedup.ORACLE_SQL, "op10_chat_repair": chat_repair.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_pii": pii.ORACLE_SQL, "op8_near_dedup": near_dedup.ORACLE_SQL, "op10_chat_repair": chat_repair.ORACLE_SQL, "op11_vector_codes": vector_codes.ORACLE_SQL}
