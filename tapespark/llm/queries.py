@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_repair, decontaminate, language_id, lm_score, near_dedup, packing, pii, secrets, sentencepieces, spelling, spotsigs, vector_codes
+from . import chat_repair, decontaminate, language_id, lm_score, near_dedup, packing, pii, secrets, sentencepieces, spelling, spotsigs, swap_packing, vector_codes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +59,10 @@ def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.group_variants(spelling.count_words(_table(spark, sf_dir, "documents")))
 
 
+def op13_swap_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return swap_packing.digest(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_lm_score": op1_lm_score,
     "op2_pack": op2_pack,
@@ -72,5 +76,6 @@ QUERIES = {
     "op10_chat_repair": op10_chat_repair,
     "op11_vector_codes": op11_vector_codes,
     "op12_spelling": op12_spelling,
+    "op13_swap_packing": op13_swap_packing,
 }
 ORACLE_SQL: dict[str, str] = {"op4_pii": pii.ORACLE_SQL, "op8_near_dedup": near_dedup.ORACLE_SQL, "op10_chat_repair": chat_repair.ORACLE_SQL, "op11_vector_codes": vector_codes.ORACLE_SQL}
