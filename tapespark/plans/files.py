@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns
 from ..operators import scratch
-from ..sources import feeds, tape
+from ..sources import feeds, growing, tape
 from ..sources.tape import SECOND, TAPE, TICKS
 from ..streaming import live
 from .registry import Tables, query
@@ -93,14 +93,38 @@ def s22_compacted(t: Tables) -> DataFrame:
     return rows.groupBy(F.col("day").cast("long").alias("day")).agg(F.count("*").alias("n"), F.count_distinct("file").alias("files"))
 
 
-@query("t1_ingest", "SELECT event_id, user_id, event_type, value FROM events")
+_ROUTES = {
+    "trade": ("event_type = 'purchase' AND value > 1 AND value < 300", ["event_id", "user_id", "value"]),
+    "create": ("event_type = 'signup'", ["event_id", "user_id"]),
+    "complete": ("event_type = 'click' AND value > 100", ["event_id", "user_id"]),
+    "rejected": ("event_type = 'purchase'", ["event_id", "user_id", "value"]),
+}
+
+
+@query(
+    "t1_ingest",
+    """WITH e AS (SELECT event_id, user_id, value, CASE WHEN event_type = 'purchase' AND value > 1 AND value < 300 THEN 'trade' WHEN event_type = 'signup' THEN 'create' WHEN event_type = 'click' AND value > 100 THEN 'complete' WHEN event_type = 'purchase' THEN 'rejected' END AS target, (event_id % 40) * 30000000 AS lateness_us FROM events)
+SELECT event_id, user_id, CASE WHEN target IN ('trade', 'rejected') THEN value END AS value, target, NULL::BIGINT AS lateness_us FROM e WHERE target IS NOT NULL UNION ALL SELECT event_id, user_id, value, 'late', lateness_us FROM e WHERE lateness_us > 600000000""",
+)
 def t1_ingest(t: Tables) -> DataFrame:
-    """Feed files through a file stream to a table; a second run with nothing new adds nothing."""
+    """Gzip feeds that get more files, with lines cut short among theirs, through a stream to tables of trades, creates, completes and
+    rejected trades, with rows later than ten minutes in a table besides; a last run with nothing new adds nothing."""
     path, sink, checkpoint = (scratch.folder(t.spark, x) for x in ("feed", "ingested", "checkpoint"))
-    _lines(t).write.option("compression", "gzip").text(path)
-    for _ in range(2):
-        live.ingest(t.spark, path, _EVENT, sink, checkpoint).awaitTermination()
-    return t.spark.read.parquet(sink).drop("src_file")
+    e = t("events").withColumn("ts", tape.micros(F.col("ts")))
+    e = e.withColumn("recv", F.col("ts") + F.col("event_id") % 40 * 30 * SECOND)
+    row = F.to_json(F.struct("event_id", "user_id", "event_type", "value", "ts", "recv"))
+    lines = e.select("event_id", F.explode(F.when(F.col("event_id") % 7 == 0, F.array(row, F.substring(row, 1, 25))).otherwise(F.array(row))).alias("value"))
+    for part in ("event_id % 2 = 0", "event_id % 2 = 1", None):
+        if part:
+            lines.where(part).select("value").write.mode("append").option("compression", "gzip").text(path)
+        rows = growing.growing_feed(t.spark, path, f"{_EVENT}, ts long, recv long", stream=True)
+        rows = live.two_clocks(rows.withColumns({c: F.timestamp_micros(c) for c in ("ts", "recv")}), "ts", "recv")
+        live.routed(rows, sink, checkpoint, _ROUTES, {"late": ("late", ["event_id", "user_id", "value", "lateness_us"])}).awaitTermination()
+    out = None
+    for name in (*_ROUTES, "late"):
+        one = live.fanned_out(t.spark, sink, name).withColumn("target", F.lit(name))
+        out = one if out is None else out.unionByName(one, allowMissingColumns=True)
+    return out
 
 
 @query(

@@ -14,16 +14,54 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.folds import sweep
-from ..sources import feeds
+from ..sources import growing
 
 
 def ingest(spark, path: str, schema: str, sink: str, checkpoint: str):
-    """Rotating feed files to Parquet, each file once; a restart goes on from the checkpoint. Runs what is there and stops."""
-    return feeds.stream_feed(spark, path, schema).writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Rotating feed files to Parquet, lines as they come to be there; a restart goes on from the checkpoint. Runs what is there and
+    stops."""
+    rows = growing.growing_feed(spark, path, schema, stream=True)
+    return rows.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+#: Of ``fan_out``: the table of batches that are written whole.
+WRITTEN = "_written"
+
+
+def fan_out(batch: DataFrame, number: int, path: str, tables: dict[str, tuple[str, list[str]]], also: dict[str, tuple[str, list[str]]] | None = None) -> None:
+    """One batch to several tables: a row goes to the first of ``tables`` (name: condition, columns) whose condition is true, to none
+    if all are false or null, and to every one of ``also`` whose condition is.
+
+    A batch has a folder of its own in each table, which it replaces if it comes again, and is listed as written at its end: a
+    restart in the middle of a batch gives the same tables, and ``fanned_out`` never reads half of one.
+    """
+    names = list(tables)
+    kind = F.coalesce(*(F.when(F.expr(condition), F.lit(k)) for k, (condition, _) in enumerate(tables.values())))
+    rows = batch.withColumn("__table", kind).persist()
+    try:
+        for k, name in enumerate(names):
+            rows.where(F.col("__table") == k).select(*tables[name][1]).write.mode("overwrite").parquet(f"{path}/{name}/batch={number}")
+        for name, (condition, columns) in (also or {}).items():
+            rows.where(condition).select(*columns).write.mode("overwrite").parquet(f"{path}/{name}/batch={number}")
+        batch.sparkSession.range(1).write.mode("overwrite").parquet(f"{path}/{WRITTEN}/batch={number}")
+    finally:
+        rows.unpersist()
+
+
+def routed(rows: DataFrame, path: str, checkpoint: str, tables: dict[str, tuple[str, list[str]]], also: dict[str, tuple[str, list[str]]] | None = None):
+    """A stream to several tables by ``fan_out``. Runs what is there and stops."""
+    return rows.writeStream.foreachBatch(lambda batch, number: fan_out(batch, number, path, tables, also)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def fanned_out(spark, path: str, name: str) -> DataFrame:
+    """A table of ``fan_out``, without batches that are not yet whole."""
+    done = spark.read.parquet(f"{path}/{WRITTEN}").agg(F.max("batch").alias("__last"))
+    return spark.read.parquet(f"{path}/{name}").join(F.broadcast(done), F.col("batch") <= F.col("__last")).drop("batch", "__last")  # one row
 
 
 def two_clocks(rows: DataFrame, event: str, received: str, late: str = "10 minutes") -> DataFrame:
-    """Watermark on event time, with lateness as a column; what is later than the watermark allows is marked, not lost."""
+    """Watermark on event time, with lateness as a column; what is later than the watermark allows is marked, not lost: it stays
+    visible by its receive time, and ``fan_out`` can write it to a table of late rows besides its own."""
     lateness = F.unix_micros(received) - F.unix_micros(event)
     limit = F.expr(f"INTERVAL {late}")
     return rows.withWatermark(event, late).withColumn("lateness_us", lateness).withColumn("late", F.col(received) > F.col(event) + limit)

@@ -1,10 +1,15 @@
+import gzip
 import json
+import os
+import random
+import zlib
 
 import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from tapespark.operators import folds, trips
-from tapespark.sources import feeds
+from tapespark.sources import feeds, growing
 from tapespark.streaming import live
 
 DAY = 86_400  # times before the epoch's first moment count as late
@@ -49,6 +54,114 @@ def test_feed_and_ingest(spark, tmp_path):
     assert spark.read.parquet(sink).count() == 3
 
 
+def rows_of(df):
+    return sorted((r["src_file"], r["t"]) for r in df.collect())
+
+
+def test_growing_gzip_feed(spark, tmp_path):
+    """A gzip file that is cut inside a line and inside its packed data, then grown, twice; a plain one; a damaged one; new files.
+    After each run the stream's rows are the whole lines that can be read, each once, and in the end those of the batch read."""
+    rnd = random.Random(3)
+    text = "".join(json.dumps({"e": "trade", "t": k, "v": rnd.random()}) + "\n" for k in range(3000)).encode()
+    packed = gzip.compress(text[:60_000]) + gzip.compress(text[60_000:])
+    feed, sink, mark = tmp_path / "feed", str(tmp_path / "sink"), str(tmp_path / "mark")
+    feed.mkdir()
+    schema = "e string, t long, v double"
+    (feed / "_work").write_text("no row\n")
+    (feed / "c_bad.jsonl.gz").write_bytes(packed[:5000] + b"damage" * 50 + packed[5400:])
+    cuts = (20, 30_000, 30_001, len(packed) - 5, len(packed))
+    plain = (10, 30, len(text) // 2, len(text) // 2, len(text))
+    before = 0
+    for k, (a, b) in enumerate(zip(cuts, plain)):
+        (feed / "a.jsonl.gz").write_bytes(packed[:a])
+        (feed / "b.jsonl").write_bytes(text[:b])
+        if k == 2:
+            (feed / "d.jsonl").write_bytes(b'{"e":"create","t":-1}\r\nnot json\n{"e":"cr')
+        live.ingest(spark, str(feed), schema, sink, mark).awaitTermination(120)
+        got = rows_of(spark.read.parquet(sink))
+        assert len(got) == len(set(got)) >= before
+        assert [t for f, t in got if f == "b.jsonl"] == list(range(text[:b].count(b"\n")))
+        first = zlib.decompressobj(31)
+        there = first.decompress(packed[:a])
+        there += zlib.decompressobj(31).decompress(first.unused_data)
+        assert [t for f, t in got if f == "a.jsonl.gz"] == list(range(there.count(b"\n")))
+        before = len(got)
+    assert [t for f, t in got if f == "a.jsonl.gz"] == list(range(3000))
+    assert 0 < sum(f == "c_bad.jsonl.gz" for f, _ in got) < 3000
+    assert got == rows_of(growing.growing_feed(spark, str(feed), schema))
+
+
+def test_parts_of_plain_files(spark, tmp_path, monkeypatch):
+    """Parts and chunks of any size give every line once, whatever the cuts; only a table has the unfinished line."""
+    text = "".join(f"line {k} {'x' * (k % 37)}\n" for k in range(300)) + "unfinished"
+    (tmp_path / "a.txt").write_text(text)
+    (tmp_path / "b.txt.gz").write_bytes(gzip.compress(text.encode()))
+    lines = text.split("\n")
+    for part, chunk in ((1, 7), (50, 16), (10_000, 100), (1 << 20, 1 << 20)):
+        monkeypatch.setattr(growing, "PART", part)
+        monkeypatch.setattr(growing, "CHUNK", chunk)
+        batch = growing._Batch(str(tmp_path))
+        got = [(b.column(0)[0].as_py(), x) for p in batch.partitions() for b in batch.read(p) for x in b.column(1).to_pylist()]
+        assert sorted(got) == sorted((f, x) for f in ("a.txt", "b.txt.gz") for x in lines)
+        stream = growing._Stream(str(tmp_path), None)
+        rnd, start, seen = random.Random(part), stream.initialOffset(), []
+        end = stream.latestOffset()["sizes"]
+        for share in sorted([rnd.random() for _ in range(5)] + [1.0]):
+            stop = {"done": "", "sizes": {f: int(n * share) for f, n in end.items()}}
+            seen += [(b.column(0)[0].as_py(), x) for p in stream.partitions(start, stop) for b in stream.read(p) for x in b.column(1).to_pylist()]
+            start = stop
+        assert sorted(seen) == sorted((f, x) for f in ("a.txt", "b.txt.gz") for x in lines[:-1])
+
+
+def test_finished_files_leave_the_offsets(tmp_path):
+    for name in "abc":
+        (tmp_path / name).write_text("x\n")
+    os.utime(tmp_path / "a", (1, 1))
+    os.utime(tmp_path / "c", (1, 1))
+    stream = growing._Stream(str(tmp_path), 3600)
+    first = stream.latestOffset()
+    stream.commit(first)
+    assert stream.latestOffset() == {"done": "a", "sizes": {"b": 2, "c": 2}}
+    assert stream.partitions(first, stream.latestOffset()) == []
+    again = growing._Stream(str(tmp_path), 3600).latestOffset()  # after a restart
+    assert stream.partitions({"done": "a", "sizes": {"b": 2, "c": 2}}, again) == []
+
+
+def test_tables_after_a_restart_in_the_middle(spark, tmp_path, monkeypatch):
+    """A batch that fails after some of its tables comes again: the tables are those of a run without a fault."""
+    feed = tmp_path / "feed"
+    feed.mkdir()
+    tables = {"trade": ("e = 'trade' AND v > 0", ["t", "v"]), "create": ("e = 'create'", ["t"]), "rejected": ("e = 'trade'", ["t", "v"])}
+    also = {"late": ("t % 5 = 0", ["e", "t"])}
+    fan_out, calls = live.fan_out, []
+
+    def failing(batch, number, path, tables, also):
+        calls.append(number)
+        if len(calls) == 2:
+            broken = dict(tables, rejected=("e = 'trade'", [F.expr("raise_error('lost')").alias("t")]))
+            fan_out(batch, number, path, broken, also)
+        fan_out(batch, number, path, tables, also)
+
+    def read(path):
+        return {n: sorted(map(tuple, live.fanned_out(spark, path, n).collect()), key=str) for n in (*tables, *also)}
+
+    for part in range(2):
+        lines = [{"e": ["trade", "create", "other"][k % 3], "t": k, "v": None if k % 4 == 0 else k % 7 - 2.0} for k in range(100 * part, 100 * part + 100)]
+        (feed / f"{part}.jsonl").write_text("".join(json.dumps(x) + "\n" for x in lines))
+        for sink in ("good", "failed"):
+            rows = growing.growing_feed(spark, str(feed), "e string, t long, v double", stream=True)
+            monkeypatch.setattr(live, "fan_out", failing if sink == "failed" else fan_out)
+            path, mark = str(tmp_path / sink), str(tmp_path / f"{sink}-mark")
+            if sink == "failed" and part == 1:
+                with pytest.raises(StreamingQueryException):
+                    live.routed(rows, path, mark, tables, also).awaitTermination(120)
+                assert (tmp_path / "failed" / "trade" / "batch=1").exists() and len(read(path)["trade"]) < len(read(str(tmp_path / "good"))["trade"])
+            live.routed(rows, path, mark, tables, also).awaitTermination(120)
+    good = read(str(tmp_path / "good"))
+    assert read(str(tmp_path / "failed")) == good and calls == [0, 1, 1]
+    assert sum(len(good[n]) for n in tables) == sum(k % 3 < 2 for k in range(200)) and len(good["late"]) == 40 and len(good["rejected"]) > 10
+
+
 def test_bars_and_sessions(spark, tmp_path):
     rows = spark.range(200).select((F.col("id") % 3).alias("key"), F.timestamp_seconds(F.col("id") * 37 + F.when(F.col("id") > 100, 5000).otherwise(0)).alias("ts"), (F.col("id") * 1.5).alias("value"))
     s = stream(spark, tmp_path, rows)
