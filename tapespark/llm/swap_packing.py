@@ -38,7 +38,7 @@ MAX_TOKENIZER_BYTES = 32 << 20
 GROUP_TOKENS, GROUP_PIECES = 8 << 20, 200_000
 _SLICE, _CUT_CHARS = 1 << 20, 1 << 20
 #: Words that a worker remembers; when there are more, those not used since the last time are forgotten.
-_WORDS = 150_000
+_WORDS = 400_000
 #: How many of the least full sequences are looked at for two pieces at once.
 _LEAST_FULL = 8
 
@@ -81,17 +81,17 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         plain = [self.known and not _WIDE.search(t) and not (self.special and self.special.search(t)) for t in texts]
         split = [_SPLIT.findall(t) if p else [] for t, p in zip(texts, plain, strict=True)]
-        new = []
-        for w in set().union(*split) - self.words.keys():
-            if w in self.before:
-                self.words[w] = self.before[w]
-            else:
-                new.append(w)
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.words[w] = np.array(e.ids, "<u4").tobytes()
-        out = [b"".join(map(self.words.__getitem__, s)) if p else self._whole(t) for t, p, s in zip(texts, plain, split, strict=True)]
-        if len(self.words) > _WORDS:
-            self.words, self.before = {}, self.words
+        words, before = self.words, self.before
+        unseen = [w for w in set().union(*split) if w not in words]
+        words.update((w, before[w]) for w in unseen if w in before)
+        new = [w for w in unseen if w not in before]
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+        flat = np.array([i for x in ids for i in x], "<u4").tobytes()
+        ends = np.cumsum([4 * len(x) for x in ids]).tolist()
+        words.update((w, flat[a:b]) for w, a, b in zip(new, [0, *ends], ends, strict=False))
+        out = [b"".join(map(words.__getitem__, s)) if p else self._whole(t) for t, p, s in zip(texts, plain, split, strict=True)]
+        if len(words) > _WORDS:
+            self.words, self.before = {}, words
         return out
 
     def encode_long(self, text: str) -> bytes:
