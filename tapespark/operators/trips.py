@@ -18,14 +18,14 @@ _TRIP = "usr long, mint long, opened long, closed long, sol_in double, sol_out d
 _PRINT = ("usr", "mint", "recv", "buy", "sol", "tok")
 
 
-def round_trips(prints: DataFrame) -> DataFrame:
+def round_trips(prints: DataFrame, with_state: bool = False) -> DataFrame:
     """One row per trip of (usr, mint): it opens at the first buy when flat, and closes when the position falls to 1% of its peak.
 
     Sells when flat are left out; a trip that is not over has a null ``closed``. Prints are walked in order of (recv, seq), so
     equal times have a fixed order; the state is one open trip, however many prints a wallet has. Prints without a time, side
-    or amount are not counted.
+    or amount are not counted. ``with_state``: also ``pos`` and ``peak``, what is held at the trip's end and was held at most.
     """
-    schema = StructType.fromDDL(_TRIP)
+    schema = StructType.fromDDL(_TRIP + ", pos double, peak double" * with_state)
     names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -35,7 +35,7 @@ def round_trips(prints: DataFrame) -> DataFrame:
             for usr, mint, recv, buy, sol, tok in zip(*(batch.column(c).to_pylist() for c in _PRINT), strict=True):
                 if (usr, mint) != key:
                     if trip:
-                        done.append(trip)
+                        done.append([*trip, pos, peak])
                     key, pos, peak, trip = (usr, mint), 0.0, 0.0, None
                 if buy:
                     pos += tok
@@ -53,18 +53,18 @@ def round_trips(prints: DataFrame) -> DataFrame:
                     trip[9] += 1
                     if pos - tok <= DUST * peak:
                         trip[3] = recv
-                        done.append(trip)
+                        done.append([*trip, pos - tok, peak])
                         pos, peak, trip = 0.0, 0.0, None
                     else:
                         pos -= tok
             if done:
                 yield _batch(done)
         if trip:
-            yield _batch([trip])
+            yield _batch([[*trip, pos, peak]])
 
     def _batch(rows: list) -> pa.RecordBatch:
-        types = [pa.int64()] * 4 + [pa.float64()] * 4 + [pa.int32()] * 2
-        return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), types, strict=True)], names)
+        types = [pa.int64()] * 4 + [pa.float64()] * 4 + [pa.int32()] * 2 + [pa.float64()] * 2
+        return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind, _ in zip(zip(*rows, strict=True), types, names, strict=False)], names)
 
     rows = prints.select(*_PRINT, "seq").dropna(subset=list(_PRINT[2:]))
     return sweep(rows, ["usr", "mint"], ["recv", "seq"], run, schema)

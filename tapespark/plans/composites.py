@@ -66,16 +66,23 @@ def c8_hot_trigger(t: Tables) -> DataFrame:
     return f.where("dev_sold > 0 AND hot >= 2").groupBy("mint").agg(F.min("recv").alias("first"))
 
 
-@query(
-    "c9_first_exit_trigger",
-    f"""WITH {TAPE}, s AS (SELECT mint, usr, min(recv) FILTER (NOT buy) AS first_sell, coalesce(sum(sol) FILTER (buy), 0) AS put, coalesce(sum(sol) FILTER (NOT buy), 0) AS took, min(recv) AS first FROM tape GROUP BY ALL)
-SELECT mint, usr, first_sell FROM s WHERE put >= 20000 AND took > put AND first_sell - first <= 31536000000000""",
-)
+_CREATOR = f"""d AS (SELECT mint, arg_min(usr, (recv, seq)) AS dev, min(recv) AS born FROM tape GROUP BY mint),
+f AS (SELECT p.mint, p.recv, p.seq, {_PX} AS px, d.born, min(CASE WHEN usr = dev AND NOT buy THEN recv END) OVER w AS first_sell, coalesce(sum(sol) FILTER (usr = dev AND buy) OVER w, 0) AS put, coalesce(sum(sol) FILTER (usr = dev AND NOT buy) OVER w, 0) AS took FROM tape p JOIN d ON d.mint = p.mint WINDOW w AS (PARTITION BY p.mint ORDER BY p.recv, p.seq ROWS UNBOUNDED PRECEDING)),
+hits AS (SELECT mint, min(recv) AS entered, arg_min(px, (recv, seq)) AS px, arg_min(first_sell, (recv, seq)) AS first_sell, min((recv, seq)) AS at FROM f WHERE put >= 20000 AND took > put AND recv - first_sell <= 63072000000000 AND recv - born <= 157680000000000 GROUP BY mint)"""
+
+
+@query("c9_first_exit_trigger", f"WITH {TAPE}, {_CREATOR} SELECT mint, entered, first_sell, round(px, 6) AS px FROM hits")
 def c9_first_exit_trigger(t: Tables) -> DataFrame:
-    """First sells of wallets that put in enough and took out more within a year."""
-    sell, x = ~F.col("buy"), F.col("sol")
-    s = prints(t).groupBy("mint", "usr").agg(F.min(F.when(sell, F.col("recv"))).alias("first_sell"), F.sum(F.when(F.col("buy"), x).otherwise(0.0)).alias("put"), F.sum(F.when(sell, x).otherwise(0.0)).alias("took"), F.min("recv").alias("first"))
-    return s.where(f"put >= 20000 AND took > put AND first_sell - first <= {365 * DAY}").select("mint", "usr", "first_sell")
+    """The first print of a token, at most five years after its first one, by when its creator (the wallet of the first print) has
+    put in enough and taken out more, at most two years after the creator's first sell. All sums are of the prints up to that one."""
+    rows = priced(t)
+    dev = rows.groupBy("mint").agg(F.min_by("usr", F.struct("recv", "seq")).alias("dev"), F.min("recv").alias("born"))
+    f, w = rows.join(dev, "mint"), _running("mint")
+    own = lambda side, c: F.when((F.col("usr") == F.col("dev")) & (F.col("buy") == side), F.col(c))
+    f = f.withColumns({"first_sell": F.min(own(False, "recv")).over(w), "put": F.coalesce(F.sum(own(True, "sol")).over(w), F.lit(0.0)), "took": F.coalesce(F.sum(own(False, "sol")).over(w), F.lit(0.0))})
+    hits = f.where(f"put >= 20000 AND took > put AND recv - first_sell <= {730 * DAY} AND recv - born <= {1825 * DAY}")
+    at = F.struct("recv", "seq")
+    return hits.groupBy("mint").agg(F.min("recv").alias("entered"), F.min_by("first_sell", at).alias("first_sell"), F.round(F.min_by("px", at), 6).alias("px"))
 
 
 @query(

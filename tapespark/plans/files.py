@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns
-from ..operators import scratch
+from ..operators import scratch, strategies, trips
 from ..sources import feeds, growing, tape
-from ..sources.tape import SECOND, TAPE, TICKS
+from ..sources.tape import DAY, SECOND, TAPE, TICKS
 from ..streaming import live
+from .composites import _CREATOR
 from .registry import Tables, query
-from .tape import prints
+from .tape import _TRIPS_SQL, prints
 
 _EVENT = "event_id long, user_id long, event_type string, value double"
 
@@ -144,15 +147,56 @@ def t6_coalesced(t: Tables) -> DataFrame:
     return live.coalesced(quotes, ["t", "event_id"], 3600 * SECOND, 6 * 3600 * SECOND)
 
 
+@contextmanager
+def _rocks(spark):
+    """The state store that operators with state of their own need; it is the session's while streams are started and run here."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, live.ROCKS)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def _run(rows: DataFrame, sink: str, checkpoint: str) -> None:
+    rows.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+@query("t7_positions", f"{_TRIPS_SQL} SELECT usr, mint, opened, closed, round(sol_in, 2) AS sol_in, round(sol_out, 2) AS sol_out, bought, sold, n_buys, n_sells FROM trips WHERE closed IS NOT NULL")
+def t7_positions(t: Tables) -> DataFrame:
+    """Closed trips: those of the tape up to a day from a table, later ones from a stream that begins with what is open then. The
+    stream is stopped and goes on from its checkpoint in between."""
+    spark = t.spark
+    path, sink, checkpoint = (scratch.folder(spark, x) for x in ("prints", "trips", "checkpoint"))
+    rows, day = prints(t).select("usr", "mint", "recv", "seq", "buy", "sol", "tok"), 9_500 * DAY
+    before = scratch.written(trips.round_trips(rows.where(F.col("recv") < day), with_state=True), "trips-before")
+    with _rocks(spark):
+        for part in (F.col("recv").between(day, day + 365 * DAY - 1), F.col("recv") >= day + 365 * DAY):
+            rows.where(part).write.mode("append").parquet(path)
+            _run(live.round_trips(spark.readStream.schema(rows.schema).parquet(path), before), sink, checkpoint)
+    after = spark.read.schema("usr long, mint long, opened long, closed long, sol_in double, sol_out double, bought double, sold double, n_buys int, n_sells int").parquet(sink)
+    return before.where("closed IS NOT NULL").select(after.columns).union(after).withColumns({c: F.round(c, 2) for c in ("sol_in", "sol_out")})
+
+
 @query(
-    "t7_positions",
-    f"WITH {TAPE} SELECT usr, mint, seq, round(sum(CASE WHEN buy THEN tok ELSE -tok END) OVER w, 4) AS held, round(sum(CASE WHEN buy THEN -sol ELSE sol END) OVER w, 2) AS cash, count(*) FILTER (buy) OVER w AS buys FROM tape WINDOW w AS (PARTITION BY usr, mint ORDER BY recv, seq ROWS UNBOUNDED PRECEDING)",
+    "t8_watched",
+    """WITH e AS (SELECT user_id AS key, event_id AS id, epoch_us(ts) // 1000 AS ms, event_type = 'signup' AS touch FROM events WHERE event_type IN ('signup', 'click')),
+a AS (SELECT *, max(ms) FILTER (touch) OVER (PARTITION BY key ORDER BY ms, touch DESC, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM e),
+b AS (SELECT *, last_value(CASE WHEN touch AND (last IS NULL OR ms - last > 21600000) THEN ms END IGNORE NULLS) OVER (PARTITION BY key ORDER BY ms, touch DESC, id ROWS UNBOUNDED PRECEDING) AS since FROM a)
+SELECT key, id, since, ms, row_number() OVER (PARTITION BY key, since ORDER BY ms, id) AS n FROM b WHERE NOT touch AND ms - last <= 21600000""",
 )
-def t7_positions(t: Tables) -> DataFrame:
-    """Running positions of every wallet and token at each of its prints: the batch form of the stream's state."""
-    w = Window.partitionBy("usr", "mint").orderBy("recv", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    signed = lambda c, s: F.when(F.col("buy"), s * F.col(c)).otherwise(-s * F.col(c))
-    return prints(t).select("usr", "mint", "seq", F.round(F.sum(signed("tok", 1)).over(w), 4).alias("held"), F.round(F.sum(signed("sol", -1)).over(w), 2).alias("cash"), F.sum(F.col("buy").cast("long")).over(w).alias("buys"))
+def t8_watched(t: Tables) -> DataFrame:
+    """Clicks of users who are watched: a signup watches its user for six hours, another one extends that. As a stream in two runs."""
+    spark = t.spark
+    path, sink, checkpoint = (scratch.folder(spark, x) for x in ("touches", "watched", "checkpoint"))
+    rows = t("events").where("event_type IN ('signup', 'click')").select(F.col("user_id").alias("key"), F.col("event_id").alias("id"), F.floor(tape.micros(F.col("ts")) / 1000).alias("ms"), (F.col("event_type") == "signup").alias("touch"))
+    half = 19_738 * 86_400_000
+    with _rocks(spark):
+        for part in (F.col("ms") < half, F.col("ms") >= half):
+            rows.where(part).write.mode("append").parquet(path)
+            _run(live.watched(spark.readStream.schema(rows.schema).parquet(path), 6 * 3_600_000), sink, checkpoint)
+    return spark.read.schema("key long, id long, since long, ms long, n long").parquet(sink).where("id IS NOT NULL")
 
 
 @query(
@@ -166,13 +210,8 @@ def t9_triggers(t: Tables) -> DataFrame:
     spark = t.spark
     path, sink, checkpoint = (scratch.folder(spark, x) for x in ("hits", "triggers", "checkpoint"))
     tape.ticks(t("events")).where("value > 100").select("key", "t").distinct().write.parquet(path)
-    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", live.ROCKS)
-    try:
-        hits = spark.readStream.schema("key long, t long").option("maxFilesPerTrigger", 1_000_000).parquet(path)
-        live.triggers(hits, 6 * 3600 * SECOND).writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    finally:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    with _rocks(spark):
+        _run(live.triggers(spark.readStream.schema("key long, t long").parquet(path), 6 * 3600 * SECOND), sink, checkpoint)
     return spark.read.schema("key long, t long").parquet(sink)
 
 
@@ -184,3 +223,28 @@ def z1_sql_functions(t: Tables) -> DataFrame:
         "SELECT seq, round(tape_price(vsol, vtok), 8) AS price, round(tape_quote_buy(vsol, vtok, CAST(100 AS DOUBLE), CAST(0.0125 AS DOUBLE)), 9) AS bought, round(tape_signed_log(sol - 30000), 9) AS signed FROM {tape}",
         tape=prints(t),
     )
+
+
+@query(
+    "z1_strategies",
+    f"""WITH {TAPE}, {_CREATOR}, s AS (SELECT h.mint, min((p.recv, p.seq)) AS at FROM hits h JOIN tape p ON p.mint = h.mint AND (p.recv, p.seq) > h.at AND p.recv < h.entered + 7776000000000 AND p.vsol / p.vtok <= h.px * 0.75 GROUP BY h.mint),
+l AS (SELECT DISTINCT h.mint FROM hits h JOIN tape p ON p.mint = h.mint AND p.recv >= h.entered + 7776000000000)
+SELECT mint, 'enter' AS what, entered AS t, round(px, 6) AS px FROM hits UNION ALL SELECT s.mint, 'stop', recv, round(vsol / vtok, 6) FROM s JOIN tape p ON p.mint = s.mint AND (p.recv, p.seq) = s.at
+UNION ALL SELECT mint, 'hold', entered + 7776000000000, NULL FROM hits WHERE mint NOT IN (SELECT mint FROM s) AND mint IN (SELECT mint FROM l)""",
+)
+def z1_strategies(t: Tables) -> DataFrame:
+    """The trigger of c9 as a strategy that is called from SQL: entries, and exits at a stop of a quarter or after ninety days."""
+    strategies.register_strategy(t.spark, "first_exit", lambda: strategies.FirstExit(20_000, 730 * DAY, 1825 * DAY, 0.25, 90 * DAY), strategies.FirstExit.SCHEMA, "recv")
+    return t.spark.sql("SELECT mint, what, t, round(px, 6) AS px FROM first_exit(TABLE(SELECT mint, usr, recv, seq, buy, sol, vsol / vtok AS px FROM {tape}) PARTITION BY mint ORDER BY (recv, seq))", tape=prints(t))
+
+
+@query(
+    "z1_window_functions",
+    f"""WITH {TAPE} SELECT seq, (count(*) FILTER (buy) OVER near - (count(*) FILTER (buy) OVER far - count(*) FILTER (buy) OVER near))::DOUBLE AS acceleration FROM tape
+WINDOW near AS (PARTITION BY mint ORDER BY recv RANGE BETWEEN 431999999999 PRECEDING AND CURRENT ROW), far AS (PARTITION BY mint ORDER BY recv RANGE BETWEEN 863999999999 PRECEDING AND CURRENT ROW)""",
+)
+def z1_window_functions(t: Tables) -> DataFrame:
+    """A function of a window's events, called from SQL: buys of the last five days less those of the five before."""
+    strategies.register_window_function(t.spark, "acceleration", lambda w: (w["buy"] * (1 - 2 * (w["recv"] <= w["recv"].max() - 5 * DAY))).sum(), ["recv", "buy"])
+    frame = "PARTITION BY mint ORDER BY recv RANGE BETWEEN 863999999999 PRECEDING AND CURRENT ROW"
+    return t.spark.sql(f"SELECT seq, acceleration(recv, int(buy)) OVER ({frame}) AS acceleration FROM {{tape}}", tape=prints(t))

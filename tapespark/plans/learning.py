@@ -93,15 +93,6 @@ def t5_sessions(t: Tables) -> DataFrame:
     return out.select(F.col("user_id").alias("key"), F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
 
 
-@query("t8_watched", "SELECT DISTINCT b.event_id FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_type = 'signup' AND b.event_type = 'click' AND b.ts BETWEEN a.ts AND a.ts + INTERVAL 1 HOUR")
-def t8_watched(t: Tables) -> DataFrame:
-    """Clicks within an hour after a signup of the same user."""
-    e = t("events").withColumn("ts", F.col("ts").cast("timestamp"))
-    touches = e.where("event_type = 'signup'").select(F.col("user_id").alias("key"), F.col("ts").alias("touch"))
-    clicks = e.where("event_type = 'click'").select(F.col("user_id").alias("key"), F.col("ts").alias("at"), "event_id")
-    return live.watched(touches, clicks, "key", "touch", "at").select("event_id").distinct()
-
-
 @query("m5_config_grid", "WITH g AS (SELECT l_suppkey AS cfg, l_extendedprice - 30000 AS pnl, l_shipdate < TIMESTAMP '1996-01-01' AS train FROM lineitem), s AS (SELECT cfg, count(*) FILTER (train) AS n, sum(pnl) FILTER (train) AS net, count(*) FILTER (NOT train) AS vn, sum(pnl) FILTER (NOT train) AS vnet FROM g GROUP BY cfg) SELECT cfg, n, round(net, 2) AS net, CASE WHEN n >= 50 AND net > 0 THEN vn END AS valid_n, round(CASE WHEN n >= 50 AND net > 0 THEN vnet END, 2) AS valid_net FROM s")
 def m5_config_grid(t: Tables) -> DataFrame:
     """Configurations with their pass on training data; validation only for those that pass."""

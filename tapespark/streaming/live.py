@@ -9,11 +9,12 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.folds import sweep
+from ..operators.trips import DUST
 from ..sources import growing
 
 
@@ -196,42 +197,56 @@ def coalesced(quotes: DataFrame, order: list[str], price_us: int, size_us: int)
     return sweep(quotes, ["key"], order, run, "key long, t long, price double, size double")
 
 
+_OPEN = "pos double, peak double, opened bigint, sol_in double, sol_out double, bought double, sold double, n_buys int, n_sells int"
+_OPEN_NAMES = [x.split()[0] for x in _OPEN.split(", ")]
+_CLOSED = ["usr", "mint", "opened", "closed", *_OPEN_NAMES[3:]]
+
+
 class _Trips(StatefulProcessor):
-    """Round trips with the rules of the batch fold; state is one open trip per key."""
+    """Round trips with the rules of the batch fold; state is one open trip per key, forgotten ``ttl_ms`` after its last print."""
+
+    def __init__(self, ttl_ms: int | None) -> None:
+        self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.open = handle.getValueState("open", "pos double, peak double, opened bigint, sol_in double, sol_out double, buys int, sells int")
+        self.open = handle.getValueState("open", _OPEN, self.ttl_ms)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:
-        now = self.open.get() if self.open.exists() else None
-        pdf = pd.concat(list(rows)).sort_values(["recv", "seq"], kind="stable")
-        out = []
-        for recv, buy, sol, tok in zip(pdf["recv"], pdf["buy"], pdf["sol"], pdf["tok"], strict=True):
+    def handleInitialState(self, key, initialState: Row, timerValues) -> None:
+        self.open.update(tuple(initialState[c] for c in _OPEN_NAMES))
+
+    def handleInputRows(self, key, rows: Iterator[Row], timer) -> Iterator[Row]:
+        now = self.open.get()
+        for recv, _, buy, sol, tok in sorted((r["recv"], r["seq"], r["buy"], r["sol"], r["tok"]) for r in rows):
             if now is None:
-                now = (float(tok), float(tok), int(recv), float(sol), 0.0, 1, 0) if buy else None
+                now = (float(tok), float(tok), int(recv), float(sol), 0.0, float(tok), 0.0, 1, 0) if buy else None
                 continue
-            pos, peak, opened, sol_in, sol_out, buys, sells = now
+            pos, peak, opened, sol_in, sol_out, bought, sold, buys, sells = now
             if buy:
-                now = (pos + tok, max(peak, pos + tok), opened, sol_in + sol, sol_out, buys + 1, sells)
-            elif pos - tok <= 0.01 * peak:
-                out.append((key[0], key[1], opened, int(recv), sol_in, sol_out + sol, buys, sells + 1))
+                now = (pos + tok, max(peak, pos + tok), opened, sol_in + sol, sol_out, bought + tok, sold, buys + 1, sells)
+                continue
+            now = (pos - tok, peak, opened, sol_in, sol_out + sol, bought, sold + tok, buys, sells + 1)
+            if pos - tok <= DUST * peak:
+                yield Row(**dict(zip(_CLOSED, (key[0], key[1], opened, int(recv), *now[3:]), strict=True)))
                 now = None
-            else:
-                now = (pos - tok, peak, opened, sol_in, sol_out + sol, buys, sells + 1)
         if now is None:
             self.open.clear()
         else:
             self.open.update(tuple(now))
-        yield pd.DataFrame(out, columns=["usr", "mint", "opened", "closed", "sol_in", "sol_out", "n_buys", "n_sells"])
 
     def close(self) -> None:
         pass
 
 
-def round_trips(prints: DataFrame) -> DataFrame:
-    """Closed trips of a stream of prints, as they close; batches must come in time order."""
-    out = "usr bigint, mint bigint, opened bigint, closed bigint, sol_in double, sol_out double, n_buys int, n_sells int"
-    return prints.groupBy("usr", "mint").transformWithStateInPandas(_Trips(), out, "Append", "None")
+def round_trips(prints: DataFrame, before: DataFrame | None = None, ttl_ms: int | None = None) -> DataFrame:
+    """Closed trips of a stream of prints, as they close; batches must come in time order.
+
+    ``before``: the trips that are open when the stream begins, as the batch ``round_trips(..., with_state=True)`` gives them, so that
+    a stream goes on where a table ends; it counts in the first batch of a checkpoint only. With ``ttl_ms``, a trip without a
+    print for so long (by the clock of the machines) is forgotten, so that the state does not grow for ever.
+    """
+    out = f"usr bigint, mint bigint, opened bigint, closed bigint, {_OPEN.split(', ', 3)[3]}"
+    initial = None if before is None else before.where("closed IS NULL").groupBy("usr", "mint")
+    return prints.groupBy("usr", "mint").transformWithState(_Trips(ttl_ms), out, "Append", "None" if ttl_ms is None else "ProcessingTime", initial)
 
 
 class _Trigger(StatefulProcessor):
@@ -261,11 +276,78 @@ def triggers(hits: DataFrame, cooldown_us: int, once: bool = False) -> DataFrame
     return hits.groupBy("key").transformWithStateInPandas(_Trigger(cooldown_us, once), "key bigint, t bigint", "Append", "None")
 
 
-def watched(touches: DataFrame, events: DataFrame, key: str, touch: str, event: str, hold: str = "1 hour") -> DataFrame:
-    """Events within ``hold`` after a touch of their key: an interval join with watermarks on both sides."""
-    a = touches.withWatermark(touch, hold).withColumnRenamed(key, "__key")
-    b = events.withWatermark(event, hold)
-    return b.join(a, (F.col(key) == F.col("__key")) & (F.col(event) >= F.col(touch)) & (F.col(event) <= F.col(touch) + F.expr(f"INTERVAL {hold}"))).drop("__key")
+class _Watch(StatefulProcessor):
+    """One key's watch: since when, until when, and how many events it has seen. Its end is a timer that a touch moves."""
+
+    def __init__(self, hold_ms: int) -> None:
+        self.hold_ms = hold_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.watch = handle.getValueState("watch", "since bigint, until bigint, n bigint")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:
+        old = now = tuple(self.watch.get()) if self.watch.exists() else None
+        pdf = pd.concat(list(rows))
+        pdf = pdf.assign(late=~pdf["touch"]).sort_values(["ms", "late"], kind="stable")  # a touch counts for events of its time
+        out = []
+        for id_, ms, touch in zip(pdf["id"], pdf["ms"], pdf["touch"], strict=True):
+            if now is not None and now[1] < ms:
+                out.append((key[0], None, *now))
+                now = None
+            if touch:
+                now = (int(ms), int(ms) + self.hold_ms, 0) if now is None else (now[0], max(now[1], int(ms) + self.hold_ms), now[2])
+            elif now is not None:
+                now = (now[0], now[1], now[2] + 1)
+                out.append((key[0], int(id_), now[0], int(ms), now[2]))
+        if old is not None and (now is None or now[1] != old[1]):
+            self.handle.deleteTimer(old[1])
+        if now is None:
+            self.watch.clear()
+        else:
+            if old is None or now[1] != old[1]:
+                self.handle.registerTimer(now[1])
+            self.watch.update(now)
+        yield _watch_rows(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        out = []
+        if self.watch.exists():
+            out.append((key[0], None, *self.watch.get()))
+            self.watch.clear()
+        yield _watch_rows(out)
+
+    def close(self) -> None:
+        pass
+
+
+def _watch_rows(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=["key", "id", "since", "ms", "n"]).astype({"key": "int64", "id": "Int64", "since": "int64", "ms": "int64", "n": "int64"})
+
+
+def watched(rows: DataFrame, hold_ms: int = 3_600_000, late: str = "10 minutes") -> DataFrame:
+    """Events on watched keys, each once: a touch watches its key for ``hold_ms``, and a touch while it is watched extends that.
+
+    Takes a stream of key (long), id (long), ms (long) and touch (boolean: a touch or an event). Gives key, id, since (when the watch
+    began), ms and n (the watch's events so far) for every event from a touch to ``hold_ms`` after the last one, both included, and
+    a row with a null id, the end as ms and all its events as n for every watch that is over; a watch ends when the watermark,
+    ``late`` behind the newest row, passes it. Rows later than that are not taken; others must come in batches in time order.
+    """
+    timed = rows.select("key", "id", "ms", "touch", F.timestamp_millis("ms").alias("at")).withWatermark("at", late)
+    return timed.groupBy("key").transformWithStateInPandas(_Watch(hold_ms), "key bigint, id bigint, since bigint, ms bigint, n bigint", "Append", "eventTime")
+
+
+def watched_in(rows: DataFrame, hold_ms: int = 3_600_000) -> DataFrame:
+    """The same events over a table: key, id, since, ms, n. One ordered window: a watch begins at a touch that comes more than
+    ``hold_ms`` after the one before."""
+    order = Window.partitionBy("key").orderBy("ms", F.desc("touch"), "id").rowsBetween(Window.unboundedPreceding, -1)
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    last = F.max(F.when(F.col("touch"), F.col("ms"))).over(order)
+    rows = rows.select("key", "id", "ms", "touch", last.alias("last"))
+    begins = F.col("touch") & F.coalesce(F.col("ms") - F.col("last") > hold_ms, F.lit(True))
+    rows = rows.withColumn("since", F.last(F.when(begins, F.col("ms")), ignorenulls=True).over(upto))
+    seen = rows.where(~F.col("touch") & (F.col("ms") - F.col("last") <= hold_ms))
+    return seen.select("key", "id", "since", "ms", F.row_number().over(Window.partitionBy("key", "since").orderBy("ms", "id")).cast("long").alias("n"))
 
 
 def with_snapshots(creates: DataFrame, snapshots: DataFrame, key: str, created: str, taken: str, within: str = "120 seconds") -> DataFrame:

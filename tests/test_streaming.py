@@ -17,10 +17,14 @@ DAY = 86_400  # times before the epoch's first moment count as late
 
 @pytest.fixture
 def rocks(spark):
-    name = "spark.sql.streaming.stateStore.providerClass"
-    spark.conf.set(name, live.ROCKS)
+    """The state store that stateful operators need; one partition, as every one of a batch starts workers of its own."""
+    conf = {"spark.sql.streaming.stateStore.providerClass": live.ROCKS, "spark.sql.shuffle.partitions": "1"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
     yield
-    spark.conf.unset(name)
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def run(spark, df, mode="append"):
@@ -208,12 +212,49 @@ def test_quotes_are_thinned(spark, tmp_path, rocks):
         assert sorted(map(tuple, run(spark, live.coalesce_quotes(stream(spark, tmp_path / str(parts), df, parts))).collect())) == want
 
 
-def test_joins_in_time(spark, tmp_path):
-    touches = spark.createDataFrame([(1, 0), (2, 100)], "key long, s long").select("key", F.timestamp_seconds(F.col("s") + DAY).alias("touch"))
+def test_creates_with_snapshots(spark):
+    touches = spark.createDataFrame([(1, 0), (2, 100)], "key long, s long").select("key", F.timestamp_seconds(F.col("s") + DAY).alias("made"))
     events = spark.createDataFrame([(1, 10), (1, 4000), (2, 50), (2, 200)], "key long, s long").select("key", F.timestamp_seconds(F.col("s") + DAY).alias("at"))
-    (tmp_path / "a").mkdir()
-    (tmp_path / "b").mkdir()
-    got = run(spark, live.watched(stream(spark, tmp_path / "a", touches, 1), stream(spark, tmp_path / "b", events, 1), "key", "touch", "at"))
-    assert sorted((r["key"], int(r["at"].timestamp()) - DAY) for r in got.collect()) == [(1, 10), (2, 200)]
-    batch = live.with_snapshots(touches.withColumnRenamed("touch", "made"), events, "key", "made", "at")
+    batch = live.with_snapshots(touches, events, "key", "made", "at")
     assert sorted((r["key"], r["at"] is not None) for r in batch.collect()) == [(1, True), (2, True)]
+
+
+def test_watches_are_extended(spark, tmp_path, rocks):
+    """A touch moves the end of its key's watch; every event comes once, wherever batches are cut; a watch that is over comes with
+    its count, from the next row of its key or from the timer."""
+    touch, event = True, False
+    rows = [(1, 0, 0, touch), (1, 1, 0, event), (1, 2, 50, touch), (1, 3, 150, event), (1, 4, 151, event), (2, 5, 160, event), (1, 6, 200, touch), (2, 7, 210, touch), (1, 8, 300, event), (2, 9, 900, event), (3, 10, 5000, event)]
+    base = DAY * 1000
+    df = spark.createDataFrame([(k, i, base + ms, x) for k, i, ms, x in rows], "key long, id long, ms long, touch boolean").orderBy("id")
+    seen = [(1, 1, 0, 0, 1), (1, 3, 0, 150, 2), (1, 8, 200, 300, 1)]
+    ended = [(1, None, 0, 150, 2), (1, None, 200, 300, 1), (2, None, 210, 310, 0)]
+    plain = lambda df: sorted(((r["key"], r["id"], r["since"] - base, r["ms"] - base, r["n"]) for r in df.collect()), key=str)
+    for parts in (1, 5):
+        (tmp_path / str(parts)).mkdir()
+        assert plain(run(spark, live.watched(stream(spark, tmp_path / str(parts), df, parts), 100, "1 second"))) == sorted(seen + ended, key=str)
+    assert plain(live.watched_in(df, 100)) == sorted(seen, key=str)
+
+
+def test_positions_begin_and_expire(spark, tmp_path, rocks):
+    """A stream that begins with a table's open trips closes them; with a time to live, what is forgotten is not closed."""
+    rows = spark.range(400).select((F.col("id") % 5).alias("usr"), (F.col("id") % 2).alias("mint"), F.col("id").alias("recv"), F.col("id").alias("seq"), (F.col("id") * 7 % 11 < 6).alias("buy"), (F.col("id") % 13 + 1.0).alias("sol"), (F.col("id") * 3 % 10 + 1.0).alias("tok"))
+    cols = ["usr", "mint", "opened", "closed", "sol_in", "sol_out", "bought", "sold", "n_buys", "n_sells"]
+    before = trips.round_trips(rows.where("recv < 150"), with_state=True)
+    late = stream(spark, tmp_path, rows.where("recv >= 150"), 3)
+    got = run(spark, live.round_trips(late, before)).select(cols).union(before.where("closed IS NOT NULL").select(cols))
+    want = trips.round_trips(rows).where("closed IS NOT NULL").select(cols)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert before.where("closed IS NULL AND pos > 0 AND peak >= pos").count() > 3
+
+    prints = spark.createDataFrame([(1, 1, 1, 1, True, 1.0, 1.0), (1, 1, 2, 2, False, 1.0, 1.0)], rows.schema)
+    path, sink, mark = (str(tmp_path / x) for x in ("prints", "sink", "mark"))
+
+    def half(cut, ttl):
+        prints.where(cut).write.mode("append").parquet(f"{path}-{ttl}")
+        q = live.round_trips(spark.readStream.schema(rows.schema).parquet(f"{path}-{ttl}"), ttl_ms=ttl)
+        q.writeStream.format("parquet").option("path", f"{sink}-{ttl}").option("checkpointLocation", f"{mark}-{ttl}").trigger(availableNow=True).start().awaitTermination(120)
+
+    for ttl, closed in ((1, 0), (3_600_000, 1)):
+        half("buy", ttl)
+        half("NOT buy", ttl)
+        assert spark.read.schema(live.round_trips(spark.readStream.schema(rows.schema).parquet(f"{path}-{ttl}")).schema).parquet(f"{sink}-{ttl}").count() == closed
