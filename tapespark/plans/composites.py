@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import evidence, folds, joins, stats, trips
+from ..operators import evidence, folds, joins, stats, sweeps, trips
 from ..sources import feeds, tape
 from ..sources.tape import DAILY, DAY, LAUNCHES, SECOND, TAPE, TICKS
 from .panels import EVENTS, daily, event_days
 from .registry import Tables, query
-from .tape import prints
+from .tape import _CRASHES, crashes, prints
 
 _PX = "vsol / vtok"
 _RUN = "PARTITION BY mint ORDER BY recv, seq ROWS UNBOUNDED PRECEDING"
@@ -173,15 +173,24 @@ def c20_aged_demand(t: Tables) -> DataFrame:
 
 @query(
     "c21_narrative_clusters",
-    """WITH w AS (SELECT DISTINCT p_partkey AS id, CAST(p_size AS BIGINT) AS born, unnest(string_split(p_name, ' ')) AS word FROM part),
-c AS (SELECT a.id, a.word, a.born, count(DISTINCT b.id) AS others FROM w a JOIN w b ON a.word = b.word AND b.born BETWEEN a.born - 2 AND a.born GROUP BY ALL) SELECT word, min(born) AS first, max(others) AS largest FROM c WHERE others >= 3 GROUP BY word""",
+    """WITH RECURSIVE w AS (SELECT DISTINCT o_orderkey AS item, o_custkey AS creator, epoch_us(CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP)) AS made, unnest(string_split(p_name, ' ')) AS word FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey),
+n AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY made, item) AS i FROM w),
+c AS (SELECT a.word, a.made, a.i, count(DISTINCT b.creator) AS creators FROM n a JOIN n b ON b.word = a.word AND b.made >= a.made - 172800000000 AND b.i <= a.i GROUP BY ALL),
+h AS (SELECT word, made, i, creators, row_number() OVER (PARTITION BY word ORDER BY i) AS j FROM c WHERE creators >= 5),
+f AS (SELECT word, made, i, creators, j, made AS last, true AS kept FROM h WHERE j = 1 UNION ALL SELECT h.word, h.made, h.i, h.creators, h.j, CASE WHEN h.made - f.last >= 2592000000000 THEN h.made ELSE f.last END, h.made - f.last >= 2592000000000 FROM f JOIN h ON h.word = f.word AND h.j = f.j + 1),
+m AS (SELECT f.word, f.made, f.creators, n.item FROM f JOIN n ON n.word = f.word AND n.made >= f.made - 172800000000 AND n.i <= f.i WHERE kept)
+SELECT m.word, m.made AS "at", creators, count(*) AS items, arg_min(m.item, (o_orderdate, m.item)) AS first, arg_max(m.item, (o_totalprice, -m.item)) AS largest FROM m JOIN orders ON o_orderkey = m.item GROUP BY m.word, m.made, creators""",
 )
 def c21_narrative_clusters(t: Tables) -> DataFrame:
-    """Words that three or more items share within a window, when first and how many at most."""
-    w = t("part").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("long").alias("born"), F.explode(F.array_distinct(F.split("p_name", " "))).alias("word"))
-    other = w.select("word", F.col("id").alias("oid"), F.col("born").alias("oborn"))
-    c = joins.range_join(w, other, ["word"], "born", "oborn", -2, 0).groupBy("id", "word", "born").agg(F.count_distinct("oid").alias("others"))
-    return c.where("others >= 3").groupBy("word").agg(F.min("born").alias("first"), F.max("others").alias("largest"))
+    """When five creators or more have items with a word in two days, thirty days or more after the word's last cluster; the cluster's
+    leader by first and by size. Items are orders with the words of their parts, creators their customers."""
+    l = t("lineitem").select(F.col("l_orderkey").alias("item"), F.col("l_partkey").alias("part"))
+    words = t("part").select(F.col("p_partkey").alias("part"), F.explode(F.array_distinct(F.split("p_name", " "))).alias("word"))
+    o = t("orders").select(F.col("o_orderkey").alias("item"), F.col("o_custkey").alias("creator"), tape.day_of(F.col("o_orderdate")).alias("at"), F.col("o_totalprice").alias("size"))
+    made = l.join(words, "part").select("item", "word").distinct().join(o, "item")
+    found = sweeps.clusters(made, "word", "at", ["item"], "creator", "item", 2 * DAY, 5, 30 * DAY)
+    m = found.select("word", "at", "creators", F.explode("members").alias("item")).join(o.select("item", F.col("at").alias("born"), "size"), "item")
+    return m.groupBy("word", "at", "creators").agg(F.count("*").alias("items"), F.min_by("item", F.struct("born", "item")).alias("first"), F.max_by("item", F.struct("size", (-F.col("item")).alias("low"))).alias("largest"))
 
 
 _NAMED = "named AS (SELECT l_partkey AS mint, epoch_us(CAST(CAST(l_shipdate AS DATE) AS TIMESTAMP)) + ((l_orderkey * 97 + l_linenumber * 13) % 86400) * 1000000 AS recv, l_orderkey * 10 + l_linenumber AS seq, (l_extendedprice + 30) / (l_quantity + 1) AS px FROM lineitem)"
@@ -226,16 +235,45 @@ def c23_engagement_velocity(t: Tables) -> DataFrame:
     return ranked.select("key", F.round("g", 4).alias("gain"), F.col("place").alias("r"), "best_day")
 
 
+_EARLY, _OTHERS = 90 * DAY, 3
+
+
 @query(
     "c26_first_trigger_per_variant",
-    f"""WITH {TAPE}, r AS (SELECT mint, recv, seq, sum(CASE WHEN buy THEN sol ELSE -sol END) OVER ({_RUN}) AS net, count(*) OVER ({_RUN}) AS n FROM tape)
-SELECT mint, 'inflow' AS variant, min(recv) AS first FROM r WHERE net >= 200000 GROUP BY mint UNION ALL SELECT mint, 'outflow', min(recv) FROM r WHERE net <= -200000 GROUP BY mint UNION ALL SELECT mint, 'busy', min(recv) FROM r WHERE n >= 50 GROUP BY mint""",
+    f"""WITH {TAPE}, {_CRASHES}, r AS (SELECT mint, recv, seq, sum(CASE WHEN buy THEN sol ELSE -sol END) OVER ({_RUN}) AS net, count(*) OVER ({_RUN}) AS n FROM tape),
+g AS (SELECT unnest(range((SELECT min(recv) FROM tape) // {DAY}, (SELECT max(recv) FROM tape) // {DAY} + 32)) * {DAY} AS g),
+lc AS (SELECT g, mint, max((recv, seq, {_PX})) AS x FROM g JOIN tape p ON p.recv <= g AND p.recv >= g - {30 * DAY} GROUP BY ALL),
+ld AS (SELECT g, arg_max(mint, (x[3], -mint)) AS mint FROM lc GROUP BY g),
+b AS (SELECT mint, arg_min(usr, (recv, seq)) AS dev, min(recv) AS born FROM tape GROUP BY mint),
+e AS (SELECT p.*, dev, born, min(CASE WHEN buy AND usr <> dev AND recv <= born + {_EARLY} THEN (recv, seq) END) OVER (PARTITION BY p.mint, usr) AS sniped FROM tape p JOIN b ON b.mint = p.mint),
+k AS (SELECT *, usr <> dev AND sniped IS NOT NULL AS snipe, usr <> dev AND NOT (buy AND recv <= born + {_EARLY}) AND buy AS other FROM e),
+o AS (SELECT *, other AND row_number() OVER (PARTITION BY mint, usr, other ORDER BY recv, seq) = 1 AS new FROM k),
+x AS (SELECT mint, recv, born, sum(CASE WHEN snipe AND buy AND recv <= born + {_EARLY} THEN tok ELSE 0 END) OVER ({_RUN}) AS s_in, sum(CASE WHEN snipe AND NOT buy AND (recv, seq) > sniped THEN tok ELSE 0 END) OVER ({_RUN}) AS s_out,
+ sum(CASE WHEN usr = dev AND buy THEN tok ELSE 0 END) OVER ({_RUN}) AS d_in, sum(CASE WHEN usr = dev AND NOT buy THEN tok ELSE 0 END) OVER ({_RUN}) AS d_out, sum(new::INT) OVER ({_RUN}) AS others FROM o)
+SELECT mint, 'inflow' AS variant, min(recv) AS first FROM r WHERE net >= 200000 GROUP BY mint UNION ALL SELECT mint, 'outflow', min(recv) FROM r WHERE net <= -200000 GROUP BY mint UNION ALL SELECT mint, 'busy', min(recv) FROM r WHERE n >= 50 GROUP BY mint
+UNION ALL SELECT mint, 'crash', min(recv) FROM crash GROUP BY mint UNION ALL SELECT mint, 'leader', min(g) FROM (SELECT mint, g FROM ld) GROUP BY mint
+UNION ALL SELECT mint, 'sniper exit', min(recv) FROM x WHERE s_in > 0 AND s_out >= 0.9 * s_in AND d_out >= 0.9 * d_in AND others >= {_OTHERS} AND recv - born BETWEEN {10 * DAY} AND {1500 * DAY} GROUP BY mint""",
 )
 def c26_first_trigger_per_variant(t: Tables) -> DataFrame:
-    """First hit of each variant of a trigger, in one pass."""
-    r = prints(t).withColumn("net", F.sum(F.when(F.col("buy"), F.col("sol")).otherwise(-F.col("sol"))).over(_running("mint"))).withColumn("n", F.count("*").over(_running("mint")))
+    """A token's first hit of each variant: flows and number of prints; a crash (w21); being the current leader, the token with the
+    highest last price of the last thirty days, at a day's end; the exit of its early buyers, who hold a tenth at most of what
+    they bought, after its creator's, with buyers enough besides."""
+    rows = priced(t)
+    r = rows.withColumn("net", F.sum(F.when(F.col("buy"), F.col("sol")).otherwise(-F.col("sol"))).over(_running("mint"))).withColumn("n", F.count("*").over(_running("mint")))
     hits = F.array(*(F.when(c, F.lit(v)) for v, c in {"inflow": F.col("net") >= 200_000, "outflow": F.col("net") <= -200_000, "busy": F.col("n") >= 50}.items()))
-    return r.select("mint", "recv", F.explode(F.filter(hits, lambda h: h.isNotNull())).alias("variant")).groupBy("mint", "variant").agg(F.min("recv").alias("first"))
+    out = r.select("mint", F.col("recv").alias("at"), F.explode(F.filter(hits, lambda h: h.isNotNull())).alias("variant"))
+    lead = sweeps.leaders(rows, "mint", "recv", ["seq"], "px", DAY, 30 * DAY, 120 * DAY).where("key IS NOT NULL").select(F.col("key").alias("mint"), "at", F.lit("leader").alias("variant"))
+    crash = crashes(t).select("mint", F.col("recv").alias("at"), F.lit("crash").alias("variant"))
+    b = rows.groupBy("mint").agg(F.min_by("usr", F.struct("recv", "seq")).alias("dev"), F.min("recv").alias("born"))
+    at, early = F.struct("recv", "seq"), F.col("buy") & (F.col("usr") != F.col("dev")) & (F.col("recv") <= F.col("born") + _EARLY)
+    e = rows.join(b, "mint").withColumn("early", early).withColumn("sniped", F.min(F.when(F.col("early"), at)).over(Window.partitionBy("mint", "usr")))
+    own, tok = F.col("usr") == F.col("dev"), F.col("tok")
+    other = ~own & ~F.col("early") & F.col("buy")
+    e = e.withColumn("other", other).withColumn("place", F.row_number().over(Window.partitionBy("mint", "usr", "other").orderBy("recv", "seq")))
+    total = lambda c: F.sum(F.when(c, tok).otherwise(0.0)).over(_running("mint"))
+    x = e.select("mint", "recv", "born", total(F.col("early")).alias("s_in"), total(~F.col("buy") & ~own & (at > F.col("sniped"))).alias("s_out"), total(own & F.col("buy")).alias("d_in"), total(own & ~F.col("buy")).alias("d_out"), F.sum((F.col("other") & (F.col("place") == 1)).cast("int")).over(_running("mint")).alias("others"))
+    exits = x.where(f"s_in > 0 AND s_out >= 0.9 * s_in AND d_out >= 0.9 * d_in AND others >= {_OTHERS} AND recv - born BETWEEN {10 * DAY} AND {1500 * DAY}").select("mint", F.col("recv").alias("at"), F.lit("sniper exit").alias("variant"))
+    return out.unionByName(lead).unionByName(crash).unionByName(exits).groupBy("mint", "variant").agg(F.min("at").alias("first"))
 
 
 @query(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import joins
+from ..operators import intervals, joins
 from ..sources import tape
 from ..sources.tape import DAY, LAUNCHES, SECOND, TAPE, TICKS
 from .registry import Tables, query
@@ -462,16 +462,38 @@ def w1_best_reading(t: Tables) -> DataFrame:
     return tape.ticks(t("events")).withColumn("r", F.row_number().over(order)).where("r = 1").select("key", "event_type", "event_id")
 
 
+_JAN = 1_704_067_200_000_000
+#: Splits of the month in days; the 11th is held out.
+_SPLITS = {"train": (0, 8), "train 2": (8, 10), "train 3": (11, 15), "validation": (15, 22), "test": (22, 31)}
+_COVER = f"""{TICKS}, f AS (SELECT key, t, event_id, event_type IN ('view', 'click') AS a FROM ticks), g AS (SELECT *, CASE WHEN t - lag(t) OVER w > 86400000000 THEN 1 ELSE 0 END AS gap FROM f WINDOW w AS (PARTITION BY key, a ORDER BY t, event_id)),
+s AS (SELECT *, sum(gap) OVER (PARTITION BY key, a ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS seg FROM g), segs AS (SELECT key, a, min(t) AS lo, max(t) + 1 AS hi FROM s GROUP BY key, a, seg),
+joint AS (SELECT p.key, greatest(p.lo, q.lo) AS lo, least(p.hi, q.hi) AS hi FROM segs p JOIN segs q ON p.key = q.key AND p.a AND NOT q.a AND p.lo < q.hi AND q.lo < p.hi)"""
+
+
+def covered(t: Tables) -> DataFrame:
+    """What both feeds of a key, views and clicks or all else, cover: no gap of over a day in either."""
+    ticks, block = tape.ticks(t("events")), 5 * DAY
+    first = F.col("event_type").isin("view", "click")
+    one, two = (intervals.segments(ticks.where(side), ["key"], "t", DAY, block) for side in (first, ~first))
+    return intervals.intersection(one, two, ["key"], block)
+
+
 @query(
     "w2_covered_segments",
-    f"WITH {TICKS}, g AS (SELECT key, t, event_id, CASE WHEN t - lag(t) OVER w > 7200000000 THEN 1 ELSE 0 END AS gap FROM ticks WINDOW w AS (PARTITION BY key ORDER BY t, event_id)), s AS (SELECT *, sum(gap) OVER (PARTITION BY key ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS seg FROM g) SELECT key, CAST(seg AS BIGINT) AS seg, min(t) AS lo, max(t) AS hi, count(*) AS n FROM s GROUP BY key, seg",
+    f"WITH {_COVER}, cells AS (SELECT * FROM (VALUES {', '.join(f"('{n}', {_JAN + a * DAY}, {_JAN + b * DAY})" for n, (a, b) in _SPLITS.items())}) v(split, a, b)) SELECT key, greatest(lo, a) AS lo, least(hi, b) AS hi, split FROM joint JOIN cells ON a < hi AND b > lo",
 )
 def w2_covered_segments(t: Tables) -> DataFrame:
-    """Gaps of over two hours cut a key's record into covered segments."""
-    w = Window.partitionBy("key").orderBy("t", "event_id")
-    gap = F.when(F.col("t") - F.lag("t").over(w) > 7200 * SECOND, 1).otherwise(0)
-    seg = F.sum("gap").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return tape.ticks(t("events")).withColumn("gap", gap).withColumn("seg", seg).groupBy("key", "seg").agg(F.min("t").alias("lo"), F.max("t").alias("hi"), F.count("*").alias("n"))
+    """Segments that both of a key's feeds cover, less the held-out day, cut at the splits of the month."""
+    both = covered(t)
+    held_out = both.select("key").distinct().select("key", F.lit(_JAN + 10 * DAY).alias("lo"), F.lit(_JAN + 11 * DAY).alias("hi"))
+    open_ = intervals.difference(both, held_out, ["key"], 5 * DAY)
+    return intervals.cut(open_, {n: (_JAN + a * DAY, _JAN + b * DAY) for n, (a, b) in _SPLITS.items()}, "split")
+
+
+@query("t5_covered_hours", f"WITH {_COVER}, h AS (SELECT key, unnest(range(lo // 3600000000, (hi - 1) // 3600000000 + 1)) * 3600000000 AS start, lo, hi FROM joint) SELECT key, start, sum(least(hi, start + 3600000000) - greatest(lo, start))::BIGINT AS covered FROM h GROUP BY key, start HAVING sum(least(hi, start + 3600000000) - greatest(lo, start)) >= 3600000000 - 900000000")
+def t5_covered_hours(t: Tables) -> DataFrame:
+    """Hours that both feeds of a key cover but for a quarter at most."""
+    return intervals.covered_cells(covered(t), ["key"], 3600 * SECOND, 900 * SECOND)
 
 
 @query(

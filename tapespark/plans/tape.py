@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import folds, joins, stats, trips
+from ..operators import folds, joins, stats, sweeps, trips
 from ..sources import tape
 from ..sources.tape import DAY, LAUNCHES, SECOND, TAPE, TICKS
 from .registry import Tables, query
@@ -459,15 +459,40 @@ def w12_distinct_in_window(t: Tables) -> DataFrame:
     return line.withColumn("users", F.sum("step").over(run)).where("print IS NOT NULL").select(F.col("print").alias("seq"), "users")
 
 
+_CRASHES = f"""n AS (SELECT mint, usr, recv, seq, buy, sol, vsol / vtok AS px, row_number() OVER (PARTITION BY mint ORDER BY recv, seq) AS i FROM tape),
+hi AS (SELECT a.mint, a.i, max((b.px, b.i)) AS h FROM n a JOIN n b ON b.mint = a.mint AND b.recv >= a.recv - 5184000000000 AND b.i <= a.i WHERE NOT a.buy GROUP BY a.mint, a.i),
+c AS (SELECT n.*, h[1] AS top_px, h[2] AS hi_at FROM n JOIN hi ON hi.mint = n.mint AND hi.i = n.i WHERE px <= 0.1 * h[1]),
+s AS (SELECT c.mint, c.i, b.usr, sum(round(b.sol * 1000000000)::HUGEINT) AS sold FROM c JOIN n b ON b.mint = c.mint AND b.i > c.hi_at AND b.i <= c.i AND NOT b.buy GROUP BY ALL),
+top AS (SELECT mint, i, usr AS top, sold / 1e9 AS top_sold FROM (SELECT *, row_number() OVER (PARTITION BY mint, i ORDER BY sold DESC, usr) AS r FROM s) WHERE r = 1),
+crash AS (SELECT c.mint, c.recv, c.seq, 1 - c.px / top_px AS fall, c.recv - h.recv AS since, top, top_sold,
+ (SELECT count(DISTINCT q.usr) FROM n q WHERE q.mint = c.mint AND q.buy AND q.i > c.i AND q.recv <= c.recv + 864000000000) AS buyers
+ FROM c JOIN top ON top.mint = c.mint AND top.i = c.i JOIN n h ON h.mint = c.mint AND h.i = c.hi_at)"""
+
+
+def crashes(t: Tables) -> DataFrame:
+    """Sells at a tenth or less of the high of sixty days, with the top seller since and the buyers of the ten days after."""
+    rows = prints(t).withColumn("px", F.col("vsol") / F.col("vtok"))
+    return sweeps.crashes(rows, "mint", "recv", ["seq"], "px", "usr", "buy", "sol", 60 * DAY, 0.9, 10 * DAY, 360 * DAY)
+
+
 @query(
     "w21_crash_trigger",
-    f"""WITH {TICKS}, m AS (SELECT *, max(value) OVER (PARTITION BY key ORDER BY t RANGE BETWEEN 3600000000 PRECEDING AND CURRENT ROW) AS high FROM ticks)
-SELECT key, min(t) AS first_crash FROM m WHERE value <= 0.2 * high GROUP BY key""",
+    f"""WITH {TAPE}, {_CRASHES}, d AS (SELECT mint, arg_min(usr, (recv, seq)) AS dev FROM tape GROUP BY mint), e AS (SELECT crash.*, dev FROM crash JOIN d ON d.mint = crash.mint)
+SELECT mint, 'any' AS variant, min(recv) AS first, round(arg_min(fall, (recv, seq)), 9) AS fall, arg_min(since, (recv, seq)) AS since, arg_min(top, (recv, seq)) AS top, round(arg_min(top_sold, (recv, seq)), 4) AS top_sold, arg_min(buyers, (recv, seq)) AS buyers FROM e GROUP BY mint
+UNION ALL SELECT mint, 'by others', min(recv), round(arg_min(fall, (recv, seq)), 9), arg_min(since, (recv, seq)), arg_min(top, (recv, seq)), round(arg_min(top_sold, (recv, seq)), 4), arg_min(buyers, (recv, seq)) FROM e WHERE top <> dev GROUP BY mint
+UNION ALL SELECT mint, 'demand', min(recv) + 864000000000, round(arg_min(fall, (recv, seq)), 9), arg_min(since, (recv, seq)), arg_min(top, (recv, seq)), round(arg_min(top_sold, (recv, seq)), 4), arg_min(buyers, (recv, seq)) FROM e WHERE buyers >= 2 GROUP BY mint""",
 )
 def w21_crash_trigger(t: Tables) -> DataFrame:
-    """First time a value is 80% below the highest of the last hour."""
-    high = F.max("value").over(Window.partitionBy("key").orderBy("t").rangeBetween(-3600 * SECOND, 0))
-    return tape.ticks(t("events")).withColumn("high", high).where("value <= 0.2 * high").groupBy("key").agg(F.min("t").alias("first_crash"))
+    """A token's first crash, its first one with another top seller than its creator (the wallet of its first print), and its first one
+    that two wallets or more bought after, which is known ten days later."""
+    dev = prints(t).groupBy("mint").agg(F.min_by("usr", F.struct("recv", "seq")).alias("dev"))
+    rows = crashes(t).join(dev, "mint")
+    kinds = F.array(F.lit("any"), F.when(F.col("top") != F.col("dev"), F.lit("by others")), F.when(F.col("buyers") >= 2, F.lit("demand")))
+    rows = rows.withColumn("variant", F.explode(F.array_compact(kinds)))
+    at = F.struct("recv", "seq")
+    first = F.min("recv") + F.when(F.first("variant") == "demand", 10 * DAY).otherwise(0)
+    of = lambda c: F.min_by(c, at)
+    return rows.groupBy("mint", "variant").agg(first.alias("first"), F.round(of("fall"), 9).alias("fall"), of("since").alias("since"), of("top").alias("top"), F.round(of("top_sold"), 4).alias("top_sold"), of("buyers").alias("buyers"))
 
 
 @query(
