@@ -13,8 +13,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .folds import sweep
+from .folds import Stairs, sweep
 
 def in_blocks(rows: DataFrame, at: str, block: int, before: int, after: int = 0) -> DataFrame:
     """The rows with ``__block``, once for each block that they lie in or within ``before`` ahead of or ``after`` behind."""
@@ -230,3 +231,85 @@ def clusters(creates: DataFrame, key: str, at: str, order: list[str], creator: s
 
     found = sweep(rows, ["key"], ["at", *(f"__o{k}" for k in range(len(order)))], run, f"key {kinds['key']}, at long, creators long, members array<{kinds['item']}>")
     return found.withColumnRenamed("key", key)
+
+
+def hand_over(prints: DataFrame, completions: DataFrame, key: str, at: str, price: str, entry: str, up: float, down: float, hold: int, wait: int) -> DataFrame:
+    """The entries (rows where ``entry`` is true, before the key's completion) with ``outcome``, ``exit_at`` and ``exit_price``.
+
+    ``completions``: (key, completed), a row per key at most: prints before that are of the first venue, prints from then on of the
+    second. An entry ends at its first later print on the first venue, at most ``hold`` after, that is at or beyond ``up`` or ``down``
+    times its price ('profit', 'stop'); else, if the completion is at most ``hold`` after it, at the first such print on the second
+    venue up to ``wait`` after that venue's first one ('pool profit', 'pool stop'), else at the last print of that time ('wait'), or
+    nowhere if the venue has none ('no pool'); else at the last print on the first venue within ``hold`` ('timeout'; the
+    entry itself if there is none). Where one time touches both levels the stop counts; of prints of one last time the dearest
+    is it. The exit's price is given where no level is touched.
+
+    Time is cut in blocks of four holds, walked back over two pairs of stairs, one of each venue: a block gets the prints of one
+    hold after it, and the second venue's first ones if an entry in it may reach the completion.
+    """
+    size = 4 * hold
+    rows = prints.where(F.col(at).isNotNull() & F.col(price).isNotNull()).join(completions.select(F.col(key).alias("__key"), F.col("completed").alias("__done")), F.col(key) == F.col("__key"), "left").drop("__key")
+    second = F.coalesce(F.col(at) >= F.col("__done"), F.lit(False))
+    opens = rows.where(second).groupBy(F.col(key).alias("__key")).agg(F.min(at).alias("__open"))
+    rows = rows.withColumn("__second", second).join(opens, F.col(key) == F.col("__key"), "left").drop("__key")
+    rows = rows.where(~F.col("__second") | (F.col(at) <= F.col("__open") + wait))
+    own = F.floor(F.col(at) / size)
+    first, last = F.when(F.col("__second"), F.floor((F.col("__done") - hold) / size)).otherwise(F.floor((F.col(at) - hold) / size)), F.when(F.col("__second"), F.floor(F.col("__done") / size)).otherwise(own)
+    rows = rows.withColumn("__own", F.when(~F.col("__second"), own)).withColumn("__block", F.explode(F.sequence(first, last)))
+    names = prints.columns
+    taken = {c: rows.columns.index(c) for c in (key, "__block", "__own", at, price, entry, "__second", "__done")}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now = then = None
+        stairs: dict[bool, tuple[Stairs, Stairs]] = {}
+        ends: dict[bool, tuple | None] = {}
+        later: deque[tuple] = deque()  # prints of the first venue, the latest first
+        pending: list[tuple] = []
+        for batch in batches:
+            outcome, exit_at, exit_price, keep = [], [], [], []
+            for k, blk, mine, t, px, is_entry, second_, tc in zip(*(batch.column(i).to_pylist() for i in taken.values()), strict=True):
+                if (k, blk) != now:
+                    now, then, pending = (k, blk), None, []
+                    stairs = {v: (Stairs(), Stairs()) for v in (False, True)}
+                    ends = {True: None}
+                    later.clear()
+                if t != then:  # prints of the same time are not later ones
+                    for v, level, time in pending:
+                        stairs[v][0].add(level, time)
+                        stairs[v][1].add(-level, time)
+                        if v and ends[True] is None:
+                            ends[True] = (time, level)
+                        if not v:
+                            later.append((time, level))
+                    pending, then = [], t
+                wanted = bool(is_entry) and not second_ and mine == blk
+                keep.append(wanted)
+                if wanted:
+                    while later and later[0][0] > t + hold:
+                        later.popleft()
+                    found = None
+                    for v, limit, says in ((False, t + hold, ("profit", "stop")), (True, None, ("pool profit", "pool stop"))):
+                        if v and (tc is None or tc > t + hold):
+                            break
+                        hits = [stairs[v][0].first(up * px), stairs[v][1].first(-down * px)]
+                        hits = [h if h is not None and (limit is None or h <= limit) else None for h in hits]
+                        if hits[1] is not None and (hits[0] is None or hits[1] <= hits[0]):
+                            found = (says[1], hits[1], None)
+                        elif hits[0] is not None:
+                            found = (says[0], hits[0], None)
+                        if found:
+                            break
+                    if not found:
+                        if tc is not None and tc <= t + hold:
+                            found = ("wait", *ends[True]) if ends[True] else ("no pool", None, None)
+                        else:
+                            found = ("timeout", *later[0]) if later else ("timeout", t, px)
+                    outcome.append(found[0])
+                    exit_at.append(found[1])
+                    exit_price.append(found[2])
+                pending.append((second_, px, t))
+            part = batch.filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], pa.array(outcome, pa.string()), pa.array(exit_at, pa.int64()), pa.array(exit_price, pa.float64())], [*names, "outcome", "exit_at", "exit_price"])
+
+    schema = StructType([*prints.schema.fields]).add("outcome", "string").add("exit_at", "long").add("exit_price", "double")
+    return sweep(rows, [key, "__block"], [F.col(at).desc(), F.col(price).desc()], run, schema)

@@ -147,15 +147,31 @@ def c18_path_after_completion(t: Tables) -> DataFrame:
     return w.groupBy("launch").agg(F.round(F.max_by("px", F.when(F.col("d") <= 7 * DAY, at)) / first - 1, 6).alias("week"), F.round(F.max_by("px", at) / first - 1, 6).alias("month"), F.round(F.max("px") / first - 1, 6).alias("best"), F.round(F.avg(F.when(F.col("px") >= 2 * F.col("px0"), 1.0).otherwise(0.0)), 6).alias("doubled"), F.round(F.max_by("px", at) / F.min_by("px", F.when(F.col("d") >= 3 * DAY, at)) - 1, 6).alias("late_month"))
 
 
+_DONE = f"b AS (SELECT mint, min(recv) AS born FROM tape GROUP BY mint), done AS (SELECT b.mint, min(completed_at) AS tc FROM launches JOIN b ON b.mint = creator % (SELECT max(s_suppkey) FROM supplier) + 1 WHERE completed_at >= b.born + {1000 * DAY} GROUP BY b.mint)"
+
+
 @query(
     "c19_level_reach",
-    f"WITH {TAPE} SELECT mint, min(recv) FILTER ({_PX} >= 1500) AS reached, min(recv) FILTER ({_PX} < 950) AS stopped, CASE WHEN min(recv) FILTER ({_PX} >= 1500) IS NULL THEN 'never' WHEN min(recv) FILTER ({_PX} < 950) < min(recv) FILTER ({_PX} >= 1500) THEN 'stop' ELSE 'reach' END AS outcome FROM tape GROUP BY mint",
+    f"""WITH {TAPE}, {LAUNCHES}, {_DONE}, p AS (SELECT tape.mint, recv, seq, buy, {_PX} AS px, tc, recv >= tc AS pool FROM tape LEFT JOIN done ON done.mint = tape.mint),
+o AS (SELECT mint, min(recv) AS p0 FROM p WHERE pool GROUP BY mint), w AS (SELECT p.mint, max(recv) AS at_, arg_max(px, (recv, px)) AS last FROM p JOIN o ON o.mint = p.mint WHERE pool AND recv <= p0 + 864000000000 GROUP BY p.mint),
+e AS (SELECT * FROM p WHERE buy AND pool IS NOT TRUE),
+h AS (SELECT e.mint, e.seq, min(q.recv) FILTER (q.px >= 3 * e.px) AS up, min(q.recv) FILTER (q.px <= 0.3 * e.px) AS dn, max((q.recv, q.px)) AS last FROM e JOIN p q ON q.mint = e.mint AND q.pool IS NOT TRUE AND q.recv > e.recv AND q.recv <= e.recv + 2592000000000 GROUP BY ALL),
+g AS (SELECT e.mint, e.seq, min(q.recv) FILTER (q.px >= 3 * e.px) AS up, min(q.recv) FILTER (q.px <= 0.3 * e.px) AS dn FROM e JOIN o ON o.mint = e.mint JOIN p q ON q.mint = e.mint AND q.pool AND q.recv <= p0 + 864000000000 WHERE e.tc <= e.recv + 2592000000000 GROUP BY ALL),
+x AS (SELECT e.mint, e.seq, e.recv, e.px, e.tc <= e.recv + 2592000000000 AS over, h.up, h.dn, h.last, g.up AS gup, g.dn AS gdn, w.at_, w.last AS wl FROM e LEFT JOIN h ON h.mint = e.mint AND h.seq = e.seq LEFT JOIN g ON g.mint = e.mint AND g.seq = e.seq LEFT JOIN w ON w.mint = e.mint)
+SELECT mint, seq, CASE WHEN dn <= coalesce(up, dn) THEN 'stop' WHEN up IS NOT NULL THEN 'profit' WHEN over IS NOT TRUE THEN 'timeout' WHEN gdn <= coalesce(gup, gdn) THEN 'pool stop' WHEN gup IS NOT NULL THEN 'pool profit' WHEN at_ IS NOT NULL THEN 'wait' ELSE 'no pool' END AS outcome,
+ CASE WHEN dn <= coalesce(up, dn) THEN dn WHEN up IS NOT NULL THEN up WHEN over IS NOT TRUE THEN coalesce(last[1], recv) WHEN gdn <= coalesce(gup, gdn) THEN gdn WHEN gup IS NOT NULL THEN gup ELSE at_ END AS exit_at,
+ round(CASE WHEN coalesce(up, dn) IS NOT NULL THEN NULL WHEN over IS NOT TRUE THEN coalesce(last[2], px) WHEN coalesce(gup, gdn) IS NOT NULL THEN NULL ELSE wl END, 6) AS exit_price FROM x""",
 )
 def c19_level_reach(t: Tables) -> DataFrame:
-    """First reach of a level and whether the stop came before it."""
-    r, s = F.min(F.when(F.col("px") >= 1500, F.col("recv"))), F.min(F.when(F.col("px") < 950, F.col("recv")))
-    g = priced(t).groupBy("mint").agg(r.alias("reached"), s.alias("stopped"))
-    return g.withColumn("outcome", F.when(F.col("reached").isNull(), "never").when(F.col("stopped") < F.col("reached"), "stop").otherwise("reach"))
+    """How every buy before a token's completion ends: at a level or a stop within thirty days, after the hand-over at one of them on the
+    second venue or ten days after that opens, or by time. A token completes with its first completed launch after 1,000 days."""
+    rows = priced(t).select("mint", "recv", "seq", "buy", "px")
+    n = t("supplier").agg(F.max("s_suppkey").alias("k"))  # one row
+    born = rows.groupBy("mint").agg(F.min("recv").alias("born"))
+    done = tape.launches(t("orders")).where("completed").crossJoin(F.broadcast(n)).select((F.col("creator") % F.col("k") + 1).alias("mint"), "completed_at").join(born, "mint")
+    done = done.where(F.col("completed_at") >= F.col("born") + 1000 * DAY).groupBy("mint").agg(F.min("completed_at").alias("completed"))
+    out = sweeps.hand_over(rows, done, "mint", "recv", "px", "buy", 3.0, 0.3, 30 * DAY, 10 * DAY)
+    return out.select("mint", "seq", "outcome", "exit_at", F.round("exit_price", 6).alias("exit_price"))
 
 
 @query(
@@ -319,19 +335,6 @@ def c31_dated_windows(t: Tables) -> DataFrame:
     return e.select("day", "symbol", F.round(F.col("b") / F.col("a") - 1, 6).alias("ret"), F.round(F.col("q") / F.col("p") - 1, 6).alias("placebo"))
 
 
-@query(
-    "c34_pair_spread",
-    f"""WITH {DAILY}, x AS (SELECT a.day, a.symbol AS x, b.symbol AS y, ln(a.close) - ln(b.close) AS s FROM daily a JOIN daily b ON b.day = a.day AND a.symbol < b.symbol)
-SELECT day, x, y, round((s - avg(s) OVER w) / nullif(stddev_samp(s) OVER w, 0), 6) AS z FROM x WINDOW w AS (PARTITION BY x, y ORDER BY day ROWS 19 PRECEDING)""",
-)
-def c34_pair_spread(t: Tables) -> DataFrame:
-    """Z-score of every pair's log spread over twenty bars. Pairs are of market segments, of which there are a handful."""
-    d = daily(t).select("day", "symbol", F.log("close").alias("p"))
-    x = d.select("day", F.col("symbol").alias("x"), F.col("p").alias("px")).join(d.select("day", F.col("symbol").alias("y"), F.col("p").alias("py")), "day").where("x < y").withColumn("s", F.col("px") - F.col("py"))
-    w = Window.partitionBy("x", "y").orderBy("day").rowsBetween(-19, 0)
-    return x.select("day", "x", "y", F.round((F.col("s") - F.avg("s").over(w)) / F.nullif(F.stddev_samp("s").over(w), F.lit(0.0)), 6).alias("z"))
-
-
 @query(
     "c35_growth_and_loss",
     f"""WITH {DAILY}, g AS (SELECT day, symbol, volume, n, close / first_value(close) OVER w AS k, exp(sum(ln(1 + 0.003 * n)) OVER w) AS fees, sum(volume * 0.003) OVER w AS paid, avg(volume) OVER (PARTITION BY symbol ORDER BY day ROWS 6 PRECEDING) AS depth FROM daily WINDOW w AS (PARTITION BY symbol ORDER BY day ROWS UNBOUNDED PRECEDING))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import evidence, folds, joins, stats
+from ..operators import evidence, folds, grids, joins, scratch, stats
 from ..sources import feeds, tape
 from ..sources.tape import DAILY, DAY, LAUNCHES, SECOND, TAPE, TICKS
 from ..streaming import live
@@ -159,16 +159,15 @@ def a32_walk_forward(t: Tables) -> DataFrame:
     return d.join(fit, ["symbol", "week"]).select("symbol", "day", F.round(F.col("b0") + F.col("b1") * F.col("x") + F.col("b2") * F.col("z"), 6).alias("pred"))
 
 
-@query(
-    "a33_pair_formation",
-    f"""WITH RECURSIVE {DAILY}, j AS (SELECT a.day, a.symbol AS a, b.symbol AS b, ln(a.close) AS y, ln(b.close) AS x FROM daily a JOIN daily b ON b.day = a.day AND a.symbol < b.symbol), f AS (SELECT a, b, regr_slope(y, x) AS beta, regr_intercept(y, x) AS alpha FROM j GROUP BY ALL HAVING count(*) >= 20),
+_FORMED = f"""{DAILY}, j AS (SELECT a.day, a.symbol AS a, b.symbol AS b, ln(a.close) AS y, ln(b.close) AS x FROM daily a JOIN daily b ON b.day = a.day AND a.symbol < b.symbol), f AS (SELECT a, b, regr_slope(y, x) AS beta, regr_intercept(y, x) AS alpha FROM j GROUP BY ALL HAVING count(*) >= 20),
 e AS (SELECT a, b, day, y - alpha - beta * x AS e FROM j JOIN f USING (a, b)), l AS (SELECT a, b, l, e - l AS de FROM (SELECT a, b, e, lag(e) OVER (PARTITION BY a, b ORDER BY day) AS l FROM e) WHERE l IS NOT NULL),
 s AS (SELECT a, b, sum(l * de) / sum(l * l) AS rho, sum(l * de) AS ld, sum(l * l) AS ll, sum(de * de) AS dd, count(*) AS m FROM l GROUP BY ALL), q AS (SELECT a, b, rho / sqrt((dd - rho * ld) / (m - 1) / ll) AS t, CASE WHEN rho < 0 AND rho > -1 THEN -ln(2) / ln(1 + rho) END AS half_life FROM s),
 r AS (SELECT *, row_number() OVER (ORDER BY t, a, b) AS i FROM q WHERE t < -3),
 w(i, a, b, t, half_life, kept, used) AS (SELECT 0::BIGINT, '', '', 0.0::DOUBLE, 0.0::DOUBLE, false, []::VARCHAR[] UNION ALL SELECT i, a, b, t, half_life, ok, CASE WHEN ok THEN used || [a, b] ELSE used END FROM (
- SELECT r.i, r.a, r.b, r.t, r.half_life, w.used, len(list_filter(w.used, lambda s: s = r.a)) < 2 AND len(list_filter(w.used, lambda s: s = r.b)) < 2 AS ok FROM w JOIN r ON r.i = w.i + 1))
-SELECT a, b, round(t, 4) AS t, round(half_life, 4) AS half_life FROM w WHERE kept ORDER BY i LIMIT 30""",
-)
+ SELECT r.i, r.a, r.b, r.t, r.half_life, w.used, len(list_filter(w.used, lambda s: s = r.a)) < 2 AND len(list_filter(w.used, lambda s: s = r.b)) < 2 AS ok FROM w JOIN r ON r.i = w.i + 1))"""
+
+
+@query("a33_pair_formation", f"WITH RECURSIVE {_FORMED} SELECT a, b, round(t, 4) AS t, round(half_life, 4) AS half_life FROM w WHERE kept ORDER BY i LIMIT 30")
 def a33_pair_formation(t: Tables) -> DataFrame:
     """Pairs by regression of log closes and the t-value of the residual's mean reversion, best first, two per symbol at most."""
     d = daily(t).select("day", "symbol", F.log("close").alias("p"))
@@ -197,6 +196,24 @@ def _twice_at_most(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield batch.filter(pa.array(kept, pa.bool_()))
 
 
+@query(
+    "c34_pair_spread",
+    f"""WITH RECURSIVE {_FORMED}, k AS (SELECT a, b, greatest(20, least(576, round(2 * coalesce(round(half_life, 4), 0))))::BIGINT AS w FROM (SELECT * FROM w WHERE kept ORDER BY i LIMIT 30)),
+x AS (SELECT day, a, b, k.w AS bars, y - beta * x AS s, row_number() OVER (PARTITION BY a, b ORDER BY day) AS i FROM j JOIN f USING (a, b) JOIN k USING (a, b)),
+z AS (SELECT day, a, b, bars, i, (s - avg(s) OVER v) / nullif(stddev_samp(s) OVER v, 0) AS z FROM x WINDOW v AS (PARTITION BY a, b ORDER BY day ROWS BETWEEN (bars - 1) PRECEDING AND CURRENT ROW))
+SELECT day, a, b, bars, CASE WHEN i >= bars THEN round(z, 6) END AS z FROM z""",
+)
+def c34_pair_spread(t: Tables) -> DataFrame:
+    """Z-score of every formed pair's spread over a window of its own: twice its half-life, 20 to 576 bars (20 where it turns within a bar)."""
+    pairs = scratch.written(a33_pair_formation(t), "pairs").select("a", "b", F.greatest(F.lit(20), F.least(F.lit(576), F.round(2 * F.coalesce("half_life", F.lit(0.0))))).cast("long").alias("bars"))
+    d = daily(t).select("day", "symbol", F.log("close").alias("p"))
+    x = d.select("day", F.col("symbol").alias("a"), F.col("p").alias("y")).join(pairs, "a").join(d.select("day", F.col("symbol").alias("b"), F.col("p").alias("x")), ["day", "b"])
+    fit = x.groupBy("a", "b").agg(F.regr_slope("y", "x").alias("beta"))
+    x = x.join(fit, ["a", "b"]).select("day", "a", "b", "bars", (F.col("y") - F.col("beta") * F.col("x")).alias("s"))
+    z = grids.variable_frames(x, ["a", "b"], ["day"], "s", "bars")
+    return z.select("day", "a", "b", "bars", F.round((F.col("s") - F.col("mean")) / F.nullif(F.col("std"), F.lit(0.0)), 6).alias("z"))
+
+
 @query(
     "c14_wallet_features",
     f"""WITH {TAPE}, f AS (SELECT *, recv - min(recv) OVER (PARTITION BY usr) >= 31536000000000 AS aged FROM tape), q AS (SELECT usr, avg(CASE WHEN discount > 0.05 THEN 1.0 ELSE 0 END) AS precision FROM tape WHERE buy AND recv < 788918400000000 GROUP BY usr HAVING count(*) >= 8)

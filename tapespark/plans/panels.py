@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import joins, stats
+from ..operators import grids, joins, stats
 from ..sources import tape
 from ..sources.tape import DAILY, DAY, SECOND, TAPE, TICKS
 from .registry import Tables, query
@@ -373,11 +373,22 @@ def c25_round_levels(t: Tables) -> DataFrame:
     return l.groupBy("level").agg(F.count_if((F.col("before") < v) & (s >= v)).alias("crossings"), F.round(F.avg(F.when(s.between(v * 0.9, v), sell)), 6).alias("sell_below"), F.round(F.avg(F.when(s.between(v, v * 1.1), sell)), 6).alias("sell_above"))
 
 
-@query("m4_rule_grid", f"WITH {TAPE}, c AS (SELECT sol, discount, tok, buy, recv < 820454400000000 AS train FROM tape) SELECT a, b, count(*) FILTER (train) AS n_train, count(*) FILTER (NOT train) AS n_valid, round(avg(tok) FILTER (train), 6) AS train_mean, round(avg(tok) FILTER (NOT train), 6) AS valid_mean FROM c, (VALUES (10000), (30000), (50000)) x(a), (VALUES (0.02::DOUBLE), (0.05::DOUBLE), (0.08::DOUBLE)) y(b) WHERE sol >= a AND discount <= b GROUP BY a, b HAVING count(*) FILTER (train) >= 15")
+_GRID = {"sol": [1000, 10_000, 25_000, 40_000, 55_000], "px": [0, 500, 1500, 3000], "margin": [0.0, 0.02, 0.05, 0.08], "bought": [0, 1]}
+_RULES = ", ".join(f"(VALUES {', '.join(f'({v}::DOUBLE)' for v in values)}) r{k}({name}_at)" for k, (name, values) in enumerate(_GRID.items()))
+
+
+@query(
+    "m4_rule_grid",
+    f"""WITH {TAPE}, c AS (SELECT sol, vsol / vtok AS px, 0.1 - discount AS margin, buy::INT AS bought, tok, recv < 820454400000000 AS train FROM tape),
+g AS (SELECT sol_at AS sol, px_at AS px, margin_at AS margin, bought_at AS bought, count(*) FILTER (train) AS n_train, count(*) FILTER (NOT train) AS n_valid, avg(tok) FILTER (train) AS m, avg(tok) FILTER (NOT train) AS v FROM c, {_RULES} WHERE {" AND ".join(f"{n} >= {n}_at" for n in _GRID)} GROUP BY ALL HAVING count(*) FILTER (train) >= 15)
+SELECT sol, px, margin, bought, n_train, n_valid, round(m, 6) AS train_mean, round(v, 6) AS valid_mean, rank() OVER (ORDER BY round(m, 6) DESC) AS place FROM g""",
+)
 def m4_rule_grid(t: Tables) -> DataFrame:
-    """A grid of threshold rules, train and validation side by side: the few rules are broadcast to the rows."""
-    rules = t.spark.range(9).select(F.element_at(F.array(*map(F.lit, (10_000, 30_000, 50_000))), (F.col("id") / 3).cast("int") + 1).alias("a"), F.element_at(F.array(*map(F.lit, (0.02, 0.05, 0.08))), (F.col("id") % 3).cast("int") + 1).alias("b"))
-    c = prints(t).withColumn("train", F.col("recv") < 820_454_400_000_000)
-    train, x = F.col("train"), F.col("tok")
-    g = c.join(F.broadcast(rules), (F.col("sol") >= F.col("a")) & (F.col("discount") <= F.col("b"))).groupBy("a", "b")
-    return g.agg(F.count_if(train).alias("n_train"), F.count_if(~train).alias("n_valid"), F.round(F.avg(F.when(train, x)), 6).alias("train_mean"), F.round(F.avg(F.when(~train, x)), 6).alias("valid_mean")).where("n_train >= 15")
+    """160 threshold rules, train and validation side by side, those of 15 rows or more by their mean in training. One pass over the
+    rows; what is ordered is the rules."""
+    c = prints(t).withColumns({"px": F.col("vsol") / F.col("vtok"), "margin": 0.1 - F.col("discount"), "bought": F.col("buy").cast("int")})
+    train, x = F.col("recv") < 820_454_400_000_000, F.col("tok")
+    of = lambda side, v: F.when(side, v).otherwise(v * 0)
+    g = grids.rule_grid(c, _GRID, {"n_train": of(train, F.lit(1)), "n_valid": of(~train, F.lit(1)), "s": of(train, x), "z": of(~train, x)}).where("n_train >= 15")
+    g = g.select(*_GRID, "n_train", "n_valid", F.round(F.col("s") / F.col("n_train"), 6).alias("train_mean"), F.round(F.col("z") / F.nullif(F.col("n_valid"), F.lit(0)), 6).alias("valid_mean"))
+    return g.withColumn("place", F.rank().over(Window.orderBy(F.desc("train_mean"))))

@@ -1,8 +1,10 @@
 import random
+import statistics
 
 import pytest
+from pyspark.sql import functions as F
 
-from tapespark.operators import sweeps
+from tapespark.operators import grids, sweeps
 
 TAPE = "mint long, usr long, t long, seq long, buy boolean, sol double, px double"
 
@@ -85,3 +87,63 @@ def test_clusters_against_brute_force(spark):
     df = spark.createDataFrame(rows, "word string, t long, creator long, item long").repartition(3)
     got = sweeps.clusters(df, "word", "t", ["item"], "creator", "item", 15, 4, 60)
     assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) > 5
+
+
+@pytest.mark.parametrize(("hold", "wait"), [(12, 8), (60, 30)])
+def test_hand_over_against_brute_force(spark, hold, wait):
+    """Levels on both venues, on one time, the wait, no second venue, no completion, no later print."""
+    rows = tape(hold, n=250, mints=5) + [(9, 0, 0, 900, True, 1.0, 5.0), (8, 0, 0, 901, True, 1.0, 5.0), (8, 0, 5, 902, False, 1.0, 5.0)]
+    done = {0: 100, 1: 130, 2: 1000, 3: -200, 8: 3}
+    want = []
+    for m, _, t, s, buy, _, px in rows:
+        tc = done.get(m)
+        if not buy or (tc is not None and t >= tc):
+            continue
+        first = [r for r in rows if r[0] == m and (tc is None or r[2] < tc) and t < r[2] <= t + hold]
+        pool = [r for r in rows if r[0] == m and tc is not None and r[2] >= tc]
+        pool = [r for r in pool if r[2] <= min(x[2] for x in pool) + wait]
+        touch = lambda own: (min((r[2] for r in own if r[6] >= 2 * px), default=None), min((r[2] for r in own if r[6] <= 0.5 * px), default=None))
+        end = lambda own: max((r[2], r[6]) for r in own)
+        up, down = touch(first)
+        says = ("profit", "stop")
+        if up is None and down is None and tc is not None and tc <= t + hold:
+            up, down = touch(pool)
+            says = ("pool profit", "pool stop")
+        if down is not None and (up is None or down <= up):
+            found = (says[1], down, None)
+        elif up is not None:
+            found = (says[0], up, None)
+        elif tc is not None and tc <= t + hold:
+            found = ("wait", *end(pool)) if pool else ("no pool", None, None)
+        else:
+            found = ("timeout", *(end(first) if first else (t, px)))
+        want.append((m, s, *found))
+    completions = spark.createDataFrame([*done.items()], "mint long, completed long")
+    got = sweeps.hand_over(frame(spark, rows), completions, "mint", "t", "px", "buy", 2.0, 0.5, hold, wait)
+    assert sorted(map(tuple, got.select("mint", "seq", "outcome", "exit_at", "exit_price").collect()), key=str) == sorted(want, key=str)
+    assert len({w[2] for w in want}) >= 5
+
+
+def test_rule_grid_against_every_rule(spark):
+    rnd = random.Random(2)
+    rows = [(rnd.choice([None, *range(10)]), rnd.random() * 4, rnd.random() < 0.3, float(rnd.randrange(100))) for _ in range(500)]
+    thresholds = {"a": [0, 3, 7, 9.5], "b": [1.0, 2.0], "c": [0, 1]}
+    df = spark.createDataFrame([(a, b, int(c), x) for a, b, c, x in rows], "a int, b double, c int, x double")
+    got = {(r["a"], r["b"], r["c"]): (r["n"], r["s"]) for r in grids.rule_grid(df, thresholds, {"n": F.lit(1), "s": F.col("x")}).collect()}
+    assert len(got) == 16
+    for (a, b, c), (n, s) in got.items():
+        own = [r for r in rows if r[0] is not None and r[0] >= a and r[1] >= b and int(r[2]) >= c]
+        assert n == len(own) and s == sum(r[3] for r in own)
+
+
+def test_variable_frames(spark):
+    rnd = random.Random(3)
+    rows = [(k, t, 1e6 + rnd.random(), w) for k, w in ((1, 1), (2, 4), (3, 30), (4, 50), (None, 3)) for t in range(40)]
+    df = spark.createDataFrame(rows, "k long, t long, x double, w long")
+    for r in grids.variable_frames(df, ["k"], ["t"], "x", "w").collect():
+        own = [x for k, t, x, _ in rows if k == r["k"] and r["t"] - r["w"] < t <= r["t"]]
+        if r["t"] + 1 < r["w"]:
+            assert (r["mean"], r["std"], r["n"]) == (None, None, None)
+        else:
+            assert r["n"] == len(own) and r["mean"] == pytest.approx(statistics.mean(own), rel=1e-12)
+            assert r["std"] is None if r["w"] == 1 else r["std"] == pytest.approx(statistics.stdev(own), rel=1e-6)
