@@ -8,8 +8,10 @@ path over the automaton's states, found by dynamic programming.
 A turn is a matrix of costs from state to state and a run of turns is their (min, +) product, so a conversation of any length
 can be cut: turns are range-partitioned by conversation and place, numbered within their conversation and written. A
 conversation of more than ``RUN`` turns is cut into runs of that many; each run gives one matrix, runs of matrices give one
-again, and so on up; on the way down they fix the state at each cut. Then runs and whole conversations are dealt to tasks by
-hash, about ``RUN`` turns to a group, and each finds its own path between its states. No task holds a whole long conversation.
+again, and so on up; on the way down they give every run the costs to go after it. With these a run leads from each of the four
+states to one, chosen turn by turn as without cuts; such maps are joined in the same way, up and down, and give every run the
+state it begins in. Then runs and whole conversations are dealt to tasks by hash, about ``RUN`` turns to a group, and each
+finds its own path. No task holds a whole long conversation, and where it is cut makes no difference, ties included.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ from ._rows import batch_of
 from ._store import materialize
 
 RUN = 2000
+#: About so many turns are sorted and numbered by a task.
+PART = 500_000
 MERGE, RELABEL, NAME, INSERT = 1.0, 5.0, 1.0, 3.0
 ROLES = ("", "system", "user", "assistant")  # the state after a turn of that role; 0: nothing yet
 _NEXT = {0: (1, 2), 1: (2,), 2: (3,), 3: (2,)}
@@ -79,13 +83,8 @@ def product(roles: list[str | None]) -> np.ndarray:
     return out
 
 
-def path(roles: list[str | None], start: int, end: int | None) -> list[int]:
-    """States after each turn of a cheapest path from ``start`` to ``end`` (None: to the end of the conversation)."""
-    if end is None:
-        left = _FINAL
-    else:
-        left = np.full(4, _INF)
-        left[end] = 0
+def path(roles: list[str | None], start: int, left: np.ndarray) -> list[int]:
+    """States after each turn of a cheapest path from ``start``, where ``left`` are the costs to go after the last one by its state."""
     costs = [left]
     for r in reversed(roles):
         costs.append((_MATRIX[r] + costs[-1]).min(axis=1))
@@ -96,6 +95,17 @@ def path(roles: list[str | None], start: int, end: int | None) -> list[int]:
     return out
 
 
+def leads(roles: list[str | None], left: np.ndarray) -> list[int]:
+    """The state in which the path from each of the four states ends."""
+    costs = [left]
+    for r in reversed(roles):
+        costs.append((_MATRIX[r] + costs[-1]).min(axis=1))
+    states = np.arange(4)
+    for r, after in zip(roles, reversed(costs[:-1]), strict=True):
+        states = (_MATRIX[r] + after).argmin(axis=1)[states]
+    return states.tolist()
+
+
 def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Number the turns of each conversation within a sorted partition; the first two columns tell conversations apart."""
     part, key, n = TaskContext.get().partitionId(), None, 0
@@ -138,31 +148,57 @@ def _product(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"none": pdf["none"][:1], "conv": pdf["conv"][:1], "run": pdf["upper"][:1], "costs": [out.ravel().tolist()]})
 
 
-def _states(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The states at the cuts within a run of matrices, from that run's own first and last state (-1: the conversation's end)."""
+def _lefts(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The costs to go after each run, from its run of matrices and the costs to go after that."""
+    pdf = pdf.sort_values("run", ignore_index=True)
+    left = [np.array(pdf["left"][0])]
+    for x in reversed(pdf["costs"][1:].tolist()):
+        left.append((np.array(x).reshape(4, 4) + left[-1]).min(axis=1))
+    return pd.DataFrame({"none": pdf["none"], "conv": pdf["conv"], "run": pdf["run"], "left": [x.tolist() for x in reversed(left)]})
+
+
+def _lead(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Where one run of turns leads from each state."""
+    to = leads([_role(x) for x in pdf.sort_values("place")["role"]], np.array(pdf["left"].iloc[0]))
+    return pd.DataFrame({"none": pdf["none"][:1], "conv": pdf["conv"][:1], "run": pdf["run"][:1], "to": [to]})
+
+
+def _joined(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Where one run of maps leads from each state."""
+    to = np.arange(4)
+    for x in pdf.sort_values("run")["to"]:
+        to = np.array(x)[to]
+    return pd.DataFrame({"none": pdf["none"][:1], "conv": pdf["conv"][:1], "run": pdf["upper"][:1], "to": [to.tolist()]})
+
+
+def _entered(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The state before each run, from that before its run of maps."""
     pdf = pdf.sort_values("run", ignore_index=True)
-    ms = [np.array(x).reshape(4, 4) for x in pdf["costs"]]
-    state, end = int(pdf["enter"][0]), int(pdf["leave"][0])
-    left = [_FINAL if end < 0 else np.where(np.arange(4) == end, 0.0, _INF)]
-    for m in reversed(ms[1:]):
-        left.append((m + left[-1]).min(axis=1))
-    enter, leave = [], []
-    for m, after in zip(ms, reversed(left), strict=True):
+    state, enter = int(pdf["enter"][0]), []
+    for x in pdf["to"]:
         enter.append(state)
-        state = int((m[state] + after).argmin())
-        leave.append(state)
-    leave[-1] = end
-    return pd.DataFrame({"none": pdf["none"], "conv": pdf["conv"], "run": pdf["run"], "enter": enter, "leave": leave})
+        state = int(x[state])
+    return pd.DataFrame({"none": pdf["none"], "conv": pdf["conv"], "run": pdf["run"], "enter": enter})
 
 
-def _cuts(edges: DataFrame) -> DataFrame:
-    """(none, conv, run, enter, leave) of the runs of long conversations; ``edges`` has their matrices."""
-    edges = materialize(edges.withColumn("upper", F.floor(F.col("run") / RUN)), "chat-edges")
-    if edges.where("upper > 0").isEmpty():
-        upper = edges.select(*_KEY, "upper").distinct().select(*_KEY, "upper", F.lit(0).alias("enter"), F.lit(-1).alias("leave"))
+def _down(runs: DataFrame, up, up_schema: str, top: Column, value: str, down, down_schema: str) -> DataFrame:
+    """What every run gets from all runs of its conversation: runs are joined to upper runs by ``up``, whose value is found in the same
+    way, or is ``top`` where there is one only; ``down`` gives it on to the runs. Runs are written at every level."""
+    runs = materialize(runs.withColumn("upper", F.floor(F.col("run") / RUN)), "chat-runs")
+    if runs.where("upper > 0").isEmpty():
+        upper = runs.select(*_KEY, "upper").distinct().withColumn(value, top)
     else:
-        upper = _cuts(edges.groupBy(*_KEY, "upper").applyInPandas(_product, "none boolean, conv long, run long, costs array<double>")).withColumnRenamed("run", "upper")
-    return materialize(edges.join(upper, [*_KEY, "upper"]).groupBy(*_KEY, "upper").applyInPandas(_states, "none boolean, conv long, run long, enter int, leave int"), "chat-cuts")
+        upper = _down(runs.groupBy(*_KEY, "upper").applyInPandas(up, up_schema), up, up_schema, top, value, down, down_schema).withColumnRenamed("run", "upper")
+    return materialize(runs.join(upper, [*_KEY, "upper"]).groupBy(*_KEY, "upper").applyInPandas(down, down_schema), "chat-cuts")
+
+
+def _cuts(turns: DataFrame) -> DataFrame:
+    """(none, conv, run, enter, left): the state before and the costs to go after each run of ``turns``."""
+    run = "none boolean, conv long, run long, "
+    matrices = turns.groupBy(*_KEY, "run").applyInPandas(_matrix, run + "costs array<double>")
+    left = _down(matrices, _product, run + "costs array<double>", F.array(*map(F.lit, _FINAL.tolist())), "left", _lefts, run + "left array<double>")
+    maps = turns.join(left, [*_KEY, "run"]).groupBy(*_KEY, "run").applyInPandas(_lead, run + "to array<int>")
+    return left.join(_down(maps, _joined, run + "to array<int>", F.lit(0), "enter", _entered, run + "enter int"), [*_KEY, "run"])
 
 
 def _open(state: int) -> str:
@@ -171,10 +207,9 @@ def _open(state: int) -> str:
 
 def _size(pdf: pd.DataFrame) -> pd.DataFrame:
     """How many repaired turns one run of a long conversation gives."""
-    enter, leave = int(pdf["enter"][0]), int(pdf["leave"][0])
+    state, n = int(pdf["enter"].iloc[0]), 0
     roles = [_role(x) for x in pdf.sort_values("place")["role"]]
-    n, state = 0, enter
-    for role, after in zip(roles, path(roles, enter, None if leave < 0 else leave), strict=True):
+    for role, after in zip(roles, path(roles, state, np.array(pdf["left"].iloc[0])), strict=True):
         n += 1 + len(_TABLE[role][state, after][2])
         state = after
     return pd.DataFrame({"none": pdf["none"][:1], "conv": pdf["conv"][:1], "run": pdf["run"][:1], "n": [n]})
@@ -186,14 +221,14 @@ _COLUMNS = ["none", "conv", "turn_none", "turn", "position", "action", "role", "
 def _repair(turns: pd.DataFrame, cuts: pd.DataFrame) -> pd.DataFrame:
     """The repaired turns of some conversations and runs; ``cuts`` has the states and the first position of the runs."""
     turns = turns.sort_values(["none", "conv", "run", "place"], ignore_index=True)
-    known = {(n, c, r): rest for n, c, r, *rest in cuts[["none", "conv", "run", "enter", "leave", "position"]].itertuples(index=False)}
+    known = {(n, c, r): rest for n, c, r, *rest in cuts[["none", "conv", "run", "enter", "left", "last", "position"]].itertuples(index=False)}
     rows = []
     for a, b in _segments(turns, ["none", "conv", "run"]):
         key = turns["none"][a], turns["conv"][a]
-        enter, leave, at = known.get((*key, turns["run"][a]), (0, -1, 0))
+        enter, left, last, at = known.get((*key, turns["run"][a]), (0, _FINAL, True, 0))
         roles = [_role(x) for x in turns["role"][a:b]]
         out, state = [], enter
-        for k, (role, after) in enumerate(zip(roles, path(roles, enter, None if leave < 0 else leave), strict=True), a):
+        for k, (role, after) in enumerate(zip(roles, path(roles, enter, np.array(left)), strict=True), a):
             _, what, put = _TABLE[role][state, after]
             turn = turns["turn_none"][k], turns["turn"][k]
             out += [(turn, "insert", ROLES[x], _open(x)) for x in put]
@@ -201,7 +236,7 @@ def _repair(turns: pd.DataFrame, cuts: pd.DataFrame) -> pd.DataFrame:
             done = "merge" if what == "merge" else "keep" if role == ROLES[after] else "relabel"
             out.append((turn, done, ROLES[after], f"\n{text}" if what == "merge" else _open(after) + text))
             state = after
-        if leave < 0:
+        if last:
             out += [(turn, "insert", ROLES[x], _open(x)) for x in _END[state]]
         rows += [(*key, *turn, at + i, *x) for i, (turn, *x) in enumerate(out)]
     return pd.DataFrame(rows, columns=_COLUMNS)
@@ -218,15 +253,15 @@ def repair(turns: DataFrame) -> DataFrame:
     Takes conv_id, turn, role, text; further columns, whatever their names, stay out. Turns are in order of turn, equal ones of
     role, then of the text's MD5; a null turn comes last, null conv_ids are one conversation, a null or unknown role may become
     any, a null text is empty. Repeated rows are turns of their own. Among ways of equal cost, each turn takes the first state
-    in the order system, user, assistant, and there an emitted turn comes before a merged one before an insertion; in a
-    conversation of several runs the state after each run is chosen first, likewise.
+    in the order system, user, assistant, and there an emitted turn comes before a merged one before an insertion, however long
+    the conversation is.
     """
     spark = turns.sparkSession
     whole = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(0))
     rows = turns.select(F.isnull(F.col("conv_id").cast("long")).alias("none"), whole("conv_id").alias("conv"), F.isnull(F.col("turn").cast("long")).alias("turn_none"), whole("turn").alias("turn"), F.col("role").cast("string").alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     order = [F.col("none"), F.col("conv"), F.col("turn_none"), F.col("turn"), F.col("role").asc_nulls_last(), F.col("h")]
     rows = rows.withColumn("h", F.md5("text"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), turns.count() // PART)
     rows = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).drop("h")
     rows = materialize(rows.mapInArrow(_numbered, "none boolean, conv long, turn_none boolean, turn long, role string, text string, part int, place long"), "chat-turns")
     # a conversation over several partitions goes on from the one before: at most one of these in each partition
@@ -237,10 +272,11 @@ def repair(turns: DataFrame) -> DataFrame:
     bare = rows.select(*_KEY, "run", "place", "role")
     long = bare.where(F.col("place") == RUN).select(*_KEY)
     runs = bare.join(long, _KEY, "left_semi")
-    cuts = _cuts(runs.groupBy(*_KEY, "run").applyInPandas(_matrix, "none boolean, conv long, run long, costs array<double>"))
+    cuts = _cuts(runs)
     sizes = runs.join(cuts, [*_KEY, "run"]).groupBy(*_KEY, "run").applyInPandas(_size, "none boolean, conv long, run long, n long")
     position = F.coalesce(F.sum("n").over(Window.partitionBy(*_KEY).orderBy("run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    cuts = cuts.join(sizes.withColumn("position", position).drop("n"), [*_KEY, "run"])
+    ends = F.lead("n").over(Window.partitionBy(*_KEY).orderBy("run")).isNull()
+    cuts = cuts.join(sizes.withColumns({"position": position, "last": ends}).drop("n"), [*_KEY, "run"])
     groups = max(1, rows.count() // RUN)
     out = "none boolean, conv long, turn_none boolean, turn long, position long, action string, role string, rendered string"
     done = rows.groupBy(_bucket(groups).alias("bucket")).cogroup(cuts.groupBy(_bucket(groups).alias("bucket"))).applyInPandas(_repair, out)

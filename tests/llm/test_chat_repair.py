@@ -2,6 +2,7 @@ import itertools
 import random
 
 import duckdb
+import numpy as np
 import pytest
 
 from tapespark.llm import chat_repair as C
@@ -94,8 +95,24 @@ def test_one_long_conversation(spark, monkeypatch, run):
     assert C.repair(df.limit(0)).collect() == []
 
 
-def test_sql_gives_the_same(spark, tmp_path):
-    """Ties, nulls, repeated and empty turns, very long texts; one conversation with most turns."""
+@pytest.mark.parametrize("run", [3, 11])
+def test_cuts_make_no_difference(spark, monkeypatch, run):
+    """Cut, and cut again, ties included: the result is that of the whole conversations."""
+    rnd = random.Random(run)
+    rows = [(c, t, rnd.choice(["system", "user", "assistant", "tool"]), str(t)) for c in range(60) for t in range(rnd.choice([2, 12, 12, 12, 40, 150]))]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    whole = sorted(map(tuple, C.repair(df).collect()))
+    monkeypatch.setattr(C, "RUN", run)
+    assert sorted(map(tuple, C.repair(df).collect())) == whole
+    left = np.array([3.0, 1.0, 1.0, 0.0])
+    roles = [rnd.choice([None, "system", "user", "assistant"]) for _ in range(30)]
+    assert C.leads(roles, left) == [C.path(roles, s, left)[-1] for s in range(4)]
+
+
+@pytest.mark.parametrize("run", [5, 2000])
+def test_sql_gives_the_same(spark, monkeypatch, tmp_path, run):
+    """Cut or not: ties, nulls, repeated and empty turns, very long texts; one conversation with most turns."""
+    monkeypatch.setattr(C, "RUN", run)
     rnd = random.Random(9)
     rows = [(rnd.choice([1, 1, 1, *range(40), None, 2**60, 2**60 + 1]), rnd.choice([*range(30), None]), rnd.choice(["system", "user", "assistant", "tool", "", None]), rnd.choice(["a", "b", "", None, "é\n" * 3])) for _ in range(700)]
     rows += [(50, 0, "user", "long text " * 100_000)]
