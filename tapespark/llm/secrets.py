@@ -7,8 +7,10 @@ the file (share of tokens with code characters). The field is trained on windows
 steps on the exact log-likelihood. The windows are a bounded sample, the ``TRAIN_WINDOWS`` with and ``TRAIN_WINDOWS`` without a
 secret that have the smallest hashes, of the windows that tasks offer: around the first secret of every row, and around about
 ``OFFERED`` tokens with a digit of every slice of texts. Decoding is Viterbi over the texts of a batch side by side; a text in
-which no token can be worth leaving "outside" is skipped, which changes no result. A text of more than ``LONG`` bytes is decoded
-in pieces of about that size, cut at white space; the rules always see the whole text.
+which no token can be worth leaving "outside" is skipped, which changes no result. The tokens of a text of more than ``LONG`` bytes
+are made in pieces of about that size, cut at white space, with their neighbours beyond the cut and the whole text's share; only
+those that can be part of a stretch worth leaving "outside" are decoded, so that a long text gives what it gives in one piece.
+The rules always see the whole text; training windows of a long text come from its pieces.
 """
 
 from __future__ import annotations
@@ -89,8 +91,8 @@ class _Slice:
         self.start, self.end, _, self.first = words(raw, off)
         self.keys = np.array([m.start() for m in _ANY_KEY.finditer(raw.tobytes())], np.int64)
 
-    def features(self) -> list[np.ndarray]:
-        """A column of small integers for each feature; ``_OFFSETS`` tells them apart."""
+    def features(self, share: float | None = None) -> list[np.ndarray]:
+        """A column of small integers for each feature; ``_OFFSETS`` tells them apart. ``share``: that of the file, if it is known."""
         start, end, raw, n = self.start, self.end, self.raw, len(self.start)
         length = end - start
         sums = np.zeros(len(raw) + 1, np.int32)
@@ -118,7 +120,8 @@ class _Slice:
         following[:-1] = np.where(before[1:], size[1:], 0)
         codes = np.add.reduceat(np.append((code > 0).astype(np.int64), 0), np.minimum(self.first[:-1], n)) if len(self.off) > 1 else np.zeros(0, np.int64)
         counts = np.diff(self.first)
-        share = np.searchsorted([0.02, 0.1, 0.3], np.where(counts > 0, codes, 0) / np.maximum(counts, 1), "right")
+        shares = np.where(counts > 0, codes, 0) / np.maximum(counts, 1) if share is None else np.full(len(counts), share)
+        share = np.searchsorted([0.02, 0.1, 0.3], shares, "right")
         columns = (
             size,
             (lower > 0) + 2 * (upper > 0) + 4 * (digit > 0) + 8 * (other > 0),
@@ -240,12 +243,16 @@ def _fit(x: np.ndarray, y: np.ndarray, there: np.ndarray) -> Model:
     return Model(w[:FEATURES], moves, start)
 
 
+def _gain(model: Model) -> float:
+    """What a token can gain at most by its moves when it is not outside."""
+    return max(0.0, 2 * (max(model.moves.max(), model.start.max()) - min(model.moves[0, 0], model.start[0])))
+
+
 def viterbi(model: Model, emit: np.ndarray, first: np.ndarray) -> np.ndarray:
     """The best tags of each row's tokens; rows are decoded side by side, longest first."""
     tags = np.zeros(len(emit), np.uint8)
     counts = np.diff(first)
-    gain = 2 * (max(model.moves.max(), model.start.max()) - min(model.moves[0, 0], model.start[0]))
-    worth = emit[:, 1:].max(axis=1) - emit[:, 0] + max(gain, 0) >= 0 if len(emit) else np.zeros(0, bool)
+    worth = emit[:, 1:].max(axis=1) - emit[:, 0] + _gain(model) >= 0 if len(emit) else np.zeros(0, bool)
     hit = np.unique(np.searchsorted(first, np.flatnonzero(worth), "right") - 1)
     rows = hit[np.argsort(-counts[hit], kind="stable")]
     if not len(rows):
@@ -284,12 +291,22 @@ def _ruled(raw: np.ndarray, off: np.ndarray, keys: np.ndarray) -> dict[int, tupl
     return found
 
 
+def _emit(model: Model, features: list[np.ndarray]) -> np.ndarray:
+    out = np.zeros((len(features[0]), 3))
+    for column, offset in zip(features, _OFFSETS, strict=False):
+        out += model.weights[offset : offset + 256][column]
+    return out
+
+
+def _stripped(text: bytes, a: int, b: int) -> tuple[int, int]:
+    """The span without quotes and brackets around it."""
+    s = text.decode(errors="replace")
+    return a + len(s) - len(s.lstrip(_LEFT)), b - (len(s) - len(s.rstrip(_RIGHT)))
+
+
 def _field(model: Model, part: _Slice) -> Iterator[tuple[int, int, int]]:
     """(row, start, end) of the runs of tokens that the field tags, in code points of the row."""
-    emit = np.zeros((len(part.start), 3))
-    for column, offset in zip(part.features(), _OFFSETS, strict=False):
-        emit += model.weights[offset : offset + 256][column]
-    tags = viterbi(model, emit, part.first)
+    tags = viterbi(model, _emit(model, part.features()), part.first)
     at = np.flatnonzero(tags)
     if not len(at):
         return
@@ -302,14 +319,92 @@ def _field(model: Model, part: _Slice) -> Iterator[tuple[int, int, int]]:
             j += 1
         r = int(row[k])
         lo, hi = int(part.start[at[k]]), int(part.end[at[j]])
-        a, b = int(points[lo] - points[part.off[r]]), int(points[hi] - points[part.off[r]])
-        s = part.raw[lo:hi].tobytes().decode(errors="replace")
-        a, b = a + len(s) - len(s.lstrip(_LEFT)), b - (len(s) - len(s.rstrip(_RIGHT)))
+        a, b = _stripped(part.raw[lo:hi].tobytes(), int(points[lo] - points[part.off[r]]), int(points[hi] - points[part.off[r]]))
         if b - a >= 6:
             yield r, a, b
         k = j + 1
 
 
+def _with_neighbours(raw: np.ndarray, a: int, b: int) -> tuple[_Slice, int, int, int]:
+    """The tokens of the bytes a to b with up to two before and one after them; the range of their own, and where a is in the slice."""
+    back, ahead = 1 << 12, 1 << 12
+    while True:
+        x, y = max(0, a - back), min(len(raw), b + ahead)
+        left, _, _, _ = words(raw[x:a], np.array([0, a - x]))
+        right = words(raw[b:y], np.array([0, y - b]))[1]
+        if x and len(left) < 3:  # the first of them may be cut
+            back *= 4
+        elif y < len(raw) and (not len(right) or right[0] == y - b):
+            ahead *= 4
+        else:
+            break
+    x = x + int(left[-2]) if len(left) >= 2 else a if not len(left) else x + int(left[0])
+    y = b + int(right[0]) if len(right) else b
+    part = _Slice(raw[x:y], np.array([0, y - x]))
+    return part, int(np.searchsorted(part.start, a - x)), int(np.searchsorted(part.start, b - x)), a - x
+
+
+def _long_field(model: Model, raw: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(start, end) in code points of what the field tags in one long text, piece by piece.
+
+    A stretch that is not outside gains at most the sum of what its tokens can gain each. So a token of which no stretch around
+    it has a sum of 0 or more is outside, and what lies between such tokens is decoded by itself.
+    """
+    pieces = list(cut_long(raw, LONG))
+    tokens = codes = 0
+    for a, b in pieces:
+        part = _Slice(raw[a:b], np.array([0, b - a]))
+        tokens += len(part.start)
+        is_code = np.concatenate(([0], np.cumsum(_CLASS[_CODE][part.raw], dtype=np.int64)))
+        codes += int((is_code[part.end] > is_code[part.start]).sum())
+    share = codes / max(tokens, 1)
+
+    worth = np.zeros(tokens)
+    n, gain = 0, _gain(model)
+    for a, b in pieces:
+        part, k, m, _ = _with_neighbours(raw, a, b)
+        emit = _emit(model, [f[k:m] for f in part.features(share)])
+        worth[n : n + len(emit)] = emit[:, 1:].max(axis=1) - emit[:, 0] + gain if len(emit) else 0
+        n += len(emit)
+    best = -worth
+    for x, out in ((worth, best), (worth[::-1], best[::-1])):  # the best sum that ends here, and that begins here
+        total = np.concatenate(([0.0], np.cumsum(x)))
+        out += total[1:] - np.minimum.accumulate(total[:-1])
+    open_ = best >= -1e-6
+    emits, spots, ranges, n, before = [], [], [], 0, 0
+    for a, b in pieces:
+        part, k, m, zero = _with_neighbours(raw, a, b)
+        at = np.flatnonzero(open_[n : n + m - k])
+        if len(at):
+            points = part.points()
+            base = before - int(points[zero])
+            emits.append(_emit(model, [f[k:m][at] for f in part.features(share)]))
+            spots.append(at + n)
+            ranges += [(int(points[part.start[k + i]] + base), int(points[part.end[k + i]] + base), part.raw[part.start[k + i] : part.end[k + i]].tobytes()) for i in at.tolist()]
+        n += m - k
+        before += int(((raw[a:b] & 0xC0) != 0x80).sum())
+    if not spots:
+        return
+    spots, emits = np.concatenate(spots), np.concatenate(emits)
+    cuts = np.concatenate(([0], np.flatnonzero(np.diff(spots) > 1) + 1, [len(spots)]))
+    for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        inside = emits[i:j]
+        if spots[j - 1] < tokens - 1:  # an outside token follows
+            inside = np.concatenate((inside, [[0.0, -np.inf, -np.inf]]))
+        tags = viterbi(model if spots[i] == 0 else Model(model.weights, model.moves, model.moves[0]), inside, np.array([0, len(inside)]))[: j - i]
+        k = 0
+        while k < j - i:
+            e = k + 1
+            if tags[k]:
+                while e < j - i and tags[e] == 2:
+                    e += 1
+                a, _ = _stripped(ranges[i + k][2], ranges[i + k][0], ranges[i + k][1])
+                _, b = _stripped(ranges[i + e - 1][2], ranges[i + e - 1][0], ranges[i + e - 1][1])
+                if b - a >= 6:
+                    yield a, b
+            k = e
+
+
 def _scan_rows(model: Model, raw: np.ndarray, off: np.ndarray) -> dict[int, tuple[list, list]]:
     """Rows that have spans: (base, all)."""
     whole = _Slice(raw, off)
@@ -317,13 +412,12 @@ def _scan_rows(model: Model, raw: np.ndarray, off: np.ndarray) -> dict[int, tupl
     if model is NOTHING:
         return found
     covers = {r: ([x for _, x, _ in base], list(accumulate((y for _, _, y in base), max))) for r, (base, _) in found.items()}
-    for part, before in _pieces(whole):
-        for r, a, b in _field(model, part):
-            a, b = a + before, b + before
-            starts, ends = covers.get(r, ([], []))
-            k = bisect_left(starts, b)  # spans that begin before the end of this one
-            if not k or ends[k - 1] <= a:
-                found.setdefault(r, ([], []))[1].append(("crf", a, b))
+    long = len(off) == 2 and off[-1] > LONG
+    for r, a, b in ((0, *x) for x in _long_field(model, raw)) if long else _field(model, whole):
+        starts, ends = covers.get(r, ([], []))
+        k = bisect_left(starts, b)  # spans that begin before the end of this one
+        if not k or ends[k - 1] <= a:
+            found.setdefault(r, ([], []))[1].append(("crf", a, b))
     for _, every in found.values():
         every.sort(key=lambda x: (x[1], KINDS.index(x[0])))
     return found
