@@ -96,6 +96,35 @@ def sign_test(k: Column, n: Column) -> Column:
     return F.when(n > 0, F.least(2 * tail, F.lit(1.0)))
 
 
+def binomial_tail(k: Column, n: Column) -> Column:
+    """The chance of ``k`` or more of ``n`` at even odds, exactly, in logs."""
+    log_factorial = lambda m: F.aggregate(F.sequence(F.lit(1), F.greatest(m.cast("int"), F.lit(1))), F.lit(0.0), lambda a, i: a + F.log(i.cast("double")))
+    total = log_factorial(n)
+    tail = F.aggregate(F.sequence(k.cast("int"), n.cast("int")), F.lit(0.0), lambda a, i: a + F.exp(total - log_factorial(i) - log_factorial(n - i) - n * F.log(F.lit(2.0))))
+    return F.when((n > 0) & (k >= 0) & (k <= n), F.least(tail, F.lit(1.0)))
+
+
+def quartiles(rows: DataFrame, value: str, order: list[str]) -> DataFrame:
+    """One row: n, q1, median, q3 of the rows with a value; the quarters by the exclusive rule, from two rows on. Ranks are found by
+    blocks, so no task holds all values."""
+    ranked = placed(rows.where(F.col(value).isNotNull()), value, order)
+    n = F.col("of")
+    at = lambda k: F.least(F.greatest(F.floor(k * (n + 1) / 4), F.lit(1)), n - 1)
+    part = lambda k: k * (n + 1) - 4 * at(k)
+    near = [(k, F.when(F.col("place") == at(k), F.col(value)), F.when(F.col("place") == at(k) + 1, F.col(value))) for k in (1, 2, 3)]
+    one = ranked.agg(F.count("*").alias("n"), F.max("of").alias("of"), F.max(value).alias("only"), *(F.max(x).alias(f"{side}{k}") for k, a, b in near for side, x in (("a", a), ("b", b))))
+    q = {k: (F.col(f"a{k}") * (4 - part(k)) + F.col(f"b{k}") * part(k)) / 4 for k in (1, 2, 3)}
+    return one.select("n", F.when(n > 1, q[1]).alias("q1"), F.when(n > 1, q[2]).otherwise(F.col("only").cast("double")).alias("median"), F.when(n > 1, q[3]).alias("q3"))
+
+
+def confusion(rows: DataFrame, human: str, model: str) -> DataFrame:
+    """(human, model, n) for every pair of labels that either has, zeros included; labels are few."""
+    seen = rows.groupBy(F.col(human).alias("human"), F.col(model).alias("model")).agg(F.count("*").alias("n"))
+    labels = seen.select(F.explode(F.array("human", "model")).alias("x")).distinct()
+    pairs = labels.select(F.col("x").alias("human")).join(labels.select(F.col("x").alias("model")), F.lit(True))
+    return pairs.join(seen, ["human", "model"], "left").select("human", "model", F.coalesce("n", F.lit(0)).alias("n"))
+
+
 def gram(rows: DataFrame, y: str, xs: list[str], by: list[str] | None = None) -> DataFrame:
     """Per group: n, y'y, X'y and X'X with a constant first, as one aggregate."""
     cols = {"one": F.lit(1.0)} | {x: F.col(x).cast("double") for x in xs}

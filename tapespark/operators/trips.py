@@ -18,24 +18,26 @@ _TRIP = "usr long, mint long, opened long, closed long, sol_in double, sol_out d
 _PRINT = ("usr", "mint", "recv", "buy", "sol", "tok")
 
 
-def round_trips(prints: DataFrame, with_state: bool = False) -> DataFrame:
+def round_trips(prints: DataFrame, with_state: bool = False, keep: str | None = None) -> DataFrame:
     """One row per trip of (usr, mint): it opens at the first buy when flat, and closes when the position falls to 1% of its peak.
 
     Sells when flat are left out; a trip that is not over has a null ``closed``. Prints are walked in order of (recv, seq), so
     equal times have a fixed order; the state is one open trip, however many prints a wallet has. Prints without a time, side
-    or amount are not counted. ``with_state``: also ``pos`` and ``peak``, what is held at the trip's end and was held at most.
+    or amount are not counted. ``with_state``: also ``pos`` and ``peak``, what is held at the trip's end and was held at most. ``keep``:
+    also ``entry``, what this column (double) has at the print that opens the trip.
     """
-    schema = StructType.fromDDL(_TRIP + ", pos double, peak double" * with_state)
+    schema = StructType.fromDDL(_TRIP + ", pos double, peak double" * (with_state or keep is not None) + ", entry double" * (keep is not None))
+    read = [*_PRINT, *([keep] if keep else [])]
     names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, pos, peak, trip = None, 0.0, 0.0, None
+        key, pos, peak, trip, entry = None, 0.0, 0.0, None, None
         for batch in batches:
             done = []
-            for usr, mint, recv, buy, sol, tok in zip(*(batch.column(c).to_pylist() for c in _PRINT), strict=True):
+            for usr, mint, recv, buy, sol, tok, *has in zip(*(batch.column(c).to_pylist() for c in read), strict=True):
                 if (usr, mint) != key:
                     if trip:
-                        done.append([*trip, pos, peak])
+                        done.append([*trip, pos, peak, entry])
                     key, pos, peak, trip = (usr, mint), 0.0, 0.0, None
                 if buy:
                     pos += tok
@@ -46,27 +48,27 @@ def round_trips(prints: DataFrame, with_state: bool = False) -> DataFrame:
                         peak = max(peak, pos)
                     else:
                         pos = peak = tok
-                        trip = [usr, mint, recv, None, sol, 0.0, tok, 0.0, 1, 0]
+                        trip, entry = [usr, mint, recv, None, sol, 0.0, tok, 0.0, 1, 0], has[0] if has else None
                 elif trip:
                     trip[5] += sol
                     trip[7] += tok
                     trip[9] += 1
                     if pos - tok <= DUST * peak:
                         trip[3] = recv
-                        done.append([*trip, pos - tok, peak])
+                        done.append([*trip, pos - tok, peak, entry])
                         pos, peak, trip = 0.0, 0.0, None
                     else:
                         pos -= tok
             if done:
                 yield _batch(done)
         if trip:
-            yield _batch([[*trip, pos, peak]])
+            yield _batch([[*trip, pos, peak, entry]])
 
     def _batch(rows: list) -> pa.RecordBatch:
-        types = [pa.int64()] * 4 + [pa.float64()] * 4 + [pa.int32()] * 2 + [pa.float64()] * 2
+        types = [pa.int64()] * 4 + [pa.float64()] * 4 + [pa.int32()] * 2 + [pa.float64()] * 3
         return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind, _ in zip(zip(*rows, strict=True), types, names, strict=False)], names)
 
-    rows = prints.select(*_PRINT, "seq").dropna(subset=list(_PRINT[2:]))
+    rows = prints.select(*read, "seq").dropna(subset=list(_PRINT[2:]))
     return sweep(rows, ["usr", "mint"], ["recv", "seq"], run, schema)
 
 
@@ -88,6 +90,42 @@ def summarize(trips: DataFrame, by: str = "usr") -> DataFrame:
     )
 
 
+def wallet_summary(trips: DataFrame, born: DataFrame, slot: int, near: int, by: str = "usr") -> DataFrame:
+    """The full summary per wallet, of trips with ``entry`` (their price at entry): counts, profit and its parts, medians of holding
+    time, size, entry price and the token's age at entry, shares of trips with several buys or sells, of the best trade in the
+    profit, and of entries in the token's first slot and up to ``near`` slots after it. All but the counts are of closed trips.
+
+    ``born``: (mint, born), the tokens whose creation is known; a slot is ``slot`` long.
+    """
+    rows = trips.join(born, "mint", "left").withColumn("slots", F.floor(F.col("opened") / slot) - F.floor(F.col("born") / slot))
+    closed = F.col("closed").isNotNull()
+    pnl = F.when(closed, F.col("sol_out") - F.col("sol_in"))
+    of = lambda x: F.when(closed, x)
+    share = lambda c: F.round(F.avg(of(F.coalesce(c, F.lit(False)).cast("double"))), 6)
+    median = lambda x, n: F.round(F.percentile(of(x), 0.5), n)
+    won, lost = F.sum(F.when(pnl > 0, pnl)), F.sum(F.when(pnl <= 0, -pnl))
+    return rows.groupBy(by).agg(
+        F.count_if(closed).alias("closed_trips"),
+        F.count_if(~closed).alias("open_trips"),
+        F.round(F.sum(pnl), 2).alias("pnl"),
+        F.round(F.avg((pnl > 0).cast("double")), 6).alias("win_rate"),
+        F.round(F.avg(F.when(pnl > 0, pnl)), 7).alias("avg_win"),
+        F.round(F.avg(F.when(pnl <= 0, pnl)), 7).alias("avg_loss"),
+        F.round(F.when(lost > 0, F.coalesce(won, F.lit(0.0)) / lost), 6).alias("profit_factor"),
+        median((F.col("closed") - F.col("opened")) / 1e6, 3).alias("median_hold_s"),
+        median(F.col("sol_in"), 4).alias("median_size"),
+        median(F.col("entry"), 6).alias("median_entry"),
+        median((F.col("opened") - F.col("born")) / 1e6, 3).alias("median_age_s"),
+        share(F.col("n_buys") > 1).alias("share_multi_buy"),
+        share(F.col("n_sells") > 1).alias("share_multi_sell"),
+        F.round(F.when(F.sum(pnl) > 0, F.max(pnl) / F.sum(pnl)), 6).alias("best_share"),
+        share(F.col("slots") == 0).alias("share_first_slot"),
+        share(F.col("slots") <= near).alias("share_near_slots"),
+        F.round(F.coalesce(F.sum(F.when(F.col("slots") == 0, pnl)), F.lit(0.0)), 2).alias("pnl_first_slot"),
+        share(F.col("slots").isNotNull()).alias("share_known"),
+    )
+
+
 def leaderboard(summary: DataFrame, least: int) -> DataFrame:
     """Wallets with at least so many closed trips, best profit first."""
     return summary.where(F.col("trips") - F.col("open_trips") >= least).orderBy(F.col("pnl").desc(), F.col("usr"))

@@ -52,18 +52,26 @@ def c2_selection_edge(t: Tables) -> DataFrame:
 
 @query(
     "c8_hot_trigger",
-    f"""WITH {TAPE}, d AS (SELECT mint, arg_min(usr, (recv, seq)) AS dev FROM tape GROUP BY mint),
-f AS (SELECT p.mint, p.recv, p.seq, sum(CASE WHEN p.usr = d.dev AND NOT p.buy THEN 1 ELSE 0 END) OVER w AS dev_sold, count(*) FILTER (p.buy) OVER (PARTITION BY p.mint ORDER BY p.recv RANGE BETWEEN 863999999999 PRECEDING AND CURRENT ROW) AS hot FROM tape p JOIN d ON d.mint = p.mint WINDOW w AS (PARTITION BY p.mint ORDER BY p.recv, p.seq ROWS UNBOUNDED PRECEDING))
-SELECT mint, min(recv) AS first FROM f WHERE dev_sold > 0 AND hot >= 2 GROUP BY mint""",
+    f"""WITH {TAPE}, d AS (SELECT mint, arg_min(usr, (recv, seq)) AS dev, min(recv) AS born FROM tape GROUP BY mint),
+e AS (SELECT p.*, dev, born, min(CASE WHEN buy AND usr <> dev AND recv <= born + {90 * DAY} THEN (recv, seq) END) OVER (PARTITION BY p.mint, usr) AS since, sum(CASE WHEN buy THEN tok ELSE -tok END) OVER (PARTITION BY p.mint, usr ORDER BY recv, seq ROWS UNBOUNDED PRECEDING) AS pos FROM tape p JOIN d ON d.mint = p.mint),
+g AS (SELECT *, CASE WHEN (recv, seq) >= since THEN greatest(pos, 0) ELSE 0 END - CASE WHEN (recv, seq) > since THEN greatest(pos - CASE WHEN buy THEN tok ELSE -tok END, 0) ELSE 0 END AS change FROM e),
+f AS (SELECT mint, recv, born, sum(CASE WHEN usr = dev AND NOT buy THEN 1 ELSE 0 END) OVER w AS dev_sold, sum(change) OVER w AS held, count(*) FILTER (buy AND usr <> dev) OVER (PARTITION BY mint ORDER BY recv RANGE BETWEEN 863999999999 PRECEDING AND CURRENT ROW) AS hot FROM g WINDOW w AS (PARTITION BY mint ORDER BY recv, seq ROWS UNBOUNDED PRECEDING))
+SELECT mint, min(recv) AS first FROM f WHERE dev_sold > 0 AND hot >= 2 AND held / 10000 < 0.02 AND recv - born BETWEEN {5 * DAY} AND {1500 * DAY} GROUP BY mint""",
 )
 def c8_hot_trigger(t: Tables) -> DataFrame:
-    """First print of a token whose first wallet has sold and that had buys enough in ten days."""
-    rows = prints(t)
-    dev = rows.groupBy("mint").agg(F.min_by("usr", F.struct("recv", "seq")).alias("dev"))
-    f = rows.join(dev, "mint")
-    f = f.withColumn("dev_sold", F.sum(((F.col("usr") == F.col("dev")) & ~F.col("buy")).cast("long")).over(_running("mint")))
-    f = f.withColumn("hot", F.sum(F.col("buy").cast("long")).over(Window.partitionBy("mint").orderBy("recv").rangeBetween(-10 * DAY + 1, 0)))
-    return f.where("dev_sold > 0 AND hot >= 2").groupBy("mint").agg(F.min("recv").alias("first"))
+    """First print of a token of five to 1,500 days whose creator (the wallet of its first print) has sold, that had buys enough in ten
+    days, and of whose supply its early buyers, those of the first ninety days, hold less than a fiftieth then."""
+    rows, at = prints(t), F.struct("recv", "seq")
+    dev = rows.groupBy("mint").agg(F.min_by("usr", at).alias("dev"), F.min("recv").alias("born"))
+    e = rows.join(dev, "mint")
+    other = F.col("usr") != F.col("dev")
+    signed = F.when(F.col("buy"), F.col("tok")).otherwise(-F.col("tok"))
+    early = F.when(F.col("buy") & other & (F.col("recv") <= F.col("born") + 90 * DAY), at)
+    e = e.withColumns({"since": F.min(early).over(Window.partitionBy("mint", "usr")), "pos": F.sum(signed).over(_running("mint", "usr"))})
+    change = F.when(at >= F.col("since"), F.greatest("pos", F.lit(0.0))).otherwise(0.0) - F.when(at > F.col("since"), F.greatest(F.col("pos") - signed, F.lit(0.0))).otherwise(0.0)
+    e = e.withColumns({"held": F.sum(change).over(_running("mint")), "dev_sold": F.sum((~other & ~F.col("buy")).cast("long")).over(_running("mint"))})
+    f = e.withColumn("hot", F.sum((F.col("buy") & other).cast("long")).over(Window.partitionBy("mint").orderBy("recv").rangeBetween(-10 * DAY + 1, 0)))
+    return f.where(f"dev_sold > 0 AND hot >= 2 AND held / 10000 < 0.02 AND recv - born BETWEEN {5 * DAY} AND {1500 * DAY}").groupBy("mint").agg(F.min("recv").alias("first"))
 
 
 _CREATOR = f"""d AS (SELECT mint, arg_min(usr, (recv, seq)) AS dev, min(recv) AS born FROM tape GROUP BY mint),

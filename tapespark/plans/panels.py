@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import grids, joins, stats
+from ..operators import grids, joins, scratch, stats
 from ..sources import tape
 from ..sources.tape import DAILY, DAY, SECOND, TAPE, TICKS
 from .registry import Tables, query
@@ -152,23 +152,55 @@ def a18_lift(t: Tables) -> DataFrame:
     return out.withColumns({c: F.round(c, 6) for c in ("rate", "lift")})
 
 
-@query("a19_quantile_table", "WITH u AS (SELECT 'balance' AS feature, c_acctbal AS x, c_mktsegment = 'BUILDING' AS y, c_custkey AS id FROM customer UNION ALL SELECT 'nation', c_nationkey, c_mktsegment = 'BUILDING', c_custkey FROM customer), r AS (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY x, id) AS r, count(*) OVER (PARTITION BY feature) AS n FROM u) SELECT feature, CAST(greatest(ceil((r - 1) * 5 / greatest(n - 1, 1)) - 1, 0) AS BIGINT) AS bucket, count(*) AS n, round(min(x), 4) AS low, round(max(x), 4) AS high, round(avg(CASE WHEN y THEN 1.0 ELSE 0 END), 6) AS rate FROM r GROUP BY ALL")
+@query(
+    "a19_quantile_table",
+    """WITH u AS (SELECT 'balance' AS feature, c_acctbal AS x, c_mktsegment = 'BUILDING' AS y, c_custkey AS id FROM customer UNION ALL SELECT 'nation', c_nationkey, c_mktsegment = 'BUILDING', c_custkey FROM customer UNION ALL SELECT 'rare', CASE WHEN c_custkey < 40 THEN c_acctbal END, c_mktsegment = 'BUILDING', c_custkey FROM customer),
+r AS (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY x, id) AS r, count(*) OVER (PARTITION BY feature) AS n FROM u WHERE x IS NOT NULL),
+b AS (SELECT *, CAST(greatest(ceil((r - 1) * 5 / greatest(n - 1, 1)) - 1, 0) AS BIGINT) AS bucket FROM r WHERE n >= 50)
+SELECT feature, bucket, count(*) AS n, round(min(x), 4) AS low, round(max(x), 4) AS high, round(avg(CASE WHEN y THEN 1.0 ELSE 0 END), 6) AS rate, round(quantile_cont(x, 0.5), 4) AS median FROM b GROUP BY ALL""",
+)
 def a19_quantile_table(t: Tables) -> DataFrame:
-    """Bounds, n and outcome rate per fifth of every feature."""
-    c = t("customer").select(F.col("c_custkey").alias("id"), (F.col("c_mktsegment") == "BUILDING").cast("double").alias("y"), F.col("c_acctbal").alias("balance"), F.col("c_nationkey").cast("double").alias("nation"))
-    u = c.unpivot(["id", "y"], ["balance", "nation"], "feature", "x")
-    r = stats.placed(u, "x", ["id"], ["feature"])
-    b = r.withColumn("bucket", stats.rank_bucket(F.col("place"), F.col("of"), 5))
-    return b.groupBy("feature", "bucket").agg(F.count("*").alias("n"), F.round(F.min("x"), 4).alias("low"), F.round(F.max("x"), 4).alias("high"), F.round(F.avg("y"), 6).alias("rate"))
+    """Bounds, n, outcome rate and median per fifth of every feature with fifty values or more."""
+    c = t("customer").select(F.col("c_custkey").alias("id"), (F.col("c_mktsegment") == "BUILDING").cast("double").alias("y"), F.col("c_acctbal").alias("balance"), F.col("c_nationkey").cast("double").alias("nation"), F.when(F.col("c_custkey") < 40, F.col("c_acctbal")).alias("rare"))
+    u = c.unpivot(["id", "y"], ["balance", "nation", "rare"], "feature", "x").where("x IS NOT NULL")
+    r = scratch.written(stats.placed(u, "x", ["id"], ["feature"]).where("of >= 50").withColumn("bucket", stats.rank_bucket(F.col("place"), F.col("of"), 5)), "buckets")
+    g = r.groupBy("feature", "bucket").agg(F.count("*").alias("n"), F.min("place").alias("p"), F.round(F.min("x"), 4).alias("low"), F.round(F.max("x"), 4).alias("high"), F.round(F.avg("y"), 6).alias("rate"))
+    # a bucket is a run of places: its median is the mean of the one or two in the middle
+    middle = r.join(F.broadcast(g.select("feature", "bucket", "n", "p")), ["feature", "bucket"]).where("2 * (place - p) BETWEEN n - 2 AND n")
+    return g.drop("p").join(middle.groupBy("feature", "bucket").agg(F.round(F.avg("x"), 4).alias("median")), ["feature", "bucket"])
 
 
 _LAB = "WITH p AS (SELECT quality AS human, CASE WHEN n_chars > 1500 THEN 1 ELSE 0 END AS model FROM labels l JOIN documents d ON l.doc_id = d.doc_id)"
 
 
-@query("a20_agreement", f"{_LAB}, s AS (SELECT count(*) AS n, count(*) FILTER (human = model) AS same, count(*) FILTER (human = 1 AND model = 1) AS tp, count(*) FILTER (model = 1) AS mp, count(*) FILTER (human = 1) AS hp FROM p) SELECT n, round(same / n, 6) AS agreement, round(tp / mp, 6) AS precision, round(tp / hp, 6) AS recall, round(2 * (tp / mp) * (tp / hp) / (tp / mp + tp / hp), 6) AS f1, round(hp / n, 6) AS base_rate FROM s")
+_TIMED = "WITH p AS (SELECT d.doc_id, quality AS human, CASE WHEN n_chars > 1500 THEN 1 ELSE 0 END AS model, CASE WHEN d.doc_id % 5 > 0 THEN d.doc_id % 60 END AS human_t, n_chars % 90 AS model_t FROM labels l JOIN documents d ON l.doc_id = d.doc_id)"
+
+
+def _decisions(t: Tables) -> DataFrame:
+    timed = [F.when(F.col("doc_id") % 5 > 0, F.col("doc_id") % 60).alias("human_t"), (F.col("n_chars") % 90).alias("model_t")]
+    return t("labels").join(t("documents"), "doc_id").select("doc_id", F.col("quality").alias("human"), F.when(F.col("n_chars") > 1500, 1).otherwise(0).alias("model"), *timed)
+
+
+@query(
+    "a20_agreement",
+    f"""{_TIMED}, s AS (SELECT count(*) AS n, count(*) FILTER (human = model) AS same, count(*) FILTER (human = 1 AND model = 1) AS tp, count(*) FILTER (model = 1) AS mp, count(*) FILTER (human = 1) AS hp FROM p),
+d AS (SELECT model_t - human_t AS x, row_number() OVER (ORDER BY model_t - human_t) AS i, count(*) OVER () AS m FROM p WHERE human = 1 AND model = 1 AND human_t IS NOT NULL),
+q AS (SELECT k, m, least(greatest(k * (m + 1) // 4, 1), m - 1) AS j FROM (SELECT DISTINCT m FROM d), range(1, 4) r(k)),
+v AS (SELECT k, (a.x * (4 - (k * (q.m + 1) - 4 * j)) + b.x * (k * (q.m + 1) - 4 * j)) / 4 AS q FROM q JOIN d a ON a.i = j JOIN d b ON b.i = j + 1)
+SELECT n, round(same / n, 6) AS agreement, round(tp / mp, 6) AS precision, round(tp / hp, 6) AS recall, round(2 * (tp / mp) * (tp / hp) / (tp / mp + tp / hp), 6) AS f1, round(hp / n, 6) AS base_rate, (SELECT max(m) FROM d) AS timing_n, (SELECT q FROM v WHERE k = 2) AS timing_median, (SELECT max(q) - min(q) FROM v) AS timing_iqr FROM s""",
+)
 def a20_agreement(t: Tables) -> DataFrame:
-    rows = t("labels").join(t("documents"), "doc_id").select(F.col("quality").alias("human"), F.when(F.col("n_chars") > 1500, 1).otherwise(0).alias("model"))
-    return stats.agreement(rows, "human", "model", 1).withColumns({c: F.round(c, 6) for c in ("agreement", "precision", "recall", "f1", "base_rate")})
+    """Agreement of two labels, and how much later the model's choice comes where both are positive: median and quartile range."""
+    rows = _decisions(t)
+    out = stats.agreement(rows, "human", "model", 1).withColumns({c: F.round(c, 6) for c in ("agreement", "precision", "recall", "f1", "base_rate")})
+    late = stats.quartiles(rows.where("human = 1 AND model = 1").withColumn("x", F.col("model_t") - F.col("human_t")), "x", ["doc_id"])
+    return out.crossJoin(late.select(F.col("n").alias("timing_n"), F.col("median").alias("timing_median"), (F.col("q3") - F.col("q1")).alias("timing_iqr")))  # one row each
+
+
+@query("a20_confusion", f"{_TIMED}, l AS (SELECT human AS x FROM p UNION SELECT model FROM p) SELECT a.x AS human, b.x AS model, count(p.human) AS n FROM l a CROSS JOIN l b LEFT JOIN p ON p.human = a.x AND p.model = b.x GROUP BY ALL")
+def a20_confusion(t: Tables) -> DataFrame:
+    """How often each label of one is which of the other."""
+    return stats.confusion(_decisions(t), "human", "model")
 
 
 @query("a21_auc", "WITH p AS (SELECT quality AS y, n_chars AS s FROM labels l JOIN documents d ON l.doc_id = d.doc_id) SELECT round(sum(CASE WHEN a.s > b.s THEN 1.0 WHEN a.s = b.s THEN 0.5 ELSE 0 END) / count(*), 8) AS auc FROM p a JOIN p b ON a.y = 1 AND b.y = 0")
@@ -180,12 +212,12 @@ def a21_auc(t: Tables) -> DataFrame:
 @query(
     "a22_sign_test",
     """WITH b AS (SELECT user_id, count(*) FILTER (value > 50) AS k, count(*) AS n FROM events GROUP BY user_id)
-SELECT user_id, k, n, round(least(1.0, 2 * list_sum(list_transform(range(0, least(k, n - k) + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2))))), 9) AS p FROM b""",
+SELECT user_id, k, n, round(least(1.0, 2 * list_sum(list_transform(range(0, least(k, n - k) + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2))))), 9) AS p, round(least(1.0, list_sum(list_transform(range(k, n + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2))))), 9) AS p_more FROM b""",
 )
 def a22_sign_test(t: Tables) -> DataFrame:
-    """Sign test of each user's values over 50."""
+    """Sign test of each user's values over 50, and the chance of as many or more."""
     by = t("events").groupBy("user_id").agg(F.count_if(F.col("value") > 50).alias("k"), F.count("*").alias("n"))
-    return by.select("user_id", "k", "n", F.round(stats.sign_test(F.col("k"), F.col("n")), 9).alias("p"))
+    return by.select("user_id", "k", "n", F.round(stats.sign_test(F.col("k"), F.col("n")), 9).alias("p"), F.round(stats.binomial_tail(F.col("k"), F.col("n")), 9).alias("p_more"))
 
 
 @query("a23_bootstrap")

@@ -53,9 +53,22 @@ _SUMMARY_SQL = """SELECT usr, count(*) AS trips, count(*) FILTER (closed IS NULL
   round(max(sol_out - sol_in) FILTER (closed IS NOT NULL), 2) AS best, round(min(sol_out - sol_in) FILTER (closed IS NOT NULL), 2) AS worst FROM trips GROUP BY usr"""
 
 
-@query("a13_trip_summary", f"{_TRIPS_SQL} {_SUMMARY_SQL}")
+@query(
+    "a13_trip_summary",
+    f"""{_TRIPS_SQL}, born AS (SELECT mint, min(born) AS born FROM (SELECT o_custkey % (SELECT max(s_suppkey) FROM supplier) + 1 AS mint, epoch_us(CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP)) AS born FROM orders) GROUP BY mint),
+x AS (SELECT t.*, born, t.opened // {30 * DAY} - born // {30 * DAY} AS slots, closed IS NOT NULL AS c, sol_out - sol_in AS pnl, (SELECT arg_min(vsol / vtok, seq) FROM tape p WHERE p.usr = t.usr AND p.mint = t.mint AND p.recv = t.opened AND buy) AS entry FROM trips t LEFT JOIN born ON born.mint = t.mint)
+SELECT usr, count(*) FILTER (c) AS closed_trips, count(*) FILTER (NOT c) AS open_trips, round(sum(pnl) FILTER (c), 2) AS pnl, round(avg((pnl > 0)::INT) FILTER (c), 6) AS win_rate, round(avg(pnl) FILTER (c AND pnl > 0), 7) AS avg_win, round(avg(pnl) FILTER (c AND pnl <= 0), 7) AS avg_loss,
+ round(CASE WHEN sum(-pnl) FILTER (c AND pnl <= 0) > 0 THEN coalesce(sum(pnl) FILTER (c AND pnl > 0), 0) / sum(-pnl) FILTER (c AND pnl <= 0) END, 6) AS profit_factor, round(quantile_cont((closed - opened) / 1e6, 0.5) FILTER (c), 3) AS median_hold_s, round(quantile_cont(sol_in, 0.5) FILTER (c), 4) AS median_size,
+ round(quantile_cont(entry, 0.5) FILTER (c), 6) AS median_entry, round(quantile_cont((opened - born) / 1e6, 0.5) FILTER (c), 3) AS median_age_s, round(avg((n_buys > 1)::INT) FILTER (c), 6) AS share_multi_buy, round(avg((n_sells > 1)::INT) FILTER (c), 6) AS share_multi_sell,
+ round(CASE WHEN sum(pnl) FILTER (c) > 0 THEN max(pnl) FILTER (c) / sum(pnl) FILTER (c) END, 6) AS best_share, round(avg(coalesce(slots = 0, false)::INT) FILTER (c), 6) AS share_first_slot, round(avg(coalesce(slots <= 5, false)::INT) FILTER (c), 6) AS share_near_slots,
+ round(coalesce(sum(pnl) FILTER (c AND slots = 0), 0), 2) AS pnl_first_slot, round(avg((slots IS NOT NULL)::INT) FILTER (c), 6) AS share_known FROM x GROUP BY usr""",
+)
 def a13_trip_summary(t: Tables) -> DataFrame:
-    return trips.summarize(trips.round_trips(prints(t)))
+    """The full summary of every wallet. A token's creation is its first launch, its slots are months."""
+    n = t("supplier").agg(F.max("s_suppkey").alias("k"))  # one row
+    born = t("orders").crossJoin(F.broadcast(n)).groupBy((F.col("o_custkey") % F.col("k") + 1).alias("mint")).agg(F.min(tape.day_of(F.col("o_orderdate"))).alias("born"))
+    rows = prints(t).withColumn("px", F.col("vsol") / F.col("vtok"))
+    return trips.wallet_summary(trips.round_trips(rows, keep="px"), born, 30 * DAY, 5)
 
 
 @query("a14_leaderboard", f"{_TRIPS_SQL} SELECT * FROM ({_SUMMARY_SQL}) WHERE trips - open_trips >= 3 ORDER BY pnl DESC, usr")

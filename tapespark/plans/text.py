@@ -73,19 +73,19 @@ def p8_display_number(t: Tables) -> DataFrame:
     return t("events").select("event_id", F.round(X.display_number(shown), 4).alias("number"))
 
 
-_HELD = "CASE event_type WHEN 'error' THEN 'after a while' WHEN 'view' THEN CAST(CAST(floor(value) AS BIGINT) AS VARCHAR) || 'd ' || CAST(event_id % 24 AS VARCHAR) || 'h' WHEN 'click' THEN CAST(CAST(floor(value) AS BIGINT) AS VARCHAR) || 'mo' ELSE CAST(CAST(floor(value) AS BIGINT) AS VARCHAR) || 'm ' || CAST(CAST(floor(value * 60) AS BIGINT) % 60 AS VARCHAR) || 's' END"
+_HELD = "CASE event_type WHEN 'error' THEN 'after a while' WHEN 'view' THEN CAST(CAST(floor(value) AS BIGINT) AS VARCHAR) || 'd ' || CAST(event_id % 24 AS VARCHAR) || 'h' WHEN 'click' THEN CAST(CAST(floor(value) AS BIGINT) AS VARCHAR) || 'mo' WHEN 'signup' THEN CAST(CAST(floor(value) AS BIGINT) AS VARCHAR) || 'ms' ELSE CAST(CAST(floor(value) AS BIGINT) AS VARCHAR) || 'm ' || CAST(CAST(floor(value * 60) AS BIGINT) % 60 AS VARCHAR) || 's' END"
 
 
 @query(
     "p9_display_duration",
-    f"""WITH s AS (SELECT event_id, {_HELD} AS shown FROM events), n AS (SELECT event_id, shown, regexp_extract_all(shown, '([0-9]+)(mo|[smhdwy])', 1) AS a, regexp_extract_all(shown, '([0-9]+)(mo|[smhdwy])', 2) AS u FROM s)
-SELECT event_id, CASE WHEN len(a) > 0 AND trim(regexp_replace(shown, '([0-9]+)(mo|[smhdwy])', '', 'g')) = '' THEN list_sum(list_transform(range(1, len(a) + 1), lambda i: CAST(a[i] AS DOUBLE) * CASE u[i] WHEN 's' THEN 1 WHEN 'm' THEN 60 WHEN 'h' THEN 3600 WHEN 'd' THEN 86400 WHEN 'mo' THEN 2592000 END)) END AS seconds FROM n""",
+    f"""WITH s AS (SELECT event_id, {_HELD} AS shown FROM events), n AS (SELECT event_id, shown, regexp_extract_all(shown, '([0-9]+)(ms|mo|[smhdwy])', 1) AS a, regexp_extract_all(shown, '([0-9]+)(ms|mo|[smhdwy])', 2) AS u FROM s)
+SELECT event_id, CASE WHEN len(a) > 0 AND trim(regexp_replace(shown, '([0-9]+)(ms|mo|[smhdwy])', '', 'g')) = '' THEN list_sum(list_transform(range(1, len(a) + 1), lambda i: CAST(a[i] AS DOUBLE) * CASE u[i] WHEN 'ms' THEN 0.001::DOUBLE WHEN 's' THEN 1 WHEN 'm' THEN 60 WHEN 'h' THEN 3600 WHEN 'd' THEN 86400 WHEN 'mo' THEN 2592000 END)) END AS seconds FROM n""",
 )
 def p9_display_duration(t: Tables) -> DataFrame:
-    """Durations as shown, in four forms by the kind of event, of which one is none."""
+    """Durations as shown, in five forms by the kind of event, of which one is none."""
     whole = lambda c: F.floor(c).cast("string")
     v, kind = F.col("value"), F.col("event_type")
-    shown = F.when(kind == "error", "after a while").when(kind == "view", F.concat(whole(v), F.lit("d "), (F.col("event_id") % 24).cast("string"), F.lit("h"))).when(kind == "click", F.concat(whole(v), F.lit("mo"))).otherwise(F.concat(whole(v), F.lit("m "), (F.floor(v * 60) % 60).cast("string"), F.lit("s")))
+    shown = F.when(kind == "error", "after a while").when(kind == "view", F.concat(whole(v), F.lit("d "), (F.col("event_id") % 24).cast("string"), F.lit("h"))).when(kind == "click", F.concat(whole(v), F.lit("mo"))).when(kind == "signup", F.concat(whole(v), F.lit("ms"))).otherwise(F.concat(whole(v), F.lit("m "), (F.floor(v * 60) % 60).cast("string"), F.lit("s")))
     return t("events").select("event_id", X.display_duration(shown).alias("seconds"))
 
 
