@@ -117,6 +117,19 @@ def quartiles(rows: DataFrame, value: str, order: list[str]) -> DataFrame:
     return one.select("n", F.when(n > 1, q[1]).alias("q1"), F.when(n > 1, q[2]).otherwise(F.col("only").cast("double")).alias("median"), F.when(n > 1, q[3]).alias("q3"))
 
 
+def quantiles(rows: DataFrame, value: str, points: dict[str, float], by: list[str] | None = None) -> DataFrame:
+    """Exact quantiles per group of ``by``, of which there are few: a column for each of ``points``, between the two nearest values in
+    proportion. Ranks are found by blocks of values, so that no task holds a group."""
+    by = by or []
+    ranked = placed(rows.where(F.col(value).isNotNull()), value, [], by)
+    spot = {n: (F.col("of") - 1) * p for n, p in points.items()}
+    low = {n: F.floor(x) for n, x in spot.items()}
+    ends = [F.max(F.when(F.col("place") == low[n] + k, F.col(value))).alias(f"__{n}{k}") for n in points for k in (1, 2)]
+    found = ranked.groupBy(*by).agg(F.max("of").alias("of"), *ends)
+    between = lambda n: F.col(f"__{n}1") + F.coalesce((F.col(f"__{n}2") - F.col(f"__{n}1")) * (spot[n] - low[n]), F.lit(0.0))
+    return found.select(*by, *(between(n).alias(n) for n in points))
+
+
 def confusion(rows: DataFrame, human: str, model: str) -> DataFrame:
     """(human, model, n) for every pair of labels that either has, zeros included; labels are few."""
     seen = rows.groupBy(F.col(human).alias("human"), F.col(model).alias("model")).agg(F.count("*").alias("n"))
@@ -193,15 +206,29 @@ def lift(rows: DataFrame, outcome: str, groups: dict[str, Column]) -> DataFrame:
     return by.crossJoin(F.broadcast(base)).select("name", "n", "rate", (F.col("rate") / F.nullif(F.col("base"), F.lit(0.0))).alias("lift"))
 
 
+#: The modulus of keyed draws.
+_PRIME = 1_000_003
+
+
+def poisson_limits() -> list[float]:
+    """The chances of 0, of up to 1, ... up to 6 of a count whose mean is 1."""
+    return np.cumsum([np.exp(-1.0) / f for f in (1, 1, 2, 6, 24, 120, 720)]).tolist()
+
+
 def bootstrap_difference(rows: DataFrame, value: str, arm: str, cluster: str, draws: int, seed: int) -> DataFrame:
-    """Difference in means of the two arms and its 5% and 95% points over Poisson resamples of clusters."""
+    """Difference in means of the two arms and its 5% and 95% points over Poisson resamples of clusters. Draws are whole-number
+    arithmetic on the draw's number and the cluster's, so that they are the same everywhere; clusters without a number are hashed."""
     c = rows.groupBy(cluster).agg(*(f(F.when(F.col(arm) == a, F.col(value))).alias(f"{n}{a}") for a in (0, 1) for n, f in (("s", F.sum), ("c", F.count))))
     c = c.select(cluster, *(F.coalesce(F.col(k).cast("double"), F.lit(0.0)).alias(k) for k in ("s0", "c0", "s1", "c1")))
     draw = c.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    u = (F.pmod(F.xxhash64(F.lit(seed), "draw", cluster), F.lit(1_000_003)) + 0.5) / 1_000_003
-    limits = np.cumsum([np.exp(-1.0) / f for f in (1, 1, 2, 6, 24, 120, 720)])
+    whole = c.schema[cluster].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
+    key = F.pmod(F.col(cluster).cast("long") if whole else F.xxhash64(cluster), F.lit(_PRIME))
+    x = F.pmod(key * 104_729 + F.col("draw") * 7_919 + seed, F.lit(_PRIME))
+    for step in (1, 2, 3):
+        x = F.pmod(x * x + F.col("draw") * (15_487 * step) + key, F.lit(_PRIME))
+    u = (x + 0.5) / _PRIME
     k = F.lit(7)
-    for i, edge in reversed(list(enumerate(limits))):
+    for i, edge in reversed(list(enumerate(poisson_limits()))):
         k = F.when(u < float(edge), i).otherwise(k)
     diff = lambda d: F.sum("s1w") / F.nullif(F.sum("c1w"), F.lit(0.0)) - F.sum("s0w") / F.nullif(F.sum("c0w"), F.lit(0.0))
     w = draw.withColumn("k", k).select("draw", *((F.col(x) * F.col("k")).alias(f"{x}w") for x in ("s0", "c0", "s1", "c1")))

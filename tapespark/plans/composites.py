@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import evidence, folds, joins, stats, sweeps, trips
+from ..operators import evidence, folds, joins, scratch, stats, sweeps, trips
 from ..sources import feeds, tape
 from ..sources.tape import DAILY, DAY, LAUNCHES, SECOND, TAPE, TICKS
 from .panels import EVENTS, daily, event_days
@@ -47,7 +47,10 @@ def c2_selection_edge(t: Tables) -> DataFrame:
     one = joins.asof_join(both, states, ["who"], "recv", ["px"], order=["o"]).withColumnRenamed("px", "entry").drop("recv_right").withColumn("recv", F.col("recv") + 30 * DAY)
     two = joins.asof_join(one, states, ["who"], "recv", ["px"], forward=True, order=["o"]).withColumn("ret", F.col("px") / F.col("entry") - 1)
     s = two.groupBy("seq").agg(F.max(F.when(F.col("picked"), F.col("ret"))).alias("own"), F.percentile(F.when(~F.col("picked"), F.col("ret")), 0.5).alias("peers")).where("own IS NOT NULL AND peers IS NOT NULL")
-    return s.agg(F.count("*").alias("n"), F.round(F.percentile(F.col("own") - F.col("peers"), 0.5), 6).alias("median_edge"), F.round(F.avg((F.col("own") > F.col("peers")).cast("double")), 6).alias("better"))
+    s = scratch.written(s.withColumn("edge", F.col("own") - F.col("peers")), "edges")
+    middle = stats.quantiles(s, "edge", {"m": 0.5}).select(F.round("m", 6).alias("median_edge"))
+    out = s.agg(F.count("*").alias("n"), F.round(F.avg((F.col("own") > F.col("peers")).cast("double")), 6).alias("better"))
+    return out.crossJoin(middle)  # one row each
 
 
 @query(
@@ -131,9 +134,10 @@ def c17_path_after_entry(t: Tables) -> DataFrame:
     rows = priced(t)
     e = rows.where("buy").select("mint", "seq", "px", "recv", F.explode(F.array(*(F.lit(x).cast("long") for x in (1, 7, 30)))).alias("days"))
     e = e.withColumnRenamed("px", "entry").withColumn("recv", F.col("recv") + F.col("days") * DAY)
-    x = joins.asof_join(e, rows.select("mint", "recv", "px", F.col("seq").alias("o")), ["mint"], "recv", ["px"], order=["o"])
-    ret = F.col("px") / F.col("entry") - 1
-    return x.groupBy("days").agg(F.count("*").alias("n"), F.round(F.avg(ret), 6).alias("mean"), F.round(F.percentile(ret, 0.5), 6).alias("median"))
+    x = joins.asof_join(e, rows.select("mint", "recv", "px", F.col("seq").alias("o")), ["mint"], "recv", ["px"], order=["o"], block=200 * DAY)
+    x = scratch.written(x.select("days", (F.col("px") / F.col("entry") - 1).alias("ret")), "returns")
+    middle = stats.quantiles(x, "ret", {"m": 0.5}, ["days"]).select("days", F.round("m", 6).alias("median"))
+    return x.groupBy("days").agg(F.count("*").alias("n"), F.round(F.avg("ret"), 6).alias("mean")).join(middle, "days")
 
 
 @query(
@@ -418,7 +422,7 @@ def c41_milestone_events(t: Tables) -> DataFrame:
     w = Window.partitionBy("one").orderBy("day")
     days = days.withColumn("new", F.when(F.col("lo") - F.lag("hi").over(w) <= 2 * DAY, 0).otherwise(1)).withColumn("seg", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     segments = days.groupBy("seg").agg(F.min("lo").alias("event_at"), F.max("hi").alias("hi")).withColumn("one", F.lit(1))
-    hit = joins.asof_join(e.withColumn("one", F.lit(1)), segments, ["one"], "event_at", ["hi"])
+    hit = joins.asof_join(e.withColumn("one", F.lit(1)), segments, ["one"], "event_at", ["hi"], block=100 * DAY)
     return hit.where(F.col("event_at") + DAY <= F.col("hi")).select("mint", "paid_first", "event_at")
 
 

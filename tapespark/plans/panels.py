@@ -220,11 +220,20 @@ def a22_sign_test(t: Tables) -> DataFrame:
     return by.select("user_id", "k", "n", F.round(stats.sign_test(F.col("k"), F.col("n")), 9).alias("p"), F.round(stats.binomial_tail(F.col("k"), F.col("n")), 9).alias("p_more"))
 
 
-@query("a23_bootstrap")
+_POISSON = " ".join(f"WHEN u < {edge!r}::DOUBLE THEN {k}" for k, edge in enumerate(float(x) for x in stats.poisson_limits()))
+
+
+@query(
+    "a23_bootstrap",
+    f"""WITH c AS (SELECT user_id % 1000003 AS key, coalesce(sum(value) FILTER (event_type <> 'purchase'), 0) AS s0, count(value) FILTER (event_type <> 'purchase') AS c0, coalesce(sum(value) FILTER (event_type = 'purchase'), 0) AS s1, count(value) FILTER (event_type = 'purchase') AS c1 FROM events GROUP BY user_id),
+x0 AS (SELECT *, (key * 104729 + draw * 7919 + 7) % 1000003 AS x FROM c, range(1, 501) d(draw)), x1 AS (SELECT * REPLACE ((x * x + draw * 15487 + key) % 1000003 AS x) FROM x0), x2 AS (SELECT * REPLACE ((x * x + draw * 30974 + key) % 1000003 AS x) FROM x1), x3 AS (SELECT *, ((x * x + draw * 46461 + key) % 1000003 + 0.5::DOUBLE) / 1000003 AS u FROM x2),
+k AS (SELECT *, CASE {_POISSON} ELSE 7 END AS k FROM x3), d AS (SELECT draw, sum(s1 * k) / nullif(sum(c1 * k), 0) - sum(s0 * k) / nullif(sum(c0 * k), 0) AS d FROM k GROUP BY draw)
+SELECT round((SELECT sum(s1) / sum(c1) - sum(s0) / sum(c0) FROM c), 8) AS difference, round(quantile_cont(d, 0.05), 8) AS low, round(quantile_cont(d, 0.95), 8) AS high FROM d""",
+)
 def a23_bootstrap(t: Tables) -> DataFrame:
     """Difference in means of two kinds of events and its interval over resampled users."""
     rows = t("events").select("value", F.when(F.col("event_type") == "purchase", 1).otherwise(0).alias("arm"), "user_id")
-    return stats.bootstrap_difference(rows, "value", "arm", "user_id", 500, 7)
+    return stats.bootstrap_difference(rows, "value", "arm", "user_id", 500, 7).select(*(F.round(c, 8).alias(c) for c in ("difference", "low", "high")))
 
 
 @query("a24_imbalance", f"WITH {TICKS}, q AS (SELECT key, t // 21600000000 AS bar, sum(CASE WHEN event_type = 'click' THEN value ELSE 0 END) AS b, sum(value) AS v FROM ticks GROUP BY ALL) SELECT key, bar, round(b / nullif(v, 0), 6) AS imb, round(CASE WHEN count(b / nullif(v, 0)) OVER w >= 3 THEN avg(b / nullif(v, 0)) OVER w END, 6) AS mean FROM q WINDOW w AS (PARTITION BY key ORDER BY bar ROWS 7 PRECEDING)")

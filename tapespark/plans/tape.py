@@ -194,7 +194,7 @@ def j2_asof_backward(t: Tables) -> DataFrame:
     """For every launch the last print of a token at or before it; null before the first."""
     n = t("supplier").agg(F.max("s_suppkey").alias("n"))
     asked = tape.launches(t("orders")).crossJoin(F.broadcast(n)).select("launch", (F.col("creator") % F.col("n") + 1).alias("mint"), "born")
-    return joins.asof_join(asked, prints(t).withColumnRenamed("recv", "born"), ["mint"], "born", ["sol"], order=["seq"])
+    return joins.asof_join(asked, prints(t).withColumnRenamed("recv", "born"), ["mint"], "born", ["sol"], order=["seq"], block=200 * DAY)
 
 
 @query(
@@ -207,7 +207,7 @@ def j3_asof_forward(t: Tables) -> DataFrame:
     """The first print at or after a launch and a latency of 400 ms."""
     n = t("supplier").agg(F.max("s_suppkey").alias("n"))
     asked = tape.launches(t("orders")).crossJoin(F.broadcast(n)).select("launch", (F.col("creator") % F.col("n") + 1).alias("mint"), (F.col("born") + 400_000).alias("born"))
-    return joins.asof_join(asked, prints(t).withColumnRenamed("recv", "born"), ["mint"], "born", ["sol"], forward=True, order=["seq"])
+    return joins.asof_join(asked, prints(t).withColumnRenamed("recv", "born"), ["mint"], "born", ["sol"], forward=True, order=["seq"], block=200 * DAY)
 
 
 @query(
