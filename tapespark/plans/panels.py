@@ -324,10 +324,18 @@ def a35_placebo_rank(t: Tables) -> DataFrame:
     return a.select("arm", F.round("m", 6).alias("m"), F.rank().over(Window.orderBy(F.col("m").desc())).cast("long").alias("r"), F.round((F.sum("m").over(w) - F.col("m")) / (F.count("*").over(w) - 1), 6).alias("others"))
 
 
-@query("a37_poll_coverage", f"WITH {TICKS}, g AS (SELECT key, (t - lag(t) OVER (PARTITION BY key ORDER BY t, event_id)) / 1e6 AS gap, value FROM ticks) SELECT key, round(quantile_cont(gap, 0.5), 4) AS median_gap, round(quantile_cont(gap, 0.95), 4) AS p95_gap, count(*) FILTER (value >= 100) AS high FROM g GROUP BY key")
+@query(
+    "a37_poll_coverage",
+    f"""WITH {TICKS}, g AS (SELECT key, t, value, (t - lag(t) OVER (PARTITION BY key ORDER BY t, event_id)) / 1e6 AS gap FROM ticks), h AS (SELECT key, avg(m) AS hourly FROM (SELECT key, t // 3600000000 AS hour, avg(value) AS m FROM g GROUP BY ALL) GROUP BY key)
+SELECT g.key, round(quantile_cont(gap, 0.5), 4) AS median_gap, round(quantile_cont(gap, 0.95), 4) AS p95_gap, round(any_value(hourly), 7) AS hourly_mean, count(*) FILTER (value >= 50) AS over_50, count(*) FILTER (value >= 100) AS over_100, count(*) FILTER (value >= 200) AS over_200, (max(t) - min(t)) // 1000000 AS on_list_s FROM g JOIN h ON h.key = g.key GROUP BY g.key""",
+)
 def a37_poll_coverage(t: Tables) -> DataFrame:
+    """Per key: gaps between polls, mean of the hourly means, how often the value was over levels, and for how long it was listed."""
     g = tape.ticks(t("events")).withColumn("gap", (F.col("t") - F.lag("t").over(Window.partitionBy("key").orderBy("t", "event_id"))) / 1e6)
-    return g.groupBy("key").agg(F.round(F.percentile("gap", 0.5), 4).alias("median_gap"), F.round(F.percentile("gap", 0.95), 4).alias("p95_gap"), F.count_if(F.col("value") >= 100).alias("high"))
+    hourly = g.groupBy("key", F.floor(F.col("t") / 3_600_000_000).alias("hour")).agg(F.avg("value").alias("m")).groupBy("key").agg(F.round(F.avg("m"), 7).alias("hourly_mean"))
+    levels = [F.count_if(F.col("value") >= v).alias(f"over_{v}") for v in (50, 100, 200)]
+    out = g.groupBy("key").agg(F.round(F.percentile("gap", 0.5), 4).alias("median_gap"), F.round(F.percentile("gap", 0.95), 4).alias("p95_gap"), *levels, F.floor((F.max("t") - F.min("t")) / 1_000_000).alias("on_list_s"))
+    return out.join(hourly, "key")
 
 
 @query("a42_period_stats", "WITH d AS (SELECT event_type, CAST(ts AS DATE) AS day, sum(value - 50) AS x FROM events GROUP BY ALL) SELECT event_type, count(*) AS days, round(avg(x) / stddev_samp(x) * sqrt(count(*)), 6) AS t_stat, round(avg(x) / stddev_samp(x) * sqrt(52), 6) AS sharpe, round(avg(CASE WHEN x > 0 THEN 1.0 ELSE 0 END), 6) AS up FROM d GROUP BY event_type")

@@ -323,15 +323,29 @@ def a44_pattern_wallets(t: Tables) -> DataFrame:
     return p.join(p.groupBy("usr").agg(F.count_distinct("mint").alias("pools")), "usr")
 
 
+_RANKS = {"p10": 0.1, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9}
+
+
 @query(
     "a45_repeats",
-    f"WITH {TICKS}, g AS (SELECT key, t, t - lag(t) OVER (PARTITION BY key ORDER BY t, event_id) AS gap FROM ticks WHERE event_type = 'error'), k AS (SELECT key, count(*) AS n FROM g GROUP BY key) SELECT (SELECT count(*) FROM k) AS keys, (SELECT count(*) FROM k WHERE n >= 2) AS repeated, round(quantile_disc(gap / 60e6, 0.5), 4) AS median_gap_min, round(max(gap) / 60e6, 4) AS longest_min FROM g",
+    f"""WITH {TICKS}, g AS (SELECT key, t, (t - lag(t) OVER (PARTITION BY key ORDER BY t, event_id)) / 60e6 AS gap FROM ticks WHERE event_type = 'error'), k AS (SELECT key, count(*) AS n, min(t) AS first FROM g GROUP BY key), b AS (SELECT key, min(t) AS born FROM ticks GROUP BY key),
+u AS (SELECT 'minutes between' AS what, gap AS x FROM g WHERE gap IS NOT NULL UNION ALL SELECT 'minutes to the first', (first - born) / 60e6 FROM k JOIN b ON b.key = k.key),
+r AS (SELECT *, row_number() OVER (PARTITION BY what ORDER BY x) AS i, count(*) OVER (PARTITION BY what) AS m FROM u)
+SELECT what, max(m) AS n, (SELECT count(*) FROM k) AS keys, (SELECT count(*) FROM k WHERE n >= 2) AS repeated, {", ".join(f"round(max(x) FILTER (i = least(floor({p} * m)::BIGINT + 1, m)), 4) AS {n}" for n, p in _RANKS.items())}, round(max(x), 4) AS longest FROM r GROUP BY what""",
 )
 def a45_repeats(t: Tables) -> DataFrame:
-    g = tape.ticks(t("events")).where("event_type = 'error'").withColumn("gap", (F.col("t") - F.lag("t").over(Window.partitionBy("key").orderBy("t", "event_id"))) / 60e6)
-    by = g.groupBy("key").agg(F.count("*").alias("n")).agg(F.count("*").alias("keys"), F.count_if(F.col("n") >= 2).alias("repeated"))
-    gaps = g.agg(F.expr("round(percentile_disc(0.5) WITHIN GROUP (ORDER BY gap), 4)").alias("median_gap_min"), F.round(F.max("gap"), 4).alias("longest_min"))
-    return by.crossJoin(F.broadcast(gaps))
+    """How many keys have an event, how many repeat it, and by nearest rank the minutes between repeats and from a key's first sight to
+    the event's first one. Ranks are found by blocks."""
+    ticks = tape.ticks(t("events"))
+    g = ticks.where("event_type = 'error'").withColumn("x", (F.col("t") - F.lag("t").over(Window.partitionBy("key").orderBy("t", "event_id"))) / 60e6)
+    k = g.groupBy("key").agg(F.count("*").alias("n"), F.min("t").alias("first"))
+    counts = k.agg(F.count("*").alias("keys"), F.count_if(F.col("n") >= 2).alias("repeated"))
+    born = ticks.groupBy("key").agg(F.min("t").alias("born"))
+    u = g.where("x IS NOT NULL").select(F.lit("minutes between").alias("what"), "x").union(k.join(born, "key").select(F.lit("minutes to the first"), ((F.col("first") - F.col("born")) / 60e6)))
+    r = stats.placed(u, "x", [], ["what"])
+    at = lambda p: F.least(F.floor(p * F.col("of")) + 1, F.col("of"))
+    out = r.groupBy("what").agg(F.max("of").alias("n"), *(F.round(F.max(F.when(F.col("place") == at(p), F.col("x"))), 4).alias(n) for n, p in _RANKS.items()), F.round(F.max("x"), 4).alias("longest"))
+    return out.crossJoin(F.broadcast(counts))  # one row
 
 
 @query("a46_cost_table", "SELECT l_suppkey AS symbol, round(quantile_cont(l_discount, 0.5), 6) AS median_cost, round(quantile_cont(l_discount, 0.9), 6) AS p90_cost, least(quantile_cont(l_quantity, 0.5), quantile_cont(l_tax * 100, 0.5)) AS smaller FROM lineitem GROUP BY l_suppkey")

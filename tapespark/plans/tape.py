@@ -510,12 +510,20 @@ def w21_crash_trigger(t: Tables) -> DataFrame:
 
 @query(
     "w25_largest_sell",
-    f"""WITH {TAPE} SELECT seq, max(CASE WHEN NOT buy THEN sol END) OVER w AS largest_sell, round(max(CASE WHEN NOT buy THEN sol END) OVER w / vsol, 6) AS share FROM tape
-WINDOW w AS (PARTITION BY mint ORDER BY recv RANGE BETWEEN 86399999999 PRECEDING AND CURRENT ROW)""",
+    f"""WITH {TAPE}, p AS (SELECT *, vsol / vtok AS px, lag(vsol / vtok) OVER w AS before, lag(vsol) OVER w AS reserve FROM tape WINDOW w AS (PARTITION BY mint ORDER BY recv, seq)),
+m AS (SELECT mint, seq, px, max(CASE WHEN NOT buy THEN (sol, -recv, -seq, sol / reserve, before, px) END) OVER (PARTITION BY mint ORDER BY recv RANGE BETWEEN 863999999999 PRECEDING AND CURRENT ROW) AS x FROM p)
+SELECT seq, x[1] AS largest_sell, round(x[4], 6) AS share, round(CASE WHEN x[5] > x[6] THEN (px - x[6]) / (x[5] - x[6]) END, 6) AS recovered FROM m""",
 )
 def w25_largest_sell(t: Tables) -> DataFrame:
-    largest = F.max(F.when(~F.col("buy"), F.col("sol"))).over(Window.partitionBy("mint").orderBy("recv").rangeBetween(-DAY + 1, 0))
-    return prints(t).select("seq", largest.alias("largest_sell"), F.round(largest / F.col("vsol"), 6).alias("share"))
+    """The largest sell of the last ten days (the first of equal ones), as a share of the reserve before it, and how much of its fall
+    in price has been made good by now."""
+    line = Window.partitionBy("mint").orderBy("recv", "seq")
+    p = prints(t).withColumn("px", F.col("vsol") / F.col("vtok"))
+    p = p.withColumns({"before": F.lag("px").over(line), "reserve": F.lag("vsol").over(line)})
+    sell = F.struct("sol", (-F.col("recv")).alias("r"), (-F.col("seq")).alias("s"), (F.col("sol") / F.col("reserve")).alias("share"), "before", F.col("px").alias("after"))
+    m = p.withColumn("x", F.max(F.when(~F.col("buy"), sell)).over(Window.partitionBy("mint").orderBy("recv").rangeBetween(-10 * DAY + 1, 0)))
+    fall = F.col("x.before") - F.col("x.after")
+    return m.select("seq", F.col("x.sol").alias("largest_sell"), F.round("x.share", 6).alias("share"), F.round(F.when(fall > 0, (F.col("px") - F.col("x.after")) / fall), 6).alias("recovered"))
 
 
 @query(
