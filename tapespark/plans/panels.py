@@ -128,14 +128,6 @@ def w26_flow_imbalance(t: Tables) -> DataFrame:
     return rows.select("event_id", *out)
 
 
-@query("w29_silence_then_burst", f"WITH {TICKS}, g AS (SELECT *, t - lag(t) OVER w AS gap, lead(t, 2) OVER w - t AS burst FROM ticks WINDOW w AS (PARTITION BY key ORDER BY t, event_id)) SELECT key, min(t) AS first FROM g WHERE gap >= 21600000000 AND burst <= 10800000000 GROUP BY key")
-def w29_silence_then_burst(t: Tables) -> DataFrame:
-    """First time a key is silent for six hours and then has three events in three."""
-    w = Window.partitionBy("key").orderBy("t", "event_id")
-    g = tape.ticks(t("events")).withColumn("gap", F.col("t") - F.lag("t").over(w)).withColumn("burst", F.lead("t", 2).over(w) - F.col("t"))
-    return g.where((F.col("gap") >= 6 * 3600 * SECOND) & (F.col("burst") <= 3 * 3600 * SECOND)).groupBy("key").agg(F.min("t").alias("first"))
-
-
 @query("w15_slot_clock", f"WITH {TICKS}, s AS (SELECT key, event_id AS slot, t / 1e6 - 1704067200 AS sec FROM ticks), r AS (SELECT *, regr_slope(sec, slot) OVER w AS b, regr_intercept(sec, slot) OVER w AS a, count(*) OVER w AS n FROM s WINDOW w AS (PARTITION BY key ORDER BY slot ROWS BETWEEN 50 PRECEDING AND 50 FOLLOWING)) SELECT key, slot, round(a + b * slot + 0.5, 3) AS est FROM r WHERE n >= 3")
 def w15_slot_clock(t: Tables) -> DataFrame:
     """Time of a slot from a local regression of time on slot, half a second added."""

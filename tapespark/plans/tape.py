@@ -508,6 +508,50 @@ def w21_crash_trigger(t: Tables) -> DataFrame:
     return rows.groupBy("mint", "variant").agg(first.alias("first"), F.round(of("fall"), 9).alias("fall"), of("since").alias("since"), of("top").alias("top"), F.round(of("top_sold"), 4).alias("top_sold"), of("buyers").alias("buyers"))
 
 
+_W, _QUIET = 30 * DAY, 15 * DAY
+
+
+@query(
+    "w29_silence_then_burst",
+    f"""WITH {TAPE}, d AS (SELECT mint, arg_min(usr, (recv, seq)) AS dev, min(recv) AS born FROM tape GROUP BY mint),
+p AS (SELECT tape.*, dev, recv - born AS age, vsol / vtok AS px, lag(vsol / vtok) OVER w AS pre, recv - lag(recv) OVER w AS gap, recv - min(recv) OVER (PARTITION BY usr) AS known, buy AND row_number() OVER (PARTITION BY tape.mint, usr, buy ORDER BY recv, seq) = 1 AS fresh,
+ min(CASE WHEN NOT buy THEN (recv, seq) END) OVER (PARTITION BY tape.mint, usr) AS sold FROM tape JOIN d ON d.mint = tape.mint WINDOW w AS (PARTITION BY tape.mint ORDER BY recv, seq)),
+q AS (SELECT *, min((recv, seq, gap)) OVER (PARTITION BY mint ORDER BY recv RANGE BETWEEN {_W} PRECEDING AND CURRENT ROW) AS head, count(*) FILTER (fresh) OVER (PARTITION BY mint ORDER BY recv RANGE BETWEEN {_W} PRECEDING AND CURRENT ROW) AS firsts,
+ min(pre) FILTER (NOT buy AND usr <> dev AND sol >= 50000) OVER (PARTITION BY mint ORDER BY recv RANGE BETWEEN {_W} PRECEDING AND 1 PRECEDING) AS absorbed FROM p),
+k AS (SELECT mint, usr, recv, row_number() OVER (PARTITION BY mint, usr ORDER BY recv) AS i FROM (SELECT mint, usr, recv // {DAY} AS day, min(recv) AS recv FROM p WHERE buy AND usr <> dev AND (sold IS NULL OR (recv, seq) < sold) GROUP BY ALL))
+SELECT mint, 'burst' AS variant, min(recv) AS first FROM q WHERE fresh AND age > {_W} AND head[3] >= {_QUIET} AND firsts >= 2 GROUP BY mint
+UNION ALL SELECT mint, 'whale', min(recv) FROM q WHERE buy AND usr <> dev AND known >= {365 * DAY} AND sol >= 80000 GROUP BY mint
+UNION ALL SELECT mint, 'absorbed', min(recv) FROM q WHERE px > absorbed AND age >= {_W} GROUP BY mint UNION ALL SELECT mint, 'accumulated', min(recv) FROM k WHERE i = 3 GROUP BY mint""",
+)
+def w29_silence_then_burst(t: Tables) -> DataFrame:
+    """A token's first trigger of each kind. Burst: two first-time buyers or more in the thirty days before which it was silent for
+    fifteen. Whale: a large buy of a wallet known for a year. Absorbed: a price above that before a large sell of the thirty days
+    before. Accumulated: a wallet's buys on a third day without a sell before. The creator's prints count for none but bursts."""
+    rows, at, line = prints(t), F.struct("recv", "seq"), Window.partitionBy("mint").orderBy("recv", "seq")
+    d = rows.groupBy("mint").agg(F.min_by("usr", at).alias("dev"), F.min("recv").alias("born"))
+    p = rows.join(d, "mint").withColumns({"age": F.col("recv") - F.col("born"), "px": F.col("vsol") / F.col("vtok")})
+    p = p.withColumns({
+        "pre": F.lag("px").over(line), "gap": F.col("recv") - F.lag("recv").over(line), "known": F.col("recv") - F.min("recv").over(Window.partitionBy("usr")),
+        "fresh": F.col("buy") & (F.row_number().over(Window.partitionBy("mint", "usr", "buy").orderBy("recv", "seq")) == 1),
+        "sold": F.min(F.when(~F.col("buy"), at)).over(Window.partitionBy("mint", "usr")),
+    })
+    near = Window.partitionBy("mint").orderBy("recv").rangeBetween(-_W, 0)
+    other = F.col("usr") != F.col("dev")
+    q = p.withColumns({
+        "head": F.min(F.struct("recv", "seq", "gap")).over(near), "firsts": F.sum(F.col("fresh").cast("long")).over(near),
+        "absorbed": F.min(F.when(~F.col("buy") & other & (F.col("sol") >= 50_000), F.col("pre"))).over(Window.partitionBy("mint").orderBy("recv").rangeBetween(-_W, -1)),
+    })
+    hits = {
+        "burst": F.col("fresh") & (F.col("age") > _W) & (F.col("head.gap") >= _QUIET) & (F.col("firsts") >= 2),
+        "whale": F.col("buy") & other & (F.col("known") >= 365 * DAY) & (F.col("sol") >= 80_000),
+        "absorbed": (F.col("px") > F.col("absorbed")) & (F.col("age") >= _W),
+    }
+    found = q.select("mint", "recv", F.explode(F.array_compact(F.array(*(F.when(c, F.lit(v)) for v, c in hits.items())))).alias("variant"))
+    days = p.where(F.col("buy") & other & (F.col("sold").isNull() | (at < F.col("sold")))).groupBy("mint", "usr", F.floor(F.col("recv") / DAY).alias("day")).agg(F.min("recv").alias("recv"))
+    third = days.withColumn("i", F.row_number().over(Window.partitionBy("mint", "usr").orderBy("recv"))).where("i = 3").select("mint", "recv", F.lit("accumulated").alias("variant"))
+    return found.unionByName(third).groupBy("mint", "variant").agg(F.min("recv").alias("first"))
+
+
 @query(
     "w25_largest_sell",
     f"""WITH {TAPE}, p AS (SELECT *, vsol / vtok AS px, lag(vsol / vtok) OVER w AS before, lag(vsol) OVER w AS reserve FROM tape WINDOW w AS (PARTITION BY mint ORDER BY recv, seq)),
