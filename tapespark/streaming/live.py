@@ -73,10 +73,10 @@ def deduplicate(rows: DataFrame, keys: list[str], event: str, late: str = "10 mi
     return rows.withWatermark(event, late).dropDuplicatesWithinWatermark(keys)
 
 
-def bars(rows: DataFrame, key: str, event: str, value: str, length: str, slide: str | None = None, late: str = "10 minutes") -> DataFrame:
-    """Tumbling or sliding bars per key: n, sum, first and last by time, distinct users approximately."""
+def bars(rows: DataFrame, key: str, event: str, value: str, length: str, slide: str | None = None, late: str = "10 minutes", user: str | None = None) -> DataFrame:
+    """Tumbling or sliding bars per key: n, sum, first and last by time, and with ``user`` about how many distinct ones (users)."""
     w = F.window(event, length, slide) if slide else F.window(event, length)
-    return rows.withWatermark(event, late).groupBy(w.alias("w"), key).agg(F.count("*").alias("n"), F.sum(value).alias("total"), F.min_by(value, event).alias("first"), F.max_by(value, event).alias("last")).select(key, F.col("w.start").alias("start"), "n", "total", "first", "last")
+    return rows.withWatermark(event, late).groupBy(w.alias("w"), key).agg(F.count("*").alias("n"), F.sum(value).alias("total"), F.min_by(value, event).alias("first"), F.max_by(value, event).alias("last"), *([F.approx_count_distinct(user).alias("users")] if user else [])).select(key, F.col("w.start").alias("start"), "n", "total", "first", "last", *(["users"] if user else []))
 
 
 def sessions(rows: DataFrame, key: str, event: str, gap: str, late: str = "10 minutes") -> DataFrame:

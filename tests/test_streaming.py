@@ -172,6 +172,7 @@ def test_bars_and_sessions(spark, tmp_path):
     got = run(spark, live.bars(s, "key", "ts", "value", "5 minutes"), "complete")
     want = rows.groupBy("key", F.window("ts", "5 minutes").start.alias("start")).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     assert sorted(got.select("key", "start", "n", "total").collect()) == sorted(want.collect())
+    assert {r["users"] for r in live.bars(rows.withColumn("u", F.lit(1)), "key", "ts", "value", "5 minutes", user="u").collect()} == {1}
     got = run(spark, live.sessions(s, "key", "ts", "20 minutes"), "complete")
     assert sorted(r["n"] for r in got.collect()) == [33, 33, 33, 33, 34, 34]
 
