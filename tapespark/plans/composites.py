@@ -96,22 +96,6 @@ def c9_first_exit_trigger(t: Tables) -> DataFrame:
     return hits.groupBy("mint").agg(F.min("recv").alias("entered"), F.min_by("first_sell", at).alias("first_sell"), F.round(F.min_by("px", at), 6).alias("px"))
 
 
-@query(
-    "c13_fixed_age_snapshots",
-    f"""WITH {TAPE}, b AS (SELECT mint, min(recv) AS t0 FROM tape GROUP BY mint), s AS (SELECT mint, t0 + age * 86400000000::BIGINT AS t, CAST(age AS BIGINT) AS age FROM b, (VALUES (10), (100), (300)) v(age))
-SELECT s.mint, s.age, count(*) AS prints, count(*) FILTER (buy) AS buys, round(sum(sol), 2) AS volume, round(arg_max({_PX}, (recv, seq)), 6) AS price, round((SELECT arg_min({_PX}, (q.recv, q.seq)) FROM tape q WHERE q.mint = s.mint AND q.recv >= any_value(s.t) + 2592000000000), 6) AS later
-FROM s JOIN tape p ON p.mint = s.mint AND p.recv > s.t - 2592000000000 AND p.recv <= s.t GROUP BY s.mint, s.age""",
-)
-def c13_fixed_age_snapshots(t: Tables) -> DataFrame:
-    """Features of every token at fixed ages over (t - 30 days, t], with the price a month later as outcome."""
-    rows = priced(t)
-    ages = rows.groupBy("mint").agg(F.min("recv").alias("t0")).select("mint", F.explode(F.array(*(F.lit(x).cast("long") for x in (10, 100, 300)))).alias("age"), "t0").withColumn("t", F.col("t0") + F.col("age") * DAY).drop("t0")
-    w = joins.range_join(ages, rows, ["mint"], "t", "recv", -30 * DAY + 1, 0)
-    f = w.groupBy("mint", "age", "t").agg(F.count("*").alias("prints"), F.count_if("buy").alias("buys"), F.round(F.sum("sol"), 2).alias("volume"), F.round(F.max_by("px", F.struct("recv", "seq")), 6).alias("price"))
-    later = joins.asof_join(f.withColumn("t", F.col("t") + 30 * DAY), rows.select("mint", F.col("recv").alias("t"), "px", F.col("seq").alias("o")), ["mint"], "t", ["px"], forward=True, order=["o"])
-    return later.select("mint", "age", "prints", "buys", "volume", "price", F.round("px", 6).alias("later"))
-
-
 @query(
     "c16_cross_fitted_triggers",
     f"""WITH {TAPE}, b AS (SELECT *, mint % 2 AS fold FROM tape WHERE buy), l AS (SELECT fold, usr FROM b GROUP BY ALL HAVING avg(sol) > 38000 AND count(*) >= 3)

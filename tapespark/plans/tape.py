@@ -296,26 +296,6 @@ def c3_event_study(t: Tables) -> DataFrame:
     return w.select("usr", "mint", "opened", change("sum", 0, 1).alias("flow_before"), change("sum", 1, 2).alias("flow_week"), change("sum", 1, 3).alias("flow_month"), F.round(F.col("px2") / F.col("px1") - 1, 6).alias("ret_week"), F.round(F.col("px3") / F.col("px1") - 1, 6).alias("ret_month"))
 
 
-_ANCHORS = "anchors AS (SELECT 788918400000000 + i * 2592000000000 AS t FROM range(36) r(i))"
-
-
-@query(
-    "c5_snapshot_features",
-    f"""WITH {TAPE}, {_ANCHORS}, w AS (SELECT a.t, p.* FROM anchors a JOIN tape p ON p.recv >= a.t - 604800000000 AND p.recv < a.t)
-SELECT t, mint, count(*) AS prints, count(*) FILTER (buy) AS buys, count(*) FILTER (NOT buy) AS sells, round(sum(CASE WHEN buy THEN sol ELSE -sol END), 2) AS net_flow, count(DISTINCT CASE WHEN buy THEN usr END) AS buyers,
- round(max(sol), 2) AS largest, round(arg_max(vsol / vtok, (recv, seq)), 6) AS price, round(arg_max(vsol / vtok, (recv, seq)) / arg_min(vsol / vtok, (recv, seq)) - 1, 6) AS ret, round((t - max(recv)) / 1e6, 3) AS idle_s FROM w GROUP BY t, mint""",
-)
-def c5_snapshot_features(t: Tables) -> DataFrame:
-    """Features of every token active in [t - week, t), at many times in one group-by."""
-    anchors = t.spark.range(36).select((F.lit(788_918_400_000_000) + F.col("id") * 30 * DAY).alias("t"))
-    w = joins.range_join(anchors, prints(t), [], "t", "recv", -7 * DAY, -1)
-    px, born = F.col("vsol") / F.col("vtok"), F.struct("recv", "seq")
-    return w.groupBy("t", "mint").agg(
-        F.count("*").alias("prints"), F.count_if("buy").alias("buys"), F.count_if(~F.col("buy")).alias("sells"), F.round(F.sum(F.when(F.col("buy"), F.col("sol")).otherwise(-F.col("sol"))), 2).alias("net_flow"),
-        F.count_distinct(F.when(F.col("buy"), F.col("usr"))).alias("buyers"), F.round(F.max("sol"), 2).alias("largest"), F.round(F.max_by(px, born), 6).alias("price"), F.round(F.max_by(px, born) / F.min_by(px, born) - 1, 6).alias("ret"), F.round((F.col("t") - F.max("recv")) / 1e6, 3).alias("idle_s"),
-    )
-
-
 @query(
     "c6_choice_sets",
     f"""WITH {TAPE}, picks AS (SELECT seq AS pick, mint AS picked, recv - 1000000 AS t FROM tape WHERE buy),
@@ -330,24 +310,6 @@ def c6_choice_sets(t: Tables) -> DataFrame:
     return sets.withColumn("has", F.bool_or("is_pick").over(Window.partitionBy("pick"))).where("has")
 
 
-@query(
-    "c7_structure",
-    f"""WITH {TAPE}, b AS (SELECT mint, usr, sum(CASE WHEN buy THEN tok ELSE -tok END) AS pos, min(recv) AS first, sum(CASE WHEN buy THEN sol ELSE 0 END) AS put FROM tape WHERE recv < 820454400000000 GROUP BY ALL),
-r AS (SELECT *, row_number() OVER (PARTITION BY mint ORDER BY pos DESC, usr) AS r, row_number() OVER (PARTITION BY mint ORDER BY first, usr) AS f FROM b)
-SELECT mint, count(*) FILTER (pos > 1) AS holders, round(sum(CASE WHEN r <= 10 AND pos > 0 THEN pos ELSE 0 END) / nullif(sum(CASE WHEN pos > 0 THEN pos ELSE 0 END), 0), 6) AS top10, count(*) AS wallets, round(sum(put) FILTER (f <= 5), 2) AS early_put,
- round(sum(CASE WHEN f <= 5 AND pos > 0 THEN pos ELSE 0 END), 2) AS early_held FROM r GROUP BY mint""",
-)
-def c7_structure(t: Tables) -> DataFrame:
-    """Holders, top-ten share, and what the first wallets put in and still hold."""
-    signed = F.when(F.col("buy"), F.col("tok")).otherwise(-F.col("tok"))
-    b = prints(t).where("recv < 820454400000000").groupBy("mint", "usr").agg(F.sum(signed).alias("pos"), F.min("recv").alias("first"), F.sum(F.when(F.col("buy"), F.col("sol")).otherwise(0.0)).alias("put"))
-    w = Window.partitionBy("mint")
-    r = b.withColumn("r", F.row_number().over(w.orderBy(F.col("pos").desc(), "usr"))).withColumn("f", F.row_number().over(w.orderBy("first", "usr")))
-    up = F.when(F.col("pos") > 0, F.col("pos")).otherwise(0.0)
-    s = lambda c, x: F.sum(F.when(c, x).otherwise(0.0))
-    return r.groupBy("mint").agg(F.count_if(F.col("pos") > 1).alias("holders"), F.round(s(F.col("r") <= 10, up) / F.nullif(F.sum(up), F.lit(0.0)), 6).alias("top10"), F.count("*").alias("wallets"), F.round(F.sum(F.when(F.col("f") <= 5, F.col("put"))), 2).alias("early_put"), F.round(s(F.col("f") <= 5, up), 2).alias("early_held"))
-
-
 @query("f6_top_holders", f"WITH {TAPE}, b AS (SELECT mint, usr, sum(CASE WHEN buy THEN tok ELSE -tok END) AS pos FROM tape GROUP BY ALL) SELECT mint, usr, pos, r FROM (SELECT *, row_number() OVER (PARTITION BY mint ORDER BY pos DESC, usr) AS r FROM b) WHERE r <= 10")
 def f6_top_holders(t: Tables) -> DataFrame:
     b = prints(t).groupBy("mint", "usr").agg(F.sum(F.when(F.col("buy"), F.col("tok")).otherwise(-F.col("tok"))).alias("pos"))

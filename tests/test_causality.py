@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tapespark import plans
-from tapespark.plans import composites, tape
+from tapespark.plans import composites, snapshots, tape
 from tapespark.plans.registry import Tables
 
 SF = "/root/testdata/sf0.001"
@@ -24,6 +24,7 @@ class Cut(Tables):
 
 #: A trigger's plan and the column of its time; what is known later (buyers after a crash) is left out.
 TRIGGERS = {
+    "c5": (snapshots.c5_snapshot_features, "t", []),
     "c8": (composites.c8_hot_trigger, "first", []),
     "c9": (composites.c9_first_exit_trigger, "entered", []),
     "c26": (composites.c26_first_trigger_per_variant, "first", []),
