@@ -107,8 +107,79 @@ def fingerprint(rows: DataFrame, by: list[str], order: list[str], columns: list[
     return rows.groupBy(*by).agg(F.count("*").alias("n"), ordered.alias("__all")).select(*by, "n", F.sha2(F.array_join(F.transform("__all", lambda x: x["__own"]), ""), 256).alias("fingerprint"))
 
 
-def split_problems(splits: DataFrame, name: str, start: str, end: str) -> DataFrame:
-    """Splits that are empty, or begin before one that began earlier has ended. A handful of rows, so in one window."""
-    before = F.max(end).over(Window.orderBy(start, name).rowsBetween(Window.unboundedPreceding, -1))
-    bad = F.when(F.col(start) >= F.col(end), "empty").when(before > F.col(start), "overlaps")
-    return splits.select(name, bad.alias("problem")).where("problem IS NOT NULL")
+def finding_problems(findings: DataFrame, links: DataFrame, targets: DataFrame) -> DataFrame:
+    """(finding, problem): what the evidence of each finding lacks by the rules of its type.
+
+    ``findings``: finding, etype, trader, n_supporting, n_observable, synthetic. ``links``: finding, kind, id, relation. ``targets``,
+    all that links may point to: kind, id, modality and trader (observation), etype (finding), split and synthetic (sim_run).
+    Stated ones need words that support them, of their own trader; observed ones a decision or something seen, and both counts
+    in order; inferred ones a stated or observed finding behind them; validated ones a run on validation or holdout data, not a
+    synthetic one unless they are synthetic, and a finding behind them. A link to nothing is a problem of every type.
+    """
+    there = targets.select("kind", "id", F.struct("modality", F.col("trader").alias("who"), F.col("etype").alias("type"), "split", F.col("synthetic").alias("made")).alias("x"))
+    met = links.join(there, ["kind", "id"], "left")
+    missing = met.where("x IS NULL").select("finding", F.concat_ws(" ", F.lit("links missing"), "kind", F.col("id").cast("string")).alias("problem")).distinct()
+    kind = lambda name, relation: (F.col("kind") == name) & (F.col("relation") == relation) & F.col("x").isNotNull()
+    n = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
+    own = findings.select("finding", F.col("trader").alias("of"), F.col("synthetic").alias("free"))
+    said = kind("observation", "supports") & (F.col("x.modality") == "said")
+    run = kind("sim_run", "validated_by") & F.col("x.split").isin("validation", "holdout") & (~F.coalesce(F.col("x.made"), F.lit(False)) | F.coalesce(F.col("free"), F.lit(False)))
+    base = kind("finding", "derived_from")
+    counts = met.join(own, "finding").groupBy("finding").agg(
+        n(said).alias("said"), n(said & F.col("of").isNotNull() & ~F.col("x.who").eqNullSafe(F.col("of"))).alias("foreign"),
+        n((F.col("kind") == "decision") & (F.col("relation") == "supports") | kind("observation", "supports") & F.col("x.modality").isin("screen", "action", "onchain")).alias("seen"),
+        n(run).alias("runs"), n(base & F.col("x.type").isin("stated", "observed")).alias("on_facts"), n(base & F.col("x.type").isin("stated", "observed", "inferred")).alias("on_any"),
+    )
+    f = findings.join(counts, "finding", "left").fillna(0, ["said", "foreign", "seen", "runs", "on_facts", "on_any"])
+    of = lambda name, bad: (F.col("etype") == name) & bad
+    unknown = F.col("n_supporting").isNull() | F.col("n_observable").isNull()
+    rules = {
+        "no words that support it": of("stated", F.col("said") == 0),
+        "words of another trader": of("stated", F.col("foreign") > 0),
+        "no decision and nothing seen": of("observed", F.col("seen") == 0),
+        "no counts": of("observed", unknown),
+        "counts out of order": of("observed", ~F.col("n_supporting").between(0, F.col("n_observable"))),
+        "derived from no stated or observed finding": of("inferred", F.col("on_facts") == 0),
+        "no run on validation or holdout data": of("validated", F.col("runs") == 0),
+        "derived from no finding": of("validated", F.col("on_any") == 0),
+    }
+    return violations(f, "finding", rules).unionByName(missing)
+
+
+def hypothesis_problems(hypotheses: DataFrame, basis: DataFrame, findings: DataFrame) -> DataFrame:
+    """(hypothesis, problem): basis findings that are gone, and roots (no parent) that rest on none. ``basis``: hypothesis, finding."""
+    known = findings.select("finding", F.lit(True).alias("there")).distinct()
+    counts = basis.join(known, "finding", "left").groupBy("hypothesis").agg(F.count("*").alias("n"), F.count_if(F.col("there").isNull()).alias("gone"))
+    h = hypotheses.select("hypothesis", "parent").join(counts, "hypothesis", "left").fillna(0, ["n", "gone"])
+    lost = h.where("gone > 0").select("hypothesis", F.concat_ws(" ", F.col("gone").cast("string"), F.lit("basis findings are gone")).alias("problem"))
+    return violations(h, "hypothesis", {"a root without basis": F.col("parent").isNull() & (F.col("n") == F.col("gone"))}).unionByName(lost)
+
+
+#: The splits of a set, in order of time.
+SPLITS = ("train", "validation", "holdout")
+
+
+def split_problems(splits: DataFrame, by: str, name: str, start: str, end: str) -> DataFrame:
+    """(by, problem) of sets of splits: one that is not exactly the three, a split without length, one that begins before the one
+    before it has ended. A set is a few rows, taken as one array of what is wanted."""
+    every = splits.groupBy(by).agg(F.count("*").alias("n"), *(F.max(F.when(F.col(name) == s, F.struct(F.col(start).alias("lo"), F.col(end).alias("hi")))).alias(s) for s in SPLITS))
+    whole = (F.col("n") == 3) & F.col("train").isNotNull() & F.col("validation").isNotNull() & F.col("holdout").isNotNull()
+    rules = {"not the three splits": ~whole}
+    rules |= {f"{s} has no length": whole & (F.col(s)["hi"] <= F.col(s)["lo"]) for s in SPLITS}
+    rules |= {f"{b} begins before {a} ends": whole & (F.col(b)["lo"] < F.col(a)["hi"]) for a, b in zip(SPLITS, SPLITS[1:], strict=False)}
+    return violations(every, by, rules)
+
+
+def holdout_log(runs: DataFrame, by: str, order: list[str], criteria: list[tuple[str, str, float]]) -> DataFrame:
+    """``runs`` on holdouts with ``action``, ``reason`` and ``failed``: the first run of a set (the holdout is used up by it) is
+    evaluated and passes if all (column, operator, value) hold, the criteria that it fails in ``failed``; all later ones are refused.
+    A column that is null fails."""
+    if not criteria:
+        raise ValueError("criteria are registered before the holdout is seen")
+    tests = {">": "__gt__", ">=": "__ge__", "<": "__lt__", "<=": "__le__"}
+    checks = F.array(*(F.when(~F.coalesce(getattr(F.col(c), tests[op])(value), F.lit(False)), F.lit(f"{c} {op} {value}")) for c, op, value in criteria))
+    first = runs.groupBy(by).agg(F.min(F.struct(*order)).alias("__first"))
+    r = runs.join(first, by).withColumn("__is", F.struct(*order) == F.col("__first")).withColumn("failed", F.when(F.col("__is"), F.filter(checks, lambda m: m.isNotNull())))
+    action = F.when(F.col("__is"), "evaluated").otherwise("refused")
+    reason = F.when(~F.col("__is"), "already used").when(F.size("failed") == 0, "passed").otherwise("failed")
+    return r.withColumn("action", action).withColumn("reason", reason).drop("__first", "__is")

@@ -461,15 +461,46 @@ def hourly_basis(rows: DataFrame) -> DataFrame:
     return raw.withColumn("med", F.when(F.count("*").over(w) == 24, F.percentile("x", 0.5).over(w)))
 
 
+_FINDINGS = """f AS (SELECT c_custkey AS finding, ['stated', 'observed', 'inferred', 'validated'][c_custkey % 4 + 1] AS etype, CASE WHEN c_acctbal > 1000 THEN c_nationkey END AS trader, CASE WHEN c_acctbal > 0 THEN c_custkey % 9 END AS n_supporting, c_nationkey AS n_observable, c_acctbal < 500 AS synthetic FROM customer),
+l AS (SELECT o_custkey AS finding, ['observation', 'decision', 'finding', 'sim_run'][o_orderkey % 4 + 1] AS kind, CASE o_orderkey % 4 WHEN 2 THEN o_orderkey % 2000 WHEN 3 THEN o_orderkey % 120 ELSE o_orderkey END AS id,
+ CASE WHEN o_orderkey % 4 < 2 THEN CASE WHEN o_orderstatus = 'P' THEN 'contradicts' ELSE 'supports' END WHEN o_orderkey % 4 = 2 THEN 'derived_from' ELSE 'validated_by' END AS relation FROM orders),
+g AS (SELECT 'observation' AS kind, event_id AS id, CASE event_type WHEN 'click' THEN 'said' WHEN 'view' THEN 'screen' ELSE 'action' END AS modality, user_id % 25 AS who, NULL AS type, NULL AS split, NULL AS made FROM events
+ UNION ALL SELECT 'decision', p_partkey, NULL, NULL, NULL, NULL, NULL FROM part UNION ALL SELECT 'finding', finding, NULL, NULL, etype, NULL, NULL FROM f
+ UNION ALL SELECT 'sim_run', s_suppkey, NULL, NULL, NULL, ['train', 'validation', 'holdout'][s_suppkey % 3 + 1], s_acctbal < 2000 FROM supplier),
+m AS (SELECT l.*, g.id IS NOT NULL AS there, modality, who, type, split, made FROM l LEFT JOIN g ON g.kind = l.kind AND g.id = l.id),
+c AS (SELECT f.*, count(*) FILTER (kind = 'observation' AND relation = 'supports' AND modality = 'said') AS said, count(*) FILTER (kind = 'observation' AND relation = 'supports' AND modality = 'said' AND trader IS NOT NULL AND who IS DISTINCT FROM trader) AS other,
+ count(*) FILTER (kind = 'decision' AND relation = 'supports' OR kind = 'observation' AND relation = 'supports' AND modality IN ('screen', 'action', 'onchain')) AS seen, count(*) FILTER (kind = 'sim_run' AND split IN ('validation', 'holdout') AND (NOT made OR synthetic)) AS runs,
+ count(*) FILTER (kind = 'finding' AND type IN ('stated', 'observed')) AS facts, count(*) FILTER (kind = 'finding' AND type IN ('stated', 'observed', 'inferred')) AS behind FROM f LEFT JOIN m ON m.finding = f.finding GROUP BY ALL),
+h AS (SELECT p_partkey AS hypothesis, CASE WHEN p_partkey % 2 = 1 THEN p_partkey // 2 END AS parent, count(l_orderkey) AS n, count(l_orderkey) FILTER (NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = l_orderkey % 2000)) AS gone FROM part LEFT JOIN lineitem ON l_partkey = p_partkey AND l_linenumber = 1 GROUP BY ALL)"""
+
+
 @query(
     "e7_finding_rules",
-    "WITH l AS (SELECT o_custkey AS finding, count(*) FILTER (o_orderstatus = 'F') AS supports, count(*) FILTER (o_orderstatus = 'P') AS against FROM orders GROUP BY 1) SELECT finding, 'too little support' AS problem FROM l WHERE supports < 3 UNION ALL SELECT finding, 'contradicted' FROM l WHERE against > 2",
+    f"""WITH {_FINDINGS} SELECT finding AS id, 'finding' AS item, 'no words that support it' AS problem FROM c WHERE etype = 'stated' AND said = 0 UNION ALL SELECT finding, 'finding', 'words of another trader' FROM c WHERE etype = 'stated' AND other > 0
+UNION ALL SELECT finding, 'finding', 'no decision and nothing seen' FROM c WHERE etype = 'observed' AND seen = 0 UNION ALL SELECT finding, 'finding', 'no counts' FROM c WHERE etype = 'observed' AND (n_supporting IS NULL OR n_observable IS NULL)
+UNION ALL SELECT finding, 'finding', 'counts out of order' FROM c WHERE etype = 'observed' AND n_supporting NOT BETWEEN 0 AND n_observable UNION ALL SELECT finding, 'finding', 'derived from no stated or observed finding' FROM c WHERE etype = 'inferred' AND facts = 0
+UNION ALL SELECT finding, 'finding', 'no run on validation or holdout data' FROM c WHERE etype = 'validated' AND runs = 0 UNION ALL SELECT finding, 'finding', 'derived from no finding' FROM c WHERE etype = 'validated' AND behind = 0
+UNION ALL SELECT DISTINCT finding, 'finding', 'links missing ' || kind || ' ' || id FROM m WHERE NOT there
+UNION ALL SELECT hypothesis, 'hypothesis', gone || ' basis findings are gone' FROM h WHERE gone > 0 UNION ALL SELECT hypothesis, 'hypothesis', 'a root without basis' FROM h WHERE parent IS NULL AND n = gone""",
 )
 def e7_finding_rules(t: Tables) -> DataFrame:
-    """Problems of findings by the number and kind of their links."""
-    s = F.col("o_orderstatus")
-    l = t("orders").groupBy(F.col("o_custkey").alias("finding")).agg(F.count_if(s == "F").alias("supports"), F.count_if(s == "P").alias("against"))
-    return evidence.violations(l, "finding", {"too little support": F.col("supports") < 3, "contradicted": F.col("against") > 2})
+    """Problems of findings by the rules of their type, and of hypotheses by their basis. Findings are customers and their links
+    orders, which point to events, parts, customers and suppliers; hypotheses are parts, their basis the first lines of orders."""
+    pick = lambda c, *names: F.element_at(F.array(*(F.lit(n) for n in names)), (c % len(names) + 1).cast("int"))
+    cust, bal, o = F.col("c_custkey"), F.col("c_acctbal"), F.col("o_orderkey")
+    f = t("customer").select(cust.alias("finding"), pick(cust, "stated", "observed", "inferred", "validated").alias("etype"), F.when(bal > 1000, F.col("c_nationkey")).cast("long").alias("trader"), F.when(bal > 0, cust % 9).alias("n_supporting"), F.col("c_nationkey").alias("n_observable"), (bal < 500).alias("synthetic"))
+    relation = F.when(o % 4 < 2, F.when(F.col("o_orderstatus") == "P", "contradicts").otherwise("supports")).when(o % 4 == 2, "derived_from").otherwise("validated_by")
+    links = t("orders").select(F.col("o_custkey").alias("finding"), pick(o, "observation", "decision", "finding", "sim_run").alias("kind"), F.when(o % 4 == 2, o % 2000).when(o % 4 == 3, o % 120).otherwise(o).alias("id"), relation.alias("relation"))
+    kind, none = F.col("event_type"), {c: F.lit(None).cast(k).alias(c) for c, k in (("modality", "string"), ("trader", "long"), ("etype", "string"), ("split", "string"), ("synthetic", "boolean"))}
+    target = lambda df, name, key, **has: df.select(F.lit(name).alias("kind"), F.col(key).alias("id"), *(has[c].alias(c) if c in has else x for c, x in none.items()))
+    targets = target(t("events"), "observation", "event_id", modality=F.when(kind == "click", "said").when(kind == "view", "screen").otherwise("action"), trader=F.col("user_id") % 25)
+    targets = targets.unionByName(target(t("part"), "decision", "p_partkey")).unionByName(target(f, "finding", "finding", etype=F.col("etype")))
+    targets = targets.unionByName(target(t("supplier"), "sim_run", "s_suppkey", split=pick(F.col("s_suppkey"), *evidence.SPLITS), synthetic=F.col("s_acctbal") < 2000))
+    part = F.col("p_partkey")
+    hypotheses = t("part").select(part.alias("hypothesis"), F.when(part % 2 == 1, F.floor(part / 2)).alias("parent"))
+    basis = t("lineitem").where("l_linenumber = 1").select(F.col("l_partkey").alias("hypothesis"), (F.col("l_orderkey") % 2000).alias("finding"))
+    found = evidence.finding_problems(f, links, targets).select(F.col("finding").alias("id"), F.lit("finding").alias("item"), "problem")
+    return found.unionByName(evidence.hypothesis_problems(hypotheses, basis, f).select(F.col("hypothesis").alias("id"), F.lit("hypothesis").alias("item"), "problem"))
 
 
 @query(

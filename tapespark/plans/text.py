@@ -351,16 +351,37 @@ def e17_fingerprint(t: Tables) -> DataFrame:
     return evidence.fingerprint(rows, ["day"], ["event_id"], ["event_id", "key", "event_type", "t"])
 
 
+#: 1998-01-01 and 2000-01-01.
+_FIRST_CUT, _SECOND_CUT = 883_612_800_000_000, 946_684_800_000_000
+_SPLITS = f"""d AS (SELECT o_custkey AS split_set, o_orderkey AS run, o_totalprice AS price, epoch_us(CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP)) AS t, o_orderstatus AS status FROM orders),
+s AS (SELECT split_set, CASE WHEN t < {_FIRST_CUT} THEN 'train' WHEN t < {_SECOND_CUT} THEN 'validation' ELSE 'holdout' END AS name, min(t) AS lo, max(t) + CASE WHEN count(*) > 1 THEN (max(split_set) % 300) * 86400000000 ELSE 0 END AS hi FROM d GROUP BY ALL),
+w AS (SELECT split_set, count(*) AS n, any_value(lo) FILTER (name = 'train') AS lo1, any_value(hi) FILTER (name = 'train') AS hi1, any_value(lo) FILTER (name = 'validation') AS lo2, any_value(hi) FILTER (name = 'validation') AS hi2, any_value(lo) FILTER (name = 'holdout') AS lo3, any_value(hi) FILTER (name = 'holdout') AS hi3 FROM s GROUP BY split_set)"""
+
+
 @query(
     "e18_split_checks",
-    f"""WITH {TICKS}, s AS (SELECT event_type AS name, min(t) AS lo, max(t) AS hi FROM ticks GROUP BY 1 UNION ALL SELECT 'none', 5, 5), o AS (SELECT *, max(hi) OVER (ORDER BY lo, name ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM s)
-SELECT name, CASE WHEN lo >= hi THEN 'empty' WHEN before > lo THEN 'overlaps' END AS problem FROM o WHERE lo >= hi OR before > lo""",
+    f"""WITH {_SPLITS} SELECT split_set, 'not the three splits' AS problem FROM w WHERE n <> 3 UNION ALL SELECT split_set, 'train has no length' FROM w WHERE n = 3 AND hi1 <= lo1 UNION ALL SELECT split_set, 'validation has no length' FROM w WHERE n = 3 AND hi2 <= lo2
+UNION ALL SELECT split_set, 'holdout has no length' FROM w WHERE n = 3 AND hi3 <= lo3 UNION ALL SELECT split_set, 'validation begins before train ends' FROM w WHERE n = 3 AND lo2 < hi1 UNION ALL SELECT split_set, 'holdout begins before validation ends' FROM w WHERE n = 3 AND lo3 < hi2""",
 )
 def e18_split_checks(t: Tables) -> DataFrame:
-    """The spans of the kinds of events taken as splits, and one without length: which are empty or begin before another has ended."""
-    splits = tape.ticks(t("events")).groupBy(F.col("event_type").alias("name")).agg(F.min("t").alias("start"), F.max("t").alias("end"))
-    splits = splits.union(splits.limit(1).select(F.lit("none"), F.lit(5).cast("long"), F.lit(5).cast("long")))
-    return evidence.split_problems(splits, "name", "start", "end")
+    """Customers' orders before, between and after two days taken as sets of splits, each with an embargo: which sets are not the
+    three splits one after the other."""
+    at = tape.day_of(F.col("o_orderdate"))
+    name = F.when(at < _FIRST_CUT, "train").when(at < _SECOND_CUT, "validation").otherwise("holdout")
+    spans = t("orders").groupBy(F.col("o_custkey").alias("split_set"), name.alias("name")).agg(F.min(at).alias("start"), F.max(at).alias("last"), F.count("*").alias("n"))
+    spans = spans.withColumn("end", F.col("last") + F.when(F.col("n") > 1, F.col("split_set") % 300 * tape.DAY).otherwise(0))
+    return evidence.split_problems(spans, "split_set", "name", "start", "end")
+
+
+@query(
+    "e18_holdout_once",
+    f"""WITH {_SPLITS}, r AS (SELECT *, row_number() OVER (PARTITION BY split_set ORDER BY t, run) = 1 AS first FROM d WHERE status = 'F' AND t >= {_SECOND_CUT})
+SELECT split_set, run, CASE WHEN first THEN 'evaluated' ELSE 'refused' END AS action, CASE WHEN NOT first THEN 'already used' WHEN price > 100000 AND price <= 400000 THEN 'passed' ELSE 'failed' END AS reason FROM r""",
+)
+def e18_holdout_once(t: Tables) -> DataFrame:
+    """Runs on a set's holdout: the first is held against criteria registered before, all later ones are refused."""
+    runs = t("orders").select(F.col("o_custkey").alias("split_set"), F.col("o_orderkey").alias("run"), F.col("o_totalprice").alias("price"), tape.day_of(F.col("o_orderdate")).alias("t"), "o_orderstatus").where((F.col("o_orderstatus") == "F") & (F.col("t") >= _SECOND_CUT))
+    return evidence.holdout_log(runs, "split_set", ["t", "run"], [("price", ">", 100000.0), ("price", "<=", 400000.0)]).select("split_set", "run", "action", "reason")
 
 
 @query("e12_worksheet", "SELECT lang, count(*) AS documents, count(quality) AS reviewed, round(count(quality) / count(*), 6) AS ratio FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id GROUP BY lang")
