@@ -117,17 +117,6 @@ def w35_agreement_signal(t: Tables) -> DataFrame:
     return s.where("n >= 20 AND sign(a) = sign(b) AND abs(a) > 0.5 * sa AND abs(b) > 0.5 * sb").select("day", "symbol", F.signum("a").alias("side"))
 
 
-@query("w26_flow_imbalance", f"WITH {TICKS} SELECT event_id, " + ", ".join(f"round(sum(CASE WHEN event_type = 'click' THEN value ELSE -value END) OVER w{h} / nullif(sum(value) OVER w{h}, 0), 6) AS imb_{h}" for h in (1, 6, 24)) + " FROM ticks WINDOW " + ", ".join(f"w{h} AS (PARTITION BY key ORDER BY t RANGE BETWEEN {h * 3600 * 10**6 - 1} PRECEDING AND CURRENT ROW)" for h in (1, 6, 24)))
-def w26_flow_imbalance(t: Tables) -> DataFrame:
-    rows = tape.ticks(t("events"))
-    signed = F.when(F.col("event_type") == "click", F.col("value")).otherwise(-F.col("value"))
-    out = []
-    for h in (1, 6, 24):
-        w = Window.partitionBy("key").orderBy("t").rangeBetween(-h * 3600 * SECOND + 1, 0)
-        out.append(F.round(F.sum(signed).over(w) / F.nullif(F.sum("value").over(w), F.lit(0.0)), 6).alias(f"imb_{h}"))
-    return rows.select("event_id", *out)
-
-
 @query("w15_slot_clock", f"WITH {TICKS}, s AS (SELECT key, event_id AS slot, t / 1e6 - 1704067200 AS sec FROM ticks), r AS (SELECT *, regr_slope(sec, slot) OVER w AS b, regr_intercept(sec, slot) OVER w AS a, count(*) OVER w AS n FROM s WINDOW w AS (PARTITION BY key ORDER BY slot ROWS BETWEEN 50 PRECEDING AND 50 FOLLOWING)) SELECT key, slot, round(a + b * slot + 0.5, 3) AS est FROM r WHERE n >= 3")
 def w15_slot_clock(t: Tables) -> DataFrame:
     """Time of a slot from a local regression of time on slot, half a second added."""

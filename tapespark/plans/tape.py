@@ -559,15 +559,76 @@ def w20_cooldown(t: Tables) -> DataFrame:
     return folds.cooldown(tape.ticks(t("events")).where("event_type = 'purchase'").select("key", "t", "event_id"), ["key"], "t", 6 * 3600 * SECOND, ["event_id"]).select("key", "event_id", "t")
 
 
+_CROSS, _RISE = (100, 200), ((50, 1.5), (100, 3.0))
+_EVENTS_SQL = ", ".join([*(f"CASE WHEN value >= {c} AND coalesce(before < {c}, true) AND (low < {c} OR fresh) THEN 'cross_{c}' END" for c in _CROSS)])
+_OTHERS_SQL = ", ".join([*(f"CASE WHEN value >= {c} AND value >= {x} * ref THEN 'rise_{c}' END" for c, x in _RISE), "CASE WHEN value >= 1 AND ref >= 1 AND abs(value / ref - 1) <= 0.1 THEN 'flat' END", "'sample'"])
+
+
 @query(
     "w27_crossing",
-    f"""WITH {TICKS}, c AS (SELECT *, max(value) OVER w AS before, min(value) OVER w AS low FROM ticks WINDOW w AS {_FIRST} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
-SELECT key, event_id, t FROM c WHERE value >= 200 AND before < 200 AND low IS NOT NULL""",
+    f"""WITH RECURSIVE {TICKS}, f AS (SELECT min(t) + 3600000000 AS start FROM ticks),
+c AS (SELECT key, event_id, t, value, max(value) OVER w AS before, min(value) OVER w AS low, min(t) OVER (PARTITION BY key) > start AS fresh, min(value) OVER (PARTITION BY key ORDER BY t RANGE BETWEEN 129600000000 PRECEDING AND 43200000000 PRECEDING) AS ref FROM ticks, f WHERE value IS NOT NULL WINDOW w AS {_FIRST} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+x AS (SELECT key, event_id, t, ref, unnest([{_OTHERS_SQL}]) AS kind FROM c), n AS (SELECT *, CASE WHEN kind LIKE 'rise%' THEN 86400000000 ELSE 172800000000 END AS gap, row_number() OVER (PARTITION BY kind, key ORDER BY t, event_id) AS rn FROM x WHERE kind IS NOT NULL),
+k AS (SELECT key, event_id, t, ref, kind, rn, t AS last, true AS kept FROM n WHERE rn = 1 UNION ALL SELECT n.key, n.event_id, n.t, n.ref, n.kind, n.rn, CASE WHEN n.t - k.last >= gap THEN n.t ELSE k.last END, n.t - k.last >= gap FROM k JOIN n ON n.key = k.key AND n.kind = k.kind AND n.rn = k.rn + 1)
+SELECT key, event_id, t, kind, ref FROM k WHERE kept UNION ALL SELECT key, event_id, t, kind, ref FROM (SELECT key, event_id, t, ref, unnest([{_EVENTS_SQL}]) AS kind FROM c) WHERE kind IS NOT NULL""",
 )
 def w27_crossing(t: Tables) -> DataFrame:
-    """First crossing of a threshold, only where a lower value was seen before it."""
-    w = Window.partitionBy("key").orderBy("t", "event_id").rowsBetween(Window.unboundedPreceding, -1)
-    return tape.ticks(t("events")).withColumn("before", F.max("value").over(w)).where("value >= 200 AND before < 200").select("key", "event_id", "t")
+    """First crossings of levels, rises against the least value of 12 to 36 hours before, and flat and plain samples as controls.
+
+    A crossing counts only if a lower value was seen before, or the key came an hour or more after the data's beginning: one that is
+    above the level when the data begin is censored. Rises keep a day between them, controls two.
+    """
+    ticks = tape.ticks(t("events")).where("value IS NOT NULL").select("key", "event_id", "t", "value")
+    start = ticks.agg((F.min("t") + 3600 * SECOND).alias("start"))  # one row
+    w, ago = Window.partitionBy("key").orderBy("t", "event_id").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("key").orderBy("t").rangeBetween(-36 * 3600 * SECOND, -12 * 3600 * SECOND)
+    first = F.min("t").over(Window.partitionBy("key").orderBy("t", "event_id").rowsBetween(Window.unboundedPreceding, 0))
+    v, ref = F.col("value"), F.col("ref")
+    c = ticks.crossJoin(F.broadcast(start)).withColumns({"before": F.max("value").over(w), "low": F.min("value").over(w), "first": first, "ref": F.min("value").over(ago)})
+    fresh = F.col("first") > F.col("start")
+    of = lambda kinds: F.explode(F.filter(F.array(*(F.when(bad, F.lit(name)) for name, bad in kinds.items())), lambda k: k.isNotNull())).alias("kind")
+    crossed = c.select("key", "event_id", "t", "ref", of({f"cross_{x}": (v >= x) & F.coalesce(F.col("before") < x, F.lit(True)) & ((F.col("low") < x) | fresh) for x in _CROSS}))
+    rises = c.select("key", "event_id", "t", "ref", of({f"rise_{x}": (v >= x) & (v >= by * ref) for x, by in _RISE}))
+    controls = c.select("key", "event_id", "t", "ref", of({"flat": (v >= 1) & (ref >= 1) & (F.abs(v / ref - 1) <= 0.1), "sample": F.lit(True)}))
+    kept = [folds.cooldown(rows, ["kind", "key"], "t", days * DAY, ["event_id"]) for rows, days in ((rises, 1), (controls, 2))]
+    columns = ["key", "event_id", "t", "kind", "ref"]
+    return crossed.select(*columns).unionByName(kept[0].select(*columns)).unionByName(kept[1].select(*columns))
+
+
+_STEP, _SPANS = 30 * DAY, (4, 12, 20)
+_FLOW_SQL = ", ".join(
+    f"round(sum(sol) FILTER (ago < {k * _STEP}), 2) AS vol_{k}, round(coalesce(sum(CASE WHEN buy THEN sol ELSE -sol END) FILTER (ago < {k * _STEP}) / nullif(sum(sol) FILTER (ago < {k * _STEP}), 0), 0), 6) AS ofi_{k}, count(*) FILTER (ago < {k * _STEP}) AS n_{k}, count(*) FILTER (buy AND ago < {k * _STEP}) AS buys_{k}, round(arg_max(px, (recv, seq)) / arg_max(px, (recv, seq)) FILTER (ago >= {k * _STEP}) - 1, 6) AS ret_{k}"
+    for k in _SPANS
+)
+
+
+@query(
+    "w26_flow_imbalance",
+    f"""WITH {TAPE}, b AS (SELECT mint, min(recv) AS born, max(recv) AS last FROM tape GROUP BY mint), g AS (SELECT mint, born, unnest(generate_series((born + {_STEP - 1}) // {_STEP} * {_STEP}, last, {_STEP})) AS t FROM b),
+w AS (SELECT g.mint, g.t, g.born, p.buy, p.sol, p.recv, p.seq, vsol / vtok AS px, g.t - p.recv AS ago FROM g JOIN tape p ON p.mint = g.mint AND p.recv <= g.t)
+SELECT mint, t, round((t - any_value(born)) / 1e6, 3) AS age_s, arg_max(px, (recv, seq)) AS mid, {_FLOW_SQL} FROM w GROUP BY mint, t HAVING count(*) FILTER (ago < {4 * _STEP}) >= 3""",
+)
+def w26_flow_imbalance(t: Tables) -> DataFrame:
+    """Imbalance, volume, counts and return over 4, 12 and 20 steps at the steps of a grid where a token has had three prints or more
+    in the last four.
+
+    Prints are summed by (token, step) before shuffling; a decision is a range of steps, so a busy key is its steps, not its prints.
+    """
+    step = F.ceil(F.col("recv") / _STEP).cast("long")  # the decision that first sees a print
+    signed = F.when(F.col("buy"), F.col("sol")).otherwise(-F.col("sol"))
+    rows = prints(t).withColumn("px", F.col("vsol") / F.col("vtok"))
+    cells = rows.groupBy("mint", step.alias("k")).agg(F.sum("sol").alias("v"), F.sum(signed).alias("f"), F.count("*").alias("n"), F.count_if("buy").alias("b"), F.min("recv").alias("born"), F.max("recv").alias("last"), F.max(F.struct("recv", "seq", "px")).alias("end"))
+    every = cells.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))).alias("later"))  # steps without prints too
+    own = lambda c: F.when(F.col("later") == 0, F.col(c))
+    grid = every.groupBy("mint", (F.col("k") + F.col("later")).alias("k")).agg(*(F.max(own(c)).alias(c) for c in ("v", "f", "n", "b", "born", "last")), F.max(own("end.px")).alias("px"))
+    line = Window.partitionBy("mint").orderBy("k")
+    within = lambda c, k: F.coalesce(F.sum(c).over(line.rangeBetween(1 - k, 0)), F.lit(0))
+    now = F.last("px", ignorenulls=True).over(line.rangeBetween(Window.unboundedPreceding, 0))
+    out = {"t": F.col("k") * _STEP, "age_s": F.round((F.col("k") * _STEP - F.min("born").over(line.rangeBetween(Window.unboundedPreceding, 0))) / 1e6, 3), "mid": now, "final": F.max("last").over(Window.partitionBy("mint"))}
+    for k in _SPANS:
+        volume = within("v", k)
+        then = F.last("px", ignorenulls=True).over(line.rangeBetween(Window.unboundedPreceding, -k))
+        out |= {f"vol_{k}": F.round(volume, 2), f"ofi_{k}": F.round(F.coalesce(within("f", k) / F.nullif(volume, F.lit(0.0)), F.lit(0.0)), 6), f"n_{k}": within("n", k), f"buys_{k}": within("b", k), f"ret_{k}": F.round(now / then - 1, 6)}
+    return grid.select("mint", *(c.alias(name) for name, c in out.items())).where("n_4 >= 3 AND t <= final").drop("final")
 
 
 @query(

@@ -28,6 +28,7 @@ TRIGGERS = {
     "c8": (composites.c8_hot_trigger, "first", []),
     "c9": (composites.c9_first_exit_trigger, "entered", []),
     "c26": (composites.c26_first_trigger_per_variant, "first", []),
+    "w26": (tape.w26_flow_imbalance, "t", []),
     "w21": (lambda t: tape.w21_crash_trigger(t).where("variant <> 'demand'"), "first", ["buyers"]),
     "w29": (tape.w29_silence_then_burst, "first", []),
     "w23": (tape.w23_wash_flags, "flagged_at", []),
