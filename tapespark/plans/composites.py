@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import evidence, folds, joins, scratch, stats, sweeps, trips
+from ..operators import evidence, folds, joins, scratch, stats, sweeps
 from ..sources import feeds, tape
 from ..sources.tape import DAILY, DAY, LAUNCHES, SECOND, TAPE, TICKS
 from .panels import EVENTS, daily, event_days

@@ -151,7 +151,6 @@ def a19_quantile_table(t: Tables) -> DataFrame:
     return g.drop("p").join(middle.groupBy("feature", "bucket").agg(F.round(F.avg("x"), 4).alias("median")), ["feature", "bucket"])
 
 
-_LAB = "WITH p AS (SELECT quality AS human, CASE WHEN n_chars > 1500 THEN 1 ELSE 0 END AS model FROM labels l JOIN documents d ON l.doc_id = d.doc_id)"
 
 
 _TIMED = "WITH p AS (SELECT d.doc_id, quality AS human, CASE WHEN n_chars > 1500 THEN 1 ELSE 0 END AS model, CASE WHEN d.doc_id % 5 > 0 THEN d.doc_id % 60 END AS human_t, n_chars % 90 AS model_t FROM labels l JOIN documents d ON l.doc_id = d.doc_id)"

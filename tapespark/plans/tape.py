@@ -603,7 +603,7 @@ _FLOW_SQL = ", ".join(
 
 @query(
     "w26_flow_imbalance",
-    f"""WITH {TAPE}, b AS (SELECT mint, min(recv) AS born, max(recv) AS last FROM tape GROUP BY mint), g AS (SELECT mint, born, unnest(generate_series((born + {_STEP - 1}) // {_STEP} * {_STEP}, last, {_STEP})) AS t FROM b),
+    f"""WITH {TAPE}, b AS (SELECT mint, min(recv) AS born, (SELECT max(recv) FROM tape) AS last FROM tape GROUP BY mint), g AS (SELECT mint, born, unnest(generate_series((born + {_STEP - 1}) // {_STEP} * {_STEP}, last, {_STEP})) AS t FROM b),
 w AS (SELECT g.mint, g.t, g.born, p.buy, p.sol, p.recv, p.seq, vsol / vtok AS px, g.t - p.recv AS ago FROM g JOIN tape p ON p.mint = g.mint AND p.recv <= g.t)
 SELECT mint, t, round((t - any_value(born)) / 1e6, 3) AS age_s, arg_max(px, (recv, seq)) AS mid, {_FLOW_SQL} FROM w GROUP BY mint, t HAVING count(*) FILTER (ago < {4 * _STEP}) >= 3""",
 )
@@ -616,19 +616,20 @@ def w26_flow_imbalance(t: Tables) -> DataFrame:
     step = F.ceil(F.col("recv") / _STEP).cast("long")  # the decision that first sees a print
     signed = F.when(F.col("buy"), F.col("sol")).otherwise(-F.col("sol"))
     rows = prints(t).withColumn("px", F.col("vsol") / F.col("vtok"))
-    cells = rows.groupBy("mint", step.alias("k")).agg(F.sum("sol").alias("v"), F.sum(signed).alias("f"), F.count("*").alias("n"), F.count_if("buy").alias("b"), F.min("recv").alias("born"), F.max("recv").alias("last"), F.max(F.struct("recv", "seq", "px")).alias("end"))
+    cells = rows.groupBy("mint", step.alias("k")).agg(F.sum("sol").alias("v"), F.sum(signed).alias("f"), F.count("*").alias("n"), F.count_if("buy").alias("b"), F.min("recv").alias("born"), F.max(F.struct("recv", "seq", "px")).alias("end"))
     every = cells.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))).alias("later"))  # steps without prints too
     own = lambda c: F.when(F.col("later") == 0, F.col(c))
-    grid = every.groupBy("mint", (F.col("k") + F.col("later")).alias("k")).agg(*(F.max(own(c)).alias(c) for c in ("v", "f", "n", "b", "born", "last")), F.max(own("end.px")).alias("px"))
+    grid = every.groupBy("mint", (F.col("k") + F.col("later")).alias("k")).agg(*(F.max(own(c)).alias(c) for c in ("v", "f", "n", "b", "born")), F.max(own("end.px")).alias("px"))
     line = Window.partitionBy("mint").orderBy("k")
     within = lambda c, k: F.coalesce(F.sum(c).over(line.rangeBetween(1 - k, 0)), F.lit(0))
     now = F.last("px", ignorenulls=True).over(line.rangeBetween(Window.unboundedPreceding, 0))
-    out = {"t": F.col("k") * _STEP, "age_s": F.round((F.col("k") * _STEP - F.min("born").over(line.rangeBetween(Window.unboundedPreceding, 0))) / 1e6, 3), "mid": now, "final": F.max("last").over(Window.partitionBy("mint"))}
+    out = {"t": F.col("k") * _STEP, "age_s": F.round((F.col("k") * _STEP - F.min("born").over(line.rangeBetween(Window.unboundedPreceding, 0))) / 1e6, 3), "mid": now}
     for k in _SPANS:
         volume = within("v", k)
         then = F.last("px", ignorenulls=True).over(line.rangeBetween(Window.unboundedPreceding, -k))
         out |= {f"vol_{k}": F.round(volume, 2), f"ofi_{k}": F.round(F.coalesce(within("f", k) / F.nullif(volume, F.lit(0.0)), F.lit(0.0)), 6), f"n_{k}": within("n", k), f"buys_{k}": within("b", k), f"ret_{k}": F.round(now / then - 1, 6)}
-    return grid.select("mint", *(c.alias(name) for name, c in out.items())).where("n_4 >= 3 AND t <= final").drop("final")
+    final = rows.agg(F.max("recv").alias("final"))  # one row: no decision after the tape's end
+    return grid.select("mint", *(c.alias(name) for name, c in out.items())).crossJoin(F.broadcast(final)).where("n_4 >= 3 AND t <= final").drop("final")
 
 
 @query(
