@@ -60,12 +60,28 @@ def w17_rank_buckets(t: Tables) -> DataFrame:
     return t("customer").select("c_custkey", stats.rank_bucket(F.row_number().over(w.orderBy("c_acctbal", "c_custkey")), F.count("*").over(w), 5).alias("bucket"))
 
 
-@query("w18_universe", f"WITH {DAILY}, v AS (SELECT day, symbol, sum(volume) OVER w AS past_vol, count(*) OVER w AS bars FROM daily WINDOW w AS {_W} RANGE BETWEEN 30 PRECEDING AND 1 PRECEDING)) SELECT day, symbol, CAST(row_number() OVER (PARTITION BY day ORDER BY past_vol DESC, symbol) AS INTEGER) AS tier FROM v WHERE bars >= 10")
+_MONTH = "year(DATE '1970-01-01' + CAST(day AS INTEGER)) * 12 + month(DATE '1970-01-01' + CAST(day AS INTEGER))"
+
+
+@query(
+    "w18_universe",
+    f"""WITH {DAILY}, v AS (SELECT day, symbol, {_MONTH} AS m, sum(volume) OVER (PARTITION BY symbol ORDER BY day RANGE BETWEEN 30 PRECEDING AND 1 PRECEDING) AS past_vol, count(*) OVER (PARTITION BY symbol ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS bars FROM daily),
+r AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY past_vol DESC, symbol) AS place FROM v WHERE bars >= 60 AND past_vol IS NOT NULL),
+months AS (SELECT m, symbol, row_number() OVER (PARTITION BY m ORDER BY round(sum(volume), 2) DESC, symbol) <= 2 AS leads FROM (SELECT *, {_MONTH} AS m FROM daily) GROUP BY m, symbol)
+SELECT r.day, r.symbol, place, CASE WHEN place = 1 THEN 'first' WHEN place <= 3 THEN 'second' ELSE 'third' END AS tier, coalesce(leads, false) AS leads_month FROM r LEFT JOIN months ON months.m = r.m - 1 AND months.symbol = r.symbol""",
+)
 def w18_universe(t: Tables) -> DataFrame:
-    """Rank by the volume of the thirty days that end the day before, among symbols with enough bars."""
-    w = Window.partitionBy("symbol").orderBy("day").rangeBetween(-30, -1)
-    v = daily(t).withColumn("trailing", F.sum("volume").over(w)).withColumn("bars", F.count("*").over(w)).where("bars >= 10")
-    return v.select("day", "symbol", F.row_number().over(Window.partitionBy("day").orderBy(F.col("trailing").desc(), "symbol")).alias("tier"))
+    """Rank and tier by the volume of the thirty days that end the day before, among symbols with sixty bars before and one that
+    day, and whether the symbol was one of the two largest of the month before."""
+    own = Window.partitionBy("symbol").orderBy("day")
+    date = F.date_from_unix_date(F.col("day").cast("int"))
+    d = daily(t).withColumn("m", F.year(date) * 12 + F.month(date))
+    v = d.withColumn("trailing", F.sum("volume").over(own.rangeBetween(-30, -1))).withColumn("bars", F.count("*").over(own.rowsBetween(Window.unboundedPreceding, -1))).where("bars >= 60 AND trailing IS NOT NULL")
+    r = v.withColumn("place", F.row_number().over(Window.partitionBy("day").orderBy(F.col("trailing").desc(), "symbol")))
+    months = d.groupBy("m", "symbol").agg(F.round(F.sum("volume"), 2).alias("total"))
+    months = months.select((F.col("m") + 1).alias("m"), "symbol", (F.row_number().over(Window.partitionBy("m").orderBy(F.col("total").desc(), "symbol")) <= 2).alias("leads"))
+    tier = F.when(F.col("place") == 1, "first").when(F.col("place") <= 3, "second").otherwise("third")
+    return r.join(months, ["m", "symbol"], "left").select("day", "symbol", "place", tier.alias("tier"), F.coalesce("leads", F.lit(False)).alias("leads_month"))
 
 
 @query("w22_lag_matrix", f"WITH {DAILY} SELECT day, symbol, " + ", ".join(f"coalesce(lag(close, {k}) OVER {_W}), 0) AS l{k}" for k in (1, 2, 3)) + " FROM daily")
@@ -92,12 +108,25 @@ def w33_breadth(t: Tables) -> DataFrame:
     return joins.range_join(e, other, [], "t", "u", -3600 * SECOND + 1, 0).groupBy("event_id").agg(F.count_distinct("k").alias("breadth"))
 
 
-@query("w31_clock_windows", f"WITH {TICKS} SELECT key, t // 86400000000 AS day, round(arg_max(value, (t, event_id)) / arg_min(value, (t, event_id)) - 1, 6) AS ret FROM ticks WHERE (t // 3600000000) % 24 BETWEEN 8 AND 19 AND value > 0 GROUP BY ALL HAVING count(*) >= 2")
+_CLOCK = (("morning", 8, 12), ("afternoon", 12, 18), ("day", 8, 20))
+
+
+@query(
+    "w31_clock_windows",
+    f"""WITH {TICKS}, bars AS (SELECT event_type AS symbol, t // 3600000000 AS h, arg_min(value, (t, event_id)) AS opened, arg_max(value, (t, event_id)) AS closed FROM ticks WHERE value > 0 GROUP BY ALL),
+w AS (SELECT symbol, h // 24 AS day, spec, hi - lo AS expected, count(*) AS bars, arg_min(opened, h) AS a, arg_max(closed, h) AS b FROM bars JOIN (VALUES {", ".join(f"('{n}', {lo}, {hi})" for n, lo, hi in _CLOCK)}) v(spec, lo, hi) ON h % 24 >= lo AND h % 24 < hi GROUP BY ALL)
+SELECT symbol, day, spec, bars, CASE WHEN bars = expected THEN round(b / a - 1, 6) END AS ret FROM w""",
+)
 def w31_clock_windows(t: Tables) -> DataFrame:
-    """Return between two hours of the day, where there are enough prints."""
+    """Return between two hours of the day over hourly bars, for three windows; null if any bar is missing."""
     at = F.struct("t", "event_id")
-    rows = tape.ticks(t("events")).where((F.floor(F.col("t") / 3_600_000_000) % 24).between(8, 19) & (F.col("value") > 0))
-    return rows.groupBy("key", F.floor(F.col("t") / DAY).alias("day")).agg(F.round(F.max_by("value", at) / F.min_by("value", at) - 1, 6).alias("ret"), F.count("*").alias("n")).where("n >= 2").drop("n")
+    ticks = tape.ticks(t("events")).where("value > 0")
+    bars = ticks.groupBy(F.col("event_type").alias("symbol"), F.floor(F.col("t") / 3_600_000_000).alias("h")).agg(F.min_by("value", at).alias("opened"), F.max_by("value", at).alias("closed"))
+    hour = F.col("h") % 24
+    specs = F.filter(F.array(*(F.when((hour >= lo) & (hour < hi), F.struct(F.lit(n).alias("spec"), F.lit(hi - lo).alias("expected"))) for n, lo, hi in _CLOCK)), lambda x: x.isNotNull())
+    w = bars.select("*", F.floor(F.col("h") / 24).alias("day"), F.explode(specs).alias("s"))
+    found = w.groupBy("symbol", "day", "s.spec", "s.expected").agg(F.count("*").alias("bars"), F.min_by("opened", "h").alias("a"), F.max_by("closed", "h").alias("b"))
+    return found.select("symbol", "day", "spec", "bars", F.when(F.col("bars") == F.col("expected"), F.round(F.col("b") / F.col("a") - 1, 6)).alias("ret"))
 
 
 @query("w34_log_changes", f"WITH {DAILY}, c AS (SELECT day, symbol, ln(close / lag(close, 1) OVER {_W})) AS c1, ln(volume / lag(volume, 4) OVER {_W})) AS c4 FROM daily) SELECT day, symbol, " + ", ".join(f"round(CASE WHEN count({c}) OVER w >= 10 THEN ({c} - avg({c}) OVER w) / nullif(stddev_samp({c}) OVER w, 0) END, 6) AS z_{c}" for c in ("c1", "c4")) + f" FROM c WINDOW w AS {_W} ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING)")
