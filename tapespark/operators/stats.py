@@ -68,6 +68,20 @@ def counts_up_to(asked: DataFrame, at: str, series: dict[str, DataFrame], window
     return found.groupBy("row").agg(*(F.sum(F.when(F.col("name") == name, count)).alias(f"c{k}") for k, name in enumerate(windows))).select("row.*", *(F.col(f"c{k}").alias(name) for k, name in enumerate(windows)))
 
 
+def levels(asked: DataFrame, at: str, changes: DataFrame, block: int) -> DataFrame:
+    """``asked`` with ``level``, the sum of ``d`` of the changes with ``x`` at or before its time. Time is cut in blocks; a block adds up its own
+    changes and begins with the sum over the blocks before it."""
+    names = asked.columns
+    moves = changes.groupBy("x").agg(F.sum("d").alias("d"))
+    line = asked.select(F.struct(*names).alias("row"), F.col(at).alias("x"), F.lit(0).cast("long").alias("d"))
+    line = line.unionByName(moves.select(F.lit(None).cast(line.schema["row"].dataType).alias("row"), "x", F.col("d").cast("long").alias("d"))).withColumn("block", F.floor(F.col("x") / block))
+    sums = line.groupBy("block").agg(F.sum("d").alias("d"))
+    sums = sums.select("block", F.coalesce(F.sum("d").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    inside = F.sum("d").over(Window.partitionBy("block").orderBy("x").rangeBetween(Window.unboundedPreceding, 0))
+    found = line.withColumn("inside", inside).where("row IS NOT NULL").join(sums, "block", "left")
+    return found.select("row.*", (F.col("inside") + F.coalesce("before", F.lit(0))).alias("level"))
+
+
 def placed(rows: DataFrame, value: str, order: list[str], by: list[str] | None = None, ties: bool = False, blocks: int = 64) -> DataFrame:
     """``rows`` with ``place``, from 1 by rising value, then ``order``, and ``of``, the number of rows; per group of ``by``, of
     which there are few. With ``ties`` equal values have the place of the first.

@@ -102,10 +102,14 @@ def w32_realised_volatility(t: Tables) -> DataFrame:
 
 @query("w33_breadth", f"WITH {TICKS} SELECT a.event_id, (SELECT count(DISTINCT key) FROM ticks b WHERE b.event_type = 'purchase' AND b.t > a.t - 3600000000 AND b.t <= a.t) AS breadth FROM ticks a WHERE a.event_type = 'purchase'")
 def w33_breadth(t: Tables) -> DataFrame:
-    """Distinct keys with an event in the hour up to each event."""
+    """Distinct keys with an event in the hour up to each event: a key counts from an event until an hour later or its next one, so the
+    number is a running sum."""
     e = tape.ticks(t("events")).where("event_type = 'purchase'").select("event_id", "t", "key")
-    other = e.select(F.col("t").alias("u"), F.col("key").alias("k"))
-    return joins.range_join(e, other, [], "t", "u", -3600 * SECOND + 1, 0).groupBy("event_id").agg(F.count_distinct("k").alias("breadth"))
+    seen = e.where("key IS NOT NULL AND t IS NOT NULL").select("key", "t").distinct()
+    seen = seen.withColumn("until", F.least(F.col("t") + 3600 * SECOND, F.lead("t").over(Window.partitionBy("key").orderBy("t"))))
+    ends = F.array(F.struct(F.col("t").alias("x"), F.lit(1).alias("d")), F.struct(F.col("until").alias("x"), F.lit(-1).alias("d")))
+    n = stats.levels(e.select("event_id", "t"), "t", seen.select(F.inline(ends)), 3600 * SECOND)
+    return n.select("event_id", F.col("level").alias("breadth"))
 
 
 _CLOCK = (("morning", 8, 12), ("afternoon", 12, 18), ("day", 8, 20))
