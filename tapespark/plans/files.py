@@ -174,7 +174,7 @@ def t7_positions(t: Tables) -> DataFrame:
     with _rocks(spark):
         for part in (F.col("recv").between(day, day + 365 * DAY - 1), F.col("recv") >= day + 365 * DAY):
             rows.where(part).write.mode("append").parquet(path)
-            _run(live.round_trips(spark.readStream.schema(rows.schema).parquet(path), before), sink, checkpoint)
+            _run(live.round_trips(spark.readStream.schema(rows.schema).parquet(path), before, buckets=1024), sink, checkpoint)
     after = spark.read.schema("usr long, mint long, opened long, closed long, sol_in double, sol_out double, bought double, sold double, n_buys int, n_sells int").parquet(sink)
     return before.where("closed IS NOT NULL").select(after.columns).union(after).withColumns({c: F.round(c, 2) for c in ("sol_in", "sol_out")})
 

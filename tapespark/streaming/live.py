@@ -202,6 +202,17 @@ _OPEN_NAMES = [x.split()[0] for x in _OPEN.split(", ")]
 _CLOSED = ["usr", "mint", "opened", "closed", *_OPEN_NAMES[3:]]
 
 
+def _trip(now: tuple | None, recv: int, buy: bool, sol: float, tok: float) -> tuple[tuple | None, tuple | None]:
+    """The open trip after a print, and the trip that it closes."""
+    if now is None:
+        return ((float(tok), float(tok), int(recv), float(sol), 0.0, float(tok), 0.0, 1, 0) if buy else None), None
+    pos, peak, opened, sol_in, sol_out, bought, sold, buys, sells = now
+    if buy:
+        return (pos + tok, max(peak, pos + tok), opened, sol_in + sol, sol_out, bought + tok, sold, buys + 1, sells), None
+    now = (pos - tok, peak, opened, sol_in, sol_out + sol, bought, sold + tok, buys, sells + 1)
+    return (None, (opened, int(recv), *now[3:])) if pos - tok <= DUST * peak else (now, None)
+
+
 class _Trips(StatefulProcessor):
     """Round trips with the rules of the batch fold; state is one open trip per key, forgotten ``ttl_ms`` after its last print."""
 
@@ -217,17 +228,9 @@ class _Trips(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[Row], timer) -> Iterator[Row]:
         now = self.open.get()
         for recv, _, buy, sol, tok in sorted((r["recv"], r["seq"], r["buy"], r["sol"], r["tok"]) for r in rows):
-            if now is None:
-                now = (float(tok), float(tok), int(recv), float(sol), 0.0, float(tok), 0.0, 1, 0) if buy else None
-                continue
-            pos, peak, opened, sol_in, sol_out, bought, sold, buys, sells = now
-            if buy:
-                now = (pos + tok, max(peak, pos + tok), opened, sol_in + sol, sol_out, bought + tok, sold, buys + 1, sells)
-                continue
-            now = (pos - tok, peak, opened, sol_in, sol_out + sol, bought, sold + tok, buys, sells + 1)
-            if pos - tok <= DUST * peak:
-                yield Row(**dict(zip(_CLOSED, (key[0], key[1], opened, int(recv), *now[3:]), strict=True)))
-                now = None
+            now, closed = _trip(now, recv, buy, sol, tok)
+            if closed:
+                yield Row(**dict(zip(_CLOSED, (key[0], key[1], *closed), strict=True)))
         if now is None:
             self.open.clear()
         else:
@@ -237,16 +240,84 @@ class _Trips(StatefulProcessor):
         pass
 
 
-def round_trips(prints: DataFrame, before: DataFrame | None = None, ttl_ms: int | None = None) -> DataFrame:
+def _packed(state: dict, names: list[str]) -> bytes:
+    """Tuples by key as an Arrow stream, the key's columns first."""
+    cols = list(zip(*((*k, *v) for k, v in state.items()), strict=True))
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names)
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, batch.schema) as w:
+        w.write_batch(batch)
+    return out.getvalue().to_pybytes()
+
+
+def _unpacked(data: bytes, key: int) -> dict:
+    rows = zip(*(c.to_pylist() for c in pa.ipc.open_stream(data).read_all().columns), strict=True)
+    return {r[:key]: r[key:] for r in rows}
+
+
+class _Held(StatefulProcessor):
+    """State of many keys as one value: a bucket's keys are read and written together, not with a call each."""
+
+    NAMES: list[str]
+    KEYS: int
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getValueState("held", "data binary")
+
+    def load(self) -> dict:
+        return _unpacked(self.held.get()[0], self.KEYS) if self.held.exists() else {}
+
+    def store(self, state: dict) -> None:
+        if state:
+            self.held.update((_packed(state, self.NAMES),))
+        else:
+            self.held.clear()
+
+    def close(self) -> None:
+        pass
+
+
+class _TripBuckets(_Held):
+    """The same trips; state is the open trips of a bucket of keys."""
+
+    NAMES, KEYS = ["usr", "mint", *_OPEN_NAMES], 2
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        new = initialState[self.NAMES].astype(object)
+        self.store(self.load() | {(int(r[0]), int(r[1])): (float(r[2]), float(r[3]), int(r[4]), *map(float, r[5:9]), int(r[9]), int(r[10])) for r in new.itertuples(index=False, name=None)})
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:
+        held, out = self.load(), []
+        pdf = pd.concat(list(rows)).sort_values(["recv", "seq"], kind="stable")
+        for usr, mint, recv, buy, sol, tok in zip(*(pdf[c].tolist() for c in ("usr", "mint", "recv", "buy", "sol", "tok")), strict=True):
+            k = (usr, mint)
+            now, closed = _trip(held.pop(k, None), recv, buy, sol, tok)
+            if closed:
+                out.append((usr, mint, *closed))
+            if now:
+                held[k] = now
+        self.store(held)
+        yield pd.DataFrame(out, columns=_CLOSED).astype({c: "int64" if c in ("usr", "mint", "opened", "closed") else "int32" if c[:2] == "n_" else "float64" for c in _CLOSED})
+
+
+def round_trips(prints: DataFrame, before: DataFrame | None = None, ttl_ms: int | None = None, buckets: int | None = None) -> DataFrame:
     """Closed trips of a stream of prints, as they close; batches must come in time order.
 
     ``before``: the trips that are open when the stream begins, as the batch ``round_trips(..., with_state=True)`` gives them, so that
     a stream goes on where a table ends; it counts in the first batch of a checkpoint only. With ``ttl_ms``, a trip without a
-    print for so long (by the clock of the machines) is forgotten, so that the state does not grow for ever.
+    print for so long (by the clock of the machines) is forgotten, so that the state does not grow for ever. With ``buckets``, state
+    is kept by that many buckets of (usr, mint), for streams of many keys with few prints each; it cannot be forgotten then.
     """
     out = f"usr bigint, mint bigint, opened bigint, closed bigint, {_OPEN.split(', ', 3)[3]}"
-    initial = None if before is None else before.where("closed IS NULL").groupBy("usr", "mint")
-    return prints.groupBy("usr", "mint").transformWithState(_Trips(ttl_ms), out, "Append", "None" if ttl_ms is None else "ProcessingTime", initial)
+    initial = None if before is None else before.where("closed IS NULL")
+    if buckets is None:
+        return prints.groupBy("usr", "mint").transformWithState(_Trips(ttl_ms), out, "Append", "None" if ttl_ms is None else "ProcessingTime", initial and initial.groupBy("usr", "mint"))
+    if ttl_ms is not None:
+        raise ValueError("a bucket's trips are not forgotten one by one")
+    bucket = F.pmod(F.xxhash64("usr", "mint"), F.lit(buckets)).alias("bucket")
+    prints = prints.select(bucket, "usr", "mint", "recv", "seq", "buy", "sol", "tok").dropna()
+    return prints.groupBy("bucket").transformWithStateInPandas(_TripBuckets(), out, "Append", "None", initial and initial.select(bucket, *_TripBuckets.NAMES).groupBy("bucket"))
 
 
 class _Trigger(StatefulProcessor):
@@ -276,65 +347,65 @@ def triggers(hits: DataFrame, cooldown_us: int, once: bool = False) -> DataFrame
     return hits.groupBy("key").transformWithStateInPandas(_Trigger(cooldown_us, once), "key bigint, t bigint", "Append", "None")
 
 
-class _Watch(StatefulProcessor):
-    """One key's watch: since when, until when, and how many events it has seen. Its end is a timer that a touch moves."""
+class _Watch(_Held):
+    """Watches of a bucket of keys: since when, until when, and how many events they have seen. A timer stands at the earliest end."""
+
+    NAMES, KEYS = ["key", "since", "until", "n"], 1
 
     def __init__(self, hold_ms: int) -> None:
         self.hold_ms = hold_ms
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.watch = handle.getValueState("watch", "since bigint, until bigint, n bigint")
-
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:
-        old = now = tuple(self.watch.get()) if self.watch.exists() else None
+        held = self.load()
+        old = min((w[1] for w in held.values()), default=None)
         pdf = pd.concat(list(rows))
         pdf = pdf.assign(late=~pdf["touch"]).sort_values(["ms", "late"], kind="stable")  # a touch counts for events of its time
         out = []
-        for id_, ms, touch in zip(pdf["id"], pdf["ms"], pdf["touch"], strict=True):
+        for k, id_, ms, touch in zip(*(pdf[c].tolist() for c in ("key", "id", "ms", "touch")), strict=True):
+            now = held.get((k,))
             if now is not None and now[1] < ms:
-                out.append((key[0], None, *now))
+                out.append((k, None, *now))
+                del held[(k,)]
                 now = None
             if touch:
-                now = (int(ms), int(ms) + self.hold_ms, 0) if now is None else (now[0], max(now[1], int(ms) + self.hold_ms), now[2])
+                held[(k,)] = (ms, ms + self.hold_ms, 0) if now is None else (now[0], max(now[1], ms + self.hold_ms), now[2])
             elif now is not None:
-                now = (now[0], now[1], now[2] + 1)
-                out.append((key[0], int(id_), now[0], int(ms), now[2]))
-        if old is not None and (now is None or now[1] != old[1]):
-            self.handle.deleteTimer(old[1])
-        if now is None:
-            self.watch.clear()
-        else:
-            if old is None or now[1] != old[1]:
-                self.handle.registerTimer(now[1])
-            self.watch.update(now)
+                held[(k,)] = now = (now[0], now[1], now[2] + 1)
+                out.append((k, id_, now[0], ms, now[2]))
+        self._keep(held, old)
         yield _watch_rows(out)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        out = []
-        if self.watch.exists():
-            out.append((key[0], None, *self.watch.get()))
-            self.watch.clear()
-        yield _watch_rows(out)
+    def _keep(self, held: dict, old: int | None) -> None:
+        end = min((w[1] for w in held.values()), default=None)
+        if end != old:
+            if old is not None:
+                self.handle.deleteTimer(old)
+            if end is not None:
+                self.handle.registerTimer(end)
+        self.store(held)
 
-    def close(self) -> None:
-        pass
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        held, now = self.load(), max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
+        over = {k: w for k, w in held.items() if w[1] <= now}
+        self._keep({k: w for k, w in held.items() if k not in over}, None)
+        yield _watch_rows([(*k, None, *w) for k, w in over.items()])
 
 
 def _watch_rows(rows: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["key", "id", "since", "ms", "n"]).astype({"key": "int64", "id": "Int64", "since": "int64", "ms": "int64", "n": "int64"})
 
 
-def watched(rows: DataFrame, hold_ms: int = 3_600_000, late: str = "10 minutes") -> DataFrame:
+def watched(rows: DataFrame, hold_ms: int = 3_600_000, late: str = "10 minutes", buckets: int = 1024) -> DataFrame:
     """Events on watched keys, each once: a touch watches its key for ``hold_ms``, and a touch while it is watched extends that.
 
     Takes a stream of key (long), id (long), ms (long) and touch (boolean: a touch or an event). Gives key, id, since (when the watch
     began), ms and n (the watch's events so far) for every event from a touch to ``hold_ms`` after the last one, both included, and
     a row with a null id, the end as ms and all its events as n for every watch that is over; a watch ends when the watermark,
-    ``late`` behind the newest row, passes it. Rows later than that are not taken; others must come in batches in time order.
+    ``late`` behind the newest row, passes it. Rows later than that are not taken; others must come in batches in time order. State is kept
+    by ``buckets`` of keys.
     """
-    timed = rows.select("key", "id", "ms", "touch", F.timestamp_millis("ms").alias("at")).withWatermark("at", late)
-    return timed.groupBy("key").transformWithStateInPandas(_Watch(hold_ms), "key bigint, id bigint, since bigint, ms bigint, n bigint", "Append", "eventTime")
+    timed = rows.select(F.pmod(F.xxhash64("key"), F.lit(buckets)).alias("bucket"), "key", "id", "ms", "touch", F.timestamp_millis("ms").alias("at")).withWatermark("at", late)
+    return timed.groupBy("bucket").transformWithStateInPandas(_Watch(hold_ms), "key bigint, id bigint, since bigint, ms bigint, n bigint", "Append", "eventTime")
 
 
 def watched_in(rows: DataFrame, hold_ms: int = 3_600_000) -> DataFrame:

@@ -259,3 +259,16 @@ def test_positions_begin_and_expire(spark, tmp_path, rocks):
         half("buy", ttl)
         half("NOT buy", ttl)
         assert spark.read.schema(live.round_trips(spark.readStream.schema(rows.schema).parquet(f"{path}-{ttl}")).schema).parquet(f"{sink}-{ttl}").count() == closed
+
+
+@pytest.mark.parametrize("buckets", [2, 64])
+def test_positions_in_buckets(spark, tmp_path, rocks, buckets):
+    """State by buckets of keys: a value for many keys, the same trips, over several batches and from a table's open trips."""
+    rows = spark.range(500).select((F.col("id") * 13 % 23).alias("usr"), (F.col("id") % 3).alias("mint"), F.col("id").alias("recv"), F.col("id").alias("seq"), (F.col("id") * 7 % 11 < 6).alias("buy"), (F.col("id") % 13 + 1.0).alias("sol"), (F.col("id") * 3 % 10 + 1.0).alias("tok"))
+    cols = ["usr", "mint", "opened", "closed", "sol_in", "sol_out", "bought", "sold", "n_buys", "n_sells"]
+    before = trips.round_trips(rows.where("recv < 150"), with_state=True)
+    got = run(spark, live.round_trips(stream(spark, tmp_path, rows.where("recv >= 150"), 2), before, buckets=buckets)).select(cols).union(before.where("closed IS NOT NULL").select(cols))
+    want = trips.round_trips(rows).where("closed IS NOT NULL").select(cols)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    with pytest.raises(ValueError):
+        live.round_trips(rows, ttl_ms=1, buckets=buckets)
