@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Row, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,10 +57,10 @@ def register_window_function(spark: SparkSession, name: str, fn: Callable[[dict[
     """
     if not 1 <= len(columns) <= 6:
         raise ValueError("columns: 1 to 6")
-    s = pd.Series
+    s = pa.Array
 
-    def run(*parts: pd.Series) -> float:
-        return float(fn({c: p.to_numpy() for c, p in zip(columns, parts, strict=True)}))
+    def run(*parts: pa.Array) -> float:
+        return float(fn({c: p.to_numpy(zero_copy_only=False) for c, p in zip(columns, parts, strict=True)}))
 
     by_number = [
         lambda a: run(a), lambda a, b: run(a, b), lambda a, b, c: run(a, b, c), lambda a, b, c, d: run(a, b, c, d),
@@ -68,7 +68,7 @@ def register_window_function(spark: SparkSession, name: str, fn: Callable[[dict[
     ]
     of = by_number[len(columns) - 1]
     of.__annotations__ = {**dict.fromkeys(of.__code__.co_varnames, s), "return": float}
-    spark.udf.register(name, F.pandas_udf(of, "double"))
+    spark.udf.register(name, F.arrow_udf(of, "double"))
 
 
 class FirstExit(Strategy):
