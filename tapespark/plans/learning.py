@@ -47,8 +47,7 @@ def m3_balanced_logistic(t: Tables) -> DataFrame:
 @query("s5_decode_trades", "SELECT l_orderkey * 10 + l_linenumber AS id, 'trade' AS kind, CAST(CAST(round(l_extendedprice * 100) AS BIGINT) AS VARCHAR) AS sol, CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) AS tok, l_linestatus = 'F' AS buy FROM lineitem")
 def s5_decode_trades(t: Tables) -> DataFrame:
     """Order lines written as binary events in base64, then decoded."""
-    le = lambda c: F.concat(*(F.unhex(F.substring(F.lpad(F.hex(c.cast("long")), 16, "0"), 15 - 2 * k, 2)) for k in range(8)))
-    raw = F.concat(F.unhex(F.lit("bddb7fd34ee661ee")), le(F.round(F.col("l_extendedprice") * 100)), le(F.col("l_quantity")), F.unhex(F.when(F.col("l_linestatus") == "F", "01").otherwise("00")))
+    raw = F.concat(F.unhex(F.lit("bddb7fd34ee661ee")), feeds.little_endian(F.round(F.col("l_extendedprice") * 100)), feeds.little_endian(F.col("l_quantity")), F.unhex(F.when(F.col("l_linestatus") == "F", "01").otherwise("00")))
     logs = t("lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.base64(raw).alias("data"))
     kinds = {"trade": ("bddb7fd34ee661ee", 25, {"sol": ("u64", 8), "tok": ("u64", 16), "buy": ("bool", 24)})}
     return feeds.decode_events(logs, "data", kinds).withColumns({c: F.col(c).cast("string") for c in ("sol", "tok")})

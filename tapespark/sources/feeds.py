@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -147,6 +152,14 @@ def _slice(data: Column, at: Column | int, n: int) -> Column:
     return F.substring(data, start, F.lit(n))
 
 
+def little_endian(value: Column, n: int = 8) -> Column:
+    """The low ``n`` bytes of a number, the least first."""
+    x = value.cast("long")
+    turned = [F.shiftleft(F.shiftright(x, 8 * k).bitwiseAND(F.lit(255).cast("long")), 56 - 8 * k) for k in range(8)]
+    whole = F.unhex(F.lpad(F.hex(reduce(Column.bitwiseOR, turned)), 16, "0"))
+    return whole if n == 8 else F.substring(whole, 1, n)
+
+
 def u64(data: Column, at: Column | int) -> Column:
     """A little-endian unsigned 64-bit field as DECIMAL(20,0); null past the end."""
     raw = F.hex(_slice(data, at, 8))
@@ -163,27 +176,56 @@ def u32(data: Column, at: Column | int) -> Column:
 def decode_events(logs: DataFrame, data: str, kinds: dict[str, tuple[str, int, dict[str, tuple[str, int]]]]) -> DataFrame:
     """Binary events to rows: kind and its fields; ``kinds`` maps a name to (discriminator hex, least length, fields).
 
-    A field is (type, offset) with the types u64, u32, bool, and key (32 bytes as hex). Unknown and short events go. Text in
-    base64 is tested by its discriminator before any field is cut out.
+    A field is (type, offset) with the types u64, u32, bool, and key (32 bytes as hex). Unknown and short events go. Fields are cut
+    out of a batch's bytes as arrays, so a log is made, and read from base64, once, whatever the number of fields.
     """
-    raw = logs.withColumn("__raw", F.unbase64(F.col(data))) if logs.schema[data].dataType.simpleString() == "string" else logs.withColumn("__raw", F.col(data))
-    head, size = F.lower(F.hex(_slice(F.col("__raw"), 0, 8))), F.length("__raw")
-    kind = F.lit(None).cast("string")
-    for name, (mark, least, _) in kinds.items():
-        kind = F.when((head == mark) & (size >= least), F.lit(name)).otherwise(kind)
-    rows = raw.withColumn("kind", kind).where("kind IS NOT NULL")
-    names = list(dict.fromkeys(f for _, _, fields in kinds.values() for f in fields))
-    cut = {"u64": lambda at: u64(F.col("__raw"), at), "u32": lambda at: u32(F.col("__raw"), at), "bool": lambda at: F.hex(_slice(F.col("__raw"), at, 1)) != "00", "key": lambda at: F.lower(F.hex(_slice(F.col("__raw"), at, 32)))}
-    out = []
-    for field in names:
-        value = None
-        for name, (_, _, fields) in kinds.items():
-            if field in fields:
-                type_, at = fields[field]
-                test = F.when(F.col("kind") == name, cut[type_](at))
-                value = test if value is None else F.coalesce(value, test)
-        out.append(value.alias(field))
-    return rows.select(*(c for c in logs.columns if c != data), "kind", *out)
+    raw = F.unbase64(F.col(data)) if logs.schema[data].dataType.simpleString() == "string" else F.col(data)
+    others = [c for c in logs.columns if c != data]
+    types = {"u64": "decimal(20,0)", "u32": "long", "bool": "boolean", "key": "string"}
+    fields: dict[str, dict[int, tuple[str, int]]] = {}
+    for k, (_, _, of) in enumerate(kinds.values()):
+        for field, place in of.items():
+            fields.setdefault(field, {})[k] = place
+    schema = StructType([*logs.select(*others).schema.fields]).add("kind", "string")
+    for field, of in fields.items():
+        schema = schema.add(field, types[next(iter(of.values()))[0]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column("__raw").cast(pa.large_binary())
+            ends = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, 8 * column.offset) if len(column) else np.zeros(1, np.int64)
+            data = np.frombuffer(column.buffers()[2], np.uint8) if column.buffers()[2] else np.zeros(0, np.uint8)
+            start, size = ends[:-1], np.where(column.is_valid().to_numpy(zero_copy_only=False), np.diff(ends), 0)
+            cut = lambda rows, at, n, start=start, data=data: data[start[rows, None] + np.arange(at, at + n)]
+            which = np.full(len(column), -1)
+            for k, (mark, least, _) in enumerate(kinds.values()):
+                rows = np.flatnonzero(size >= max(least, 8))
+                which[rows[(cut(rows, 0, 8) == np.frombuffer(bytes.fromhex(mark), np.uint8)).all(1)]] = k
+            kept = np.flatnonzero(which >= 0)
+            place = np.zeros(len(column), np.int64)
+            place[kept] = np.arange(len(kept))
+            out = [batch.column(c).take(pa.array(kept)) for c in others] + [pa.array([*kinds], pa.string()).take(pa.array(which[kept]))]
+            for of in fields.values():
+                type_ = next(iter(of.values()))[0]
+                values, null = np.zeros(len(kept), {"u64": np.uint64, "u32": np.int64, "bool": bool, "key": object}[type_]), np.ones(len(kept), bool)
+                for k, (_, at) in of.items():
+                    rows = np.flatnonzero(which == k)
+                    if type_ in ("u64", "u32"):
+                        width = 8 if type_ == "u64" else 4
+                        rows = rows[size[rows] >= at + width]
+                        values[place[rows]] = cut(rows, at, width).view(f"<u{width}")[:, 0]
+                    elif type_ == "bool":  # past the end true, as what is not zero
+                        values[place[rows]] = True
+                        inside = rows[size[rows] > at]
+                        values[place[inside]] = cut(inside, at, 1)[:, 0] != 0
+                    else:
+                        values[place[rows]] = [data[start[i] + min(at, size[i]) : start[i] + min(at + 32, size[i])].tobytes().hex() for i in rows]
+                    null[place[rows]] = False
+                array = pa.array(values, mask=null)
+                out.append(array.cast(pa.decimal128(20, 0)) if type_ == "u64" else array.cast(pa.string()) if type_ == "key" else array)
+            yield pa.RecordBatch.from_arrays(out, schema.names)
+
+    return logs.select(*others, raw.alias("__raw")).mapInArrow(run, schema)
 
 
 def strings(data: Column, at: int, n: int) -> list[Column]:

@@ -21,6 +21,23 @@ def test_binary_events(spark):
     assert (int(got[2]["sol"]), int(got[2]["tok"]), got[2]["flag"]) == (8, 7, None)
 
 
+def test_fields_past_the_end_and_numbers_in_bytes(spark):
+    numbers = spark.createDataFrame([(1, 258), (2, -2)], "id long, x long")
+    rows = numbers.select("id", F.concat(F.unhex(F.lit("0102030405060708")), feeds.little_endian(F.col("x")), feeds.little_endian(F.col("x"), 4)).alias("data"))
+    assert bytes(rows.where("id = 1").first()["data"])[8:] == struct.pack("<qI", 258, 258)
+    kinds = {"a": ("0102030405060708", 8, {"x": ("u64", 8), "y": ("u32", 16), "z": ("u64", 13)})}
+    got = {r["id"]: r for r in feeds.decode_events(rows, "data", kinds).collect()}
+    assert (int(got[1]["x"]), got[1]["y"], got[1]["z"], int(got[2]["x"]), got[2]["y"]) == (258, 258, None, 2**64 - 2, 2**32 - 2)
+
+
+def test_logs_are_made_once(spark):
+    """Neither the filter by kind nor the fields repeat the expression that a log comes from."""
+    logs = spark.range(3).select("id", F.base64(F.concat(F.unhex(F.lit("0102030405060708")), F.unhex(F.lpad(F.hex("id"), 16, "0")))).alias("data"))
+    out = feeds.decode_events(logs, "data", {"a": ("0102030405060708", 16, {"x": ("u64", 8), "y": ("u64", 8)})})
+    assert out.count() == 3
+    assert out._jdf.queryExecution().executedPlan().toString().count("unbase64(") == 1
+
+
 def test_strings_in_events(spark):
     data = b"\0" * 8 + b"".join(struct.pack("<I", len(s)) + s for s in (b"name", b"SYM", b"http://x"))
     df = spark.createDataFrame([(bytearray(data),)], "data binary")
