@@ -22,15 +22,9 @@ from .registry import Tables, query
 from .tape import prints
 
 
-def _le(value: Column, n: int = 8) -> Column:
-    """A number as ``n`` little-endian bytes."""
-    digits = F.lpad(F.hex(value.cast("long")), 2 * n, "0")
-    return F.concat(*(F.unhex(F.substring(digits, 2 * n - 1 - 2 * k, 2)) for k in range(n)))
-
-
 def _text(value: Column) -> Column:
     raw = value.cast("binary")
-    return F.concat(_le(F.length(raw), 4), raw)
+    return F.concat(feeds.little_endian(F.length(raw), 4), raw)
 
 
 _BUY, _SELL, _MADE = "67f4521f2cf57777", "3e2f370aa503dc2a", "b1310cd2a076a774"
@@ -43,7 +37,7 @@ _BUY, _SELL, _MADE = "67f4521f2cf57777", "3e2f370aa503dc2a", "b1310cd2a076a774"
 def s6_decode_swaps(t: Tables) -> DataFrame:
     """Order lines written as two layouts of one log; events shorter than their layout are not decoded."""
     buy = F.col("l_linestatus") == "F"
-    a, b = _le(F.col("l_quantity")), _le(F.round("l_extendedprice"))
+    a, b = feeds.little_endian(F.col("l_quantity")), feeds.little_endian(F.round("l_extendedprice"))
     body = F.when(buy, F.concat(F.unhex(F.lit(_BUY)), a, b)).otherwise(F.concat(F.unhex(F.lit(_SELL)), b, a))
     logs = t("lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part"), F.when(F.col("l_quantity") < 10, F.substring(body, 1, 20)).otherwise(body).alias("data"))
     kinds = {"buy": (_BUY, 24, {"tok": ("u64", 8), "sol": ("u64", 16)}), "sell": (_SELL, 24, {"sol": ("u64", 8), "tok": ("u64", 16)})}
@@ -53,7 +47,7 @@ def s6_decode_swaps(t: Tables) -> DataFrame:
 @query("s7_decode_creates", "SELECT p_partkey, p_name AS name, p_brand AS symbol, p_type AS uri, CAST(p_size AS VARCHAR) AS size FROM part")
 def s7_decode_creates(t: Tables) -> DataFrame:
     """Events with three strings of any length before a number: offsets follow from the lengths."""
-    data = F.concat(F.unhex(F.lit(_MADE)), _text(F.col("p_name")), _text(F.col("p_brand")), _text(F.col("p_type")), _le(F.col("p_size")))
+    data = F.concat(F.unhex(F.lit(_MADE)), _text(F.col("p_name")), _text(F.col("p_brand")), _text(F.col("p_type")), feeds.little_endian(F.col("p_size")))
     logs = t("part").select("p_partkey", data.alias("data"))
     name, symbol, uri = feeds.strings(F.col("data"), 8, 3)
     rows = logs.select("p_partkey", "data", name.alias("name"), symbol.alias("symbol"), uri.alias("uri"))
@@ -75,13 +69,14 @@ def s8_known_pool_swaps(t: Tables) -> DataFrame:
 )
 def s9_second_venue(t: Tables) -> DataFrame:
     """The trades table of a second venue with its pools: both decoded from logs, the fee the sum of four parts; short logs go."""
-    made = t("supplier").select(F.concat(F.unhex(F.lit(_MADE)), _le(F.col("s_suppkey")), _text(F.col("s_name"))).alias("data"))
+    made = t("supplier").select(F.concat(F.unhex(F.lit(_MADE)), feeds.little_endian(F.col("s_suppkey")), _text(F.col("s_name"))).alias("data"))
     pools = feeds.decode_events(made, "data", {"create": (_MADE, 20, {"pool": ("u64", 8)})})
     pools = made.select(feeds.u64(F.col("data"), 8).cast("long").alias("pool"), feeds.strings(F.col("data"), 16, 1)[0].alias("name")).join(pools.select(F.col("pool").cast("long").alias("pool")), "pool", "left_semi")
     tax, off = F.round(F.col("l_tax") * 1e4), F.round(F.col("l_discount") * 1e4)
-    fields = (F.col("l_suppkey"), F.col("l_linenumber"), F.round(F.col("l_extendedprice") * 100), F.col("l_quantity"), tax, off, F.lit(0), F.lit(0))
-    body = F.concat(F.unhex(F.lit(_BUY)), *(_le(c) for c in fields), F.unhex(F.when(F.col("l_linestatus") == "F", "01").otherwise("00")))
-    logs = t("lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part"), F.when(F.col("l_quantity") < 5, F.substring(body, 1, 60)).otherwise(body).alias("data"))
+    fields = {"f0": F.col("l_suppkey"), "f1": F.col("l_linenumber"), "f2": F.round(F.col("l_extendedprice") * 100), "f3": F.col("l_quantity"), "f4": tax, "f5": off}
+    lines = t("lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part"), F.col("l_linestatus").alias("status"), *(c.cast("long").alias(n) for n, c in fields.items()))
+    body = F.concat(F.unhex(F.lit(_BUY)), *(feeds.little_endian(F.col(c)) for c in fields), F.unhex(F.lit("00" * 16)), F.unhex(F.when(F.col("status") == "F", "01").otherwise("00")))
+    logs = lines.select("id", "line", "part", F.substring(body, F.lit(1), F.when(F.col("f3") < 5, 60).otherwise(73)).alias("data"))
     names = ("pool", "status", "amount_in", "amount_out", "fee1", "fee2", "fee3", "fee4")
     trades = feeds.decode_events(logs, "data", {"trade": (_BUY, 73, {n: ("u64", 8 + 8 * k) for k, n in enumerate(names)} | {"buy": ("bool", 72)})})
     trades = trades.withColumns({n: F.col(n).cast("double") for n in names[2:]}).withColumns({n: F.col(n).cast("long") for n in names[:2]})
@@ -95,7 +90,7 @@ def s27_list_offsets(t: Tables) -> DataFrame:
     """Distribution events whose amount stands behind a list of any length; repeats of an event count once."""
     g = t("lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.count("*").alias("n"), F.sum(F.round("l_extendedprice").cast("long")).alias("amount"))
     listed = F.unhex(F.repeat(F.lit("ab" * 34), F.col("n").cast("int")))
-    data = F.concat(F.unhex(F.lit("a537817004b3ca28")), _le(F.col("n"), 4), listed, _le(F.col("amount")))
+    data = F.concat(F.unhex(F.lit("a537817004b3ca28")), feeds.little_endian(F.col("n"), 4), listed, feeds.little_endian(F.col("amount")))
     logs = g.select("id", data.alias("data")).union(g.select("id", data.alias("data"))).withColumn("lead", F.substring("data", 1, 120)).dropDuplicates(["id", "lead"])
     n = feeds.u32(F.col("data"), 8)
     return logs.select("id", n.alias("holders"), feeds.u64(F.col("data"), 12 + 34 * n).cast("string").alias("claimed"))
