@@ -91,9 +91,11 @@ def s27_list_offsets(t: Tables) -> DataFrame:
     g = t("lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.count("*").alias("n"), F.sum(F.round("l_extendedprice").cast("long")).alias("amount"))
     listed = F.unhex(F.repeat(F.lit("ab" * 34), F.col("n").cast("int")))
     data = F.concat(F.unhex(F.lit("a537817004b3ca28")), feeds.little_endian(F.col("n"), 4), listed, feeds.little_endian(F.col("amount")))
-    logs = g.select("id", data.alias("data")).union(g.select("id", data.alias("data"))).withColumn("lead", F.substring("data", 1, 120)).dropDuplicates(["id", "lead"])
-    n = feeds.u32(F.col("data"), 8)
-    return logs.select("id", n.alias("holders"), feeds.u64(F.col("data"), 12 + 34 * n).cast("string").alias("claimed"))
+    logs = g.select("id", F.explode(F.array_repeat(data, 2)).alias("data"))
+    # numbers and a digest are dealt out and sorted, not the lists, which may be long and shrink in the shuffle's compression
+    lists = logs.select("id", "data", F.sha2(F.substring("data", 1, 120), 256).alias("lead"), feeds.u32(F.col("data"), 8).alias("holders"))
+    events = lists.select("id", "lead", "holders", feeds.u64(F.col("data"), 12 + 34 * F.col("holders")).alias("claimed"))
+    return events.dropDuplicates(["id", "lead"]).select("id", "holders", F.col("claimed").cast("string").alias("claimed"))
 
 
 _HOST = "regexp_replace(lower(regexp_extract({0}, '^[A-Za-z]+://([^/?#:]*)', 1)), '^www\\.', '')"

@@ -153,3 +153,13 @@ def test_views_polls_and_announcements(spark, tmp_path):
     assert sorted(map(tuple, got), key=str) == [(1000, 2, 5, 1.5), (1000, 2, 6, None), (3000, 0, None, None)]
     titles = spark.createDataFrame([(1, "We Will Drop A, B and C & D soon"), (2, "hello"), (3, None)], "id long, title string")
     assert sorted(tuple(r) for r in documents.announced(titles, "title", {"drop": "Will Drop (.+) soon"}).collect()) == [(1, "drop", x) for x in "ABCD"]
+
+
+def test_repeats_of_lists_are_dropped_without_the_lists(spark):
+    """What is dealt out and sorted to drop repeats is a digest and two numbers."""
+    from tapespark import plans
+
+    out = plans.QUERIES["s27_list_offsets"](spark, "/root/testdata/sf0.001")
+    assert out.count() == out.select("id").distinct().count()
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "first(data" not in plan and "sha2(" in plan
