@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import crowds, folds, joins, stats, sweeps, trips
+from ..operators import crowds, folds, joins, scratch, stats, sweeps, trips
 from ..sources import tape
 from ..sources.tape import DAY, LAUNCHES, SECOND, TAPE, TICKS
 from .registry import Tables, query
@@ -491,29 +491,31 @@ def w29_silence_then_burst(t: Tables) -> DataFrame:
     """A token's first trigger of each kind. Burst: two first-time buyers or more in the thirty days before which it was silent for
     fifteen. Whale: a large buy of a wallet known for a year. Absorbed: a price above that before a large sell of the thirty days
     before. Accumulated: a wallet's buys on a third day without a sell before. The creator's prints count for none but bursts."""
-    rows, at, line = prints(t), F.struct("recv", "seq"), Window.partitionBy("mint").orderBy("recv", "seq")
+    columns = ("mint", "usr", "recv", "seq", "buy", "sol", "vsol", "vtok")
+    rows = scratch.written(prints(t).select(*columns), "tape")  # gone through four times
+    at, line, wallet = F.struct("recv", "seq"), Window.partitionBy("mint").orderBy("recv", "seq"), Window.partitionBy("mint", "usr")
     d = rows.groupBy("mint").agg(F.min_by("usr", at).alias("dev"), F.min("recv").alias("born"))
-    p = rows.join(d, "mint").withColumns({"age": F.col("recv") - F.col("born"), "px": F.col("vsol") / F.col("vtok")})
+    other = F.col("usr") != F.col("dev")
+    p = rows.withColumn("px", F.col("vsol") / F.col("vtok")).drop("vsol", "vtok").join(d, "mint").withColumns({"sold": F.min(F.when(~F.col("buy"), at)).over(wallet), "age": F.col("recv") - F.col("born")})
+    p = p.withColumn("held", F.col("buy") & other & (F.col("sold").isNull() | (at < F.col("sold")))).drop("sold")
     p = p.withColumns({
-        "pre": F.lag("px").over(line), "gap": F.col("recv") - F.lag("recv").over(line), "known": F.col("recv") - F.min("recv").over(Window.partitionBy("usr")),
         "fresh": F.col("buy") & (F.row_number().over(Window.partitionBy("mint", "usr", "buy").orderBy("recv", "seq")) == 1),
-        "sold": F.min(F.when(~F.col("buy"), at)).over(Window.partitionBy("mint", "usr")),
-    })
+        "third": F.coalesce(F.col("held"), F.lit(False)) & (F.dense_rank().over(Window.partitionBy("mint", "usr", "held").orderBy(F.floor(F.col("recv") / DAY))) == 3),
+    }).drop("held")
+    p = p.withColumns({"pre": F.lag("px").over(line), "gap": F.col("recv") - F.lag("recv").over(line)})
     near = Window.partitionBy("mint").orderBy("recv").rangeBetween(-_W, 0)
-    other = F.col("usr") != F.col("dev")
     q = p.withColumns({
         "head": F.min(F.struct("recv", "seq", "gap")).over(near), "firsts": F.sum(F.col("fresh").cast("long")).over(near),
         "absorbed": F.min(F.when(~F.col("buy") & other & (F.col("sol") >= 50_000), F.col("pre"))).over(Window.partitionBy("mint").orderBy("recv").rangeBetween(-_W, -1)),
     })
     hits = {
         "burst": F.col("fresh") & (F.col("age") > _W) & (F.col("head.gap") >= _QUIET) & (F.col("firsts") >= 2),
-        "whale": F.col("buy") & other & (F.col("known") >= 365 * DAY) & (F.col("sol") >= 80_000),
-        "absorbed": (F.col("px") > F.col("absorbed")) & (F.col("age") >= _W),
+        "absorbed": (F.col("px") > F.col("absorbed")) & (F.col("age") >= _W), "accumulated": F.col("third"),
     }
     found = q.select("mint", "recv", F.explode(F.array_compact(F.array(*(F.when(c, F.lit(v)) for v, c in hits.items())))).alias("variant"))
-    days = p.where(F.col("buy") & other & (F.col("sold").isNull() | (at < F.col("sold")))).groupBy("mint", "usr", F.floor(F.col("recv") / DAY).alias("day")).agg(F.min("recv").alias("recv"))
-    third = days.withColumn("i", F.row_number().over(Window.partitionBy("mint", "usr").orderBy("recv"))).where("i = 3").select("mint", "recv", F.lit("accumulated").alias("variant"))
-    return found.unionByName(third).groupBy("mint", "variant").agg(F.min("recv").alias("first"))
+    known = rows.groupBy("usr").agg((F.min("recv") + 365 * DAY).alias("known"))
+    whales = rows.where("buy AND sol >= 80000").select("mint", "usr", "recv").join(d, "mint").where(other).join(known, "usr").where("recv >= known").select("mint", "recv", F.lit("whale").alias("variant"))
+    return found.unionByName(whales).groupBy("mint", "variant").agg(F.min("recv").alias("first"))
 
 
 @query(
