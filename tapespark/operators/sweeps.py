@@ -25,14 +25,20 @@ def in_blocks(rows: DataFrame, at: str, block: int, before: int, after: int = 0)
 
 class Board:
     """Keys with a value that changes, and the largest one: losers of a change stay below until they would win, and are dropped
-    then if they no longer hold. Of equal values the smallest key wins."""
+    then if they no longer hold. Of equal values the smallest key wins. Memory: the keys put in the last ``fresh``, as what no longer
+    holds is cleared out once it is the larger part."""
 
     def __init__(self, fresh: int) -> None:
-        self.fresh, self.now, self.heap = fresh, {}, []
+        self.fresh, self.now, self.heap, self.most = fresh, {}, [], 1000
 
     def put(self, key, value: float, t: int) -> None:
         self.now[key] = (value, t)
         heapq.heappush(self.heap, (-value, key, t))
+        if len(self.heap) > 2 * len(self.now) + 1000 or len(self.now) > self.most:
+            self.now = {k: x for k, x in self.now.items() if t - x[1] <= self.fresh}
+            self.heap = [(-x, k, put) for k, (x, put) in self.now.items()]
+            heapq.heapify(self.heap)
+            self.most = 2 * len(self.now) + 1000
 
     def top(self, t: int) -> tuple | None:
         """(key, value, when it was put) of the largest value put at most ``fresh`` before."""

@@ -1,6 +1,7 @@
 """What grows with the tables: times the tape is made, sorts of one task, states in Python."""
 
 from tapespark import plans
+from tapespark.operators.sweeps import Board
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -15,3 +16,16 @@ def test_tape_is_made_once_for_triggers(spark):
 
 def test_one_order_for_a_wallets_windows(spark):
     assert sum("Window [" in line and "usr" in line.split("], [")[1] for line in _plan(spark, "c8_hot_trigger").splitlines() if "Window [" in line) == 1
+
+
+def test_board_forgets_what_no_longer_holds():
+    board = Board(fresh=100)
+    for t in range(50_000):
+        board.put(t % 7, float(-t % 1013), t)
+    assert len(board.heap) < 3_000
+    last = {k: (float(-t % 1013), t) for t in range(49_900, 50_000) for k in [t % 7]}
+    key, (value, t) = min(last.items(), key=lambda x: (-x[1][0], x[0]))
+    assert board.top(50_000) == (key, value, t)
+    for t in range(50_000, 90_000):
+        board.put(t, 1.0, t)
+    assert len(board.now) < 3_000
