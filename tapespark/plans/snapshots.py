@@ -24,6 +24,12 @@ def _priced(t: Tables) -> DataFrame:
     return tape.prints(t("lineitem"), t("orders")).withColumn("px", F.col("vsol") / F.col("vtok"))
 
 
+def _kept(t: Tables) -> DataFrame:
+    """The tape with prices, written once for queries that go through it several times: each time would join lines and orders anew."""
+    columns = ("mint", "usr", "recv", "seq", "buy", "sol", "tok", "vsol", "vtok")
+    return scratch.written(tape.prints(t("lineitem"), t("orders")).select(*columns), "tape").withColumn("px", F.col("vsol") / F.col("vtok"))
+
+
 def _sum(condition: Column, x: Column | str) -> Column:
     return F.sum(F.when(condition, F.col(x) if isinstance(x, str) else x).otherwise(0.0))
 
@@ -104,7 +110,7 @@ def c7_structure(t: Tables) -> DataFrame:
     A slot is ten days from the first print; shares are percentages of what all wallets hold net, and the launches of the creator's
     accounts are those of the ninety days before. The ten largest come by a ranked window that Spark limits before its shuffle.
     """
-    rows = _priced(t)
+    rows = _kept(t)
     born = creators(rows)
     p = rows.join(born, "mint").where(F.col("recv") < F.col("born") + _AGE).withColumn("slot", F.floor((F.col("recv") - F.col("born")) / _SLOT))
     buy = F.col("buy")
@@ -178,9 +184,9 @@ def c13_fixed_age_snapshots(t: Tables) -> DataFrame:
     completed has no snapshot, and an exit after completion gets the last state before.
 
     A print goes to the ages that have seen it (seven at most) and is summed by wallet before shuffling; states are as-of joins
-    in blocks of time; the prints at an exit's levels are reduced to the first one.
+    in blocks of time; the prints at an exit's levels are reduced to the first one. The tape is written once.
     """
-    rows = _priced(t)
+    rows = _kept(t)
     launched = tape.launches(t("orders")).withColumn("dev", F.floor(F.col("creator") / 10))
     last = rows.agg(F.max("recv").alias("last"))  # one row
     k = t("supplier").agg(F.max("s_suppkey").alias("k"))  # one row

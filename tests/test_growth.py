@@ -14,6 +14,11 @@ def test_tape_is_made_once_for_triggers(spark):
     assert "l_suppkey" not in _plan(spark, "w29_silence_then_burst")
 
 
+def test_tape_is_made_once_for_snapshots_and_structure(spark):
+    for name in ("c7_structure", "c13_fixed_age_snapshots"):
+        assert "l_suppkey" not in _plan(spark, name)
+
+
 def test_one_order_for_a_wallets_windows(spark):
     assert sum("Window [" in line and "usr" in line.split("], [")[1] for line in _plan(spark, "c8_hot_trigger").splitlines() if "Window [" in line) == 1
 
