@@ -1,6 +1,9 @@
 """What grows with the tables: times the tape is made, sorts of one task, states in Python."""
 
+from pyspark.sql import functions as F
+
 from tapespark import plans
+from tapespark.operators import scratch, stats
 from tapespark.operators.sweeps import Board
 
 SMALL = "/root/testdata/sf0.001"
@@ -34,3 +37,18 @@ def test_board_forgets_what_no_longer_holds():
     for t in range(50_000, 90_000):
         board.put(t, 1.0, t)
     assert len(board.now) < 3_000
+
+
+def test_quantiles_order_only_what_is_near(spark):
+    rows = spark.range(50_000).selectExpr("id % 2 AS g", "CASE WHEN id % 3 = 0 THEN 7.0D ELSE CAST(id % 9973 AS DOUBLE) END AS x")
+    df = stats.quantiles(rows, "x", {"low": 0.05, "mid": 0.5, "top": 1.0}, ["g"])
+    got = {r["g"]: (r["low"], r["mid"], r["top"]) for r in df.collect()}
+    want = {r["g"]: tuple(r["q"]) for r in rows.groupBy("g").agg(F.percentile("x", F.array(F.lit(0.05), F.lit(0.5), F.lit(1.0))).alias("q")).collect()}
+    assert got == want
+    assert "row_number" not in df._jdf.queryExecution().optimizedPlan().toString()  # of all rows, that is
+
+
+def test_horizons_are_frames_of_one_line(spark, monkeypatch):
+    monkeypatch.setattr(scratch, "written", lambda rows, label: rows)
+    plan = _plan(spark, "c17_path_after_entry")
+    assert "__left" not in plan and "Union" not in plan
