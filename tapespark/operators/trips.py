@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -18,6 +20,22 @@ _TRIP = "usr long, mint long, opened long, closed long, sol_in double, sol_out d
 _PRINT = ("usr", "mint", "recv", "buy", "sol", "tok")
 
 
+def _alone(batch: pa.RecordBatch) -> pa.BooleanArray:
+    """Rows that are surely the only ones of their (usr, mint): other keys stand before and after them in the batch."""
+    n = batch.num_rows
+    if n < 3:
+        return pa.array(np.zeros(n, bool))
+    usr, mint = batch.column("usr"), batch.column("mint")
+    other = pc.or_kleene(*(pc.not_equal(c.slice(1), c.slice(0, n - 1)) for c in (usr, mint))).fill_null(False).to_numpy(zero_copy_only=False)
+    alone = np.zeros(n, bool)
+    alone[1:-1] = other[:-1] & other[1:]
+    return pa.array(alone)
+
+
+def _values(column: pa.Array) -> list:
+    return column.to_pylist() if column.null_count else column.to_numpy(zero_copy_only=False).tolist()
+
+
 def round_trips(prints: DataFrame, with_state: bool = False, keep: str | None = None) -> DataFrame:
     """One row per trip of (usr, mint): it opens at the first buy when flat, and closes when the position falls to 1% of its peak.
 
@@ -34,7 +52,12 @@ def round_trips(prints: DataFrame, with_state: bool = False, keep: str | None =
         key, pos, peak, trip, entry = None, 0.0, 0.0, None, None
         for batch in batches:
             done = []
-            for usr, mint, recv, buy, sol, tok, *has in zip(*(batch.column(c).to_pylist() for c in read), strict=True):
+            single = _alone(batch)
+            bought = batch.filter(pc.and_(single, batch.column("buy")))
+            if bought.num_rows:
+                yield _opened(bought)
+            batch = batch.filter(pc.invert(single))
+            for usr, mint, recv, buy, sol, tok, *has in zip(*map(_values, (batch.column(c) for c in read)), strict=True):
                 if (usr, mint) != key:
                     if trip:
                         done.append([*trip, pos, peak, entry])
@@ -64,8 +87,17 @@ def round_trips(prints: DataFrame, with_state: bool = False, keep: str | None =
         if trip:
             yield _batch([[*trip, pos, peak, entry]])
 
+    def _opened(rows: pa.RecordBatch) -> pa.RecordBatch:
+        """The open trips of keys whose only print is a buy."""
+        n = rows.num_rows
+        usr, mint, recv, sol, tok = (rows.column(c) for c in ("usr", "mint", "recv", "sol", "tok"))
+        zero, one, none = pa.array(np.zeros(n)), pa.array(np.ones(n, np.int32)), pa.nulls(n, pa.int64())
+        made = [usr, mint, recv, none, sol, zero, tok, zero, one, pa.array(np.zeros(n, np.int32)), tok, tok, *([rows.column(keep)] if keep else [])]
+        return pa.RecordBatch.from_arrays([c.cast(kind) for c, kind in zip(made, types, strict=False)][: len(names)], names)
+
+    types = [pa.int64()] * 4 + [pa.float64()] * 4 + [pa.int32()] * 2 + [pa.float64()] * 3
+
     def _batch(rows: list) -> pa.RecordBatch:
-        types = [pa.int64()] * 4 + [pa.float64()] * 4 + [pa.int32()] * 2 + [pa.float64()] * 3
         return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind, _ in zip(zip(*rows, strict=True), types, names, strict=False)], names)
 
     rows = prints.select(*read, "seq").dropna(subset=list(_PRINT[2:]))

@@ -1,9 +1,10 @@
 """What grows with the tables: times the tape is made, sorts of one task, states in Python."""
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tapespark import plans
-from tapespark.operators import scratch, stats
+from tapespark.operators import scratch, stats, trips
 from tapespark.operators.sweeps import Board
 
 SMALL = "/root/testdata/sf0.001"
@@ -52,3 +53,19 @@ def test_horizons_are_frames_of_one_line(spark, monkeypatch):
     monkeypatch.setattr(scratch, "written", lambda rows, label: rows)
     plan = _plan(spark, "c17_path_after_entry")
     assert "__left" not in plan and "Union" not in plan
+
+
+def test_event_study_has_a_row_an_entry(spark):
+    plan = _plan(spark, "c3_event_study")
+    assert "l_suppkey" not in plan and "explode" not in plan
+
+
+def test_trips_of_single_prints_are_not_walked(spark):
+    prints = [(u, m, 100 * u + m, 7 * u + m, (u + m) % 3 != 0, 1.5 * m, 2.0 * u, 0.25 * u) for u in range(60) for m in range(20) for _ in range(1 + (u * m) % 17 // 16)]
+    prints += [(None, 1, 5, 1, True, 1.0, 2.0, 3.0), (None, 1, 6, 2, False, 4.0, 2.0, 3.0), (None, None, 7, 3, True, 8.0, 1.0, 9.0)]
+    rows = spark.createDataFrame(prints, "usr long, mint long, recv long, seq long, buy boolean, sol double, tok double, px double")
+    got = {tuple(r) for r in trips.round_trips(rows, keep="px").where("closed IS NULL AND n_buys = 1").collect()}
+    alone = [p for p in prints if sum(q[:2] == p[:2] for q in prints) == 1 and p[4]]
+    assert got == {(u, m, at, None, sol, 0.0, tok, 0.0, 1, 0, tok, tok, px) for u, m, at, _, _, sol, tok, px in alone}
+    batch = pa.RecordBatch.from_pydict({"usr": [1, 2, 2, 3, 4, None, 5], "mint": [1] * 7})
+    assert trips._alone(batch).to_pylist() == [False, False, False, True, False, False, False]
