@@ -60,15 +60,14 @@ SELECT CAST(n.o_orderkey AS VARCHAR) AS sig, 'w' || o_custkey AS wallet, l_suppk
 )
 def s10_wallet_swaps(t: Tables) -> DataFrame:
     """Orders as transactions of several owners: balances before and after, a fee, and part of the money in wrapped form."""
-    l = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    owner = F.when(F.col("l_returnflag") == "R", F.lit("pool")).otherwise(F.concat(F.lit("w"), F.col("o_custkey").cast("string")))
-    side = lambda flag: F.collect_list(F.when(F.col("l_linestatus") == flag, F.struct(owner.alias("owner"), F.col("l_suppkey").cast("string").alias("mint"), F.col("l_quantity").alias("amount"))))
-    b = l.groupBy("o_orderkey").agg(side("O").alias("pre"), side("F").alias("post"))
+    side = lambda flag: F.collect_list(F.when(F.col("l_linestatus") == flag, F.struct((F.col("l_returnflag") == "R").alias("pool"), F.col("l_suppkey").cast("string").alias("mint"), F.col("l_quantity").alias("amount"))))
+    b = t("lineitem").groupBy("l_orderkey").agg(side("O").alias("pre"), side("F").alias("post"))
+    owned = lambda name: F.transform(name, lambda x: F.struct(F.when(x["pool"], F.lit("pool")).otherwise(wallet).alias("owner"), x["mint"].alias("mint"), x["amount"].alias("amount")))
     price = F.col("o_totalprice")
     wallet = F.concat(F.lit("w"), F.col("o_custkey").cast("string"))
     wrapped = F.array(F.struct(wallet.alias("owner"), F.lit("WSOL").alias("mint"), (price * 0.25).alias("amount")))
     paid = F.when(F.col("o_orderstatus") == "F", -price).otherwise(price)
-    tx = t("orders").join(b, "o_orderkey").select(F.col("o_orderkey").cast("string").alias("sig"), wallet.alias("wallet"), (price * 0.25).alias("fee"), price.alias("sol_pre"), (price + paid).alias("sol_post"), "pre", F.concat("post", wrapped).alias("post"))
+    tx = t("orders").join(b, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_orderkey").cast("string").alias("sig"), wallet.alias("wallet"), (price * 0.25).alias("fee"), price.alias("sol_pre"), (price + paid).alias("sol_post"), owned("pre").alias("pre"), F.concat(owned("post"), wrapped).alias("post"))
     return feeds.swaps(tx).select("sig", "wallet", F.col("mint").cast("long").alias("mint"), F.round("tok", 4).alias("tok"), F.round("sol", 4).alias("sol"))
 
 

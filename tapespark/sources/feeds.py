@@ -242,14 +242,20 @@ def swaps(transactions: DataFrame) -> DataFrame:
     """Wallet swaps of parsed transactions: per token the change of balance, against that of SOL and wrapped SOL with the fee.
 
     Takes sig, wallet, fee, sol_pre, sol_post and arrays ``pre`` and ``post`` of (owner, mint, amount). The SOL leg is null if
-    over one token changed or the signs agree.
+    over one token changed or the signs agree. Transactions are shuffled once: the wallet's balances, and its change of SOL as an entry
+    with the transaction's number, then stand together.
     """
-    side = lambda name, sign: transactions.select("sig", "wallet", F.explode(name).alias("b")).where("b.owner = wallet").select("sig", "wallet", "b.mint", (sign * F.col("b.amount")).alias("d"))
-    change = side("pre", F.lit(-1.0)).union(side("post", F.lit(1.0))).groupBy("sig", "wallet", "mint").agg(F.sum("d").alias("tok")).where(F.abs(F.col("tok")) > 1e-12)
-    wrapped = change.where("mint = 'WSOL'").groupBy("sig", "wallet").agg(F.sum("tok").alias("wsol"))
-    tokens = change.where("mint <> 'WSOL'")
-    n = tokens.groupBy("sig", "wallet").agg(F.count("*").alias("changed"))
-    sol = transactions.select("sig", "wallet", (F.col("sol_post") - F.col("sol_pre") + F.col("fee")).alias("dsol"))
-    rows = tokens.join(n, ["sig", "wallet"]).join(sol, ["sig", "wallet"]).join(wrapped, ["sig", "wallet"], "left")
+    entry = lambda mint, d, tx: F.struct(mint.cast("string").alias("mint"), d.cast("double").alias("d"), tx.cast("long").alias("tx"))
+    none = F.lit(None)
+    of_wallet = lambda name, sign: F.coalesce(F.transform(F.filter(name, lambda b: b["owner"] == F.col("wallet")), lambda b: entry(b["mint"], sign * b["amount"], none)), F.array().cast("array<struct<mint:string,d:double,tx:bigint>>"))
+    numbered = transactions.where("sig IS NOT NULL AND wallet IS NOT NULL").withColumn("tx", F.monotonically_increasing_id())
+    dsol = F.array(entry(none, F.col("sol_post") - F.col("sol_pre") + F.col("fee"), F.col("tx")))
+    rows = numbered.select("sig", "wallet", F.concat(of_wallet("pre", -1.0), of_wallet("post", 1.0), dsol).alias("b")).repartition("sig", "wallet").select("sig", "wallet", F.inline("b"))
+    change = rows.groupBy("sig", "wallet", "tx", "mint").agg(F.sum("d").alias("tok")).where("tx IS NOT NULL OR abs(tok) > 1e-12")
+    of_tx = Window.partitionBy("sig", "wallet")
+    token, wrapped = F.col("tx").isNull() & (F.col("mint") != "WSOL"), F.col("tx").isNull() & (F.col("mint") == "WSOL")
+    sols = F.collect_list(F.when(F.col("tx").isNotNull(), F.struct(F.col("tok").alias("dsol")))).over(of_tx)
+    change = change.select("sig", "wallet", "mint", "tok", token.alias("token"), F.count_if(token).over(of_tx).alias("changed"), F.sum(F.when(wrapped, F.col("tok"))).over(of_tx).alias("wsol"), sols.alias("sols"))
+    legs = change.where("token").select("sig", "wallet", "mint", "tok", "changed", "wsol", F.inline("sols"))
     leg = F.col("dsol") + F.coalesce("wsol", F.lit(0.0))
-    return rows.select("sig", "wallet", "mint", "tok", F.when((F.col("changed") == 1) & (F.signum(leg) == -F.signum(F.col("tok"))), leg).alias("sol"))
+    return legs.select("sig", "wallet", "mint", "tok", F.when((F.col("changed") == 1) & (F.signum(leg) == -F.signum(F.col("tok"))), leg).alias("sol"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tapespark import plans
 from tapespark.operators import scratch, stats, trips
 from tapespark.operators.sweeps import Board
+from tapespark.sources import feeds
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -69,3 +70,12 @@ def test_trips_of_single_prints_are_not_walked(spark):
     assert got == {(u, m, at, None, sol, 0.0, tok, 0.0, 1, 0, tok, tok, px) for u, m, at, _, _, sol, tok, px in alone}
     batch = pa.RecordBatch.from_pydict({"usr": [1, 2, 2, 3, 4, None, 5], "mint": [1] * 7})
     assert trips._alone(batch).to_pylist() == [False, False, False, True, False, False, False]
+
+
+def test_swaps_shuffle_transactions_once(spark):
+    bal = "array<struct<owner:string,mint:string,amount:double>>"
+    rows = [("a", "w", 0.0, 5.0, 4.0, None, [("w", "T", 1.0), ("z", "U", 1.0)]), ("b", "w", None, 1.0, 1.0, [("w", "T", 5.0)], []), ("c", "w", 0.0, 3.0, 1.0, [("w", None, 2.0)], [("w", "T", 2.0)]), (None, "w", 0.0, 3.0, 1.0, [], [("w", "T", 2.0)])]
+    df = feeds.swaps(spark.createDataFrame(rows, f"sig string, wallet string, fee double, sol_pre double, sol_post double, pre {bal}, post {bal}"))
+    assert sorted(map(tuple, df.collect())) == [("a", "w", "T", 1.0, -1.0), ("b", "w", "T", -5.0, None), ("c", "w", "T", 2.0, -2.0)]
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("RepartitionByExpression") == 1
