@@ -44,28 +44,22 @@ def auc(rows: DataFrame, score: str, label: str) -> DataFrame:
 def counts_up_to(asked: DataFrame, at: str, series: dict[str, DataFrame], windows: dict[str, tuple[str, int]], block: int) -> DataFrame:
     """``asked`` with, for each of ``windows`` (name: series, width), how many ``x`` of the series lie in (at - width, at].
 
-    Time is cut in blocks. Series shrink to counts by time before they move; the running count within a block is a window of
-    that block, and what lies before it a running sum over the blocks' totals. Rows of ``asked`` must differ.
+    Time is cut in blocks, of ``block`` or four times the longest width, whichever is more. Series shrink to counts by time before they
+    move; a count also goes to the blocks that a window ending there begins before, so that each block is a line by itself, on
+    which a count is the difference of two running sums.
     """
-    names = asked.columns
-    asks = F.array(*(F.struct(F.lit(name).alias("name"), F.lit(which).alias("which"), F.lit(shift).cast("long").alias("shift"), F.lit(sign).alias("sign")) for name, (which, width) in windows.items() for shift, sign in ((0, 1), (width, -1))))
-    questions = asked.withColumn("a", F.explode(asks)).select(F.struct(*names).alias("row"), "a.name", "a.sign", "a.which", (F.col(at) - F.col("a.shift")).alias("x"), F.lit(0).cast("long").alias("n"))
-    kind = questions.schema["row"].dataType
-    counts = None
+    reach = max(width for _, width in windows.values())
+    size = max(block, 4 * reach)
+    of = lambda x: F.floor(x / size)
+    line = asked.select(F.struct(*asked.columns).alias("row"), F.col(at).alias("x"), of(F.col(at)).alias("block"), *(F.lit(0).cast("long").alias(f"n_{which}") for which in series))
     for which, df in series.items():
-        part = df.where("x IS NOT NULL").groupBy("x").agg(F.count("*").alias("n")).withColumn("which", F.lit(which))
-        counts = part if counts is None else counts.unionByName(part)
-    line = questions.unionByName(counts.select(F.lit(None).cast(kind).alias("row"), F.lit(None).cast("string").alias("name"), F.lit(0).alias("sign"), "which", "x", "n"))
-    line = line.withColumn("block", F.floor(F.col("x") / block))
-    inside = F.sum("n").over(Window.partitionBy("which", "block").orderBy("x").rangeBetween(Window.unboundedPreceding, 0))
-    totals = counts.groupBy("which", F.floor(F.col("x") / block).alias("b")).agg(F.sum("n").alias("n"))
-    # a block's total counts for the questions of later blocks: both stand in one line of blocks
-    ends = totals.select("which", "b", "n", F.lit(False).alias("asks")).union(line.where("row IS NOT NULL").select("which", F.col("block").alias("b")).distinct().select("which", "b", F.lit(0).cast("long"), F.lit(True)))
-    before = ends.groupBy("which", "b").agg(F.sum("n").alias("n"), F.bool_or("asks").alias("asks"))
-    before = before.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("which").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).where("asks").select("which", F.col("b").alias("block"), "before")
-    found = line.withColumn("inside", inside).where("row IS NOT NULL").join(before, ["which", "block"])
-    count = F.col("sign") * (F.col("inside") + F.col("before"))
-    return found.groupBy("row").agg(*(F.sum(F.when(F.col("name") == name, count)).alias(f"c{k}") for k, name in enumerate(windows))).select("row.*", *(F.col(f"c{k}").alias(name) for k, name in enumerate(windows)))
+        part = df.where("x IS NOT NULL").groupBy("x").agg(F.count("*").alias("n"))
+        blocks = F.explode(F.sequence(of(F.col("x")), of(F.col("x") + (reach - 1))))
+        line = line.unionByName(part.select(F.lit(None).cast(line.schema["row"].dataType).alias("row"), "x", blocks.alias("block"), *(F.col("n") if k == which else F.lit(0).cast("long") for k in series)).toDF(*line.columns))
+    ordered = Window.partitionBy("block").orderBy("x")
+    up_to = lambda which, back: F.coalesce(F.sum(f"n_{which}").over(ordered.rangeBetween(Window.unboundedPreceding, -back)), F.lit(0))
+    counts = [(up_to(which, 0) - up_to(which, width)).alias(f"c{k}") for k, (which, width) in enumerate(windows.values())]
+    return line.select("row", *counts).where("row IS NOT NULL").select("row.*", *(F.col(f"c{k}").alias(name) for k, name in enumerate(windows)))
 
 
 def levels(asked: DataFrame, at: str, changes: DataFrame, block: int) -> DataFrame:

@@ -651,9 +651,9 @@ SELECT launch, CASE WHEN known THEN l10 END AS launches_10m, CASE WHEN known THE
 def w30_regime(t: Tables) -> DataFrame:
     """Market-wide counts up to every launch: launches, completions and their ratio, prints; null where the hour before is not covered.
 
-    Every count is the difference of two running counts, read at the launch and at the window's start.
+    Every count is the difference of two running counts, read at the launch and at the window's start. The tape's times are written once.
     """
-    rows, tape_rows = tape.launches(t("orders")), prints(t)
+    rows, tape_rows = tape.launches(t("orders")), scratch.written(prints(t).select("recv"), "times")
     hour, some = 3600 * SECOND, 600 * SECOND
     series = {"l": rows.select(F.col("born").alias("x")), "c": rows.where("completed").select(F.col("completed_at").alias("x")), "t": tape_rows.select(F.col("recv").alias("x"))}
     counted = stats.counts_up_to(rows.select("launch", "born"), "born", series, {"launches_10m": ("l", some), "launches_1h": ("l", hour), "completions_1h": ("c", hour), "trades_10m": ("t", some)}, hour)

@@ -79,3 +79,11 @@ def test_swaps_shuffle_transactions_once(spark):
     assert sorted(map(tuple, df.collect())) == [("a", "w", "T", 1.0, -1.0), ("b", "w", "T", -5.0, None), ("c", "w", "T", 2.0, -2.0)]
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and plan.count("RepartitionByExpression") == 1
+
+
+def test_counts_up_to_are_one_line_of_blocks(spark):
+    asked = spark.createDataFrame([(1, 100), (2, 100), (2, 100), (3, -7), (4, None)], "q long, t long")
+    series = {"a": spark.createDataFrame([(x,) for x in (-107, -106, -7, 0, 1, 99, 100, 101, None)], "x long")}
+    df = stats.counts_up_to(asked, "t", series, {"n": ("a", 100), "m": ("a", 1)}, 10)
+    assert sorted(map(tuple, df.collect()), key=str) == [(1, 100, 3, 1), (2, 100, 3, 1), (2, 100, 3, 1), (3, -7, 2, 1), (4, None, 0, 0)]
+    assert "Join" not in df._jdf.queryExecution().optimizedPlan().toString()
