@@ -273,11 +273,16 @@ SELECT launch, creator, CAST(age_us // 1000000 AS BIGINT) AS age_s, before, CASE
 def c37_funding_features(t: Tables) -> DataFrame:
     """Account age, launches before, and the funder of a creator's first line: its counts up to the funding, other creators it had
     funded before the launch, and a class by the first rule of a ladder that holds. Counts are running ones, not pairs."""
-    lines = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("creator"), F.col("l_suppkey").alias("funder"), F.unix_date(F.to_date("l_shipdate")).cast("long").alias("day"), "l_orderkey", "l_linenumber", "l_partkey")
-    daily_lines = lines.groupBy("funder", "day").agg(F.count("*").alias("n"))
+    owners = t("orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("creator"))
+    day = F.unix_date(F.to_date("l_shipdate")).cast("long")
+    lines = t("lineitem").select("l_orderkey", F.col("l_suppkey").alias("funder"), day.alias("day"), "l_linenumber", "l_partkey").join(owners, "l_orderkey")
+    # a row an order has what both questions need: its first line, and its lines' funders and days
+    first = F.min(F.struct("day", "l_orderkey", "l_linenumber", "l_partkey", "funder"))
+    lines = scratch.written(lines.groupBy("l_orderkey", "creator").agg(first.alias("x"), F.collect_list(F.struct("funder", "day")).alias("of")), "funding-lines")
+    daily_lines = lines.select(F.inline("of")).repartition("funder").groupBy("funder", "day").agg(F.count("*").alias("n"))
     w = Window.partitionBy("funder").orderBy("day")
     counts = daily_lines.select("funder", F.col("day").alias("t"), F.sum("n").over(w.rangeBetween(-1, 0)).alias("f_24h"), F.sum("n").over(w.rangeBetween(Window.unboundedPreceding, 0)).alias("f_n"), F.min("day").over(Window.partitionBy("funder")).alias("f_first"))
-    funding = lines.groupBy("creator").agg(F.min(F.struct("day", "l_orderkey", "l_linenumber", "l_partkey", "funder")).alias("x")).select("creator", "x.funder", F.col("x.day").alias("t"))
+    funding = lines.groupBy("creator").agg(F.min("x").alias("x")).select("creator", "x.funder", F.col("x.day").alias("t"))
     funds = funding.join(counts, ["funder", "t"]).join(t("supplier").select(F.col("s_suppkey").alias("funder"), F.col("s_acctbal").alias("pre"), "s_nationkey"), "funder")
     own = Window.partitionBy("creator")
     l = tape.launches(t("orders")).select("launch", "creator", F.floor(F.col("born") / DAY).alias("day"), (F.row_number().over(own.orderBy("born", "launch")) - 1).cast("long").alias("before"), (F.col("born") - F.min("born").over(own)).alias("age"))

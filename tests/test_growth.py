@@ -87,3 +87,7 @@ def test_counts_up_to_are_one_line_of_blocks(spark):
     df = stats.counts_up_to(asked, "t", series, {"n": ("a", 100), "m": ("a", 1)}, 10)
     assert sorted(map(tuple, df.collect()), key=str) == [(1, 100, 3, 1), (2, 100, 3, 1), (2, 100, 3, 1), (3, -7, 2, 1), (4, None, 0, 0)]
     assert "Join" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_funding_reads_lines_once(spark):
+    assert "l_suppkey" not in _plan(spark, "c37_funding_features")
