@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from . import scratch
 from .folds import Stairs, sweep
 
 def in_blocks(rows: DataFrame, at: str, block: int, before: int, after: int = 0) -> DataFrame:
@@ -251,18 +252,22 @@ def hand_over(prints: DataFrame, completions: DataFrame, key: str, at: str, pric
     is it. The exit's price is given where no level is touched.
 
     Time is cut in blocks of four holds, walked back over two pairs of stairs, one of each venue: a block gets the prints of one
-    hold after it, and the second venue's first ones if an entry in it may reach the completion.
+    hold after it, and the second venue's first ones if an entry in it may reach the completion. Completions, with the second venue's first
+    print, are written first: their size is then known, and as long as they are few, prints are shuffled for the walk only.
     """
     size = 4 * hold
-    rows = prints.where(F.col(at).isNotNull() & F.col(price).isNotNull()).join(completions.select(F.col(key).alias("__key"), F.col("completed").alias("__done")), F.col(key) == F.col("__key"), "left").drop("__key")
-    second = F.coalesce(F.col(at) >= F.col("__done"), F.lit(False))
-    opens = rows.where(second).groupBy(F.col(key).alias("__key")).agg(F.min(at).alias("__open"))
-    rows = rows.withColumn("__second", second).join(opens, F.col(key) == F.col("__key"), "left").drop("__key")
+    rows = prints.where(F.col(at).isNotNull() & F.col(price).isNotNull())
+    done = scratch.written(completions.select(F.col(key).alias("__key"), F.col("completed").alias("__done")), "completions")
+    same = F.col(key) == F.col("__key")
+    opens = rows.select(key, at).join(done, same).where(F.col(at) >= F.col("__done")).groupBy("__key", "__done").agg(F.min(at).alias("__open"))
+    ends = scratch.written(done.join(opens.drop("__done"), "__key", "left"), "completions")
+    rows = rows.join(ends, same, "left").drop("__key").withColumn("__second", F.coalesce(F.col(at) >= F.col("__done"), F.lit(False)))
     rows = rows.where(~F.col("__second") | (F.col(at) <= F.col("__open") + wait))
     own = F.floor(F.col(at) / size)
     first, last = F.when(F.col("__second"), F.floor((F.col("__done") - hold) / size)).otherwise(F.floor((F.col(at) - hold) / size)), F.when(F.col("__second"), F.floor(F.col("__done") / size)).otherwise(own)
     rows = rows.withColumn("__own", F.when(~F.col("__second"), own)).withColumn("__block", F.explode(F.sequence(first, last)))
     names = prints.columns
+    rows = rows.select(*names, "__done", "__second", "__own", "__block")
     taken = {c: rows.columns.index(c) for c in (key, "__block", "__own", at, price, entry, "__second", "__done")}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

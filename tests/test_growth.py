@@ -91,3 +91,9 @@ def test_counts_up_to_are_one_line_of_blocks(spark):
 
 def test_funding_reads_lines_once(spark):
     assert "l_suppkey" not in _plan(spark, "c37_funding_features")
+
+
+def test_hand_over_shuffles_prints_for_the_walk_only(spark):
+    plan = plans.QUERIES["c19_level_reach"](spark, SMALL)._jdf.queryExecution()
+    assert "l_suppkey" not in plan.optimizedPlan().toString()
+    assert plan.executedPlan().toString().count("Exchange hashpartitioning(") == 1
