@@ -33,9 +33,9 @@ def display_duration(text: Column) -> Column:
 def normal(text: Column) -> Column:
     """Escapes undone, white space collapsed, trimmed, lower case."""
     plain = text
-    for escape, char in ((r"\\n", " "), (r"\\t", " "), (r"\\\"", '"')):
-        plain = F.regexp_replace(plain, escape, char)
-    return F.lower(F.trim(F.regexp_replace(plain, r"\s+", " ")))
+    for escape, char in (("\\n", " "), ("\\t", " "), ('\\"', '"')):
+        plain = F.replace(plain, F.lit(escape), F.lit(char))
+    return F.lower(F.trim(F.regexp_replace(plain, r"[\t\n\x0B\f\r]\s*| \s+", " ")))  # a single space stays
 
 
 def name_key(text: Column) -> Column:

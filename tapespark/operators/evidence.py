@@ -63,40 +63,54 @@ def quote_found(quote: Column, texts: Column) -> Column:
     return F.when(quote.isNull() | (F.trim(quote) == "") | texts.isNull(), None).otherwise(F.contains(normal(texts), normal(quote)))
 
 
-def _runs(words: str, n: int) -> Column:
-    """All runs of ``n`` of the words, of which there are as many at least."""
-    return F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " "))
+#: Characters of quotes that are looked up in one pass of the texts.
+_QUOTES = 1 << 25
 
 
 def quote_holders(quotes: DataFrame, texts: DataFrame, item: str, quote: str, doc: str, body: str) -> DataFrame:
-    """(item, doc): the texts that hold a quote; both are normalised, blank quotes are in none.
+    """(item, doc): the texts that hold a quote, a row each; both are normalised, blank quotes are in none.
 
     A quote may begin and end inside a word of a text. So quotes of three words or more meet texts on their inner words, the
-    first four of them at most; those of two on the end of the word that the first is; single words on parts of the texts'
-    distinct words. What meets is then compared as a whole.
+    first four of them at most: those of each place of a text are looked up among the quotes', and what meets is compared there
+    with the whole quote, so that no text is shuffled. A pass takes quotes of 32 M characters. Quotes of two words meet texts on the end of
+    the word that the first is, single words on parts of the texts' distinct words; these pairs are then compared with the whole text.
     """
     words = F.split(F.col(quote), " ")
-    q = quotes.where(F.trim(quote) != "").select(item, quote, F.least(F.size(words) - 2, F.lit(4)).alias("n")).withColumn("gram", F.array_join(F.slice(words, F.when(F.col("n") > 0, 2).otherwise(1), F.greatest("n", F.lit(1))), " "))
-    w = texts.where(F.col(body).isNotNull()).select(doc, F.split(F.col(body), " ").alias("w"))
-    used = [r["n"] for r in q.select("n").distinct().collect()]  # six numbers at most
-    met = []
+    q = quotes.where(F.trim(quote) != "").select(item, quote, F.size(words).alias("k"), F.least(F.size(words) - 2, F.lit(4)).alias("n"))
+    w = texts.where(F.col(body).isNotNull()).select(doc, F.monotonically_increasing_id().alias("__text"), F.split(F.col(body), " ").alias("w"))
+    used = {r["n"]: r["size"] for r in q.groupBy("n").agg(F.sum(F.length(quote)).alias("size")).collect()}  # six numbers at most
+    gram = lambda of, first, n: F.xxhash64(*(F.get(of, first + j) for j in range(n)))
+    found = []
     for n in [n for n in used if n > 0]:
-        met.append(w.where(F.size("w") >= n).select(doc, F.explode(F.array_distinct(_runs("w", n))).alias("gram")).join(q.where(F.col("n") == n), "gram"))
+        passes = used[n] // _QUOTES + 1
+        inner = q.where(F.col("n") == n).select(item, quote, "k", gram(words, F.lit(1), n).alias("gram"))
+        for part in range(passes):
+            some = inner.where(F.pmod(F.xxhash64(item), F.lit(passes)) == part) if passes > 1 else inner
+            places = w.select(doc, "__text", "w", F.posexplode("w").alias("pos", "word")).where("pos > 0").select(doc, "__text", "w", "pos", gram(F.col("w"), F.col("pos"), n).alias("gram"))
+            near = F.array_join(F.slice("w", F.col("pos"), F.col("k")), " ")
+            found.append(places.join(F.broadcast(some), "gram").where(F.contains(near, F.col(quote))).select(item, quote, doc, "__text").distinct().select(item, doc))
+    met = []
     if any(n <= 0 for n in used):
+        short = q.withColumn("gram", F.get(words, F.lit(0)))
         held = w.select(doc, F.explode(F.array_distinct("w")).alias("word"))
         ends = held.select("word").distinct().where("word <> ''").select("word", F.explode(F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: F.substring(F.col("word"), i, F.length("word")))).alias("gram"))
         if 0 in used:
-            met.append(ends.join(q.where("n = 0"), "gram").join(held, "word"))
+            met.append(ends.join(short.where("n = 0"), "gram").join(held, "word"))
         if -1 in used:
-            sizes = [r["k"] for r in q.where("n = -1").select(F.length("gram").alias("k")).distinct().collect()]  # lengths of words
+            sizes = [r["k"] for r in short.where("n = -1").select(F.length("gram").alias("k")).distinct().collect()]  # lengths of words
             parts = ends.select("word", F.explode(F.array(*(F.when(F.length("gram") >= k, F.left("gram", F.lit(k))) for k in sizes))).alias("gram")).where("gram IS NOT NULL").distinct()
-            met.append(parts.join(q.where("n = -1"), "gram").join(held, "word"))
-    if not met:
+            met.append(parts.join(short.where("n = -1"), "gram").join(held, "word"))
+    if met:
+        pairs = met[0].select(item, quote, doc)
+        for more in met[1:]:
+            pairs = pairs.union(more.select(item, quote, doc))
+        found.append(pairs.distinct().join(texts.select(doc, body), doc).where(F.contains(F.col(body), F.col(quote))).select(item, doc))
+    if not found:
         return quotes.sparkSession.createDataFrame([], StructType([quotes.schema[item], texts.schema[doc]]))
-    pairs = met[0].select(item, quote, doc)
-    for more in met[1:]:
-        pairs = pairs.union(more.select(item, quote, doc))
-    return pairs.distinct().join(texts.select(doc, body), doc).where(F.contains(F.col(body), F.col(quote))).select(item, doc)
+    all_found = found[0]
+    for more in found[1:]:
+        all_found = all_found.union(more)
+    return all_found
 
 
 def fingerprint(rows: DataFrame, by: list[str], order: list[str], columns: list[str]) -> DataFrame:

@@ -4,7 +4,8 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tapespark import plans
-from tapespark.operators import scratch, stats, trips
+from tapespark.functions import text
+from tapespark.operators import evidence, scratch, stats, trips
 from tapespark.operators.sweeps import Board
 from tapespark.sources import feeds
 
@@ -101,3 +102,22 @@ def test_hand_over_shuffles_prints_for_the_walk_only(spark):
 
 def test_last_values_are_looked_up_not_sorted(spark):
     assert "strategy=shuffle_hash" in _plan(spark, "j9_values_at_horizons")
+
+
+def test_quotes_are_compared_where_they_meet(spark, monkeypatch):
+    monkeypatch.setattr(evidence, "_QUOTES", 40)
+    texts = [(1, "so a b c d x a b c d e f"), (2, "a b c d e f"), (2, "oo a b c d e"), (3, "o a b c d e f"), (4, "zz a b cc"), (5, None), (6, "")]
+    quotes = [(1, "o a b c d e"), (2, "x a b c d e f"), (3, "z a b c"), (4, "a b c d e"), (5, "b c d x a b c d e f g"), (6, " "), (7, "d e f")]
+    q, d = spark.createDataFrame(quotes, "item long, quote string"), spark.createDataFrame(texts, "doc long, body string")
+    df = evidence.quote_holders(q, d, "item", "quote", "doc", "body")
+    assert sorted(map(tuple, df.collect())) == sorted((i, k) for i, x in quotes for k, t in texts if x.strip() and t and x in t)
+    assert "SortMergeJoin" not in df._jdf.queryExecution().executedPlan().toString()
+    plan = _plan(spark, "e4_quote_check")
+    assert not any("Join" in line and "doc_id" in line for line in plan.splitlines())
+
+
+def test_white_space_is_collapsed_as_before(spark):
+    raw = [" A\\nb\t c  D ", "\n\nx\x0b\x0cy \r z", 'q\\"r\\ts', "\\\\n", "   ", "", None, "a b"]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(raw)], "i long, x string").select("i", text.normal(F.col("x")).alias("x"))
+    assert [r["x"] for r in df.orderBy("i").collect()] == ["a b c d", "x y z", 'q"r s', "\\", "", "", None, "a b"]
+    assert r"\\n" not in df._jdf.queryExecution().analyzed().toString()
