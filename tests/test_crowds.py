@@ -78,3 +78,15 @@ def test_no_pairs(spark, name):
     plan = plans.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     joins = [line for line in plan.splitlines() if "Join " in line]
     assert not any("<=" in line or ">=" in line or "Cross" in line for line in joins), joins
+
+
+def test_choice_sets_move_as_packs(spark):
+    """A sum of unknown sizes is null, of some known ones theirs; prints meet their orders and their block as packs only."""
+    from tapespark import plans
+
+    rows = [(1, 10, 1, None, False), (1, 12, 2, 2.0, False), (2, 13, 3, None, False), (1, 20, 4, 1.5, True), (None, 14, 5, 9.0, True), (2, None, 6, 9.0, True)]
+    got = {tuple(r) for r in crowds.choice_sets(spark.createDataFrame(rows, SCHEMA), 40, 3).collect()}
+    assert got == {(4, 1, 2, 2.0, True), (4, 2, 1, None, False)}
+    plan = plans.QUERIES["c6_choice_sets"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    dealt = [line for line in plan.splitlines() if "Exchange " in line]
+    assert len(dealt) == 2 and all("hashpartitioning(bucket" in line for line in dealt), dealt
