@@ -10,7 +10,9 @@ import heapq
 from collections import Counter, OrderedDict, deque
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -106,6 +108,109 @@ def _columns(rows: list[tuple], kinds: tuple, names: list[str]) -> pa.RecordBatc
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names)
 
 
+class Tops:
+    """Of every point of a grid the largest value seen, of equal ones that of the smallest key. Memory: the points."""
+
+    def __init__(self) -> None:
+        self.base, self.value, self.key = 0, np.zeros(0), np.zeros(0, np.int64)
+
+    def see(self, first: np.ndarray, last: np.ndarray, value: np.ndarray, key: np.ndarray) -> None:
+        """Values that hold at the points ``first`` to ``last``."""
+        n = np.maximum(last - first + 1, 0)
+        if not n.any():
+            return
+        low, high = int(first[n > 0].min()), int(last[n > 0].max())
+        if not len(self.value):
+            self.base = low
+        before, after = max(0, self.base - low), max(0, high - self.base - len(self.value) + 1)
+        if before or after:
+            self.base -= before
+            self.value = np.concatenate([np.full(before, -np.inf), self.value, np.full(after, -np.inf)])
+            self.key = np.concatenate([np.full(x, np.iinfo(np.int64).max) if isinstance(x, int) else x for x in (before, self.key, after)])
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first - self.base, n)
+        value, key = np.repeat(value, n), np.repeat(key, n)
+        won = (value > self.value[at]) | (value == self.value[at]) & (key < self.key[at])
+        at, value, key = at[won], value[won], key[won]
+        order = np.lexsort((key, -value, at))
+        at, value, key = at[order], value[order], key[order]
+        top = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(at) else []
+        self.value[at[top]], self.key[at[top]] = value[top], key[top]
+
+    def found(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(point, key, value) of the points with a value."""
+        k = np.flatnonzero(self.key != np.iinfo(np.int64).max)
+        return k + self.base, self.key[k], self.value[k]
+
+
+def first_hits(prints: DataFrame, key: str, at: str, order: list[str], price: str, sell: str, flags: list[str], window: int, drop: float, grid: int, fresh: int) -> DataFrame:
+    """(variant, key, at), the first time of a key for each variant: those of the columns ``flags``; ``crash``, a sell at ``drop`` times the
+    highest price of the last ``window`` or less; ``leader``, a point of the grid at which its last price, at most ``fresh`` old, is the
+    largest of all keys (of equal ones the smallest key's).
+
+    Prints that are dealt by key are walked where they are, in order. Leaders are found without dealing prints by time: a price holds
+    from its point to the key's next print, and every task keeps the best of each point.
+    """
+    names = ["variant", "key", "at", "value"]
+
+    def rows_of(variant: str, key_: pa.Array, at_: pa.Array, value: pa.Array | None = None) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([variant] * len(key_), pa.string()), key_, at_, pa.nulls(len(key_), pa.float64()) if value is None else value], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tops, now, done, peaks = Tops(), None, False, deque()
+        open_ = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))  # the last print, whose next one is not known
+
+        def hold(k: np.ndarray, t: np.ndarray, px: np.ndarray) -> None:
+            """All but the last of these are followed by the next."""
+            until = np.where(k[1:] == k[:-1], -(-t[1:] // grid) - 1, np.iinfo(np.int64).max)
+            tops.see(-(-t[:-1] // grid), np.minimum(until, (t[:-1] + fresh) // grid), px[:-1], k[:-1])
+
+        for batch in batches:
+            for name in flags:
+                hit = pa.Table.from_batches([batch.select(["__key", "__at", name]).filter(batch.column(name))])
+                if hit.num_rows:
+                    first = hit.group_by("__key").aggregate([("__at", "min")]).combine_chunks().to_batches()[0]
+                    yield rows_of(name, first.column("__key"), first.column("__at_min"))
+            known = batch.filter(pc.and_(pc.and_(batch.column("__key").is_valid(), batch.column("__at").is_valid()), batch.column("__price").is_valid()))
+            if not known.num_rows:
+                continue
+            k, t, px = (known.column(n).to_numpy() for n in ("__key", "__at", "__price"))
+            sold = known.column("__sell").fill_null(False).to_numpy(zero_copy_only=False)
+            hold(*(np.concatenate(x) for x in zip(open_, (k, t, px), strict=True)))
+            open_ = (k[-1:].copy(), t[-1:].copy(), px[-1:].copy())
+            cuts, crashed = [0, *(np.flatnonzero(k[1:] != k[:-1]) + 1).tolist(), len(k)], []
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if k[a] != now:
+                    now, done = k[a], False
+                    peaks.clear()
+                if done:
+                    continue
+                for t_, p, sells in zip(t[a:b].tolist(), px[a:b].tolist(), sold[a:b].tolist(), strict=True):
+                    while peaks and peaks[-1][1] <= p:
+                        peaks.pop()
+                    peaks.append((t_, p))
+                    while peaks[0][0] < t_ - window:
+                        peaks.popleft()
+                    if sells and len(peaks) > 1 and p <= drop * peaks[0][1]:
+                        crashed.append((now, t_))
+                        done = True
+                        break
+            if crashed:
+                yield rows_of("crash", pa.array([x[0] for x in crashed], pa.int64()), pa.array([x[1] for x in crashed], pa.int64()))
+        none = np.iinfo(np.int64).min
+        hold(*(np.concatenate([x, y]) for x, y in zip(open_, ([none], [0], [0.0]), strict=True)))
+        point, who, value = tops.found()
+        yield rows_of("leader", pa.array(who), pa.array(point * grid), pa.array(value))
+
+    fields = {"__key": key, "__at": at, "__price": price, "__sell": sell}
+    line = prints.select(*(F.col(c).alias(n) for n, c in fields.items()), *order, *flags).sortWithinPartitions("__key", "__at", *order)
+    hits = line.mapInArrow(run, "variant string, key long, at long, value double")
+    # of the tasks' leaders of a point the best, of hits all
+    lead = F.col("variant") == "leader"
+    best = F.max_by("key", F.struct(F.col("value"), (-F.col("key")).alias("low")))
+    hits = hits.groupBy("variant", F.when(~lead, F.col("key")).alias("own"), F.when(lead, F.col("at")).alias("point")).agg(best.alias("best"), F.min("at").alias("at"))
+    return hits.select("variant", F.coalesce("own", F.when(lead, F.col("best"))).alias("key"), "at").groupBy("variant", "key").agg(F.min("at").alias("at"))
+
+
 class High:
     """The highest price of the last ``window`` (of equal ones the latest), and who has sold how much since then."""
 

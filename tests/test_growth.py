@@ -121,3 +121,10 @@ def test_white_space_is_collapsed_as_before(spark):
     df = spark.createDataFrame([(i, x) for i, x in enumerate(raw)], "i long, x string").select("i", text.normal(F.col("x")).alias("x"))
     assert [r["x"] for r in df.orderBy("i").collect()] == ["a b c d", "x y z", 'q"r s', "\\", "", "", None, "a b"]
     assert r"\\n" not in df._jdf.queryExecution().analyzed().toString()
+
+
+def test_first_triggers_shuffle_prints_once_by_token(spark):
+    plan = plans.QUERIES["c26_first_trigger_per_variant"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    dealt = [line for line in plan.splitlines() if "Exchange " in line]
+    assert sum("hashpartitioning(bucket" in line for line in dealt) == 1 and sum("hashpartitioning(mint" in line for line in dealt) == 1
+    assert len(dealt) == 4, dealt  # and hits, by point or token, then by variant

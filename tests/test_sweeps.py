@@ -147,3 +147,31 @@ def test_variable_frames(spark):
         else:
             assert r["n"] == len(own) and r["mean"] == pytest.approx(statistics.mean(own), rel=1e-12)
             assert r["std"] is None if r["w"] == 1 else r["std"] == pytest.approx(statistics.stdev(own), rel=1e-6)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_first_hits_against_all_rows(spark, seed):
+    r = random.Random(seed)
+    rows = [(k, r.randrange(-400, 900), i, r.choice([1.0, 2.0, 5.0, 9.0, 20.0, 60.0, None]), r.random() < 0.4, r.random() < 0.05) for i, k in enumerate(r.choices([1, 2, 3, 7, -4, None], k=300))]
+    window, grid, fresh = 60, 10, 35
+    want = {}
+    hit = lambda variant, k, t: want.update({(variant, k): min(t, want.get((variant, k), t))})
+    line = sorted(rows, key=lambda x: (x[1], x[2]))
+    for n, (k, t, _, px, sell, flag) in enumerate(line):
+        if flag:
+            hit("mark", k, t)
+        before = [(q[3], i) for i, q in enumerate(line[: n + 1]) if q[0] == k and q[3] is not None and q[1] >= t - window]
+        if sell and k is not None and px is not None and px <= 0.1 * max(before)[0] and max(before)[1] < n:
+            hit("crash", k, t)
+    for g in range(-400, 1000, grid):
+        last = {q[0]: q[3] for q in line if q[0] is not None and q[3] is not None and g - fresh <= q[1] <= g}
+        if last:
+            hit("leader", min(last, key=lambda k: (-last[k], k)), g)
+    df = spark.createDataFrame(rows, "mint long, recv long, seq long, px double, sell boolean, mark boolean").repartition(4, "mint")
+    with_batches = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = sweeps.first_hits(df, "mint", "recv", ["seq"], "px", "sell", ["mark"], window, 0.1, grid, fresh).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", with_batches)
+    assert {(x.variant, x.key): x["at"] for x in got} == want and len(got) == len(want)
